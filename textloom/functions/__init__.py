@@ -1,13 +1,12 @@
-"""Column functions: everything here stays a plain expression unless it says otherwise."""
+"""Column functions: plain expressions, but for ``lcs_size`` and ``clipped_overlaps``, which work on Arrow batches."""
 
-from textloom.functions.arrays import attention_mask, let, pad_right, truncate, up_to_multiple
+from textloom.functions.arrays import attention_mask, pad_right, truncate, up_to_multiple
 from textloom.functions.hashing import hash60, hash_uniform, seeded_digest
 from textloom.functions.lcs import lcs_size
+from textloom.functions.overlap import clipped_overlaps
 from textloom.functions.text import (
     bigrams,
-    clipped_overlap,
     is_filled,
-    ngrams,
     rouge_words,
     strip_text,
     words,
@@ -16,13 +15,11 @@ from textloom.functions.text import (
 __all__ = [
     "attention_mask",
     "bigrams",
-    "clipped_overlap",
+    "clipped_overlaps",
     "hash60",
     "hash_uniform",
     "is_filled",
     "lcs_size",
-    "let",
-    "ngrams",
     "pad_right",
     "rouge_words",
     "seeded_digest",

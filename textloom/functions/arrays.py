@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``.
-
-    An expression used inside a lambda is otherwise inlined there and evaluated again for every element.
-    """
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def truncate(items: Column, length: int) -> Column:
     return F.slice(items, 1, length)
 

@@ -1,17 +1,14 @@
-"""Text expressions: stripping, word splitting, n-grams and their clipped overlap."""
+"""Text expressions: stripping, word splitting, bigrams."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.arrays import let
-
 # What counts as blank at the ends of a line, and what separates words in ROUGE.
 STRIP_PATTERN = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 ROUGE_SEPARATOR = "[^a-z0-9]+"
 START_MARK = "<s>"
-GRAM_JOIN = "\x01"
 
 
 def is_filled(value: Column) -> Column:
@@ -31,63 +28,17 @@ def words(text: Column, at_most: int | None = None) -> Column:
     hold the first ``at_most`` words and the unsplit rest.
     """
     if at_most is None:
-        return F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.slice(F.filter(F.split(text, r"\s+", at_most + 2), lambda w: w != ""), 1, at_most)
+        return F.array_remove(F.split(text, r"\s+"), "")
+    return F.slice(F.array_remove(F.split(text, r"\s+", at_most + 2), ""), 1, at_most)
 
 
 def rouge_words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), ROUGE_SEPARATOR), lambda w: w != "")
-
-
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams in order; fewer than n tokens give an empty array. Pass a column or a ``let`` variable."""
-    if n == 1:
-        return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.concat_ws(GRAM_JOIN, F.slice(tokens, i, n)))
+    return F.array_remove(F.split(F.lower(text), ROUGE_SEPARATOR), "")
 
 
 def bigrams(tokens: Column) -> Column:
-    """``(prev, token)`` for every token, the first one after the start mark."""
-    return let(
-        tokens,
-        lambda t: F.transform(
-            t,
-            lambda w, i: F.struct(
-                F.when(i == 0, F.lit(START_MARK)).otherwise(F.get(t, i - 1)).alias("prev"), w.alias("token")
-            ),
-        ),
-    )
-
-
-def _numbered(items: Column) -> Column:
-    """Tag each item with its occurrence number, so that repeats become distinct strings.
-
-    Sorting brings equal items together; a run then is cut out by its first position and the next run's.
-    """
-
-    def number_runs(s: Column) -> Column:
-        firsts = F.filter(
-            F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull()
-        )
-
-        def expand(f: Column) -> Column:
-            run = lambda start, j: F.transform(
-                F.sequence(F.lit(1), F.coalesce(F.get(f, j + 1), F.size(s)) - start),
-                lambda k: F.concat_ws("\x02", F.get(s, start), k.cast("string")),
-            )
-            return F.flatten(F.transform(f, run))
-
-        return let(firsts, expand)
-
-    return let(F.array_sort(items), number_runs)
-
-
-def clipped_overlap(left: Column, right: Column) -> Column:
-    """Sum over distinct items of the smaller of the two counts.
+    """``(prev, token)`` for every token, the first one after the start mark, and one with a null token at the end.
 
-    A multiset intersection inside one row: both sides belong to the same row, so no exchange is needed.
+    Takes a column, not an expression: it is used twice.
     """
-    return F.size(F.array_intersect(_numbered(left), _numbered(right)))
+    return F.arrays_zip(F.concat(F.array(F.lit(START_MARK)), tokens).alias("prev"), tokens.alias("token"))

@@ -20,7 +20,7 @@ from textloom.operators.generation import (
     without_prompt,
 )
 from textloom.operators.language_model import BigramModel, batch_losses, fit_bigrams, perplexity, score_texts
-from textloom.operators.monitoring import window_metrics
+from textloom.operators.monitoring import sketched_window_metrics, window_metrics
 from textloom.operators.overlap import (
     align_pairs,
     bleu,
@@ -39,6 +39,7 @@ from textloom.operators.prepare import (
     prepare_text,
     row_report,
 )
+from textloom.operators.quantiles import exact_quantiles
 from textloom.operators.ranking import add_position
 from textloom.operators.runs import best_step, compare_runs, early_stop, every_nth_step
 from textloom.operators.skew import salted_left_join
@@ -72,6 +73,7 @@ __all__ = [
     "evaluate_classification",
     "evaluate_generated_text",
     "every_nth_step",
+    "exact_quantiles",
     "expand_sequences",
     "fingerprint",
     "fit_bigrams",
@@ -92,6 +94,7 @@ __all__ = [
     "salted_left_join",
     "score_texts",
     "seeded_order",
+    "sketched_window_metrics",
     "to_response",
     "tokenise_with_file",
     "version_diff",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import attention_mask, pad_right, seeded_digest, up_to_multiple
@@ -56,8 +56,8 @@ def collate(
     """
     lengths = df.select(key, F.size(ids).alias("__n"))
     batched = assign_batches(lengths, key, batch_size, chunks)
-    widths = batched.groupBy("batch_id").agg(up_to_multiple(F.max("__n"), multiple).cast("int").alias("width"))
-    plan = batched.join(widths, "batch_id").select(key, "batch_id", "width")
+    longest = F.max("__n").over(Window.partitionBy("batch_id"))
+    plan = batched.select(key, "batch_id", up_to_multiple(longest, multiple).cast("int").alias("width"))
     mask = attention_mask(F.size(ids), F.col("width"))
     if "attention_mask" in df.columns:
         mask = pad_right(F.col("attention_mask"), F.col("width"), 0)

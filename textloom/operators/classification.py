@@ -66,14 +66,16 @@ def class_report(
         return report.select("class", *columns)
     names = list(label_names)
     table = df.sparkSession.createDataFrame(list(enumerate(names, 1)), "nth int, name string")
-    # one row per class: the classes are few, and their rows were counted before this
+    # no more classes than names, and one to tell that there are more, ever meet in one task
+    first = report.orderBy("class").limit(len(names) + 1)
     everything = Window.partitionBy(F.lit(0))
-    ranked = report.withColumn("nth", F.row_number().over(everything.orderBy("class"))).withColumn(
+    ranked = first.withColumn("nth", F.row_number().over(everything.orderBy("class"))).withColumn(
         "classes", F.count(F.lit(1)).over(everything)
     )
     wrong = F.col("classes") != len(names) if strict else F.col("classes") < len(names)
-    message = F.concat(F.lit(f"{len(names)} label names for "), F.col("classes").cast("string"), F.lit(" classes"))
-    checked = F.when(wrong, F.raise_error(message).cast("string")).otherwise(F.col("name"))
+    message = F.when(F.col("classes") > len(names), "more").otherwise(F.col("classes").cast("string"))
+    failure = F.raise_error(F.concat(F.lit(f"{len(names)} label names, but "), message, F.lit(" classes")))
+    checked = F.when(wrong, failure.cast("string")).otherwise(F.col("name"))
     # the names are an argument of this call, so their size is known
     joined = ranked.join(F.broadcast(table), "nth", "left" if strict else "inner")
     return joined.select(checked.alias("name"), "class", *columns)

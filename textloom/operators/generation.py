@@ -109,10 +109,11 @@ def generate(
 
         for frame in frames:
             out: list[tuple] = []
+            all_prompts = frame["prompt"].tolist()
+            all_settings = frame.drop(columns="prompt").to_dict("records")
             for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                prompts = part["prompt"].tolist()
-                settings = part.drop(columns="prompt").to_dict("records")
+                prompts = all_prompts[start : start + batch_size]
+                settings = all_settings[start : start + batch_size]
                 try:
                     texts = model(prompts, settings)
                     if len(texts) != len(prompts):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import bigrams, words
@@ -16,27 +16,50 @@ ADD_K = 0.1
 
 @dataclass(frozen=True)
 class BigramModel:
-    """``pairs(prev, token, n)``, ``contexts(prev, context_n)`` and ``size(v)``, one row with V."""
+    """``pairs(prev, token, n)`` and ``tokens(token, followed, n)``: how often a token comes first, and at all."""
 
     pairs: DataFrame
-    contexts: DataFrame
-    size: DataFrame
+    tokens: DataFrame
     k: float = ADD_K
 
     @classmethod
     def of_pairs(cls, pairs: DataFrame, k: float = ADD_K) -> BigramModel:
-        """From counted pairs, which a job may have written and read back."""
-        contexts = pairs.groupBy("prev").agg(F.sum("n").alias("context_n"))
-        known = pairs.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-        return cls(pairs, contexts, known.agg((F.count(F.lit(1)) + 1).alias("v")), k)
+        zero = F.lit(0).cast("bigint")
+        first = F.struct(F.col("prev").alias("token"), F.col("n").alias("followed"), zero.alias("n"))
+        second = F.struct(F.col("token").alias("token"), zero.alias("followed"), F.col("n").alias("n"))
+        sides = pairs.select(F.inline(F.array(first, second)))
+        tokens = sides.groupBy("token").agg(F.sum("followed").alias("followed"), F.sum("n").alias("n"))
+        return cls(pairs, tokens, k)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, k: float = ADD_K) -> BigramModel:
+        return cls(spark.read.parquet(f"{path}/pairs"), spark.read.parquet(f"{path}/tokens"), k)
+
+    def save(self, path: str) -> BigramModel:
+        """Write the counts to a shared folder; go on with what this returns, so that texts are counted once only."""
+        spark = self.pairs.sparkSession
+        self.pairs.write.parquet(f"{path}/pairs")
+        BigramModel.of_pairs(spark.read.parquet(f"{path}/pairs")).tokens.write.parquet(f"{path}/tokens")
+        return BigramModel.load(spark, path, self.k)
+
+    def contexts(self) -> DataFrame:
+        return self.tokens.where(F.col("followed") > 0).select(F.col("token").alias("prev"), "followed")
+
+    def size(self) -> Column:
+        """Distinct tokens and one more for all unseen ones, as a scalar subquery."""
+        return self.tokens.where(F.col("n") > 0).agg((F.count(F.lit(1)) + 1).alias("v")).scalar()
 
 
 def _pairs_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
-    return df.select(*keep, F.inline(bigrams(words(F.col(text)))))
+    tokens = df.select(*keep, words(F.col(text)).alias("__t"))
+    return tokens.select(*keep, F.inline(bigrams(F.col("__t"))).alias("prev", "token")).where(F.col("token").isNotNull())
 
 
 def fit_bigrams(df: DataFrame, text: str = "text", k: float = ADD_K) -> BigramModel:
-    """Count ``(prev, token)`` over all texts; each text starts with a start mark. Counts combine before the shuffle."""
+    """Count ``(prev, token)`` over all texts; each text starts with a start mark. Counts combine before the shuffle.
+
+    Nothing is computed yet. ``save`` the model before scoring, which reads the counts several times.
+    """
     counted = _pairs_of(df, text).groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
     return BigramModel.of_pairs(counted, k)
 
@@ -48,10 +71,12 @@ def score_texts(df: DataFrame, model: BigramModel, key: str, text: str = "text")
     hot key (a frequent context, a frequent pair) are salted.
     """
     pairs = _pairs_of(df, text, key)
-    distinct = pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("uses"))
-    seen = distinct.select("prev", "token").join(model.pairs, ["prev", "token"], "left")
-    in_context = salted_left_join(seen, model.contexts, ["prev"])
-    probability = (F.coalesce("n", F.lit(0)) + model.k) / (F.coalesce("context_n", F.lit(0)) + model.k * model.size.scalar())
+    distinct = pairs.select("prev", "token").distinct()
+    # keep what these texts need of the model first: few texts then are sent to the counts, not the counts to the texts
+    known = model.pairs.join(distinct, ["prev", "token"], "left_semi")
+    contexts = model.contexts().join(distinct.select("prev").distinct(), "prev", "left_semi")
+    in_context = salted_left_join(distinct.join(known, ["prev", "token"], "left"), contexts, ["prev"])
+    probability = (F.coalesce("n", F.lit(0)) + model.k) / (F.coalesce("followed", F.lit(0)) + model.k * model.size())
     priced = in_context.select("prev", "token", F.ln(probability).alias("log_p"))
     scored = (
         salted_left_join(pairs, priced, ["prev", "token"])

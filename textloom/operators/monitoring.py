@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.quantiles import exact_quantiles
+
+# The latency quantiles reported.
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
+def _counts() -> list[Column]:
+    errors = F.count_if(F.col("status") == "error")
+    return [
+        F.count(F.lit(1)).alias("requests"),
+        errors.alias("errors"),
+        (errors / F.count(F.lit(1))).alias("error_rate"),
+    ]
+
+
+def _log(log: DataFrame, ts: str, status: str, latency: str) -> DataFrame:
+    return log.select(F.col(ts).alias("ts"), F.col(status).alias("status"), F.col(latency).alias("latency"))
+
+
 def window_metrics(
+    log: DataFrame, ts: str = "ts", status: str = "status", latency: str = "latency", width: str = "15 seconds"
+) -> DataFrame:
+    """Requests, errors, error rate and exact latency quantiles per tumbling window of a table."""
+    timed = _log(log, ts, status, latency).withColumn("w", F.window("ts", width))
+    flat = timed.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "status", "latency")
+    keys = ["window_start", "window_end"]
+    quantiles = exact_quantiles(flat, keys, "latency", QUANTILES)
+    return flat.groupBy(*keys).agg(*_counts()).join(quantiles, keys, "left")
+
+
+def sketched_window_metrics(
     log: DataFrame,
     ts: str = "ts",
     status: str = "status",
@@ -16,22 +43,22 @@ def window_metrics(
     width: str = "15 seconds",
     accuracy: int = 10_000,
 ) -> DataFrame:
-    """Requests, errors, error rate and latency quantiles per tumbling window, for tables and streams alike.
+    """The same in one aggregation, for tables and streams.
 
-    Quantiles come from a mergeable sketch of fixed size, exact in windows of up to ``accuracy`` / 2 requests, so a
-    window with a large share of all requests is still summed up where its rows are.
+    Quantiles come from a mergeable sketch of fixed size: exact in windows of up to ``accuracy`` / 2 requests, beyond
+    that off by at most one in ``accuracy`` ranks.
     """
-    errors = F.count_if(F.col(status) == "error")
-    quantiles = F.percentile_approx(latency, list(QUANTILES.values()), accuracy)
+    quantiles = F.percentile_approx("latency", list(QUANTILES.values()), accuracy)
     return (
-        log.groupBy(F.window(ts, width).alias("w"))
-        .agg(F.count(F.lit(1)).alias("requests"), errors.alias("errors"), quantiles.alias("q"))
+        _log(log, ts, status, latency)
+        .groupBy(F.window("ts", width).alias("w"))
+        .agg(*_counts(), quantiles.alias("q"))
         .select(
             F.col("w.start").alias("window_start"),
             F.col("w.end").alias("window_end"),
             "requests",
             "errors",
-            (F.col("errors") / F.col("requests")).alias("error_rate"),
+            "error_rate",
             *[F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)],
         )
     )

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions import clipped_overlap, hash_uniform, lcs_size, let, ngrams, rouge_words, words
+from textloom.functions import clipped_overlaps, hash_uniform, lcs_size, rouge_words, words
 
 BLEU_ORDER = 4
 
@@ -34,10 +34,9 @@ def bleu_counts(pairs: DataFrame, reference: str = "reference", prediction: str
         words(F.coalesce(F.col(reference), F.lit(""))).alias("r"),
         words(F.coalesce(F.col(prediction), F.lit(""))).alias("p"),
     )
-    per_pair = [F.size("r").alias("r_len"), F.size("p").alias("p_len")]
-    for n in range(1, BLEU_ORDER + 1):
-        per_pair.append(_overlap("p", "r", n).alias(f"m{n}"))
-    counted = tokens.select(*per_pair)
+    orders = range(1, BLEU_ORDER + 1)
+    matches = clipped_overlaps(F.col("p"), F.col("r"), orders)
+    counted = tokens.select(F.size("r").alias("r_len"), F.size("p").alias("p_len"), matches.alias("m")).select("*", "m.*")
     sums = [F.sum("p_len").alias("prediction_length"), F.sum("r_len").alias("reference_length")]
     for n in range(1, BLEU_ORDER + 1):
         total = F.greatest(F.col("p_len") - (n - 1), F.lit(0))
@@ -45,12 +44,6 @@ def bleu_counts(pairs: DataFrame, reference: str = "reference", prediction: str
     return counted.agg(*sums)
 
 
-def _overlap(left: str, right: str, n: int) -> Column:
-    if n == 1:
-        return clipped_overlap(F.col(left), F.col(right))
-    return let(F.col(left), lambda a: let(F.col(right), lambda b: clipped_overlap(ngrams(a, n), ngrams(b, n))))
-
-
 def bleu(pairs: DataFrame, reference: str = "reference", prediction: str = "prediction") -> DataFrame:
     """Corpus BLEU of order 4 without smoothing over whitespace words; 0 if any order has no match."""
     matches = [F.col(f"match_{n}") for n in range(1, BLEU_ORDER + 1)]
@@ -80,14 +73,17 @@ def rouge_scores(
         sizes = F.greatest(F.size("p") - (n - 1), F.lit(0)) + F.greatest(F.size("r") - (n - 1), F.lit(0))
         return F.when(sizes > 0, 2.0 * common / sizes).otherwise(F.lit(0.0))
 
-    columns = []
-    for kind in kinds:
-        if kind == "rougeL":
-            columns.append(f_measure(lcs_size(F.col("r"), F.col("p")), 1).alias(kind))
-        else:
-            n = int(kind.removeprefix("rouge"))
-            columns.append(f_measure(_overlap("p", "r", n), n).alias(kind))
-    return tokens.select(*keep, *columns)
+    orders = [int(k.removeprefix("rouge")) for k in kinds if k != "rougeL"]
+    common = []
+    if orders:
+        common.append(clipped_overlaps(F.col("p"), F.col("r"), orders).alias("m"))
+    if "rougeL" in kinds:
+        common.append(lcs_size(F.col("r"), F.col("p")).alias("lcs"))
+    counted = tokens.select("*", *common)
+    scores = {f"rouge{n}": f_measure(F.col(f"m.m{n}"), n) for n in orders}
+    if "rougeL" in kinds:
+        scores["rougeL"] = f_measure(F.col("lcs"), 1)
+    return counted.select(*keep, *[scores[k].alias(k) for k in kinds])
 
 
 def rouge(

@@ -6,33 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALT = "__salt"
+# A key with fewer rows than this is no trouble for one task.
+HOT_ROWS = 100_000
 
 
 def salted_left_join(
-    left: DataFrame, right: DataFrame, on: list[str], hot_share: float | None = None, salts: int | None = None
+    left: DataFrame, right: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, salts: int | None = None
 ) -> DataFrame:
     """``left`` left-joined with ``right`` (unique on ``on``), with the hot keys of ``left`` spread over many tasks.
 
-    A key is hot if it holds at least ``hot_share`` of the rows, by default a quarter of an even partition. At most
-    ``1 / hot_share`` keys can be hot, so their list is small whatever the data, and only their right-hand rows are
-    copied, once per salt. The rows and the result are those of a plain join.
+    Hot are the most frequent keys, as far as they have ``hot_rows`` rows: four per shuffle partition at most, so their
+    list is small whatever the data, and every key that outweighs an even partition is among them. Only the right-hand
+    rows of hot keys are copied, once per salt. The rows and the result are those of a plain join.
     """
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = hot_share or 1.0 / (4 * partitions)
-    copies = salts or min(partitions, 256)
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("t")).scalar()
-    hot = counts.where(F.col("__n") >= F.greatest(total * share, F.lit(2))).select(
-        *on, F.lit(copies).alias("__copies")
-    )
-    # proven bound: no more than 1 / share keys reach that share
+    copies = salts or max(2, min(partitions, 256))
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= hot_rows)
+    hot = counts.orderBy(F.desc("__n"), *on).limit(4 * partitions).select(*on, F.lit(copies).alias("__copies"))
+    # broadcast: limited to a fixed number of keys above
     marked = left.join(F.broadcast(hot), on, "left")
-    every_column = F.xxhash64(*[F.col(c) for c in left.columns if c not in on] or [F.monotonically_increasing_id()])
-    salted = marked.withColumn(SALT, F.pmod(every_column, F.coalesce("__copies", F.lit(1)))).drop("__copies")
+    others = [F.col(c) for c in left.columns if c not in on] or [F.monotonically_increasing_id()]
+    salted = marked.withColumn(SALT, F.pmod(F.xxhash64(*others), F.coalesce("__copies", F.lit(1))).cast("int")).drop("__copies")
     copied = (
         right.join(F.broadcast(hot), on, "left")
         .withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1)))
-        .withColumn(SALT, F.col(SALT).cast("bigint"))
         .drop("__copies")
     )
     return salted.join(copied, [*on, SALT], "left").drop(SALT)

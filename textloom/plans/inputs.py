@@ -50,8 +50,8 @@ def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_key() -> Column:
-    """One number per turn; a conversation has far fewer turns than this leaves room for."""
-    return (F.col("conv_id") * 100_000 + F.col("turn")).alias("key")
+    """Conversation and turn as one number, with 32 bits for the turn."""
+    return (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("key")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ ids AS (
 
 PAIRS = """
 pairs AS (
-  SELECT u.conv_id * 100000 + u.turn AS key, u.text AS reference, a.text AS prediction
+  SELECT u.conv_id * 4294967296 + u.turn AS key, u.text AS reference, a.text AS prediction
   FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant')"""
 
@@ -233,7 +233,7 @@ ORACLE: dict[str, str] = {
     "split_select": f"SELECT doc_id, lang, n_chars, {SPLIT} AS split FROM documents WHERE {SPLIT} = 'train'",
     "split_union": """SELECT doc_id AS key, text, 'train' AS split FROM documents
         UNION ALL SELECT item_id, text, 'eval' FROM benchmark""",
-    "sink_results": """SELECT conv_id * 100000 + turn AS prompt_idx, text AS prompt,
+    "sink_results": """SELECT conv_id * 4294967296 + turn AS prompt_idx, text AS prompt,
         're: ' || text || '|' || lower(text) AS generated_texts FROM conversations WHERE role = 'user'""",
     "params_long": """SELECT o_orderkey AS run, name, value FROM (
           SELECT o_orderkey, 'training.o_custkey' AS name, CAST(o_custkey AS VARCHAR) AS value FROM orders

@@ -14,7 +14,7 @@ from textloom.functions import words
 from textloom.plans import inputs
 from textloom.plans.inputs import table
 from textloom.session import new_dir
-from textloom.sources import load_data, params_long, read_prompts, union_splits, write_results
+from textloom.sources import load_data, materialise, params_long, read_prompts, union_splits, write_results
 from textloom.streaming import stream_metrics, stream_responses, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,15 +255,18 @@ def lm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.fit_bigrams(inputs.documents(spark, sf_dir, "text")).pairs
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = ops.fit_bigrams(inputs.documents(spark, sf_dir, "text")).save(new_dir(spark, "bigrams"))
+    return ops.score_texts(table(spark, sf_dir, "benchmark").select("item_id", "text"), model, "item_id")
+
+
 def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = ops.fit_bigrams(inputs.documents(spark, sf_dir, "text"))
-    return _rounded(ops.score_texts(table(spark, sf_dir, "benchmark"), model, "item_id"), "loss")
+    return _rounded(_scored(spark, sf_dir), "loss")
 
 
 def lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By rows, which is the default, and by tokens."""
-    model = ops.fit_bigrams(inputs.documents(spark, sf_dir, "text"))
-    scored = ops.score_texts(table(spark, sf_dir, "benchmark"), model, "item_id")
+    scored = materialise(_scored(spark, sf_dir), new_dir(spark, "scores"))
     by_rows = ops.perplexity(scored).withColumn("weighted_by", F.lit("rows"))
     by_tokens = ops.perplexity(scored, weight="n_tokens").withColumn("weighted_by", F.lit("tokens"))
     return by_rows.unionByName(by_tokens).withColumn("perplexity", F.round("perplexity", 3))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textloom.operators.generation import Generator, generate, to_response
-from textloom.operators.monitoring import window_metrics
+from textloom.operators.monitoring import sketched_window_metrics
 
 
 def stream_metrics(
@@ -25,7 +25,7 @@ def stream_metrics(
     Event times without a zone become timestamps, which watermarks need.
     """
     timed = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    return window_metrics(timed, ts, status, latency, width)
+    return sketched_window_metrics(timed, ts, status, latency, width)
 
 
 def stream_responses(requests: DataFrame, make_generator: Callable[[], Generator], batch_size: int = 8) -> DataFrame:
