@@ -1,0 +1,202 @@
+from __future__ import annotations
+
+import datetime
+import json
+
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from textloom.sources import (
+    append_metrics,
+    load_data,
+    params_long,
+    read_csv,
+    read_prompts,
+    union_splits,
+    write_results,
+)
+from textloom.sources.readers import spread
+
+
+def write(path, text: str) -> str:
+    path.write_bytes(text.encode())
+    return str(path)
+
+
+def test_csv_markers_quotes_and_newlines(spark, tmp_path):
+    path = write(
+        tmp_path / "a.csv",
+        'id,score,flag,text\n1,0.5,True,"say ""hi"", back\\slash"\n2,NA,false,"two\nlines"\n3,3,NaN,""\nnull,4,TRUE,  NA \n',
+    )
+    df = load_data(spark, path)
+    assert dict(df.dtypes) == {"id": "bigint", "score": "double", "flag": "boolean", "text": "string"}
+    rows = df.collect()
+    assert [r.id for r in rows] == [1, 2, 3, None]
+    assert [r.score for r in rows] == [0.5, None, 3.0, 4.0]
+    assert [r.flag for r in rows] == [True, False, None, True]
+    assert [r.text for r in rows] == ['say "hi", back\\slash', "two\nlines", None, "  NA "]
+
+
+def test_csv_written_and_read_back(spark, tmp_path):
+    texts = [" lead", "trail ", "a\tb", "back\\slash", 'q"uote', "new\nline", "comma,", "ünï", "\\", '"']
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    path = str(tmp_path / "b.csv")
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.options(**plain).csv(path)
+    assert [r.text for r in load_data(spark, path).orderBy("id").collect()] == texts
+
+
+def test_csv_types_are_not_guessed_too_far(spark, tmp_path):
+    path = write(tmp_path / "c.csv", "a,b,c,d\n1d,99999999999999999999,2024-01-01,0x1\n2,1,2024-01-02,1\n")
+    assert [t for _, t in load_data(spark, path).dtypes] == ["string", "double", "string", "string"]
+
+
+def test_csv_with_schema(spark, tmp_path):
+    path = write(tmp_path / "d.csv", "day,n\n2024-01-01,1\nNA,2\n")
+    rows = read_csv(spark, path, schema="day date, n int").collect()
+    assert [r.day for r in rows] == [datetime.date(2024, 1, 1), None]
+
+
+def test_csv_ignores_split(spark, tmp_path):
+    path = write(tmp_path / "e.csv", "split,n\ntrain,1\ntest,2\n")
+    assert load_data(spark, path, split="train").count() == 2
+
+
+def test_json_array_over_lines(spark, tmp_path):
+    path = write(tmp_path / "a.json", json.dumps([{"text": "a"}, {"text": "b"}], indent=2))
+    assert sorted(r.text for r in load_data(spark, path).collect()) == ["a", "b"]
+
+
+def test_jsonl_and_split(spark, tmp_path):
+    lines = [json.dumps({"text": t, "split": s}) for t, s in [("a", "train"), ("b", "test")]]
+    path = write(tmp_path / "a.jsonl", "\n".join(lines))
+    assert load_data(spark, path).count() == 2
+    assert [r.text for r in load_data(spark, path, split="test").collect()] == ["b"]
+
+
+def test_table_without_splits_is_train(spark, tmp_path):
+    path = str(tmp_path / "p.parquet")
+    spark.range(3).write.parquet(path)
+    assert load_data(spark, path, split="train").count() == 3
+    with pytest.raises(ValueError):
+        load_data(spark, path, split="test")
+
+
+def test_partitioned_split_is_pruned(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    spark.range(10).withColumn("split", F.when(F.col("id") < 7, "train").otherwise("test")).write.partitionBy(
+        "split"
+    ).parquet(path)
+    df = load_data(spark, path, split="test")
+    assert df.count() == 3
+    assert "PartitionFilters: [isnotnull(split" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_directory_with_splits_in_file_names(spark, tmp_path):
+    for name, n in [("train-00.jsonl", 2), ("validation.jsonl", 1), ("other.jsonl", 1)]:
+        write(tmp_path / name, "\n".join(json.dumps({"n": i}) for i in range(n)))
+    assert load_data(spark, str(tmp_path)).count() == 4
+    assert load_data(spark, str(tmp_path), split="validation").count() == 1
+    assert load_data(spark, str(tmp_path), split="train").count() == 3
+
+
+def test_mixed_directory_and_missing_path(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        load_data(spark, str(tmp_path / "missing.parquet"))
+    with pytest.raises(AnalysisException):
+        load_data(spark, "no_such_table_or_dir")
+    write(tmp_path / "a.csv", "a\n1\n")
+    write(tmp_path / "b.jsonl", "{}")
+    with pytest.raises(ValueError):
+        load_data(spark, str(tmp_path))
+
+
+def test_suffix_is_case_sensitive(spark, tmp_path):
+    path = write(tmp_path / "a.CSV", "a\n1\n")
+    with pytest.raises(ValueError):
+        load_data(spark, path)
+
+
+def test_named_table(spark):
+    spark.range(4).createOrReplaceTempView("four_rows")
+    assert load_data(spark, "four_rows").count() == 4
+
+
+def test_cache_follows_source(spark, tmp_path):
+    source, cache = tmp_path / "a.jsonl", str(tmp_path / "cache")
+    write(source, '{"n": 1}')
+    first = load_data(spark, str(source), cache_dir=cache)
+    assert first.count() == 1
+    assert cache in load_data(spark, str(source), cache_dir=cache).inputFiles()[0]
+    assert len(list((tmp_path / "cache").iterdir())) == 1
+    write(source, '{"n": 1}\n{"n": 2}')
+    assert load_data(spark, str(source), cache_dir=cache).count() == 2
+    assert len(list((tmp_path / "cache").iterdir())) == 2
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_prompts_like_line_by_line_reading(spark, tmp_path, dense):
+    text = "first\r\nsecond\r  third\t\n\n 　\n\x1c\n \n  fourth and more  \nlast"
+    path = write(tmp_path / "prompts.txt", text)
+    with open(path, newline=None, encoding="utf-8") as f:
+        expected = [line.strip() for line in f if line.strip()]
+    rows = read_prompts(spark, path, dense).orderBy("prompt_idx").collect()
+    assert [r.prompt for r in rows] == expected
+    if dense:
+        assert [r.prompt_idx for r in rows] == list(range(len(expected)))
+
+
+def test_prompts_over_many_blocks(spark, tmp_path):
+    lines = [f"prompt {i} " + "x" * (i % 50) for i in range(5000)]
+    path = write(tmp_path / "many.txt", "\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows = read_prompts(spark, path, dense=True).orderBy("prompt_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.prompt for r in rows] == [line.strip() for line in lines]
+    assert [r.prompt_idx for r in rows] == list(range(5000))
+
+
+def test_all_blank_prompts(spark, tmp_path):
+    path = write(tmp_path / "blank.txt", "\n \n\t\n")
+    assert read_prompts(spark, path, dense=True).count() == 0
+
+
+def test_results_keep_order_and_arrays(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b", ["x", "y"]), (1, "a", [])], "prompt_idx int, prompt string, generated_texts array<string>")
+    write_results(df, str(tmp_path / "out"), order_by="prompt_idx")
+    lines = [json.loads(x) for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [x["prompt"] for x in lines] == ["a", "b"]
+    assert lines[1]["generated_texts"] == ["x", "y"]
+
+
+def test_metrics_are_appended_by_run(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    for step in (1, 2):
+        append_metrics(
+            spark.createDataFrame([(7, step, "loss", 1.0 / step)], "run bigint, step bigint, metric string, value double"), path
+        )
+    rows = spark.read.parquet(path).where("run = 7").orderBy("step").collect()
+    assert [(r.step, r.value) for r in rows] == [(1, 1.0), (2, 0.5)]
+
+
+def test_params_keep_nulls_and_nesting(spark):
+    df = spark.createDataFrame([(1, ("16", None), 3)], "run int, training struct<batch: string, lr: double>, epochs int")
+    rows = {r.name: r.value for r in params_long(df, "run").collect()}
+    assert rows == {"training.batch": "16", "training.lr": None, "epochs": "3"}
+
+
+def test_union_of_splits(spark):
+    a = spark.createDataFrame([(1, "x")], "id int, text string")
+    b = spark.createDataFrame([("y", 2)], "text string, id int")
+    rows = sorted((r.split, r.id, r.text) for r in union_splits({"train": a, "eval": b}).collect())
+    assert rows == [("eval", 2, "y"), ("train", 1, "x")]
+
+
+def test_spread_leaves_wide_scans_alone(spark):
+    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 100, 1, 64)
+    assert spread(wide) is wide

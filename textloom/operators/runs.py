@@ -32,8 +32,10 @@ def early_stop(
     patience: int = 3,
     chunks: int | None = None,
 ) -> DataFrame:
-    """Number of evaluations and where each run would stop: the first of them at which ``patience`` in a row did not
-    beat the best loss before them. ``stop_step`` counts evaluations from 1 and is null for a run that goes on.
+    """Number of evaluations, where each run would stop, and its best evaluation until then.
+
+    A run stops at the first evaluation at which ``patience`` in a row did not beat the best loss before them. Steps
+    count evaluations from 1; ``stop_step`` is null for a run that goes on.
 
     A long run is cut into chunks. A chunk needs two things from the ones before it: the best loss, and where the last
     improvement was. Both are prefix values over a table with one row per chunk.
@@ -44,30 +46,36 @@ def early_stop(
     before = per_chunk.select(
         GROUP,
         CHUNK,
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"),
-        F.min("low").over(earlier).alias("low_before"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__rows_before"),
+        F.min("low").over(earlier).alias("__low_before"),
     )
     along = Window.partitionBy(GROUP, CHUNK).orderBy(*order_by)
     up_to_last = along.rowsBetween(Window.unboundedPreceding, -1)
-    best_so_far = F.least(F.col("low_before"), F.min(loss).over(up_to_last))
+    best_so_far = F.least(F.col("__low_before"), F.min(loss).over(up_to_last))
     improved = F.col(loss).isNotNull() & (best_so_far.isNull() | (F.col(loss) < best_so_far))
-    marked = join_chunks(chunked, before, True).select(
-        GROUP,
-        CHUNK,
-        run,
-        *order_by,
-        (F.col("rows_before") + F.row_number().over(along)).alias("step"),
-        improved.alias("improved"),
+    step = (F.col("__rows_before") + F.row_number().over(along)).cast("bigint")
+    marked = (
+        join_chunks(chunked, before, True)
+        .withColumns({"__step": step, "__improved": improved, "__best": F.least(best_so_far, F.col(loss))})
+        .select(GROUP, CHUNK, run, "__step", "__best", F.when(F.col("__improved"), F.col("__step")).alias("__gain"))
+    )
+    last_gain = marked.groupBy(GROUP, CHUNK).agg(F.max("__gain").alias("m"))
+    carried = last_gain.select(GROUP, CHUNK, F.max("m").over(earlier).alias("__gain_before"))
+    by_step = Window.partitionBy(GROUP, CHUNK).orderBy("__step").rowsBetween(Window.unboundedPreceding, 0)
+    gain = F.coalesce(F.greatest(F.col("__gain_before"), F.max("__gain").over(by_step)), F.lit(0))
+    state = join_chunks(marked, carried, True).select(run, "__step", "__best", gain.alias("__gain"))
+    out = F.col("__step") - F.col("__gain") >= patience
+    now = F.struct(F.col("__step").alias("step"), F.col("__gain").alias("gain"), F.col("__best").alias("best"))
+    ends = state.groupBy(run).agg(
+        F.max("__step").alias("n_steps"), F.min(F.when(out, now)).alias("stop"), F.max(now).alias("end")
     )
-    gains = marked.withColumn("gain", F.when(F.col("improved"), F.col("step")))
-    last_gain = gains.groupBy(GROUP, CHUNK).agg(F.max("gain").alias("m"))
-    carried = last_gain.select(GROUP, CHUNK, F.max("m").over(earlier).alias("gain_before"))
-    here = F.max("gain").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    failed = F.col("step") - F.coalesce(F.greatest(F.col("gain_before"), here), F.lit(0))
-    counted = join_chunks(gains, carried, True).select(run, "step", failed.alias("failed"))
-    return counted.groupBy(run).agg(
-        F.max("step").cast("bigint").alias("n_steps"),
-        F.min(F.when(F.col("failed") >= patience, F.col("step"))).cast("bigint").alias("stop_step"),
+    last = F.coalesce("stop", "end")
+    return ends.select(
+        run,
+        "n_steps",
+        F.col("stop.step").alias("stop_step"),
+        F.nullif(last.gain, F.lit(0)).alias("best_step"),
+        last.best.alias("best_loss"),
     )
 
 

@@ -260,14 +260,13 @@ ORACLE: dict[str, str] = {
         SELECT w.doc_id, coalesce(string_agg(known, ' ' ORDER BY pos), '') AS decoded
         FROM words w LEFT JOIN ids i ON w.doc_id = i.doc_id GROUP BY w.doc_id""",
     "prep_tokenise": f"""WITH {ENCODED},
+        numbered AS (SELECT doc_id, list(id ORDER BY pos) AS a FROM ids WHERE pos <= 512 GROUP BY doc_id),
         filled AS (
-          SELECT w.doc_id, CAST(least(len(w.w), 512) AS INTEGER) AS n_tokens,
-                 coalesce(list(id ORDER BY pos) FILTER (WHERE pos <= 512), []) AS a
-          FROM words w LEFT JOIN ids i ON w.doc_id = i.doc_id GROUP BY w.doc_id, w.w)
-        SELECT doc_id, n_tokens,
-               array_to_string(list_transform(range(1, 513), lambda i: coalesce(a[i], 0)), ' ') AS input_ids,
-               array_to_string(list_transform(range(1, 513), lambda i: CASE WHEN i <= n_tokens THEN 1 ELSE 0 END), ' ')
-                 AS attention_mask
+          SELECT w.doc_id, least(len(w.w), 512) AS n, coalesce(a, []) AS a
+          FROM words w LEFT JOIN numbered d ON w.doc_id = d.doc_id)
+        SELECT doc_id, CAST(n AS INTEGER) AS n_tokens,
+               rtrim(array_to_string(a, ' ') || ' ' || repeat('0 ', 512 - n)) AS input_ids,
+               rtrim(repeat('1 ', n) || repeat('0 ', 512 - n)) AS attention_mask
         FROM filled""",
     "tokenise_arrow": f"""WITH {ENCODED}
         SELECT w.doc_id, coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos), '') AS input_ids
@@ -376,8 +375,12 @@ ORACLE: dict[str, str] = {
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM history),
         f AS (SELECT *, CASE WHEN best IS NULL OR loss < best THEN 1 ELSE 0 END AS gain FROM m),
         g AS (SELECT *, sum(gain) OVER (PARTITION BY run ORDER BY step) AS island FROM f),
-        n AS (SELECT *, row_number() OVER (PARTITION BY run, island ORDER BY step) - 1 AS failed FROM g)
-        SELECT run, max(step) AS n_steps, min(CASE WHEN failed >= 3 THEN step END) AS stop_step FROM n GROUP BY run""",
+        n AS (SELECT *, row_number() OVER (PARTITION BY run, island ORDER BY step) - 1 AS failed FROM g),
+        s AS (SELECT run, max(step) AS n_steps, min(CASE WHEN failed >= 3 THEN step END) AS stop_step FROM n GROUP BY run),
+        b AS (SELECT h.run, step, loss, row_number() OVER (PARTITION BY h.run ORDER BY loss, step) AS place
+              FROM history h JOIN s ON h.run = s.run WHERE step <= coalesce(stop_step, n_steps))
+        SELECT s.run, n_steps, stop_step, b.step AS best_step, b.loss AS best_loss
+        FROM s JOIN b ON s.run = b.run AND b.place = 1""",
     "runs_compare": """SELECT user_id, min(value) FILTER (WHERE event_type = 'click') AS click_min,
         arg_max(value, event_id) FILTER (WHERE event_type = 'click') AS click_last,
         min(value) FILTER (WHERE event_type = 'view') AS view_min,

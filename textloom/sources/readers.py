@@ -141,7 +141,7 @@ def _find_types(raw: DataFrame, na_values: tuple[str, ...]) -> dict[str, T.DataT
         v = F.trim(_without_na(F.col(f"`{c}`"), na_values))
         whole = v.rlike(_INTEGER) & v.try_cast("bigint").isNotNull()
         checks += [
-            F.bool_and(whole).alias(f"whole_{i}"),
+            F.bool_and(F.when(v.isNotNull(), whole)).alias(f"whole_{i}"),
             F.bool_and(v.rlike(_DECIMAL)).alias(f"decimal_{i}"),
             F.bool_and(F.lower(v).isin("true", "false")).alias(f"boolean_{i}"),
         ]
