@@ -186,14 +186,32 @@ def test_stream_metric_sink_replaces_repeated_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
-def test_shared_folder_is_the_configured_one(spark):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        spark.conf.unset("spark.checkpoint.dir")
-        assert shared_dir(spark).endswith(spark.sparkContext.applicationId) or shared_dir(spark) == old
-        spark.conf.set("spark.checkpoint.dir", "hdfs://shared/tmp/")
-        assert new_dir(spark, "x").startswith("hdfs://shared/tmp/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-        if old is not None:
-            spark.conf.set("spark.checkpoint.dir", old)
+class FakeSession:
+    """Stands in for a session with other settings, which a running one does not take."""
+
+    def __init__(self, folder, master):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
+
+
+def test_shared_folder_is_the_configured_one():
+    assert new_dir(FakeSession("hdfs://shared/tmp/", "yarn"), "x").startswith("hdfs://shared/tmp/x-")
+    assert shared_dir(FakeSession(None, "local[8]")).endswith("app-1")
+    with pytest.raises(ValueError):
+        shared_dir(FakeSession(None, "yarn"))
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def make():
+        import os
+
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda prompts, settings: [[p + " done"] for p in prompts]
+
+    df = spark.range(400).select(F.col("id").cast("string").alias("prompt")).repartition(40)
+    assert ops.generate(df, make).where("generated_texts[0] = 'done'").count() == 400
+    loads = open(log).read().split()
+    assert len(loads) == len(set(loads))

@@ -94,6 +94,9 @@ def generate(
 
     @F.pandas_udf("struct<texts: array<string>, error: string>")
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # imported here, so that it is the worker's own and outlives the task
+        from textloom.operators.generation import _loaded
+
         if name not in _loaded:
             _loaded[name] = make_generator()
         model = _loaded[name]

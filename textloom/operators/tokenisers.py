@@ -27,6 +27,9 @@ def tokenise_with_file(
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
 
+        # imported here, so that it is the worker's own and outlives the task
+        from textloom.operators.tokenisers import _loaded
+
         if name not in _loaded:
             tokeniser = Tokenizer.from_str(shipped.value)
             tokeniser.no_padding()

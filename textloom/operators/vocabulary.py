@@ -21,7 +21,8 @@ SHIP_BYTES = 64 << 20
 def fit_vocabulary(df: DataFrame, text: str = "text", size: int = DEFAULT_SIZE) -> DataFrame:
     """The ``size`` most frequent words, ``(token, n, id)``; ids from 2 by falling count, then by word.
 
-    Counts combine before the shuffle. Only the ``size`` rows that are kept get sorted in one place.
+    Counts combine before the shuffle. Only the ``size`` rows that are kept get sorted in one place. ``materialise`` the
+    result before encoding with it, which reads it twice.
     """
     counts = df.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
@@ -50,11 +51,9 @@ def encode(df: DataFrame, vocabulary: DataFrame, tokens: str, key: str, into: st
 
     Up to ``SHIP_BYTES`` each Arrow batch is looked up where it is, without a shuffle; a larger vocabulary is joined.
     """
-    vocabulary = vocabulary.persist()
     table = _shippable(vocabulary)
     if table is None:
         return encode_by_join(df, vocabulary, tokens, key, into)
-    vocabulary.unpersist()
     shipped = df.sparkSession.sparkContext.broadcast(table.combine_chunks())
 
     @F.arrow_udf("array<int>")
@@ -87,11 +86,9 @@ def encode_by_join(df: DataFrame, vocabulary: DataFrame, tokens: str, key: str,
 
 def decode(df: DataFrame, vocabulary: DataFrame, ids: str, key: str, into: str = "decoded") -> DataFrame:
     """Words of the ids joined by spaces, special ids (below 2) left out."""
-    vocabulary = vocabulary.persist()
     table = _shippable(vocabulary)
     if table is None:
         return decode_by_join(df, vocabulary, ids, key, into)
-    vocabulary.unpersist()
     shipped = df.sparkSession.sparkContext.broadcast(table.combine_chunks())
 
     @F.arrow_udf("array<string>")

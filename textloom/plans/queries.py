@@ -112,20 +112,25 @@ def length_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.length_report(inputs.documents(spark, sf_dir, "lang", "text"), "lang")
 
 
+def _vocabulary(docs: DataFrame) -> DataFrame:
+    """Fitted once and stored."""
+    return materialise(ops.fit_vocabulary(docs, size=VOCABULARY_SIZE), new_dir(docs.sparkSession, "vocabulary"))
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.fit_vocabulary(inputs.documents(spark, sf_dir, "text"), size=VOCABULARY_SIZE)
 
 
 def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.documents(spark, sf_dir, "doc_id", "text")
-    vocabulary = ops.fit_vocabulary(docs, size=VOCABULARY_SIZE)
+    vocabulary = _vocabulary(docs)
     split = docs.select("doc_id", words(F.col("text")).alias("words"))
     return ops.encode(split, vocabulary, "words", key="doc_id").select("doc_id", _flat("input_ids"))
 
 
 def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.documents(spark, sf_dir, "doc_id", "text")
-    vocabulary = ops.fit_vocabulary(docs, size=VOCABULARY_SIZE)
+    vocabulary = _vocabulary(docs)
     split = docs.select("doc_id", words(F.col("text")).alias("words"))
     encoded = ops.encode(split, vocabulary, "words", key="doc_id").select("doc_id", "input_ids")
     return ops.decode(encoded, vocabulary, "input_ids", key="doc_id").select("doc_id", "decoded")
@@ -133,7 +138,7 @@ def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prep_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.documents(spark, sf_dir, "doc_id", "text")
-    vocabulary = ops.fit_vocabulary(docs, size=VOCABULARY_SIZE)
+    vocabulary = _vocabulary(docs)
     ready = ops.prepare_text(docs, vocabulary, "doc_id")
     return ready.select("doc_id", "n_tokens", _flat("input_ids"), _flat("attention_mask"))
 
