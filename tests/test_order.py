@@ -115,6 +115,16 @@ def test_collate_keeps_given_labels_and_mask(spark):
     assert row.attention_mask == [1, 0] + [0] * 6 and row.labels == [9, 9] + [0] * 6
 
 
+def test_own_collating(spark):
+    batched = ops.assign_batches(spark.range(20).repartition(3), "id", 8)
+
+    def widest(batch):
+        return batch.assign(n=len(batch), top=batch["id"].max())
+
+    rows = ops.map_batches(batched, widest, "id bigint, batch_id bigint, n int, top bigint").collect()
+    assert {r.id: (r.n, r.top) for r in rows} == {i: (8 if i < 16 else 4, min(i // 8 * 8 + 7, 19)) for i in range(20)}
+
+
 def test_plan_steps_rounding(spark):
     df = spark.createDataFrame([("train",)] * 33 + [("eval",)] * 2, "split string")
     plan = {r.split: (r.n_batches, r.steps_per_epoch, r.total_steps) for r in ops.plan_steps(df, 16, 4, 2).collect()}
@@ -128,11 +138,15 @@ def test_salted_join_equals_plain_join(spark):
     right = spark.createDataFrame([("hot", 1)] + [(f"k{j}", j) for j in range(40)], "k string, v int")
     got = ops.salted_left_join(left, right, ["k"], hot_rows=100, salts=8)
     assert sorted(got.collect()) == sorted(left.join(right, "k", "left").select(*got.columns).collect())
-    spread_over = got.sparkSession.createDataFrame([], "x int")  # the plan must hold the salt
-    assert spread_over.count() == 0
     assert "__salt" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_salt_needs_something_to_spread_by(spark):
+    keys = spark.createDataFrame([("a",)], "k string")
+    with pytest.raises(ValueError):
+        ops.salted_left_join(keys, keys, ["k"])
+
+
 def test_exact_quantiles(spark):
     df, rows = skewed(spark)
     quantiles = {"a": 0.0001, "b": 0.5, "c": 0.95, "d": 1.0}

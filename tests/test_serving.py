@@ -50,6 +50,16 @@ def test_one_bad_prompt_does_not_spoil_its_batch(spark):
     assert got[4].generated_texts == ["0 of 2", "1 of 2"]
 
 
+def test_long_prompts_are_handed_over_cut(spark):
+    df = spark.createDataFrame([("a  b c d",), ("a  b",)], "prompt string").coalesce(1)
+
+    def make():
+        return lambda prompts, settings: [[f"{p}|{p}"] for p in prompts]
+
+    rows = {r.prompt: r.generated_texts for r in ops.generate(df, make, max_length=2).collect()}
+    assert rows == {"a  b c d": ["|a b"], "a  b": ["|a  b"]}
+
+
 def test_response_shape(spark):
     df = ops.generate(spark.createDataFrame([("hello",)], "prompt string"), make_generator)
     out = ops.to_response(df)

@@ -1,6 +1,6 @@
 """DataFrame operators."""
 
-from textloom.operators.batching import assign_batches, collate, plan_steps, seeded_order, with_labels
+from textloom.operators.batching import assign_batches, collate, map_batches, plan_steps, seeded_order, with_labels
 from textloom.operators.candidates import nucleus_filter
 from textloom.operators.classification import (
     class_counts,
@@ -80,6 +80,7 @@ __all__ = [
     "fit_vocabulary",
     "generate",
     "length_report",
+    "map_batches",
     "nucleus_filter",
     "pad_and_mask",
     "pad_token",

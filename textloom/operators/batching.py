@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,14 @@ def collate(
     return with_labels(padded.withColumn(ids, pad_right(F.col(ids), F.col("width"), pad_id)), ids)
 
 
+def map_batches(batched: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply a user's function to each whole batch; a batch is never larger than its ``batch_size``.
+
+    ``collate`` needs no such function; this is for collating in a way of one's own.
+    """
+    return batched.groupBy("batch_id").applyInPandas(function, schema)
+
+
 def plan_steps(
     df: DataFrame, batch_size: int = 16, accumulation: int = 1, epochs: int = 3, split: str = "split"
 ) -> DataFrame:

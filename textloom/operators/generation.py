@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from textloom.functions import strip_text
+from textloom.functions import strip_text, truncate, words
 
 # The request parameters, their types and what they are if not given.
 DEFAULTS: dict[str, tuple[str, object]] = {
@@ -82,13 +82,20 @@ def predict(make_predict: Callable, return_type: DataType, *inputs: Column, batc
 
 
 def generate(
-    df: DataFrame, make_generator: Callable[[], Generator], prompt: str = "prompt", batch_size: int = 8
+    df: DataFrame,
+    make_generator: Callable[[], Generator],
+    prompt: str = "prompt",
+    batch_size: int = 8,
+    max_length: int | None = None,
 ) -> DataFrame:
     """Add ``generated_texts``, ``status`` and ``error`` by a user-supplied text model.
 
     ``make_generator()`` runs once per Python worker. What it returns takes up to ``batch_size`` prompts and their
     parameters and returns, per prompt, the full texts with the prompt in front. If a batch fails its prompts are tried
     one by one, so that only the bad ones become errors. Rows stay where they are: no shuffle.
+
+    With ``max_length`` a longer prompt is handed over as its first ``max_length`` words, and that is what is cut off
+    the front of the answer; the prompt column itself stays whole.
     """
     name = uuid.uuid4().hex
 
@@ -126,12 +133,16 @@ def generate(
                     out += one_by_one(prompts, settings)
             yield pd.DataFrame(out, columns=["texts", "error"])
 
-    asked = F.struct(F.col(prompt).alias("prompt"), *[F.col(p) for p in DEFAULTS])
-    answered = with_defaults(df).withColumn("__out", run(asked))
-    trimmed = F.transform("__out.texts", lambda full: without_prompt(full, F.col(prompt)))
+    handed = F.col(prompt)
+    if max_length is not None:
+        start = words(handed, max_length + 1)
+        handed = F.when(F.size(start) > max_length, F.concat_ws(" ", truncate(start, max_length))).otherwise(handed)
+    asked = F.struct(F.col("__prompt").alias("prompt"), *[F.col(p) for p in DEFAULTS])
+    answered = with_defaults(df.withColumn("__prompt", handed)).withColumn("__out", run(asked))
+    trimmed = F.transform("__out.texts", lambda full: without_prompt(full, F.col("__prompt")))
     return (
         answered.withColumn("generated_texts", trimmed)
         .withColumn("error", F.col("__out.error"))
         .withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))
-        .drop("__out")
+        .drop("__out", "__prompt")
     )
