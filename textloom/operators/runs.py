@@ -57,13 +57,14 @@ def early_stop(
     marked = (
         join_chunks(chunked, before, True)
         .withColumns({"__step": step, "__improved": improved, "__best": F.least(best_so_far, F.col(loss))})
-        .select(GROUP, CHUNK, run, "__step", "__best", F.when(F.col("__improved"), F.col("__step")).alias("__gain"))
+        .select(GROUP, CHUNK, "__step", "__best", F.when(F.col("__improved"), F.col("__step")).alias("__gain"))
     )
     last_gain = marked.groupBy(GROUP, CHUNK).agg(F.max("__gain").alias("m"))
     carried = last_gain.select(GROUP, CHUNK, F.max("m").over(earlier).alias("__gain_before"))
     by_step = Window.partitionBy(GROUP, CHUNK).orderBy("__step").rowsBetween(Window.unboundedPreceding, 0)
     gain = F.coalesce(F.greatest(F.col("__gain_before"), F.max("__gain").over(by_step)), F.lit(0))
-    state = join_chunks(marked, carried, True).select(run, "__step", "__best", gain.alias("__gain"))
+    of_run = F.col(GROUP)[run].alias(run)
+    state = join_chunks(marked, carried, True).select(of_run, "__step", "__best", gain.alias("__gain"))
     out = F.col("__step") - F.col("__gain") >= patience
     now = F.struct(F.col("__step").alias("step"), F.col("__gain").alias("gain"), F.col("__best").alias("best"))
     ends = state.groupBy(run).agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import words
@@ -25,7 +25,12 @@ def fit_vocabulary(df: DataFrame, text: str = "text", size: int = DEFAULT_SIZE)
     result before encoding with it, which reads it twice.
     """
     counts = df.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size)
+    # how often the last word to keep occurs: only words at least as frequent are sorted, not a full ``size`` per task
+    levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("at_level"))
+    above = F.sum("at_level").over(Window.orderBy(F.desc("n")))
+    reached = levels.select("n", above.alias("above")).where(F.col("above") >= size)
+    least = reached.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).scalar()
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), F.asc("token")).limit(size)
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), F.col("token"))))
     return (
         top.agg(ordered.alias("all"))
