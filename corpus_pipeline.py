@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import quality, toxicity
+from textloom.llm import minhash, mixing, packing, quality, toxicity
 from textloom.llm.common import stored
 from textloom.session import ship_package
 
@@ -28,12 +28,38 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_quality(docs, labels).where(F.col("predicted") == 1).select(COLUMNS)
 
 
-STAGES = [("toxicity", toxicity_stage), ("quality", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    ship_package(spark)
+    kept = minhash.near_duplicates(docs, threshold=80).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept["__kept"]), "left_semi").select(COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    ship_package(spark)
+    sized = docs.select(*COLUMNS, mixing.word_count("text").alias("size"))
+    return mixing.in_training_order(mixing.curriculum(sized, "size")).select(COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    ship_package(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

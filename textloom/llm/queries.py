@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import quality, toxicity
+from textloom.llm import minhash, mixing, packing, quality, toxicity
 from textloom.llm.common import held_out
 from textloom.session import ship_package
 
@@ -24,10 +25,32 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score_toxicity(docs, labels)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_quality, op9_toxicity)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
+    planned = mixing.curriculum(sized, "size")
+    return planned.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "positions"
+    )
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q for q in (op2_quality, op4_packing, op6_minhash, op9_toxicity, op10_mixing)
+}
