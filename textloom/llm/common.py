@@ -1,10 +1,12 @@
-"""Words, stored tables and samples of labelled rows, shared by the operators of this subpackage."""
+"""Words, vectors, stored tables and samples of labelled rows, shared by the operators of this subpackage."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,13 +67,41 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, s
     return texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
 
 
-def batches(rows: Iterator, size: int) -> Iterator[list]:
-    """Lists of up to ``size`` items."""
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
+def groups(frames: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in ``keys``, which the frames are sorted by; a run may span frames."""
+    held: pa.Table | None = None
+    for batch in frames:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        numbers = [pc.dictionary_encode(held.column(k)).combine_chunks().indices.to_numpy() for k in keys]
+        changes = np.zeros(max(0, held.num_rows - 1), bool)
+        for n in numbers:
+            changes |= n[1:] != n[:-1]
+        start = 0
+        for end in np.flatnonzero(changes) + 1:
+            yield held.slice(start, end - start)
+            start = end
+        held = held.slice(start)
+    if held is not None and held.num_rows:
         yield held
+
+
+def vectors_of(column: pa.Array) -> list[np.ndarray | None]:
+    """Arrays of a list column; None for null, empty, zero, or with null or non-finite components."""
+    kind = np.float32 if pa.types.is_float32(column.type.value_type) else np.float64
+    found: list[np.ndarray | None] = []
+    for item in column:
+        values = item.values
+        if values is None or len(values) == 0 or values.null_count:
+            found.append(None)
+            continue
+        vector = values.to_numpy(zero_copy_only=False).astype(kind)
+        found.append(vector if np.isfinite(vector).all() and vector.any() else None)
+    return found
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Directions in double precision; scaled first, so that squares neither vanish nor overflow."""
+    wide = vectors.astype(np.float64)
+    wide /= np.abs(wide).max(axis=-1, keepdims=True)
+    return wide / np.sqrt((wide * wide).sum(axis=-1, keepdims=True))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WordHashes, stored, words_of
+from textloom.llm.common import WordHashes, groups, stored, words_of
 from textloom.llm.components import connected_components
 
 SAMPLES = 160
@@ -259,18 +259,8 @@ def _compare_groups(threshold: int):
         return pa.table({"x": digest.take(x), "y": digest.take(y)})
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in frames:
-            rows = pa.Table.from_batches([batch])
-            held = rows if held is None else pa.concat_tables([held, rows])
-            tasks = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            cuts = np.flatnonzero((tasks[1:] != tasks[:-1]).any(axis=1)) + 1
-            for start, end in zip([0, *cuts[:-1]], cuts):
-                yield from within(held.slice(start, end - start)).combine_chunks().to_batches()
-            if len(cuts):
-                held = held.slice(cuts[-1])
-        if held is not None and held.num_rows:
-            yield from within(held).combine_chunks().to_batches()
+        for group in groups(frames, ["key", "i", "j"]):
+            yield from within(group).combine_chunks().to_batches()
 
     return compare
 
@@ -302,9 +292,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     near = stored(_confirmed(_star_pairs(members, threshold), full, threshold), "near")
     rest = _rest_pairs(members, connected_components(near), threshold)
     links = copies.unionByName(near).unionByName(_confirmed(rest, full, threshold))
-    groups = connected_components(links)
+    linked = connected_components(links)
     own = signed.select("doc_id", "n_shingles").join(
-        groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
+        linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
     )
     component = F.coalesce("component", "doc_id")
     return own.select(
