@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import minhash, mixing, packing, quality, toxicity
+from textloom.llm import caps, minhash, mixing, packing, quality, sharding, toxicity, urls, warc
 from textloom.llm.common import held_out
 from textloom.session import ship_package
 
@@ -19,12 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality.score_quality(docs, labels)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.with_full_payload_facts(warc.read_records(index, folder))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select(
@@ -32,10 +41,45 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", sharding.row_size("text").alias("size"), crc)
+    return sharding.shard(rows).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
+def captures_and_lists(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fetch times from the page ids, and dated list entries from the pages' own hosts, domains and folders."""
+    day = lambda times, days: F.date_add(F.lit("2020-01-01").cast("date"), (F.col("page_id") * times % days).cast("int"))
+    captures = pages.select("page_id", "url", day(37, 1461).cast("timestamp_ntz").alias("fetched"))
+    keys = urls.keys_of("url")
+    entries = pages.select(
+        F.when(F.col("page_id") % 2 == 0, "ads").otherwise("malware").alias("list"),
+        F.try_element_at(keys, (F.col("page_id") % 3 + 1).cast("int")).alias("entry"),
+        day(13, 1461).alias("since"),
+        F.when(F.col("page_id") % 7 < 3, "remove").otherwise("add").alias("action"),
+    )
+    return captures, entries
+
+
+def op8_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, entries = captures_and_lists(table(spark, sf_dir, "pages").select("page_id", "url"))
+    judged = urls.judge(captures, entries)
+    matches = F.array_join("matches", "|").alias("matches")
+    return judged.select("page_id", "url", "fetched", F.size("matches").alias("n_matches"), matches)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score_toxicity(docs, labels)
@@ -46,11 +90,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
     planned = mixing.curriculum(sized, "size")
-    return planned.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "positions"
-    )
+    taken = (F.col("size") * F.col("repeats")).alias("taken")
+    first = F.round(F.try_element_at("positions", F.lit(1)), 9).alias("first_position")
+    return planned.select("doc_id", "size", "source_size", "target", taken, first)
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op2_quality, op4_packing, op6_minhash, op9_toxicity, op10_mixing)
-}
+    q.__name__: q
+    for q in (
+        op1_caps, op2_quality, op3_warc, op4_packing, op5_sharding, op6_minhash, op8_url_lists, op9_toxicity, op10_mixing,
+    )
+}
