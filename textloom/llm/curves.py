@@ -134,7 +134,7 @@ def _ordered(keyed: DataFrame) -> DataFrame:
 def _blocks(frames: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.Table]:
     """Runs of rows of one curve and dimension, of about ``BLOCK_BYTES`` or ``size`` rows each."""
     held: pa.Table | None = None
-    for batch in [*[], *()] if frames is None else frames:
+    for batch in frames:
         rows = pa.Table.from_batches([batch])
         held = rows if held is None else pa.concat_tables([held, rows])
         while held.num_rows:
@@ -197,25 +197,147 @@ def _in_windows(ordered: DataFrame, k: int) -> DataFrame:
     def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(window: list[pa.Table], at: int) -> Iterator[pa.RecordBatch]:
             middle = window[at]
-            here = (middle.column("curve")[0].as_py(), middle.column("dimension")[0].as_py())
             asked = [(i, q) for i, own in enumerate(middle.column("queries").to_pylist()) for q in own]
-            if not asked:
-                return
-            beside = [w for w in window if (w.column("curve")[0].as_py(), w.column("dimension")[0].as_py()) == here]
-            rows = pa.concat_tables(beside)
-            own = _matrix(middle)[[i for i, _ in asked]]
-            yield _found(nearest(own, [q for _, q in asked], _matrix(rows), rows.column("ids").to_pylist(), k))
-
-        window: list[pa.Table] = []
+            if asked:
+                rows = pa.concat_tables([w for w in window if _place(w) == _place(middle)])
+                own = _matrix(middle)[[i for i, _ in asked]]
+                yield _found(nearest(own, [q for _, q in asked], _matrix(rows), rows.column("ids").to_pylist(), k))
+
+        before: list[pa.Table] = []
         for block in _blocks(frames):
-            window.append(block)
-            if len(window) == 2:
-                yield from settle(window, 0) if not passed else iter(())
-            passed = True
-            if len(window) == 3:
-                yield from settle(window, 1)
-                window.pop(0)
-        if window:
-            yield from settle(window, len(window) - 1)
+            if before:
+                yield from settle([*before, block], len(before) - 1)
+            before = [*before[-1:], block]
+        if before:
+            yield from settle(before, len(before) - 1)
 
     return ordered.mapInArrow(search, _FOUND)
+
+
+def _place(rows: pa.Table) -> tuple[int, int]:
+    return rows.column("curve")[0].as_py(), rows.column("dimension")[0].as_py()
+
+
+def _packed(ordered: DataFrame, size: int | None = None) -> DataFrame:
+    """One row per block: ``(dimension, part, block, centre, radius, payload)``, the payload an Arrow table of its rows."""
+
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows in enumerate(_blocks(frames, size)):
+            matrix = _matrix(rows)
+            centre = matrix.mean(axis=0)
+            radius = float(np.sqrt(((matrix - centre) ** 2).sum(axis=1)).max())
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as writer:
+                writer.write_table(rows)
+            part = TaskContext.get().partitionId()
+            columns = [[matrix.shape[1]], [part], [number], [centre.tolist()], [radius], [sink.getvalue().to_pybytes()]]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["dimension", "part", "block", "centre", "radius", "payload"])
+
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.binary()]
+    return ordered.mapInArrow(
+        pack, "dimension int, part int, block int, centre array<double>, radius double, payload binary"
+    )
+
+
+def _opened(payload: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(payload.as_buffer()).read_all()
+
+
+def _in_open_blocks(pairs: DataFrame, k: int) -> DataFrame:
+    """Nearest of each query in a block, as far as they may be nearer than its bound."""
+
+    def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            for asked, block, centre, radius in zip(*(batch.column(c) for c in ("asked", "payload", "centre", "radius"))):
+                queries, rows = _opened(asked), _opened(block)
+                matrix, bounds = _matrix(queries), queries.column("bound").to_numpy()
+                away = np.sqrt(((matrix - centre.values.to_numpy()) ** 2).sum(axis=1)) - radius.as_py()
+                near = np.flatnonzero(away <= bounds * (1 + 1e-9) + 1e-9)
+                own = [queries.column("query_id")[i].as_py() for i in near.tolist()]
+                yield _found(nearest(matrix[near], own, _matrix(rows), rows.column("ids").to_pylist(), k, bounds[near]))
+
+    return pairs.mapInArrow(search, _FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of each query; cut per task before the shuffle."""
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest_neighbours(
+    embeddings: DataFrame, vectors: str = "embedding", k: int = 10, every: int = 100, exact: bool = True
+) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows by Euclidean distance, ties to the smaller id.
+
+    Queries are the rows whose id is divisible by ``every``; a query's own id is no candidate. Rows with equal vectors
+    are one class that keeps its ``k + 1`` smallest ids. Each curve's order is range-partitioned; a query is ranked
+    against its block of the order and the two beside it. With ``exact`` the k-th distance so found bounds the search of
+    the first curve's other blocks, which ends in the true neighbours; blocks of queries meet blocks of rows, and a
+    pair goes where centres and radii show that nothing nearer can be in it. Without it the result is what the curves
+    found, in time linear in the rows.
+
+    Vectors that are null, empty or zero, or hold null or non-finite components, and rows without id take no part.
+    Distances are between vectors of one dimension only. A query with fewer than ``k`` candidates gets all of them,
+    and one without any no row; so no rows give none. A repeated id with one vector counts once. Other columns are
+    ignored.
+    """
+    classes = stored(_classes(_prepared(embeddings, vectors), k), "classes")
+    asked = F.filter("ids", lambda i: i % every == 0)
+    # a class of copies may hold more queries than the ids it keeps
+    queries = stored(
+        _prepared(embeddings.where(F.col("vec_id") % every == 0), vectors)
+        .select(F.col("vec_id").alias("query_id"), "digest", "vector")
+        .distinct()
+        .withColumn("dimension", (F.octet_length("vector") / 8).cast("int")),
+        "queries",
+    )
+    curves = _curves(classes)
+    everyone = classes.select("digest", "vector", "dimension", "ids", asked.alias("queries"))
+    rest = queries.join(
+        classes.select("digest", F.explode("ids").alias("query_id")), ["digest", "query_id"], "left_anti"
+    )
+    none = F.array().cast("array<bigint>")
+    extra = rest.select("digest", "vector", "dimension", none.alias("ids"), F.array("query_id").alias("queries"))
+    ordered = _ordered(_keyed(everyone.unionByName(extra), curves, range(CURVES)))
+    found = stored(_in_windows(ordered, k), "windows")
+    if exact:
+        found = found.unionByName(_completed(everyone, queries, curves, found, k))
+    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _completed(everyone: DataFrame, queries: DataFrame, curves: dict, found: DataFrame, k: int) -> DataFrame:
+    """What the blocks hold that the windows have not settled."""
+    first = _ordered(_keyed(everyone, curves, range(1)))
+    blocks = stored(_packed(first), "blocks")
+    bounds = _best(found, k).groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) >= k, F.max("score")).otherwise(float("inf")).alias("bound")
+    )
+    bounded = queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    asked = _packed(_ordered(_keyed(bounded, curves, range(1))), QUERY_ROWS)
+    asked = stored(asked.withColumn("asked_id", F.struct("part", "block")), "asked")
+
+    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = [max(_opened(p).column("bound").to_pylist()) for p in batch.column("payload")]
+            kept = [batch.column(c) for c in ("dimension", "asked_id", "centre", "radius")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(most)], ["dimension", "asked_id", "to", "reach", "bound"])
+
+    schema = "dimension int, asked_id struct<part:int,block:int>, to array<double>, reach double, bound double"
+    of_queries = asked.mapInArrow(widest, schema)
+    parts = blocks.agg(F.max("part")).first()[0] or 0
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts))).alias("part")
+    between = F.sqrt(
+        F.aggregate(F.zip_with("to", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    )
+    near = between - F.col("reach") - F.col("radius") <= F.col("bound") * (1 + 1e-9) + 1e-9
+    # block numbers against block numbers: the stated queries against all rows, in blocks
+    pairs = of_queries.select("*", every_part).join(
+        blocks.select("dimension", "part", "block", "centre", "radius"), ["dimension", "part"]
+    )
+    pairs = pairs.where(near).select("asked_id", "part", "block")
+    with_rows = pairs.join(blocks.select("part", "block", "centre", "radius", "payload"), ["part", "block"])
+    both = with_rows.join(asked.select("asked_id", F.col("payload").alias("asked")), "asked_id")
+    return _in_open_blocks(both.select("asked", "payload", "centre", "radius"), k)

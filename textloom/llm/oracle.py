@@ -124,10 +124,22 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN groups g ON g.a = d.doc_id
 """
 
+_NEAREST = """
+WITH vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    sqrt(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: (c.v[i] - q.v[i]) * (c.v[i] - q.v[i])))) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op1_caps": _CAPS,
     "op3_warc": _WARC,
     "op6_minhash": _MINHASH,
+    "op7_curves": _NEAREST,
     "op8_url_lists": _LISTS,
     "op10_mixing": _MIX,
 }

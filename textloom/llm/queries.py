@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import caps, minhash, mixing, packing, quality, sharding, toxicity, urls, warc
+from textloom.llm import caps, curves, minhash, mixing, packing, quality, sharding, toxicity, urls, warc
 from textloom.llm.common import held_out
 from textloom.session import ship_package
 
@@ -59,6 +59,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op7_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def captures_and_lists(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fetch times from the page ids, and dated list entries from the pages' own hosts, domains and folders."""
     day = lambda times, days: F.date_add(F.lit("2020-01-01").cast("date"), (F.col("page_id") * times % days).cast("int"))
@@ -98,6 +102,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        op1_caps, op2_quality, op3_warc, op4_packing, op5_sharding, op6_minhash, op8_url_lists, op9_toxicity, op10_mixing,
+        op1_caps, op2_quality, op3_warc, op4_packing, op5_sharding, op6_minhash, op7_curves, op8_url_lists, op9_toxicity,
+        op10_mixing,
     )
 }
