@@ -1,0 +1,143 @@
+"""Toxicity and quality: what is learnt, from which rows, and what odd rows get."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from textloom.llm import quality, toxicity
+from textloom.llm.common import WordHashes, held_out, labelled_texts
+from textloom.llm.queries import QUERIES
+
+DOCS = "doc_id long, text string, score string, held_out int"
+
+
+def _texts(n: int, mark: str) -> list[tuple[int, str, int]]:
+    """Texts of plain words, a third with the mark in some place."""
+    draw = random.Random(1)
+    rows = []
+    for i in range(n):
+        words = [f"w{draw.randrange(200)}" for _ in range(draw.randrange(5, 60))]
+        label = int(i % 3 == 0)
+        if label:
+            words.insert(draw.randrange(len(words)), mark)
+        rows.append((i, " ".join(words), label))
+    return rows
+
+
+def _is_held_out(i) -> bool:
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def test_held_out_is_the_crc_of_the_id(spark):
+    got = {r.id: r.h for r in spark.range(200).select("id", held_out("id").alias("h")).collect()}
+    assert got == {i: _is_held_out(i) for i in range(200)}
+
+
+def test_sample_is_bounded_and_free_of_held_out_rows(frame):
+    rows = _texts(400, "x")
+    docs = frame("doc_id long, text string", [(i, t) for i, t, _ in rows] + [(7, "again")] * 50 + [(None, "no id")])
+    labels = frame("doc_id long, toxic int", [(i, y) for i, _, y in rows] + [(7, 1), (None, 1), (9, None)])
+    every = [r.doc_id for r in labelled_texts(docs, labels, "toxic", 10_000, 1).collect()]
+    assert sorted(every) == [i for i in range(400) if not _is_held_out(i)]
+    some = labelled_texts(docs, labels, "toxic", 100, 1).collect()
+    assert 50 < len(some) < 150
+    assert {r.doc_id for r in some} == {r.doc_id for r in labelled_texts(docs, labels, "toxic", 100, 1).collect()}
+
+
+def test_toxicity_finds_the_word_on_held_out_rows(frame):
+    rows = _texts(600, "Rotten!")
+    docs = frame(DOCS, [(i, t, "clash", 3) for i, t, _ in rows])
+    labels = frame("doc_id long, toxic int", [(i, y) for i, _, y in rows])
+    got = toxicity.score_toxicity(docs, labels).collect()
+    truth = {i: y for i, _, y in rows}
+    held = [r for r in got if _is_held_out(r.doc_id)]
+    assert len(got) == 600 and all(0 <= r.score <= 1 for r in got)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+
+
+def test_toxicity_of_odd_rows(frame):
+    rows = _texts(300, "rotten")
+    long = " ".join(["plain"] * 300_000) + " rotten"
+    odd = [(None, "rotten"), (1000, None), (1001, ""), (1002, " \t\n"), (1003, long), (1004, "rotten"), (1004, "rotten")]
+    docs = frame("doc_id long, text string", odd)
+    labels = frame("doc_id long, toxic int", [(i, y) for i, _, y in rows])
+    texts = frame("doc_id long, text string", [(i, t) for i, t, _ in rows])
+    got = toxicity.score_toxicity(docs.unionByName(texts), labels)
+    by_id = {}
+    for r in got.where("doc_id >= 1000 OR doc_id IS NULL").collect():
+        by_id.setdefault(r.doc_id, []).append(r)
+    assert by_id[1000][0].score == by_id[1001][0].score == by_id[1002][0].score
+    assert by_id[1003][0].predicted == 1 and len(by_id[1004]) == 2 and by_id[None][0].predicted == 1
+
+
+@pytest.mark.parametrize("name, label", [("toxicity", "toxic"), ("quality", "quality")])
+def test_without_labels_or_rows(frame, name, label):
+    score = {"toxicity": toxicity.score_toxicity, "quality": quality.score_quality}[name]
+    labels = frame(f"doc_id long, {label} int", [])
+    docs = frame("doc_id long, text string", [(1, "a b"), (2, None)])
+    assert {r.score for r in score(docs, labels).collect()} == {0.5}
+    assert score(docs.limit(0), labels).collect() == []
+
+
+def test_quality_tells_shouting_from_prose(frame):
+    draw = random.Random(2)
+    rows = []
+    for i in range(500):
+        words = [f"{draw.choice('abcdef')}{draw.choice('klmno')}{draw.randrange(90)}" for _ in range(draw.randrange(3, 80))]
+        text = " ".join(words)
+        rows.append((i, text if i % 4 else text.upper() + "!!", int(bool(i % 4))))
+    docs = frame("doc_id long, text string, predicted string", [(i, t, "x") for i, t, _ in rows] + [(None, None, "x")])
+    labels = frame("doc_id long, quality int", [(i, y) for i, _, y in rows])
+    got = quality.score_quality(docs, labels).collect()
+    truth = {i: y for i, _, y in rows}
+    held = [r for r in got if r.doc_id is not None and _is_held_out(r.doc_id)]
+    assert len(got) == 501 and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+
+
+def test_flat_trees_equal_a_walk_through_them():
+    random_ = np.random.default_rng(3)
+    x = random_.normal(size=(400, 5))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    trees = quality.Boosting(trees=20, depth=3).fit(x, y)
+
+    def walk(row):
+        total = trees.base
+        for root in trees.roots:
+            at = root
+            while trees.left[at] != at:
+                at = trees.left[at] if row[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+            total += trees.value[at]
+        return total
+
+    assert np.allclose(trees.raw(x), [walk(row) for row in x])
+    assert np.mean((trees.probability(x) > 0.5) == y) > 0.97
+
+
+def test_statistics_of_nothing_and_of_much():
+    assert np.isfinite(quality.statistics(None)).all() and quality.statistics(None) == quality.statistics("")
+    many = quality.statistics("word | " * 200_000)
+    assert len(many) == len(quality.STATISTICS) and np.isfinite(many).all()
+
+
+def test_features_count_neighbours_and_skips():
+    hashes = WordHashes(toxicity._stripped)
+    assert len(toxicity.hashed_features("a b c d", hashes)) == 4 + 3 + 2
+    assert len(toxicity.hashed_features("a", hashes)) == 1 and len(toxicity.hashed_features(None, hashes)) == 0
+
+
+@pytest.mark.parametrize("name", ["op2_quality", "op9_toxicity"])
+def test_queries_return_every_document(spark, middle, name):
+    label = {"op2_quality": "quality", "op9_toxicity": "toxic"}[name]
+    got = QUERIES[name](spark, middle).toPandas()
+    assert list(got.columns) == ["doc_id", "held_out", "score", "predicted"]
+    assert len(got) == spark.read.parquet(f"{middle}/documents.parquet").count()
+    assert (got.held_out == got.doc_id.map(_is_held_out)).all()
+    labels = spark.read.parquet(f"{middle}/labels.parquet").toPandas()
+    both = got.merge(labels, on="doc_id")
+    known = both[~both.held_out]
+    assert (known.predicted == known[label]).mean() > 0.95
+    assert (both[both.held_out].predicted == both[both.held_out][label]).mean() > 0.85
