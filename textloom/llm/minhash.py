@@ -24,6 +24,7 @@ SKETCH_WORDS = 8
 MISSED = 1e-4
 DEVIATIONS = 5.0
 BLOCK = 256
+ATTEMPTS = 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
@@ -136,9 +137,9 @@ def _sketch(prefix: str = "s") -> list[str]:
 def _alike(one: str, other: str, threshold: int) -> Column:
     """Whether sizes allow the threshold and the sketches do not speak against it."""
     bits = sum(
-        (F.bit_count(F.col(f"{one}.{s}").bitwiseXOR(F.col(f"{other}.{s}"))) for s in _sketch()), start=F.lit(0)
+        (F.bit_count(F.col(f"{one}{s}").bitwiseXOR(F.col(f"{other}{s}"))) for s in _sketch()), start=F.lit(0)
     )
-    a, b = F.col(f"{one}.n_shingles"), F.col(f"{other}.n_shingles")
+    a, b = F.col(f"{one}n_shingles"), F.col(f"{other}n_shingles")
     return (F.least(a, b) * 100 >= F.greatest(a, b) * threshold) & (bits <= most_differing_bits(threshold))
 
 
@@ -192,30 +193,53 @@ def _star_pairs(members: DataFrame, threshold: int) -> DataFrame:
     """Pairs of each member with its key's first member."""
     firsts = members.where("digest = first").alias("f")
     others = members.where("digest <> first").alias("m")
-    both = others.join(firsts, F.col("m.key") == F.col("f.key")).where(_alike("m", "f", threshold))
+    both = others.join(firsts, F.col("m.key") == F.col("f.key")).where(_alike("m.", "f.", threshold))
     return both.select(F.col("m.digest").alias("x"), F.col("f.digest").alias("y")).distinct()
 
 
-def _rest_pairs(members: DataFrame, components: DataFrame, threshold: int) -> DataFrame:
-    """Pairs that share a key but not yet a component and hold no first member of the key.
+def _with_outsiders(members: DataFrame, components: DataFrame, attempt: int = 0) -> DataFrame:
+    """Members of keys that hold several components: ``out`` if not of the key's largest one, which names a delegate.
 
-    A key's members outside its largest component are compared with each other and with that component's, cut into
-    blocks of ``BLOCK``, so work grows with members times outsiders, and no task holds more than two blocks.
+    The delegate is a member of the largest component that the hash of digest, key and attempt picks; ``n_main`` and
+    ``n_out`` count both kinds.
     """
-    names = ["digest", "doc_id", "n_shingles", *_sketch()]
     rows = members.where("n_members > 2").join(
         components.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
     )
-    rows = rows.select("key", *names, F.coalesce("component", "doc_id").alias("component"))
-    per_component = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select(
+        "key", "digest", "doc_id", "n_shingles", *_sketch(), F.coalesce("component", "doc_id").alias("component")
+    )
+    delegate = F.min_by(
+        F.struct("digest", "n_shingles", *_sketch()), F.xxhash64("digest", "key", F.lit(attempt))
+    ).alias("delegate")
+    per_component = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), delegate)
+    largest = F.struct("n", "component")
     per_key = per_component.groupBy("key").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"),
+        F.max_by("component", largest).alias("main"),
+        F.max_by("delegate", largest).alias("delegate"),
         F.max("n").alias("n_main"),
         (F.sum("n") - F.max("n")).alias("n_out"),
     )
+    joined = rows.join(per_key.where("n_out > 0"), "key")
+    return joined.withColumn("out", F.col("component") != F.col("main"))
+
+
+def _delegate_pairs(members: DataFrame, components: DataFrame, attempt: int, threshold: int) -> DataFrame:
+    """Pairs of each outsider with its key's delegate; a document in many keys meets as many delegates."""
+    out = _with_outsiders(members, components, attempt).where("out")
+    pairs = out.where(_alike("", "delegate.", threshold))
+    return pairs.select(F.col("digest").alias("x"), F.col("delegate.digest").alias("y")).distinct()
+
+
+def _rest_pairs(members: DataFrame, components: DataFrame, threshold: int) -> DataFrame:
+    """All pairs that share a key but not yet a component, but for those with first members, which were tried.
+
+    A key's members outside its largest component are compared with each other and with that component's, cut into
+    blocks of ``BLOCK``, so work grows with members times outsiders, and no task holds more than two blocks.
+    """
+    names = ["digest", "doc_id", "n_shingles", *_sketch()]
     blocks = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK))).cast("int")
-    open_keys = per_key.where("n_out > 0").select("key", "main", blocks("n_main").alias("km"), blocks("n_out").alias("ko"))
-    rows = rows.join(open_keys, "key").withColumn("out", F.col("component") != F.col("main"))
+    rows = _with_outsiders(members, components).withColumns({"km": blocks("n_main"), "ko": blocks("n_out")})
     block = F.pmod(F.xxhash64("digest"), F.when(F.col("out"), F.col("ko")).otherwise(F.col("km"))).cast("int")
     rows = rows.withColumn("block", block)
     # tasks (i, j): outsiders' block i against outsiders' block j >= i, or, numbered -1 - j, against main block j
@@ -265,13 +289,18 @@ def _compare_groups(threshold: int):
     return compare
 
 
+def _as_links(components: DataFrame) -> DataFrame:
+    return components.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row: groups of documents linked by similar five-word shingles.
 
     Two documents are linked if 100 * intersection >= ``threshold`` * union of their whole sets; groups are what links
     reach. ``kept`` marks each group's smallest id. Equal sets are one class from the start; only class representatives
-    are compared. Band keys propose pairs. Each member of a key is first tried against the key's first member, so that a
-    group of any size joins up in linear work; pairs that are not yet connected then follow in full.
+    are compared. Band keys propose pairs. Each member of a key is first tried against the key's first member, and what
+    stays outside the key's largest component against ``ATTEMPTS`` delegates of that, so that a group of any size joins
+    up in linear work; all pairs that are not connected by then follow.
 
     Null, empty and blank texts have no shingles and link with nothing. Fewer words than five make one shingle. Rows
     with the same id are one document for grouping, and each comes back; rows without an id form no groups: their
@@ -289,10 +318,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     members = stored(_members(classes), "members")
     wanted = members.select("digest", "doc_id").distinct()
     full = stored(_with_sets(docs, wanted), "sets")
-    near = stored(_confirmed(_star_pairs(members, threshold), full, threshold), "near")
-    rest = _rest_pairs(members, connected_components(near), threshold)
-    links = copies.unionByName(near).unionByName(_confirmed(rest, full, threshold))
-    linked = connected_components(links)
+    joined = connected_components(_confirmed(_star_pairs(members, threshold), full, threshold))
+    for attempt in range(ATTEMPTS):
+        more = _confirmed(_delegate_pairs(members, joined, attempt, threshold), full, threshold)
+        joined = connected_components(_as_links(joined).unionByName(more))
+    rest = _confirmed(_rest_pairs(members, joined, threshold), full, threshold)
+    linked = connected_components(copies.unionByName(_as_links(joined)).unionByName(rest))
     own = signed.select("doc_id", "n_shingles").join(
         linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
     )
