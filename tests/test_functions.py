@@ -61,9 +61,9 @@ def test_padding_and_mask(spark):
 def test_hash_is_stable(spark):
     import hashlib
 
-    expected = int(hashlib.md5(b"1|a").hexdigest()[:15], 16)
-    df = spark.createDataFrame([(1, "a")], "k int, t string")
-    assert df.select(hash60(F.col("k"), F.col("t")).alias("h")).first().h == expected
+    expected = int(hashlib.md5(b"1:11:a~").hexdigest()[:15], 16)
+    df = spark.createDataFrame([(1, "a", None)], "k int, t string, n string")
+    assert df.select(hash60(F.col("k"), F.col("t"), F.col("n")).alias("h")).first().h == expected
 
 
 def lcs_by_table(a, b):
@@ -109,3 +109,22 @@ def test_overlap_column(spark):
     df = spark.createDataFrame([(["a", "a", "b"], ["a", "b", "b"]), ([], [])], "a array<string>, b array<string>")
     rows = df.select(clipped_overlaps(F.col("a"), F.col("b"), (1, 2)).alias("m")).collect()
     assert [(r.m.m1, r.m.m2) for r in rows] == [(2, 1), (0, 0)]
+
+
+def test_lcs_in_blocks(monkeypatch):
+    import random
+
+    from textloom.functions import lcs
+
+    monkeypatch.setattr(lcs, "BLOCK", 5)
+    draw = random.Random(2)
+    for _ in range(300):
+        a, b = ([draw.randrange(5) for _ in range(draw.randrange(30))] for _ in range(2))
+        best = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                here = best[j]
+                best[j] = before + 1 if x == y else max(best[j], best[j - 1])
+                before = here
+        assert lcs.lcs_of_codes(a, b) == best[-1]

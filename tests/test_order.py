@@ -73,9 +73,27 @@ def test_empty_and_single(spark):
     assert ops.add_position(spark.range(1), ["id"]).first().position == 1
 
 
-def test_text_needs_a_chunk(spark):
-    with pytest.raises(TypeError):
-        ops.add_position(spark.createDataFrame([("a",)], "t string"), ["t"])
+def test_position_by_text(spark):
+    texts = [f"http://host/{i * 7919 % 1000:05d}" for i in range(1000)] + ["", "http", "z", "é", "http://host/00003x"]
+    rows = [(t, i) for i, t in enumerate(texts)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "t string, i int").repartition(5)
+    got = {(r.t, r.i): r.position for r in ops.add_position(df, ["t", "i"], chunks=20).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    assert got == {r: n for n, r in enumerate(order, 1)}
+
+
+def test_text_chunks_are_even(spark):
+    rows = [(f"http://host/{i % 500:05d}", i) for i in range(5000)]
+    chunked = with_chunks(spark.createDataFrame(rows, "t string, i int"), ["t"], 20)
+    assert max(r["count"] for r in chunked.groupBy(CHUNK).count().collect()) <= 2 * 5000 / 20
+
+
+def test_ties_of_a_single_key_are_cut(spark):
+    df = spark.createDataFrame([(7 if i % 4 else i, i) for i in range(20_000)], "k bigint, i bigint")
+    chunked = with_chunks(df, ["k"], 20)
+    assert max(r["count"] for r in chunked.groupBy(CHUNK).count().collect()) <= 2 * 20_000 / 20
+    positions = sorted((r.k, r.position) for r in ops.add_position(df, ["k"], chunks=20).collect())
+    assert [p for _, p in positions] == list(range(1, 20_001))
 
 
 @pytest.mark.parametrize("partitions", [1, 17])
@@ -115,6 +133,13 @@ def test_collate_keeps_given_labels_and_mask(spark):
     assert row.attention_mask == [1, 0] + [0] * 6 and row.labels == [9, 9] + [0] * 6
 
 
+def test_collate_keeps_rows_of_null_and_repeated_keys(spark):
+    df = spark.createDataFrame([(1, [5]), (1, [6, 7]), (None, [8])], "k int, input_ids array<int>").repartition(2)
+    got = ops.collate(df, "k", batch_size=2).collect()
+    assert sorted((r.k or 0, [x for x in r.input_ids if x]) for r in got) == [(0, [8]), (1, [5]), (1, [6, 7])]
+    assert sorted(r.batch_id for r in got) == [0, 0, 1] and all(len(r.input_ids) == r.width == 8 for r in got)
+
+
 def test_own_collating(spark):
     batched = ops.assign_batches(spark.range(20).repartition(3), "id", 8)
 
@@ -144,7 +169,7 @@ def test_salted_join_equals_plain_join(spark):
 def test_salt_needs_something_to_spread_by(spark):
     keys = spark.createDataFrame([("a",)], "k string")
     with pytest.raises(ValueError):
-        ops.salted_left_join(keys, keys, ["k"])
+        ops.salted_left_join(keys, keys, ["k"], salts=2)
 
 
 def test_exact_quantiles(spark):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from textloom import operators as ops
 from textloom.functions import words
-from textloom.operators import vocabulary as vocabulary_module
 
 
 @pytest.fixture(scope="module")
@@ -54,29 +53,42 @@ def test_pad_id_may_be_any(spark):
     assert [r.p for r in ids.select(ops.pad_token(F.col("pad"), F.col("eos")).alias("p")).collect()] == [0, 9]
 
 
-def test_lookup_by_join_is_the_same(spark, small, monkeypatch):
+def test_lookup_by_join_is_the_same(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", words(F.col("text")).alias("w"))
     docs = docs.unionByName(spark.createDataFrame([(-1, [])], "doc_id bigint, w array<string>"))
     vocabulary = ops.fit_vocabulary(spark.read.parquet(f"{small}/documents.parquet"), size=3000)
-    shipped = ops.encode(docs, vocabulary, "w", key="doc_id")
-    texts = ops.decode(shipped, vocabulary, "input_ids", key="doc_id").select("doc_id", "input_ids", "decoded").collect()
-    monkeypatch.setattr(vocabulary_module, "SHIP_BYTES", 0)
-    joined = ops.encode(docs, vocabulary, "w", key="doc_id")
-    joined_texts = ops.decode(joined, vocabulary, "input_ids", key="doc_id").select("doc_id", "input_ids", "decoded")
+    shipped = ops.encode(docs, vocabulary, "w")
+    texts = ops.decode(shipped, vocabulary, "input_ids").select("doc_id", "input_ids", "decoded").collect()
+    joined = ops.encode(docs, vocabulary, "w", lookup="join")
+    joined_texts = ops.decode(joined, vocabulary, "input_ids", lookup="join").select("doc_id", "input_ids", "decoded")
     assert sorted(texts) == sorted(joined_texts.collect())
 
 
 def test_full_vocabulary_round_trip(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", words(F.col("text")).alias("w"))
     vocabulary = ops.fit_vocabulary(docs, size=1_000_000)
-    decoded = ops.decode(ops.encode(docs, vocabulary, "w", key="doc_id"), vocabulary, "input_ids", key="doc_id")
+    decoded = ops.decode(ops.encode(docs, vocabulary, "w"), vocabulary, "input_ids")
     assert decoded.where(F.col("decoded") != F.concat_ws(" ", "w")).count() == 0
 
 
+@pytest.mark.parametrize("lookup", ["ship", "join"])
+def test_repeated_and_null_keys_keep_their_rows(spark, lookup):
+    vocabulary = spark.createDataFrame([("a", 3, 2), ("b", 2, 3), ("c", 1, 4)], "token string, n bigint, id int")
+    rows = [(1, ["a", "b"]), (1, ["c"]), (None, ["a", "a"]), (None, None), (2, ["x", None]), (2, []), (1, ["a", "b"])]
+    df = spark.createDataFrame(rows, "k int, w array<string>").repartition(3)
+    encoded = ops.encode(df, vocabulary, "w", lookup=lookup)
+    got = sorted(((r.k or 0, r.input_ids) for r in encoded.collect()), key=str)
+    assert got == sorted([(1, [2, 3]), (1, [4]), (0, [2, 2]), (0, []), (2, [1, 1]), (2, []), (1, [2, 3])], key=str)
+    decoded = sorted((r.k or 0, r.decoded) for r in ops.decode(encoded, vocabulary, "input_ids", lookup=lookup).collect())
+    assert decoded == sorted([(1, "a b"), (1, "c"), (0, "a a"), (0, ""), (2, ""), (2, ""), (1, "a b")])
+    with pytest.raises(ValueError):
+        ops.encode(df, vocabulary, "w", lookup="guess")
+
+
 def test_null_and_empty_arrays(spark):
     vocabulary = spark.createDataFrame([("a", 1, 2)], "token string, n bigint, id int")
     df = spark.createDataFrame([(1, ["a", "x"]), (2, []), (3, ["a"])], "k int, w array<string>").coalesce(1)
-    rows = ops.encode(df, vocabulary, "w", key="k").orderBy("k").collect()
+    rows = ops.encode(df, vocabulary, "w").orderBy("k").collect()
     assert [r.input_ids for r in rows] == [[2, 1], [], [2]]
 
 

@@ -103,11 +103,16 @@ def test_bootstrap_middle(spark):
 def test_pairs_without_partner_fail(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "key int, reference string")
     right = spark.createDataFrame([(1, "x"), (2, "y")], "key int, prediction string")
-    assert ops.align_pairs(left, right, "key").count() == 2
-    with pytest.raises(Exception, match="prediction without reference"):
+    assert sorted(map(tuple, ops.align_pairs(left, right, "key").collect())) == [(1, "a", "x"), (2, "b", "y")]
+    with pytest.raises(Exception, match="key 2 has 0 references and 1 predictions"):
         ops.align_pairs(left.where("key = 1"), right, "key").collect()
-    with pytest.raises(Exception, match="reference without prediction"):
+    with pytest.raises(Exception, match="key 2 has 1 references and 0 predictions"):
         ops.align_pairs(left, right.where("key = 1"), "key").collect()
+    with pytest.raises(Exception, match="key 1 has 2 references and 2 predictions"):
+        ops.align_pairs(left.unionByName(left), right.unionByName(right), "key").where("key = 1").collect()
+    nothing = [frame.withColumn("key", F.lit(None).cast("int")).limit(1) for frame in (left, right)]
+    with pytest.raises(Exception, match="key null has 1 references and 1 predictions"):
+        ops.align_pairs(*nothing, "key").collect()
 
 
 @pytest.mark.parametrize("stored", [False, True])
@@ -125,17 +130,22 @@ def test_language_model_by_hand(spark, tmp_path, stored):
     assert rows[3].loss is None and rows[3].n_tokens == 0
 
 
-def test_scores_do_not_depend_on_salting(spark, small, monkeypatch):
-    from textloom.operators import language_model, skew
+def test_scores_of_repeated_and_null_keys(spark):
+    model = ops.fit_bigrams(spark.createDataFrame([("a b a",), ("a",)], "text string"))
+    rows = [(1, "a b"), (1, "z z"), (None, "a b"), (None, None), (2, "a b")]
+    got = ops.score_texts(spark.createDataFrame(rows, "k int, text string").repartition(3), model, "k").collect()
+    single = {t: ops.score_texts(spark.createDataFrame([(0, t)], "k int, text string"), model, "k").first() for _, t in rows}
+    expected = [(k or 0, single[t].n_tokens, round(single[t].loss or 0, 9)) for k, t in rows]
+    assert sorted((r.k or 0, r.n_tokens, round(r.loss or 0, 9)) for r in got) == sorted(expected)
 
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    bench = spark.read.parquet(f"{small}/benchmark.parquet")
-    model = ops.fit_bigrams(docs)
-    plain = {r.item_id: r.loss for r in ops.score_texts(bench, model, "item_id").collect()}
-    hot = lambda left, right, on: skew.salted_left_join(left, right, on, hot_rows=5, salts=4)
-    monkeypatch.setattr(language_model, "salted_left_join", hot)
-    salted = {r.item_id: r.loss for r in ops.score_texts(bench.repartition(3), model, "item_id").collect()}
-    assert salted == pytest.approx(plain)
+
+def test_bootstrap_shares_its_draws(spark):
+    rows = [(i, float(i % 7), 2.0 * (i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, a double, b double")
+    both = {r.value: r for r in ops.bootstrap_means(df, "k", ["a", "b"], 50).collect()}
+    alone = ops.bootstrap_mean(df.repartition(7), "k", "a", 50).first()
+    assert (both["a"].low, both["a"].mid, both["a"].high) == pytest.approx(tuple(alone))
+    assert both["b"].mid == pytest.approx(2 * both["a"].mid) and both["a"].low < 3 < both["a"].high
 
 
 def test_perplexity(spark):

@@ -20,11 +20,54 @@ def test_request_defaults(spark):
     rows = ops.parse_requests(df, "body").orderBy("prompt").collect()
     assert rows[0].asDict() | {"body": 0} == {
         "body": 0, "prompt": "a", "max_new_tokens": 128, "temperature": 1.0, "top_p": 0.9, "top_k": 50,
-        "num_return_sequences": 1,
+        "num_return_sequences": 1, "request_error": None,
     }
     assert (rows[1].temperature, rows[1].top_k, rows[1].max_new_tokens) == (0.5, 3, 128)
 
 
+@pytest.mark.parametrize(
+    "body, error",
+    [
+        ("not json", "body is not a JSON object"), (None, "body is not a JSON object"), ("[1]", "body is not a JSON object"),
+        ("{}", "prompt is missing"), ('{"prompt": null}', "prompt is missing"), ('{"prompt": 5}', "prompt is not a text"),
+        ('{"prompt": "p", "top_k": "abc"}', "top_k is not a whole number"),
+        ('{"prompt": "p", "top_k": 3.7}', "top_k is not a whole number"),
+        ('{"prompt": "p", "top_k": true}', "top_k is not a whole number"),
+        ('{"prompt": "p", "top_k": 99999999999}', "top_k is not a whole number"),
+        ('{"prompt": "p", "max_new_tokens": [1]}', "max_new_tokens is not a whole number"),
+        ('{"prompt": "p", "temperature": {}}', "temperature is not a number"),
+        ('{"prompt": "p", "top_k": "7", "top_p": 1, "temperature": "0.25", "num_return_sequences": 2.0}', None),
+    ],
+)
+def test_requests_are_checked(spark, body, error):
+    row = ops.parse_requests(spark.createDataFrame([(body,)], "body string"), "body").first()
+    assert row.request_error == error
+    if error is None:
+        assert (row.top_k, row.top_p, row.temperature, row.num_return_sequences) == (7, 1.0, 0.25, 2)
+    else:
+        assert (row.top_k, row.top_p, row.max_new_tokens) == (50, 0.9, 128)
+
+
+def test_broken_requests_never_reach_the_model(spark):
+    bodies = ["not json", '{"prompt": "good", "top_k": 4}', '{"top_k": 4}']
+    parsed = ops.parse_requests(spark.createDataFrame([(b, 0.5) for b in bodies], "body string, penalty double"), "body")
+
+    def make():
+        return lambda prompts, settings: [[f"{p}{p} {s['top_k']} {s['penalty']}"] for p, s in zip(prompts, settings)]
+
+    rows = {r.body: (r.status, r.error, r.generated_texts) for r in ops.generate(parsed, make, settings=["penalty"]).collect()}
+    assert rows[bodies[0]] == ("error", "body is not a JSON object", None)
+    assert rows[bodies[1]] == ("ok", None, ["good 4 0.5"])
+    assert rows[bodies[2]] == ("error", "prompt is missing", None)
+
+
+def test_rows_that_differ_never_look_alike(spark):
+    old = spark.createDataFrame([(1, None, "x"), (2, "a|b", "c"), (3, "1:a", None), (4, "s", "t")], "k int, a string, b string")
+    new = spark.createDataFrame([(1, "x", None), (2, "a", "b|c"), (3, None, "1:a"), (4, "s", "t")], "k int, a string, b string")
+    changes = {r.k: r.change for r in ops.version_diff(old, new, "k", ["a", "b"]).collect()}
+    assert changes == {1: "changed", 2: "changed", 3: "changed", 4: "same"}
+
+
 def test_prompt_is_cut_by_length(spark):
     df = spark.createDataFrame([("ab", "abXYZ  "), ("ab", "zz \tq"), ("long", "lo"), ("", " a ")], "p string, full string")
     got = [r.x for r in df.select(ops.without_prompt(F.col("full"), F.col("p")).alias("x")).collect()]

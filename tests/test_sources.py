@@ -16,7 +16,6 @@ from textloom.sources import (
     union_splits,
     write_results,
 )
-from textloom.sources.readers import spread
 
 
 def write(path, text: str) -> str:
@@ -49,7 +48,26 @@ def test_csv_written_and_read_back(spark, tmp_path):
 
 def test_csv_types_are_not_guessed_too_far(spark, tmp_path):
     path = write(tmp_path / "c.csv", "a,b,c,d\n1d,99999999999999999999,2024-01-01,0x1\n2,1,2024-01-02,1\n")
-    assert [t for _, t in load_data(spark, path).dtypes] == ["string", "double", "string", "string"]
+    assert [t for _, t in load_data(spark, path).dtypes] == ["string", "decimal(38,0)", "string", "string"]
+
+
+def test_csv_keeps_all_digits(spark, tmp_path):
+    path = write(tmp_path / "a.csv", f"n,m,w\n12345678901234567890123,{'9' * 39},7\n5,1,9223372036854775807\n")
+    df = load_data(spark, path)
+    assert dict(df.dtypes) == {"n": "decimal(38,0)", "m": "string", "w": "bigint"}
+    assert [str(r.n) for r in df.collect()] == ["12345678901234567890123", "5"] and df.first().m == "9" * 39
+
+
+def test_csv_can_be_cut_into_tasks(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "n\n" + "\n".join(map(str, range(20_000))))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        split = load_data(spark, path, multi_line=False)
+        assert split.rdd.getNumPartitions() > 1 and split.agg({"n": "sum"}).first()[0] == sum(range(20_000))
+        assert load_data(spark, path).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_csv_with_schema(spark, tmp_path):
@@ -101,6 +119,14 @@ def test_directory_with_splits_in_file_names(spark, tmp_path):
     assert load_data(spark, str(tmp_path), split="train").count() == 3
 
 
+def test_directory_with_all_splits_labelled(spark, tmp_path):
+    write(tmp_path / "train.jsonl", '{"n": 1}')
+    write(tmp_path / "my-test.jsonl", '{"n": 2}')
+    rows = load_data(spark, str(tmp_path), label_splits=True).collect()
+    assert {(r.n, r.split) for r in rows} == {(1, "train"), (2, "test")}
+    assert load_data(spark, str(tmp_path)).columns == ["n"]
+
+
 def test_mixed_directory_and_missing_path(spark, tmp_path):
     with pytest.raises(AnalysisException):
         load_data(spark, str(tmp_path / "missing.parquet"))
@@ -135,16 +161,31 @@ def test_cache_follows_source(spark, tmp_path):
     assert len(list((tmp_path / "cache").iterdir())) == 2
 
 
+def test_cache_survives_a_killed_job(spark, tmp_path):
+    source, cache = write(tmp_path / "a.jsonl", '{"n": 1}'), tmp_path / "cache"
+    load_data(spark, source, cache_dir=str(cache)).count()
+    (copy,) = cache.iterdir()
+    for part in (copy / "complete").iterdir():
+        part.unlink()
+    (copy / "data" / "part-left-over.parquet").write_bytes(b"half a file")
+    assert [r.n for r in load_data(spark, source, cache_dir=str(cache)).collect()] == [1]
+
+
 @pytest.mark.parametrize("dense", [False, True])
 def test_prompts_like_line_by_line_reading(spark, tmp_path, dense):
-    text = "first\r\nsecond\r  third\t\n\n 　\n\x1c\n \n  fourth and more  \nlast"
-    path = write(tmp_path / "prompts.txt", text)
-    with open(path, newline=None, encoding="utf-8") as f:
-        expected = [line.strip() for line in f if line.strip()]
-    rows = read_prompts(spark, path, dense).orderBy("prompt_idx").collect()
-    assert [r.prompt for r in rows] == expected
+    text = "first\r\nsecond\r  third\t\n\n \u3000\n\x1c\n \n  fourth and more  \nlast"
+    rows = read_prompts(spark, write(tmp_path / "prompts.txt", text), dense).orderBy("prompt_idx").collect()
+    assert [r.prompt for r in rows] == ["first", "second", "third", "fourth and more", "last"]
     if dense:
-        assert [r.prompt_idx for r in rows] == list(range(len(expected)))
+        assert [r.prompt_idx for r in rows] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_prompts_of_several_files_go_by_name(spark, tmp_path, dense):
+    write(tmp_path / "a.txt", "a1\na2")
+    write(tmp_path / "b.txt", "\n".join(f"b{i}" for i in range(500)))
+    rows = read_prompts(spark, str(tmp_path), dense).orderBy("prompt_idx").collect()
+    assert [r.prompt for r in rows] == ["a1", "a2", *(f"b{i}" for i in range(500))]
 
 
 def test_prompts_over_many_blocks(spark, tmp_path):
@@ -194,9 +235,3 @@ def test_union_of_splits(spark):
     b = spark.createDataFrame([("y", 2)], "text string, id int")
     rows = sorted((r.split, r.id, r.text) for r in union_splits({"train": a, "eval": b}).collect())
     assert rows == [("eval", 2, "y"), ("train", 1, "x")]
-
-
-def test_spread_leaves_wide_scans_alone(spark):
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, 64)
-    assert spread(wide) is wide

@@ -22,12 +22,14 @@ TOKENS_AT_ONCE = 2_000_000
 def batch_overlaps(left: pa.ListArray, right: pa.ListArray, orders: Sequence[int]) -> list[np.ndarray]:
     """Per order and row, the sum over distinct n-grams of the smaller of the two counts."""
     rows = len(left)
-    tokens = pa.concat_arrays([left.flatten(), right.flatten()])
-    if len(tokens) > TOKENS_AT_ONCE and rows > 1:
+    sides = [left.flatten(), right.flatten()]
+    if sum(map(len, sides)) > TOKENS_AT_ONCE and rows > 1:
         half = rows // 2
         first = batch_overlaps(left.slice(0, half), right.slice(0, half), orders)
         second = batch_overlaps(left.slice(half), right.slice(half), orders)
         return [np.concatenate(parts) for parts in zip(first, second)]
+    # one row alone may hold more bytes than 32-bit offsets reach
+    tokens = pa.concat_arrays([side.cast(pa.large_string()) for side in sides])
     encoded = pc.dictionary_encode(tokens)
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     lengths = pa.concat_arrays([pc.list_value_length(left), pc.list_value_length(right)])

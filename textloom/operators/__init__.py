@@ -19,13 +19,14 @@ from textloom.operators.generation import (
     with_defaults,
     without_prompt,
 )
-from textloom.operators.language_model import BigramModel, batch_losses, fit_bigrams, perplexity, score_texts
+from textloom.operators.language_model import BigramModel, batch_losses, fit_bigrams, perplexities, perplexity, score_texts
 from textloom.operators.monitoring import sketched_window_metrics, window_metrics
 from textloom.operators.overlap import (
     align_pairs,
     bleu,
     bleu_counts,
     bootstrap_mean,
+    bootstrap_means,
     evaluate_generated_text,
     rouge,
     rouge_scores,
@@ -57,6 +58,7 @@ __all__ = [
     "bleu",
     "bleu_counts",
     "bootstrap_mean",
+    "bootstrap_means",
     "class_counts",
     "class_report",
     "classification_summary",
@@ -85,6 +87,7 @@ __all__ = [
     "pad_and_mask",
     "pad_token",
     "parse_requests",
+    "perplexities",
     "perplexity",
     "plan_steps",
     "predict",

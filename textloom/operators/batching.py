@@ -18,7 +18,10 @@ DEFAULT_SEED = 42
 def assign_batches(
     df: DataFrame, key: str, batch_size: int = DEFAULT_BATCH, chunks: int | None = None
 ) -> DataFrame:
-    """Consecutive batches of ``batch_size`` rows along ``key``; the last one may be short."""
+    """Consecutive batches of ``batch_size`` rows along ``key``; the last one may be short.
+
+    Every row gets a batch: null keys come first, and rows that share a key follow each other in any order.
+    """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     positioned = add_position(df, [key], into="__pos", chunks=chunks)
@@ -30,11 +33,11 @@ def seeded_order(df: DataFrame, key: str, seed: int = DEFAULT_SEED, chunks: int
 
     The leading digits of the digest cut the order into even chunks, so no pass for cuts is needed.
     """
-    n = min(chunks or default_chunks(df), 65_536)
+    n = chunks or default_chunks(df)
     with_digest = df.withColumn("__digest", seeded_digest(seed, F.col(key)))
-    leading = F.conv(F.substring("__digest", 1, 4), 16, 10).cast("bigint")
+    leading = F.conv(F.substring("__digest", 1, 8), 16, 10).cast("bigint")
     ranked = add_position(
-        with_digest, ["__digest", key], into="__pos", chunk=F.floor(leading * n / F.lit(65_536.0)).cast("bigint")
+        with_digest, ["__digest", key], into="__pos", chunk=F.floor(leading * n / F.lit(float(1 << 32))).cast("bigint")
     )
     return ranked.withColumn("shuffled_idx", F.col("__pos") - 1).drop("__digest", "__pos")
 
@@ -55,16 +58,16 @@ def collate(
 ) -> DataFrame:
     """Pad every row to the longest of its batch, rounded up to ``multiple``; add batch, mask and labels.
 
-    Batches and widths are worked out on key and row length only; the arrays move once, in the join on the key.
+    Rows are batched as they are, so null and repeated keys lose or multiply none. A batch is small, so the width is
+    a window over it.
     """
-    lengths = df.select(key, F.size(ids).alias("__n"))
-    batched = assign_batches(lengths, key, batch_size, chunks)
+    batched = assign_batches(df.withColumn("__n", F.size(ids)), key, batch_size, chunks)
     longest = F.max("__n").over(Window.partitionBy("batch_id"))
-    plan = batched.select(key, "batch_id", up_to_multiple(longest, multiple).cast("int").alias("width"))
+    padded = batched.withColumn("width", up_to_multiple(longest, multiple).cast("int")).drop("__n")
     mask = attention_mask(F.size(ids), F.col("width"))
     if "attention_mask" in df.columns:
         mask = pad_right(F.col("attention_mask"), F.col("width"), 0)
-    padded = df.join(plan, key).withColumn("attention_mask", mask)
+    padded = padded.withColumn("attention_mask", mask)
     if "labels" in df.columns:
         padded = padded.withColumn("labels", pad_right(F.col("labels"), F.col("width"), pad_id))
     return with_labels(padded.withColumn(ids, pad_right(F.col(ids), F.col("width"), pad_id)), ids)

@@ -38,11 +38,35 @@ def with_defaults(df: DataFrame) -> DataFrame:
 
 
 def parse_requests(df: DataFrame, body: str, fields: str | None = None) -> DataFrame:
-    """JSON request bodies to typed columns with defaults; ``fields`` adds more fields to read (DDL)."""
-    known = ", ".join(f"{name} {kind}" for name, (kind, _) in DEFAULTS.items())
-    schema = f"{known}, {fields}" if fields else f"prompt string, {known}"
-    parsed = df.withColumn("__body", F.from_json(body, schema)).select("*", "__body.*").drop("__body")
-    return with_defaults(parsed)
+    """JSON request bodies to typed columns with defaults, and ``request_error``, null for a good request.
+
+    A body has to be an object with a text as ``prompt``; whole numbers and numbers may be written as texts, and a null
+    counts as left out. Whatever breaks this is named in ``request_error``, and all parameters are defaults then.
+    ``fields`` reads other fields (DDL) instead of ``prompt``, without checks.
+    """
+    parsed = df.withColumn("__v", F.try_parse_json(body))
+    of = lambda name, kind: F.try_variant_get("__v", f"$.{name}", kind)
+    shape = lambda name: F.schema_of_variant(of(name, "variant"))
+    given = lambda name: shape(name).isNotNull() & (shape(name) != "VOID")
+    problems = [F.when(~F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False)), "body is not a JSON object")]
+    values = {}
+    if fields is None:
+        values["prompt"] = F.when(shape("prompt") == "STRING", of("prompt", "string"))
+        problems.append(F.when(~given("prompt"), "prompt is missing").when(values["prompt"].isNull(), "prompt is not a text"))
+    for name, (kind, _) in DEFAULTS.items():
+        number = of(name, "string").try_cast("double")
+        plain = shape(name).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|STRING)") & number.isNotNull() & ~F.isnan(number)
+        if kind == "int":
+            plain = plain & (number == F.floor(number)) & (F.abs(number) < 2**31)
+        values[name] = F.when(plain, number.cast(kind))
+        wanted = "a whole number" if kind == "int" else "a number"
+        problems.append(F.when(given(name) & values[name].isNull(), f"{name} is not {wanted}"))
+    parsed = parsed.withColumn("request_error", F.coalesce(*problems))
+    good = F.col("request_error").isNull()
+    parsed = parsed.withColumns({name: F.when(good | F.lit(name == "prompt"), value) for name, value in values.items()})
+    if fields is not None:
+        parsed = parsed.withColumn("__f", F.from_json(body, fields)).select("*", "__f.*").drop("__f")
+    return with_defaults(parsed.drop("__v"))
 
 
 def parameters() -> Column:
@@ -87,12 +111,17 @@ def generate(
     prompt: str = "prompt",
     batch_size: int = 8,
     max_length: int | None = None,
+    settings: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``generated_texts``, ``status`` and ``error`` by a user-supplied text model.
 
     ``make_generator()`` runs once per Python worker. What it returns takes up to ``batch_size`` prompts and their
     parameters and returns, per prompt, the full texts with the prompt in front. If a batch fails its prompts are tried
-    one by one, so that only the bad ones become errors. Rows stay where they are: no shuffle.
+    one by one, so that only the bad ones become errors. Rows stay where they are: no shuffle. ``settings`` names
+    further columns that the model gets with the parameters.
+
+    A row with a null prompt, or with a ``request_error`` from ``parse_requests``, never reaches the model and has that
+    error.
 
     With ``max_length`` a longer prompt is handed over as its first ``max_length`` words, and that is what is cut off
     the front of the answer; the prompt column itself stays whole.
@@ -105,6 +134,7 @@ def generate(
         from textloom.operators.generation import _loaded
 
         if name not in _loaded:
+            _loaded.clear()  # a reused worker keeps the latest model only
             _loaded[name] = make_generator()
         model = _loaded[name]
 
@@ -114,35 +144,44 @@ def generate(
                 try:
                     rows.append((list(model([text], [setting])[0]), None))
                 except Exception as problem:  # noqa: BLE001 - any failure becomes that row's error
-                    rows.append((None, f"Generation error: {problem}"))
+                    rows.append((None, f"model failed: {problem}"))
             return rows
 
+        def whole(prompts: list[str], settings: list[dict]) -> list[tuple]:
+            try:
+                texts = model(prompts, settings)
+                if len(texts) != len(prompts):
+                    raise ValueError(f"{len(texts)} results for {len(prompts)} prompts")
+                return [(list(t), None) for t in texts]
+            except Exception:  # noqa: BLE001
+                return one_by_one(prompts, settings)
+
         for frame in frames:
-            out: list[tuple] = []
-            all_prompts = frame["prompt"].tolist()
-            all_settings = frame.drop(columns="prompt").to_dict("records")
-            for start in range(0, len(frame), batch_size):
-                prompts = all_prompts[start : start + batch_size]
-                settings = all_settings[start : start + batch_size]
-                try:
-                    texts = model(prompts, settings)
-                    if len(texts) != len(prompts):
-                        raise ValueError(f"{len(texts)} results for {len(prompts)} prompts")
-                    out += [(list(t), None) for t in texts]
-                except Exception:  # noqa: BLE001
-                    out += one_by_one(prompts, settings)
+            refused = frame["refused"].tolist()
+            out: list[tuple] = [(None, r) for r in refused]
+            good = [i for i, r in enumerate(refused) if r is None]
+            prompts, rows = frame["prompt"].tolist(), frame.drop(columns=["prompt", "refused"]).to_dict("records")
+            for start in range(0, len(good), batch_size):
+                part = good[start : start + batch_size]
+                for i, answer in zip(part, whole([prompts[i] for i in part], [rows[i] for i in part])):
+                    out[i] = answer
             yield pd.DataFrame(out, columns=["texts", "error"])
 
     handed = F.col(prompt)
     if max_length is not None:
         start = words(handed, max_length + 1)
         handed = F.when(F.size(start) > max_length, F.concat_ws(" ", truncate(start, max_length))).otherwise(handed)
-    asked = F.struct(F.col("__prompt").alias("prompt"), *[F.col(p) for p in DEFAULTS])
+    refused = F.when(F.col("__prompt").isNull(), F.lit("prompt is missing"))
+    if "request_error" in df.columns:
+        refused = F.coalesce("request_error", refused)
+    asked = F.struct(
+        F.col("__prompt").alias("prompt"), refused.alias("refused"), *[F.col(p) for p in (*DEFAULTS, *settings)]
+    )
     answered = with_defaults(df.withColumn("__prompt", handed)).withColumn("__out", run(asked))
     trimmed = F.transform("__out.texts", lambda full: without_prompt(full, F.col("__prompt")))
     return (
         answered.withColumn("generated_texts", trimmed)
         .withColumn("error", F.col("__out.error"))
         .withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("error"))
-        .drop("__out", "__prompt")
+        .drop("__out", "__prompt", "request_error")
     )

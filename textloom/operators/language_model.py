@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from textloom.functions import bigrams, words
 from textloom.operators.batching import DEFAULT_BATCH, assign_batches
-from textloom.operators.skew import salted_left_join
 
 ADD_K = 0.1
 
@@ -65,25 +64,22 @@ def fit_bigrams(df: DataFrame, text: str = "text", k: float = ADD_K) -> BigramMo
 
 
 def score_texts(df: DataFrame, model: BigramModel, key: str, text: str = "text") -> DataFrame:
-    """Mean negative log-likelihood per text as ``(key, n_tokens, loss)``; a text without words has a null loss.
+    """Mean negative log-likelihood per row as ``(key, n_tokens, loss)``; a text without words has a null loss.
 
-    Each distinct pair of the scored texts is priced once, then brought back to the texts. Both steps that may meet a
-    hot key (a frequent context, a frequent pair) are salted.
+    Rows with one text share its score, so null and repeated keys come back like any others. Texts are split once; a
+    text's distinct pairs are counted before they meet the model, and adaptive execution splits frequent pairs.
     """
-    pairs = _pairs_of(df, text, key)
-    distinct = pairs.select("prev", "token").distinct()
-    # keep what these texts need of the model first: few texts then are sent to the counts, not the counts to the texts
-    known = model.pairs.join(distinct, ["prev", "token"], "left_semi")
-    contexts = model.contexts().join(distinct.select("prev").distinct(), "prev", "left_semi")
-    in_context = salted_left_join(distinct.join(known, ["prev", "token"], "left"), contexts, ["prev"])
+    marked = df.select(key, F.col(text).alias("__text"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("__digest"))
+    texts = marked.groupBy("__digest").agg(F.first("__text").alias("__text"))
+    counted = _pairs_of(texts, "__text", "__digest").groupBy("__digest", "prev", "token").agg(F.count(F.lit(1)).alias("c"))
+    known = counted.join(model.pairs.select("prev", "token", "n"), ["prev", "token"], "left")
+    in_context = known.join(model.contexts(), "prev", "left")
     probability = (F.coalesce("n", F.lit(0)) + model.k) / (F.coalesce("followed", F.lit(0)) + model.k * model.size())
-    priced = in_context.select("prev", "token", F.ln(probability).alias("log_p"))
-    scored = (
-        salted_left_join(pairs, priced, ["prev", "token"])
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n_tokens"), (-F.avg("log_p")).alias("loss"))
+    scored = in_context.groupBy("__digest").agg(
+        F.sum("c").alias("n_tokens"), (-F.sum(F.col("c") * F.ln(probability)) / F.sum("c")).alias("loss")
     )
-    return df.select(key).join(scored, key, "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("bigint")))
+    found = marked.drop("__text").join(scored, "__digest", "left").drop("__digest")
+    return found.withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("bigint")))
 
 
 def perplexity(df: DataFrame, loss: str = "loss", weight: str | None = None) -> DataFrame:
@@ -97,6 +93,15 @@ def perplexity(df: DataFrame, loss: str = "loss", weight: str | None = None) ->
     return df.agg(F.count(loss).alias("n_rows"), F.exp(known).alias("perplexity"))
 
 
+def perplexities(df: DataFrame, weights: dict[str, str | None], loss: str = "loss") -> DataFrame:
+    """``(weighted_by, n_rows, perplexity)`` for several weights in one pass."""
+    parts = []
+    for name, weight in weights.items():
+        w = F.when(F.col(loss).isNotNull(), F.lit(1.0) if weight is None else F.col(weight).cast("double"))
+        parts.append(F.struct(F.lit(name).alias("weighted_by"), F.exp(F.sum(F.col(loss) * w) / F.sum(w)).alias("perplexity")))
+    return df.agg(F.count(loss).alias("n_rows"), F.array(*parts).alias("p")).select("n_rows", F.inline("p"))
+
+
 def batch_losses(df: DataFrame, key: str, loss: str = "loss", batch_size: int = DEFAULT_BATCH) -> DataFrame:
     """Mean loss and rows of each consecutive batch."""
     batched = assign_batches(df.select(key, loss), key, batch_size)

@@ -16,16 +16,27 @@ from pyspark.sql import functions as F
 from textloom.functions import clipped_overlaps, hash_uniform, lcs_size, rouge_words, words
 
 BLEU_ORDER = 4
+# Hexadecimal digits of a bootstrap block's number: 4,096 blocks.
+BLOCK_DIGITS = 3
+BLOCKS = 16**BLOCK_DIGITS
 
 
 def align_pairs(references: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
-    """Join two tables row by row on ``key``; a row without its partner fails the query instead of vanishing."""
-    both = references.withColumn("__r", F.lit(True)).join(predictions.withColumn("__p", F.lit(True)), key, "full")
-    lonely = F.when(F.col("__r").isNull(), F.lit("prediction without reference at key ")).when(
-        F.col("__p").isNull(), F.lit("reference without prediction at key ")
-    )
-    broken = F.raise_error(F.concat(lonely, F.col(key).cast("string"))).cast("boolean")
-    return both.where(F.when(lonely.isNotNull(), broken).otherwise(F.lit(True))).drop("__r", "__p")
+    """Join two tables one row to one row on ``key``; a key that is null, repeated or on one side only fails the query.
+
+    Keys are counted on both sides first, in one grouping that combines before its shuffle.
+    """
+    ones = references.select(key, F.lit(1).alias("__r"), F.lit(0).alias("__p"))
+    ones = ones.unionByName(predictions.select(key, F.lit(0).alias("__r"), F.lit(1).alias("__p")))
+    counts = ones.groupBy(key).agg(F.sum("__r").alias("__r"), F.sum("__p").alias("__p"))
+    found = F.concat(
+        F.lit("key "), F.coalesce(F.col(key).cast("string"), F.lit("null")),
+        F.lit(" has "), F.col("__r").cast("string"), F.lit(" references and "), F.col("__p").cast("string"),
+        F.lit(" predictions"),
+    )
+    single = F.col(key).isNotNull() & (F.col("__r") == 1) & (F.col("__p") == 1)
+    checked = counts.where(F.when(single, F.lit(True)).otherwise(F.raise_error(found).cast("boolean"))).select(key)
+    return checked.join(references, key, "left").join(predictions, key, "left")
 
 
 def bleu_counts(pairs: DataFrame, reference: str = "reference", prediction: str = "prediction") -> DataFrame:
@@ -107,27 +118,45 @@ def _poisson_weight(u: Column) -> Column:
     return reduce(lambda a, b: a + b, steps)
 
 
-def bootstrap_mean(
-    df: DataFrame, key: str, value: str, replicas: int = 1000, confidence: float = 0.95
+def bootstrap_means(
+    df: DataFrame, key: str, values: Sequence[str], replicas: int = 1000, confidence: float = 0.95
 ) -> DataFrame:
-    """Low, mid and high of the mean over Poisson bootstrap replicas.
+    """``(value, low, mid, high)``: range and middle of each column's mean over Poisson bootstrap replicas.
 
-    A row's weight in a replica depends on its key and the replica number alone. Replica sums combine before the
-    shuffle, which then moves one row per replica and task.
+    Rows fall into ``BLOCKS`` blocks by a hash of their key, and a block's weight in a replica depends on the two numbers
+    alone. So all columns share their draws, and the number of draws does not grow with the rows: blocks are summed up
+    before they are drawn.
     """
-    drawn = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("replica"))
-    weighted = drawn.withColumn("w", _poisson_weight(hash_uniform(F.col("replica"), F.col(key))))
+    block = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, BLOCK_DIGITS), 16, 10)
+    sums = [s for v in values for s in (F.sum(v).alias(f"__s_{v}"), F.count(v).alias(f"__n_{v}"))]
+    blocks = df.withColumn("__block", block.cast("int")).groupBy("__block").agg(*sums)
+    drawn = blocks.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
+    weighted = drawn.withColumn("w", _poisson_weight(hash_uniform(F.col("replica"), F.col("__block"))))
     means = weighted.groupBy("replica").agg(
-        (F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w").cast("double"), F.lit(0.0))).alias("mean")
+        *[
+            (F.sum(F.col("w") * F.col(f"__s_{v}")) / F.nullif(F.sum(F.col("w") * F.col(f"__n_{v}")), F.lit(0))).alias(v)
+            for v in values
+        ]
     )
     tail = (1.0 - confidence) / 2
-    return means.agg(
-        F.percentile("mean", F.lit(tail)).alias("low"),
-        F.percentile("mean", F.lit(0.5)).alias("mid"),
-        F.percentile("mean", F.lit(1.0 - tail)).alias("high"),
+    return (
+        means.unpivot("replica", list(values), "value", "mean")
+        .groupBy("value")
+        .agg(
+            F.percentile("mean", F.lit(tail)).alias("low"),
+            F.percentile("mean", F.lit(0.5)).alias("mid"),
+            F.percentile("mean", F.lit(1.0 - tail)).alias("high"),
+        )
     )
 
 
+def bootstrap_mean(
+    df: DataFrame, key: str, value: str, replicas: int = 1000, confidence: float = 0.95
+) -> DataFrame:
+    """Low, mid and high of one column's mean; see ``bootstrap_means``."""
+    return bootstrap_means(df, key, [value], replicas, confidence).drop("value")
+
+
 def evaluate_generated_text(
     pairs: DataFrame,
     metrics: Sequence[str] = ("bleu", "rouge"),
@@ -150,9 +179,8 @@ def evaluate_generated_text(
             parts.append(rouge(pairs, kinds, reference, prediction).unpivot([], kinds, "metric", "value"))
         else:
             scores = rouge_scores(pairs, kinds, reference, prediction, keep=[bootstrap_key])
-            for kind in kinds:
-                mid = bootstrap_mean(scores, bootstrap_key, kind, replicas)
-                parts.append(mid.select(F.lit(kind).alias("metric"), F.col("mid").alias("value")))
+            means = bootstrap_means(scores, bootstrap_key, kinds, replicas)
+            parts.append(means.select(F.col("value").alias("metric"), F.col("mid").alias("value")))
     if not parts:
         return pairs.sparkSession.createDataFrame([], "metric string, value double")
     return reduce(DataFrame.unionByName, parts)

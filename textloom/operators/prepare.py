@@ -67,7 +67,7 @@ def prepare_text(
     from textloom.operators.vocabulary import encode
 
     kept = drop_empty(df.select(key, text), text).withColumn("__words", words(F.col(text).cast("string"), max_length))
-    encoded = encode(kept, vocabulary, "__words", key=key).drop("__words")
+    encoded = encode(kept, vocabulary, "__words").drop("__words")
     return pad_and_mask(encoded, "input_ids", max_length, pad_id).select(
         key, text, "input_ids", "attention_mask", "n_tokens"
     )

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 CHUNK = "__chunk"
 GROUP = "__group"
 _EXACT = float(1 << 53)
+SAMPLED = 64
 
 
 def default_chunks(df: DataFrame) -> int:
     """Twice the shuffle partitions, so that one chunk is at most half a task's usual share."""
-    return max(2, min(20_000, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _bucketed(df: DataFrame, source: str, cuts: list[float], into: str) -> DataFrame:
@@ -35,23 +36,26 @@ def _bucketed(df: DataFrame, source: str, cuts: list[float], into: str) -> DataF
 
 
 def with_chunks(df: DataFrame, order_by: list[str], chunks: int | None = None) -> DataFrame:
-    """Add a chunk number that never falls along ``order_by`` (numbers, dates or timestamps, ascending, nulls first).
+    """Add a chunk number that never falls along ``order_by`` (ascending, nulls first).
 
-    The cuts are quantiles of the first key (one pass over that column; the driver gets the cuts only). A value so
-    common that it fills m chunks gets a range of its own, and the second key cuts that range into m parts.
+    Keys are numbers, dates, timestamps, booleans or texts. The cuts are quantiles of the first key (one pass over that
+    column; the driver gets the cuts only). A value so common that it fills m chunks gets a range of its own, and the
+    second key cuts that range into m parts; with one key only, a hash of the row does, as the order of ties is free.
+    With texts among the first two keys the cuts come from a sorted sample instead.
     """
     n = chunks or default_chunks(df)
-    keys = order_by[:2]
-    names = [f"__key{i}" for i in range(len(keys))]
-    numeric = df
-    for key, name in zip(keys, names):
-        numeric = numeric.withColumn(name, _as_number(df, key))
+    if any(dict(df.dtypes)[k] == "string" for k in order_by[:2]):
+        return _by_sample(df, order_by, n)
+    names = ["__key0", "__key1"]
+    numeric = df.withColumn(names[0], _as_number(df, order_by[0]))
+    second_key = _as_number(df, order_by[1]) if len(order_by) > 1 else _row_hash(df)
+    numeric = numeric.withColumn(names[1], second_key)
     quantiles = numeric.approxQuantile(names, [i / n for i in range(1, n)], 1.0 / (4 * n))
     filled = {v: m for v, m in Counter(quantiles[0]).items() if m > 1 and abs(v) < _EXACT}
     cuts = sorted(set(quantiles[0]) | {math.nextafter(v, math.inf) for v in filled})
     chunked = _bucketed(numeric, names[0], cuts, "__major")
     minor = F.lit(0)
-    if filled and len(keys) > 1:
+    if filled:
         second = sorted(set(quantiles[1]))
         chunked = _bucketed(chunked, names[1], second, "__minor")
         parts = F.create_map(*[F.lit(x) for v, m in filled.items() for x in (v, m / (len(second) + 3))])
@@ -67,11 +71,42 @@ def _as_number(df: DataFrame, key: str) -> Column:
         return column.cast("timestamp").cast("double")
     if dtype == "date":
         return F.unix_date(column).cast("double")
-    if dtype == "string":
-        raise TypeError(f"order column {key} is text; give the chunk of each row yourself")
+    if dtype == "boolean":
+        return column.cast("int").cast("double")
     return column.cast("double")
 
 
+def _by_sample(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
+    """Chunks by cuts out of a sorted sample of about ``SAMPLED`` rows per chunk, for keys of any type, texts included.
+
+    A row is compared with the cuts on all keys and then its hash: first with every m-th cut, then with the m between.
+    """
+    keys = [F.col(k) for k in order_by] + [_row_hash(df).cast("bigint").alias("__tie")]
+    short = [F.substring(k, 1, 256).alias(k) if t == "string" else F.col(k) for k in order_by for t in [dict(df.dtypes)[k]]]
+    share = min(1.0, SAMPLED * n / max(1, df.count()))
+    fine = 1 << 30
+    drawn = df.where(F.pmod(F.xxhash64(F.lit(1), keys[-1]), F.lit(fine)) < int(share * fine)).select(*short, keys[-1])
+    rows = drawn.orderBy(*drawn.columns).collect()
+    cuts = list(dict.fromkeys(tuple(rows[i * len(rows) // n]) for i in range(1, n))) if rows else []
+    types = [f.dataType for f in drawn.schema]
+    literals = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(c, types))]) for c in cuts]
+    if not literals:
+        return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
+    own = F.struct(*[k.cast(t).alias(f"k{i}") for i, (k, t) in enumerate(zip(keys, types))])
+    step = math.isqrt(len(literals)) + 1
+    parts = [literals[i : i + step] for i in range(0, len(literals), step)]
+    beyond = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("__own")))
+    marked = df.withColumn("__own", own).withColumn("__part", beyond(F.array(*[p[0] for p in parts])))
+    inside = beyond(F.element_at(F.array(*[F.array(*p) for p in parts]), F.greatest("__part", F.lit(1))))
+    chunk = F.when(F.col("__part") == 0, F.lit(0)).otherwise((F.col("__part") - 1) * step + inside)
+    return marked.withColumn(CHUNK, chunk.cast("bigint")).drop("__own", "__part")
+
+
+def _row_hash(df: DataFrame) -> Column:
+    hashable = [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in hashable]).cast("double")
+
+
 def as_group(df: DataFrame, group_by: list[str]) -> DataFrame:
     """The group columns as one struct: structs of nulls are equal, so rows without a group are a group too."""
     return df.withColumn(GROUP, F.struct(*group_by) if group_by else F.lit(0))
@@ -101,7 +136,7 @@ def add_position(
     """Dense position from 1 along ``order_by``, over the table or within each group.
 
     ``chunk`` replaces the quantile cuts by a given number that must never fall along the order (the caller bounds how
-    many there are). ``order_by`` should tell all rows of a group apart.
+    many there are). Rows that ``order_by`` does not tell apart are numbered in any order.
     """
     chunked = df.withColumn(CHUNK, chunk) if chunk is not None else with_chunks(df, order_by, chunks)
     chunked = as_group(chunked, group_by or [])

@@ -13,19 +13,20 @@ HOT_ROWS = 100_000
 def salted_left_join(
     left: DataFrame, right: DataFrame, on: list[str], hot_rows: int = HOT_ROWS, salts: int | None = None
 ) -> DataFrame:
-    """``left`` left-joined with ``right`` (unique on ``on``), with the hot keys of ``left`` spread over many tasks.
+    """``left`` left-joined with ``right`` (unique on ``on``), hot keys of ``left`` salted if ``salts`` is given.
 
-    Hot are the most frequent keys, as far as they have ``hot_rows`` rows: four per shuffle partition at most, so their
+    By default the join is left to adaptive execution, which splits skewed partitions. With ``salts``, hot are the most frequent keys, as far as they have ``hot_rows`` rows: four per shuffle partition at most, so their
     list is small whatever the data, and every key that outweighs an even partition is among them. Only the right-hand
     rows of hot keys are copied, once per salt. The rows and the result are those of a plain join.
     """
+    if salts is None:
+        return left.join(right, on, "left")
     others = [F.col(c) for c in left.columns if c not in on]
     if not others:
         raise ValueError("the left side needs a column besides the keys, to spread the rows of a key by")
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = salts or max(2, min(partitions, 256))
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= hot_rows)
-    hot = counts.orderBy(F.desc("__n"), *on).limit(4 * partitions).select(*on, F.lit(copies).alias("__copies"))
+    hot = counts.orderBy(F.desc("__n"), *on).limit(4 * partitions).select(*on, F.lit(salts).alias("__copies"))
     # broadcast: limited to a fixed number of keys above
     marked = left.join(F.broadcast(hot), on, "left")
     salted = marked.withColumn(SALT, F.pmod(F.xxhash64(*others), F.coalesce("__copies", F.lit(1))).cast("int")).drop("__copies")

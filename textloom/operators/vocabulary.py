@@ -2,129 +2,116 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import words
-from textloom.operators.skew import salted_left_join
 
 PAD_ID = 0
 UNKNOWN_ID = 1
 FIRST_ID = 2
 DEFAULT_SIZE = 30_000
-# A vocabulary up to this many bytes of text is shipped to the workers; beyond it the lookup is a join.
-SHIP_BYTES = 64 << 20
+
+# the latest lookup table of this worker, by name
+_index: dict[str, dict] = {}
 
 
 def fit_vocabulary(df: DataFrame, text: str = "text", size: int = DEFAULT_SIZE) -> DataFrame:
     """The ``size`` most frequent words, ``(token, n, id)``; ids from 2 by falling count, then by word.
 
-    Counts combine before the shuffle. Only the ``size`` rows that are kept get sorted in one place. ``materialise`` the
-    result before encoding with it, which reads it twice.
+    Counts combine before the shuffle. Words are numbered within their count, after all words with higher counts, so no
+    task orders the whole vocabulary. ``materialise`` the result before encoding with it, which reads it twice.
     """
     counts = df.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # how often the last word to keep occurs: only words at least as frequent are sorted, not a full ``size`` per task
+    # one row per distinct count
     levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("at_level"))
-    above = F.sum("at_level").over(Window.orderBy(F.desc("n")))
-    reached = levels.select("n", above.alias("above")).where(F.col("above") >= size)
-    least = reached.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).scalar()
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), F.asc("token")).limit(size)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), F.col("token"))))
-    return (
-        top.agg(ordered.alias("all"))
-        .select(F.posexplode("all").alias("pos", "entry"))
-        .select(
-            F.col("entry.token").alias("token"),
-            (-F.col("entry.rank")).alias("n"),
-            (F.col("pos") + FIRST_ID).cast("int").alias("id"),
-        )
-    )
-
-
-def _shippable(vocabulary: DataFrame) -> pa.Table | None:
-    """The vocabulary as one Arrow table if its measured size is within the limit."""
-    n_bytes = vocabulary.agg(F.sum(F.octet_length("token") + 8)).first()[0]
-    if (n_bytes or 0) > SHIP_BYTES:
-        return None
-    return vocabulary.select("token", "id").toArrow()
-
-
-def encode(df: DataFrame, vocabulary: DataFrame, tokens: str, key: str, into: str = "input_ids") -> DataFrame:
-    """Replace words by their ids, 1 where the vocabulary does not know the word.
-
-    Up to ``SHIP_BYTES`` each Arrow batch is looked up where it is, without a shuffle; a larger vocabulary is joined.
+    higher = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.select("n", F.coalesce(F.sum("at_level").over(higher), F.lit(0)).alias("before"))
+    within = Window.partitionBy("n").orderBy("token")
+    # the limit on the rank lets each task drop what cannot be among the first ``size`` before the shuffle
+    ranked = counts.withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= size)
+    numbered = ranked.join(levels.where(F.col("before") < size), "n")
+    last = F.col("before") + F.col("nth")
+    return numbered.where(last <= size).select("token", "n", (last + (FIRST_ID - 1)).cast("int").alias("id"))
+
+
+def encode(
+    df: DataFrame, vocabulary: DataFrame, tokens: str, into: str = "input_ids", lookup: str = "ship"
+) -> DataFrame:
+    """Replace words by their ids, 1 where the vocabulary does not know the word; a null array gives an empty one.
+
+    Every row comes back, whatever its key. ``lookup="ship"`` sends the vocabulary, which has to fit a worker's memory
+    and is bounded by the size it was fitted with, to the workers, and no row is shuffled; ``lookup="join"`` joins it,
+    for vocabularies beyond that.
     """
-    table = _shippable(vocabulary)
-    if table is None:
-        return encode_by_join(df, vocabulary, tokens, key, into)
-    shipped = df.sparkSession.sparkContext.broadcast(table.combine_chunks())
-
-    @F.arrow_udf("array<int>")
-    def look_up(lists: pa.Array) -> pa.Array:
-        known = shipped.value
-        flat = lists.flatten()
-        places = pc.index_in(flat, value_set=known.column("token"))
-        ids = pc.fill_null(pc.take(known.column("id"), places), UNKNOWN_ID)
-        if isinstance(ids, pa.ChunkedArray):
-            ids = ids.combine_chunks()
-        sizes = pc.fill_null(pc.list_value_length(lists), 0)
-        ends = pc.cumulative_sum(sizes).cast(pa.int32())
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-        return pa.ListArray.from_arrays(offsets, ids.cast(pa.int32()))
-
-    return df.withColumn(into, look_up(F.col(tokens)))
-
-
-def encode_by_join(df: DataFrame, vocabulary: DataFrame, tokens: str, key: str, into: str = "input_ids") -> DataFrame:
-    """The same by a join, one row per distinct word of a text, with frequent words salted; ``key`` tells rows apart."""
+    return _looked_up(df, vocabulary.select(F.col("token").alias("from"), F.col("id").alias("to")), tokens, into, lookup, UNKNOWN_ID)
+
+
+def decode(df: DataFrame, vocabulary: DataFrame, ids: str, into: str = "decoded", lookup: str = "ship") -> DataFrame:
+    """Words of the ids joined by spaces, special ids (below 2) and unknown ones left out; ``lookup`` as in ``encode``."""
+    table = vocabulary.where(F.col("id") >= FIRST_ID).select(F.col("id").alias("from"), F.col("token").alias("to"))
+    found = _looked_up(df, table, ids, "__words", lookup, None)
+    # concat_ws leaves nulls out
+    return found.withColumn(into, F.concat_ws(" ", "__words")).drop("__words")
+
+
+def _looked_up(df: DataFrame, table: DataFrame, column: str, into: str, lookup: str, missing: object) -> DataFrame:
+    if lookup == "ship":
+        return _shipped(df, table, column, into, missing)
+    if lookup == "join":
+        return _joined(df, table, column, into, missing)
+    raise ValueError(f"lookup is 'ship' or 'join', not {lookup!r}")
+
+
+def _shipped(df: DataFrame, table: DataFrame, column: str, into: str, missing: object) -> DataFrame:
+    """Look up the distinct items of each Arrow batch in an index that a worker builds once."""
+    shipped = df.sparkSession.sparkContext.broadcast(table.toArrow().combine_chunks())
+    kind = table.schema["to"].dataType.simpleString()
+    name = uuid.uuid4().hex
+
+    @F.arrow_udf(f"array<{kind}>")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # imported here, so that it is the worker's own and outlives the task
+        from textloom.operators.vocabulary import _index
+
+        if name not in _index:
+            known = shipped.value
+            _index.clear()
+            _index[name] = dict(zip(known.column("from").to_pylist(), known.column("to").to_pylist()))
+        index, to = _index[name], shipped.value.schema.field("to").type
+        for lists in batches:
+            coded = pc.dictionary_encode(lists.flatten(), null_encoding="encode")
+            values = pa.array([index.get(item, missing) for item in coded.dictionary.to_pylist()], to)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.ListArray.from_arrays(offsets, values.take(coded.indices))
+
+    return df.withColumn(into, look_up(F.col(column)))
+
+
+def _joined(df: DataFrame, table: DataFrame, column: str, into: str, missing: object) -> DataFrame:
+    """The same by a join, one row per distinct item of each distinct array; rows find theirs by the array's digest."""
+    kind = table.schema["to"].dataType.simpleString()
+    digest: Column = F.sha2(F.to_json(F.struct(F.col(column).alias("a"))), 256)
+    marked = df.withColumn("__digest", digest)
+    arrays = marked.groupBy("__digest").agg(F.first(column).alias("__items"))
     places = (
-        df.select(key, F.posexplode(tokens).alias("pos", "token"))
-        .groupBy(key, "token")
+        arrays.select("__digest", F.posexplode("__items").alias("pos", "from"))
+        .groupBy("__digest", "from")
         .agg(F.collect_list("pos").alias("places"))
     )
-    found = salted_left_join(places, vocabulary.select("token", "id"), ["token"])
-    rows = found.select(key, F.explode("places").alias("pos"), F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
-    return _in_order(df, rows, key, "id", into, "array<int>")
-
-
-def decode(df: DataFrame, vocabulary: DataFrame, ids: str, key: str, into: str = "decoded") -> DataFrame:
-    """Words of the ids joined by spaces, special ids (below 2) left out."""
-    table = _shippable(vocabulary)
-    if table is None:
-        return decode_by_join(df, vocabulary, ids, key, into)
-    shipped = df.sparkSession.sparkContext.broadcast(table.combine_chunks())
-
-    @F.arrow_udf("array<string>")
-    def look_up(lists: pa.Array) -> pa.Array:
-        known = shipped.value
-        flat = lists.flatten()
-        found = pc.take(known.column("token"), pc.index_in(flat, value_set=known.column("id")))
-        if isinstance(found, pa.ChunkedArray):
-            found = found.combine_chunks()
-        sizes = pc.fill_null(pc.list_value_length(lists), 0)
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
-        return pa.ListArray.from_arrays(offsets, found.cast(pa.string()))
-
-    # concat_ws leaves nulls out, which the special and unknown ids are
-    return df.withColumn(into, F.concat_ws(" ", look_up(F.col(ids))))
-
-
-def decode_by_join(df: DataFrame, vocabulary: DataFrame, ids: str, key: str, into: str = "decoded") -> DataFrame:
-    places = (
-        df.select(key, F.posexplode(ids).alias("pos", "id"))
-        .where(F.col("id") >= FIRST_ID)
-        .groupBy(key, "id")
-        .agg(F.collect_list("pos").alias("places"))
+    found = places.join(table, "from", "left")
+    value = F.coalesce("to", F.lit(missing).cast(kind))
+    rows = found.select("__digest", F.explode("places").alias("pos"), value.alias("value"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"])
+    results = rows.groupBy("__digest").agg(ordered.alias(into))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != into]
+    return marked.join(results, "__digest", "left").select(
+        *kept, F.coalesce(results[into], F.array().cast(f"array<{kind}>")).alias(into)
     )
-    found = salted_left_join(places, vocabulary.select("id", "token"), ["id"])
-    rows = found.select(key, F.explode("places").alias("pos"), "token")
-    return _in_order(df, rows, key, "token", into, "array<string>").withColumn(into, F.concat_ws(" ", into))
-
-
-def _in_order(df: DataFrame, rows: DataFrame, key: str, value: str, into: str, kind: str) -> DataFrame:
-    """Put exploded values back into one array per row, by position; rows without any get an empty array."""
-    ordered: Column = F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value])
-    arrays = rows.groupBy(key).agg(ordered.alias(into))
-    return df.join(arrays, key, "left").withColumn(into, F.coalesce(into, F.array().cast(kind)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import words
 from textloom.operators import add_position, align_pairs
-from textloom.sources.readers import load_data, spread
+from textloom.sources.readers import load_data
 
 # Common words by which a text's language is guessed, ties going to the earlier one.
 STOP_WORDS = {
@@ -23,8 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Texts, dealt out to all cores where the file is small; unused columns are not read."""
-    return spread(table(spark, sf_dir, "documents").select(*columns))
+    return table(spark, sf_dir, "documents").select(*columns)
 
 
 def documents_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,23 +53,29 @@ def turn_key() -> Column:
     return (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("key")
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user turn as the reference and the assistant turn after it as the prediction.
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """User turns as references and the assistant turns after them as predictions, by the user turn's key.
 
-    Joined on conversation and turn, so the turns of one big conversation are spread over all tasks.
+    Keys are of conversation and turn, so the turns of one big conversation are dealt out over all tasks.
     """
-    talk = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     asked = talk.where(F.col("role") == "user").select(turn_key(), F.col("text").alias("reference"))
     answered = talk.where(F.col("role") == "assistant").select(
-        F.col("conv_id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction")
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction")
     )
-    answered = answered.select(turn_key(), "prediction")
+    return asked, answered.select(turn_key(), "prediction")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user turn as the reference and the assistant turn after it as the prediction."""
+    asked, answered = _sides(spark, sf_dir)
     return asked.join(answered, "key")
 
 
 def aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = pairs(spark, sf_dir)
-    return align_pairs(both.select("key", "reference"), both.select("key", "prediction"), "key")
+    """Two tables of their own: user turns that are answered, and assistant turns that were asked for."""
+    asked, answered = _sides(spark, sf_dir)
+    return align_pairs(asked.join(answered, "key", "left_semi"), answered.join(asked, "key", "left_semi"), "key")
 
 
 def quality_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,14 +110,49 @@ def request_log(events: DataFrame) -> DataFrame:
     return events.select("event_id", "ts", status.alias("status"), F.col("value").alias("latency"))
 
 
+def request_bodies(events: DataFrame) -> DataFrame:
+    """Events as request bodies: some broken in one way or another, the others with a prompt and a ``top_k``."""
+    top_k = F.get_json_object("props", "$.k")
+    kind = F.col("event_id") % 11
+    plain = F.concat(F.lit('{"prompt": "'), F.col("event_type"), F.lit(" "), F.col("user_id").cast("string"), F.lit('"'))
+    body = (
+        F.when(kind == 0, "not json")
+        .when(kind == 1, F.concat(F.lit('{"top_k": '), top_k, F.lit("}")))
+        .when(kind == 2, F.concat(plain, F.lit(', "top_k": "abc"}')))
+        .when(kind == 3, F.concat(plain, F.lit(', "top_k": 3.7}')))
+        .when(kind == 4, F.concat(plain, F.lit(', "temperature": true}')))
+        .when(kind == 5, '{"prompt": 5}')
+        .when(kind == 6, '["prompt"]')
+        .when(kind == 7, F.concat(plain, F.lit(', "top_k": "'), top_k, F.lit('", "max_new_tokens": null}')))
+        .otherwise(F.concat(plain, F.lit(', "temperature": 0.5, "top_k": '), top_k, F.lit("}")))
+    )
+    return events.select("event_id", body.alias("body"))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.groupBy("lang", "source").agg(F.ln(F.count(F.lit(1))).alias("score"))
 
 
+def documents_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with two more columns that hold nulls and separators."""
+    a = F.when(F.col("doc_id") % 7 > 0, F.col("lang"))
+    b = F.when(F.col("doc_id") % 5 > 0, F.concat("source", F.lit("|")))
+    return table(spark, sf_dir, "documents").select("doc_id", a.alias("a"), b.alias("b"), "text")
+
+
 def documents_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Next version of the documents: some gone, some changed, some new."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("doc_id") % 17 != 0)
-    changed = docs.withColumn("text", F.when(F.col("doc_id") % 19 == 0, F.upper("text")).otherwise(F.col("text")))
-    new = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), "text")
+    """Next version of the documents: some gone, some changed, some with two values swapped, some new."""
+    docs = documents_v1(spark, sf_dir).where(F.col("doc_id") % 17 != 0)
+    swapped = F.col("doc_id") % 21 == 0
+    changed = docs.select(
+        "doc_id",
+        F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("a"),
+        F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("b"),
+        F.when(F.col("doc_id") % 19 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"),
+    )
+    none = F.lit(None).cast("string")
+    new = table(spark, sf_dir, "benchmark").select(
+        (F.col("item_id") + 1_000_000_000).alias("doc_id"), none.alias("a"), none.alias("b"), "text"
+    )
     return changed.unionByName(new)

@@ -199,6 +199,18 @@ scored AS (
   LEFT JOIN contexts c ON e.prev = c.prev CROSS JOIN v
   GROUP BY e.item_id)"""
 
+REQUESTS = """
+asked AS (SELECT event_id, event_id % 11 AS kind, event_type || ' ' || user_id AS asked,
+          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+requests AS (
+  SELECT event_id, kind, CASE WHEN kind IN (2, 3, 4, 7, 8, 9, 10) THEN asked END AS prompt,
+         CASE WHEN kind >= 7 THEN k ELSE CAST(50 AS INTEGER) END AS top_k,
+         CASE kind WHEN 0 THEN 'body is not a JSON object' WHEN 1 THEN 'prompt is missing'
+           WHEN 2 THEN 'top_k is not a whole number' WHEN 3 THEN 'top_k is not a whole number'
+           WHEN 4 THEN 'temperature is not a number' WHEN 5 THEN 'prompt is not a text'
+           WHEN 6 THEN 'body is not a JSON object' END AS request_error
+  FROM asked)"""
+
 WINDOWS = """
 log AS (
   SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, value AS latency,
@@ -226,11 +238,11 @@ kept AS (SELECT item_id, nth, {_strip('line')} AS prompt FROM lines)"""
 ORACLE: dict[str, str] = {
     "src_csv": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "src_jsonl": "SELECT conv_id, turn, role, text FROM conversations",
-    "src_parquet": "SELECT doc_id, lang, source, n_chars FROM documents",
-    "src_table": "SELECT doc_id, lang, n_chars FROM documents",
+    "src_parquet": "SELECT * FROM documents",
+    "src_table": "SELECT * FROM documents",
     "src_prompts": f"""WITH {_file_lines()}
         SELECT row_number() OVER (ORDER BY item_id, nth) - 1 AS prompt_idx, prompt FROM kept WHERE prompt <> ''""",
-    "split_select": f"SELECT doc_id, lang, n_chars, {SPLIT} AS split FROM documents WHERE {SPLIT} = 'train'",
+    "split_select": f"SELECT *, {SPLIT} AS split FROM documents WHERE {SPLIT} = 'train'",
     "split_union": """SELECT doc_id AS key, text, 'train' AS split FROM documents
         UNION ALL SELECT item_id, text, 'eval' FROM benchmark""",
     "sink_results": """SELECT conv_id * 4294967296 + turn AS prompt_idx, text AS prompt,
@@ -271,8 +283,20 @@ ORACLE: dict[str, str] = {
     "tokenise_arrow": f"""WITH {ENCODED}
         SELECT w.doc_id, coalesce(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos), '') AS input_ids
         FROM words w LEFT JOIN ids i ON w.doc_id = i.doc_id GROUP BY w.doc_id""",
-    "batch_assign": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id FROM documents",
-    "collate_batches": f"""WITH w AS (SELECT doc_id, list_transform({_words('text')}, lambda x: length(x))[1:512] AS a
+    "batch_assign": "SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id FROM documents",
+    "batch_assign_text": """WITH p AS (
+          SELECT doc_id, source, text, row_number() OVER (ORDER BY source, doc_id) AS position FROM documents)
+        SELECT *, (position - 1) // 8 AS batch_id FROM p""",
+    "batch_map": """WITH b AS (SELECT n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 256 AS batch_id FROM documents)
+        SELECT batch_id, count(*) AS n_rows, max(n_chars) AS longest FROM b GROUP BY batch_id""",
+    "load_dispatch": """SELECT t.conv_id, t.turn, t.role, t.text, s.split FROM conversations t,
+        (VALUES ('csv'), ('jsonl'), ('parquet'), ('directory'), ('table')) s(split)""",
+    "cache_copy": "SELECT * FROM documents",
+    "metrics_append": f"WITH {HISTORY} SELECT run, step, metric, loss AS value FROM history",
+    "metric_choice": f"WITH {_bleu()} SELECT 'bleu' AS metric, bleu AS value FROM bleu_score",
+    "pad_fallback": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 50256 ELSE doc_id % 3 - 1 END::BIGINT AS pad_id
+        FROM documents""",
+    "collate_batches": f"""WITH w AS (SELECT doc_id, list_transform({_words('text')}, lambda x: length(x)) AS a
           FROM documents),
         b AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id FROM w),
         wide AS (SELECT *, CAST(ceil(max(len(a)) OVER (PARTITION BY batch_id) / 8.0) * 8 AS INTEGER) AS width FROM b),
@@ -281,7 +305,7 @@ ORACLE: dict[str, str] = {
           array_to_string(list_transform(range(1, width + 1), lambda i: CASE WHEN i <= len(a) THEN 1 ELSE 0 END), ' ')
             AS attention_mask FROM wide)
         SELECT *, input_ids AS labels FROM padded""",
-    "seeded_shuffle": """SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS shuffled_idx
+    "seeded_shuffle": """SELECT *, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS shuffled_idx
         FROM documents""",
     "step_plan": f"""WITH s AS (SELECT {SPLIT} AS split, count(*) AS n_rows FROM documents GROUP BY 1),
         b AS (SELECT *, CAST(ceil(n_rows / 16.0) AS BIGINT) AS n_batches FROM s)
@@ -309,12 +333,14 @@ ORACLE: dict[str, str] = {
         SELECT (SELECT round(avg(f), 6) FROM f1) AS rouge1, (SELECT round(avg(f), 6) FROM f2) AS rouge2""",
     "rouge_l": f"WITH RECURSIVE {PAIRS}, {_rouge_l()} SELECT key, round(f, 6) AS rouge_l FROM fl",
     "rouge_bootstrap": f"""WITH {PAIRS}, {_rouge_n()},
+        blocks AS (SELECT CAST('0x' || substr(md5(key::VARCHAR), 1, 3) AS BIGINT) AS block, sum(f) AS s, count(*) AS n
+          FROM f1 GROUP BY 1),
         draws AS (
-          SELECT b AS replica, f,
-                 CAST('0x' || substr(md5(b || ':' || key), 1, 13) AS BIGINT) / CAST({1 << 52} AS DOUBLE) AS u
-          FROM f1, range(1, {REPLICAS + 1}) r(b)),
-        weighted AS (SELECT replica, f, {_poisson('u')} AS w FROM draws),
-        means AS (SELECT replica, sum(w * f) / nullif(CAST(sum(w) AS DOUBLE), 0) AS mean FROM weighted GROUP BY replica)
+          SELECT b AS replica, s, n,
+                 CAST('0x' || substr(md5(b || ':' || block), 1, 13) AS BIGINT) / CAST({1 << 52} AS DOUBLE) AS u
+          FROM blocks, range(1, {REPLICAS + 1}) r(b)),
+        weighted AS (SELECT replica, s, n, {_poisson('u')} AS w FROM draws),
+        means AS (SELECT replica, sum(w * s) / nullif(CAST(sum(w * n) AS DOUBLE), 0) AS mean FROM weighted GROUP BY replica)
         SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.5), 6) AS mid,
                round(quantile_cont(mean, 0.975), 6) AS high FROM means""",
     "text_evaluate": f"""WITH RECURSIVE {_bleu()}, {_rouge_n()}, {_rouge_l()}
@@ -337,9 +363,9 @@ ORACLE: dict[str, str] = {
           SELECT n_chars / 1000.0::DOUBLE AS loss, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id
           FROM documents)
         SELECT batch_id, round(avg(loss), 6) AS loss, count(*) AS n_rows FROM b GROUP BY batch_id""",
-    "request_defaults": """SELECT event_id, CAST(128 AS INTEGER) AS max_new_tokens, 1.0::DOUBLE AS temperature,
-        0.9::DOUBLE AS top_p, coalesce(CASE WHEN event_type <> 'view' THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END, 50)
-        AS top_k, CAST(1 AS INTEGER) AS num_return_sequences FROM events""",
+    "request_defaults": f"""WITH {REQUESTS} SELECT event_id, prompt, CAST(128 AS INTEGER) AS max_new_tokens,
+        CASE WHEN kind > 7 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS temperature, 0.9::DOUBLE AS top_p, top_k,
+        CAST(1 AS INTEGER) AS num_return_sequences, request_error FROM requests""",
     "response_struct": f"""WITH {USER_TURNS} SELECT conv_id, turn, prompt, 're: ' || prompt AS generated_texts,
         CAST(128 AS INTEGER) AS max_new_tokens, 1.0::DOUBLE AS temperature, 0.9::DOUBLE AS top_p,
         CAST(CASE WHEN turn > 0 THEN turn ELSE 50 END AS INTEGER) AS top_k, CAST(1 AS INTEGER) AS num_return_sequences
@@ -362,7 +388,7 @@ ORACLE: dict[str, str] = {
     "generate_texts": f"""WITH {USER_TURNS},
         m AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN prompt || '?' ELSE prompt END AS prompt FROM turns)
         SELECT conv_id, turn, CASE WHEN contains(prompt, '?') THEN 'error' ELSE 'ok' END AS status,
-               CASE WHEN contains(prompt, '?') THEN 'Generation error: no questions' END AS error,
+               CASE WHEN contains(prompt, '?') THEN 'model failed: no questions' END AS error,
                CASE WHEN contains(prompt, '?') THEN '' ELSE array_to_string(list_transform(range(1, turn % 2 + 2),
                  lambda i: 'reply ' || i || ' of ' || length(prompt) || ' characters'), '|') END AS generated_texts
         FROM m""",
@@ -386,22 +412,30 @@ ORACLE: dict[str, str] = {
         min(value) FILTER (WHERE event_type = 'view') AS view_min,
         arg_max(value, event_id) FILTER (WHERE event_type = 'view') AS view_last FROM events GROUP BY user_id""",
     "dataset_fingerprint": """WITH h AS (
-          SELECT CAST('0x' || substr(md5(doc_id || '|' || text), 1, 15) AS BIGINT) AS h FROM documents)
+          SELECT CAST('0x' || substr(md5(concat_ws('', coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '~'),
+            coalesce(length(text) || ':' || text, '~'))), 1, 15) AS BIGINT) AS h FROM documents)
         SELECT count(*) AS n_rows, bit_xor(h) AS fingerprint, CAST(CAST(sum(h) AS HUGEINT) AS VARCHAR) AS hash_sum FROM h""",
-    "dataset_diff": """WITH v2 AS (
-          SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN upper(text) ELSE text END AS text
-          FROM documents WHERE doc_id % 17 <> 0
-          UNION ALL SELECT item_id + 1000000000, text FROM benchmark)
-        SELECT coalesce(a.doc_id, b.doc_id) AS doc_id,
-               CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed'
-                    WHEN a.text <> b.text THEN 'changed' ELSE 'same' END AS change
-        FROM documents a FULL JOIN v2 b ON a.doc_id = b.doc_id""",
+    "dataset_diff": """WITH old AS (
+          SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN lang END AS a, CASE WHEN doc_id % 5 > 0 THEN source || '|' END AS b, text
+          FROM documents),
+        v2 AS (
+          SELECT doc_id, CASE WHEN doc_id % 21 = 0 THEN b ELSE a END AS a, CASE WHEN doc_id % 21 = 0 THEN a ELSE b END AS b,
+                 CASE WHEN doc_id % 19 = 0 THEN upper(text) ELSE text END AS text
+          FROM old WHERE doc_id % 17 <> 0
+          UNION ALL SELECT item_id + 1000000000, NULL, NULL, text FROM benchmark)
+        SELECT coalesce(o.doc_id, n.doc_id) AS doc_id,
+               CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed'
+                    WHEN o.a IS DISTINCT FROM n.a OR o.b IS DISTINCT FROM n.b OR o.text IS DISTINCT FROM n.text
+                    THEN 'changed' ELSE 'same' END AS change
+        FROM old o FULL JOIN v2 n ON o.doc_id = n.doc_id""",
     "monitor_windows": f"WITH {WINDOWS} SELECT * FROM windows",
-    "stream_windows": f"""WITH {WINDOWS} SELECT * FROM windows
-        WHERE window_end <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)""",
-    "stream_requests": """WITH r AS (SELECT event_id, event_type, event_type || ' ' || user_id AS prompt,
-          CAST(json_extract_string(props, '$.k') AS INTEGER) AS top_k FROM events)
-        SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
-               CASE WHEN event_type = 'error' THEN 'Generation error: not accepted' END AS error, prompt,
-               CASE WHEN event_type = 'error' THEN '' ELSE 'top ' || top_k END AS generated_texts, top_k FROM r""",
+    "stream_windows": f"WITH {WINDOWS} SELECT * FROM windows",
+    "stream_requests": f"""WITH {REQUESTS},
+        answered AS (SELECT *, coalesce(request_error, CASE WHEN starts_with(prompt, 'error')
+                       THEN 'model failed: not accepted' END) AS error FROM requests)
+        SELECT event_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error, prompt,
+               CASE WHEN error IS NULL THEN 'top ' || top_k ELSE '' END AS generated_texts, top_k FROM answered""",
 }
+
+for _ids in ("encode_ids", "decode_ids"):
+    ORACLE[_ids.replace("_ids", "_join")] = ORACLE[_ids]

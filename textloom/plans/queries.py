@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,8 @@ from textloom.functions import words
 from textloom.plans import inputs
 from textloom.plans.inputs import table
 from textloom.session import new_dir
-from textloom.sources import load_data, materialise, params_long, read_prompts, union_splits, write_results
-from textloom.streaming import stream_metrics, stream_responses, write_stream
+from textloom.sources import append_metrics, load_data, materialise, params_long, read_prompts, union_splits, write_results
+from textloom.streaming import read_latest, stream_metrics, stream_responses, write_latest, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,12 +50,12 @@ def src_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_data(spark, f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    return load_data(spark, f"{sf_dir}/documents.parquet")
 
 
 def src_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "documents").createOrReplaceTempView("named_documents")
-    return load_data(spark, "named_documents").select("doc_id", "lang", "n_chars")
+    return load_data(spark, "named_documents")
 
 
 def src_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +66,9 @@ def src_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "splits")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", inputs.split_name().alias("split"))
+    docs = table(spark, sf_dir, "documents").withColumn("split", inputs.split_name())
     docs.write.partitionBy("split").parquet(path)
-    return load_data(spark, path, split="train").select("doc_id", "lang", "n_chars", "split")
+    return load_data(spark, path, split="train")
 
 
 def split_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,19 +122,31 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.fit_vocabulary(inputs.documents(spark, sf_dir, "text"), size=VOCABULARY_SIZE)
 
 
-def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = inputs.documents(spark, sf_dir, "doc_id", "text")
-    vocabulary = _vocabulary(docs)
-    split = docs.select("doc_id", words(F.col("text")).alias("words"))
-    return ops.encode(split, vocabulary, "words", key="doc_id").select("doc_id", _flat("input_ids"))
+    return docs.select("doc_id", words(F.col("text")).alias("words")), _vocabulary(docs)
+
+
+def encode_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split, vocabulary = _words(spark, sf_dir)
+    return ops.encode(split, vocabulary, "words", lookup="join").select("doc_id", _flat("input_ids"))
+
+
+def decode_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split, vocabulary = _words(spark, sf_dir)
+    encoded = ops.encode(split, vocabulary, "words", lookup="join").select("doc_id", "input_ids")
+    return ops.decode(encoded, vocabulary, "input_ids", lookup="join").select("doc_id", "decoded")
+
+
+def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split, vocabulary = _words(spark, sf_dir)
+    return ops.encode(split, vocabulary, "words").select("doc_id", _flat("input_ids"))
 
 
 def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = inputs.documents(spark, sf_dir, "doc_id", "text")
-    vocabulary = _vocabulary(docs)
-    split = docs.select("doc_id", words(F.col("text")).alias("words"))
-    encoded = ops.encode(split, vocabulary, "words", key="doc_id").select("doc_id", "input_ids")
-    return ops.decode(encoded, vocabulary, "input_ids", key="doc_id").select("doc_id", "decoded")
+    split, vocabulary = _words(spark, sf_dir)
+    encoded = ops.encode(split, vocabulary, "words").select("doc_id", "input_ids")
+    return ops.decode(encoded, vocabulary, "input_ids").select("doc_id", "decoded")
 
 
 def prep_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,18 +191,25 @@ def _word_level_file(vocabulary: DataFrame, path: str) -> None:
 
 
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.assign_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return ops.assign_batches(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def batch_assign_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches along a text key, ties going by number."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    positioned = ops.add_position(docs, ["source", "doc_id"])
+    return positioned.withColumn("batch_id", F.expr("(position - 1) div 8").cast("bigint"))
 
 
 def collate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.documents(spark, sf_dir, "doc_id", "text")
-    lengths = docs.select("doc_id", F.transform(words(F.col("text"), 512), lambda w: F.length(w)).alias("input_ids"))
+    lengths = docs.select("doc_id", F.transform(words(F.col("text")), lambda w: F.length(w)).alias("input_ids"))
     batches = ops.collate(lengths, "doc_id")
     return batches.select("doc_id", "batch_id", "width", _flat("input_ids"), _flat("attention_mask"), _flat("labels"))
 
 
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.seeded_order(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return ops.seeded_order(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def step_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,10 +291,8 @@ def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By rows, which is the default, and by tokens."""
-    scored = materialise(_scored(spark, sf_dir), new_dir(spark, "scores"))
-    by_rows = ops.perplexity(scored).withColumn("weighted_by", F.lit("rows"))
-    by_tokens = ops.perplexity(scored, weight="n_tokens").withColumn("weighted_by", F.lit("tokens"))
-    return by_rows.unionByName(by_tokens).withColumn("perplexity", F.round("perplexity", 3))
+    both = ops.perplexities(_scored(spark, sf_dir), {"rows": None, "tokens": "n_tokens"})
+    return both.withColumn("perplexity", F.round("perplexity", 3))
 
 
 def _length_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,9 +311,8 @@ def batch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.when(F.col("event_type") == "view", "{}").otherwise(F.replace("props", F.lit('"k"'), F.lit('"top_k"')))
-    requests = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
-    return ops.parse_requests(requests, "body").drop("body", "prompt")
+    requests = inputs.request_bodies(table(spark, sf_dir, "events"))
+    return ops.parse_requests(requests, "body").drop("body")
 
 
 def response_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,9 +344,22 @@ def nucleus_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _make_word_length() -> Callable:
+    """A batch model: mean word length out of byte classes, a whole batch of texts at a time."""
+    blank = np.zeros(256, bool)
+    blank[list(b" \t\n\x0b\x0c\r")] = True
+    middle = np.zeros(256, bool)
+    middle[128:192] = True  # bytes that go on with a character
+
     def word_length(texts: np.ndarray) -> np.ndarray:
-        split = [t.split() for t in texts]
-        return np.array([sum(map(len, w)) / max(len(w), 1) for w in split], dtype="float64")
+        raw = [t.encode() for t in texts]
+        # a blank in front of each text, so that every word begins after one
+        flat = np.frombuffer(b" " + b" ".join(raw), np.uint8)
+        starts = np.cumsum([0, *(len(r) + 1 for r in raw[:-1])])
+        dark = ~blank[flat]
+        begins = np.append(False, dark[1:] & ~dark[:-1])
+        letters = np.add.reduceat((dark & ~middle[flat]).astype("int64"), starts)
+        counts = np.add.reduceat(begins.astype("int64"), starts)
+        return letters / np.maximum(counts, 1)
 
     return word_length
 
@@ -390,8 +420,9 @@ def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ops.version_diff(old, inputs.documents_v2(spark, sf_dir), "doc_id", ["text"])
+    """Several columns with nulls and separators in them; some rows only swap their values."""
+    old = inputs.documents_v1(spark, sf_dir)
+    return ops.version_diff(old, inputs.documents_v2(spark, sf_dir), "doc_id", ["a", "b", "text"])
 
 
 # --- monitoring and streams
@@ -416,10 +447,14 @@ def _finished(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows, with those that the watermark has not closed as they stand at the end."""
     log = inputs.request_log(_event_stream(spark, sf_dir))
-    closed = _finished(stream_metrics(log, width="1 hour", delay="1 hour"), "windows")
+    windows = stream_metrics(log, width="1 hour", delay="1 hour")
+    path = new_dir(spark, "windows")
+    write_latest(windows, path, path + "-checkpoint", once=True).awaitTermination()
+    latest = read_latest(spark, path, windows.schema, ["window_start", "window_end"])
     local = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
-    return _rounded(closed.withColumns(local), "error_rate")
+    return _rounded(latest.withColumns(local), "error_rate")
 
 
 def _make_counter() -> Callable:
@@ -432,10 +467,8 @@ def _make_counter() -> Callable:
 
 
 def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompt = F.concat_ws(" ", "event_type", F.col("user_id").cast("string"))
-    body = F.replace("props", F.lit('"k"'), F.lit('"top_k"'))
-    requests = _event_stream(spark, sf_dir).select("event_id", body.alias("body"), prompt.alias("asked"))
-    parsed = ops.parse_requests(requests, "body").drop("body", "prompt").withColumnRenamed("asked", "prompt")
+    requests = inputs.request_bodies(_event_stream(spark, sf_dir))
+    parsed = ops.parse_requests(requests, "body").drop("body")
     done = _finished(stream_responses(parsed, _make_counter), "responses")
     return done.select(
         "event_id",
@@ -447,6 +480,66 @@ def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- entries for what other queries only use on the way
+
+
+def load_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table through each reader that the path picks."""
+    talk = table(spark, sf_dir, "conversations")
+    base = new_dir(spark, "dispatch")
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    talk.write.options(**plain).csv(base + "/talk.csv")
+    talk.write.json(base + "/talk.jsonl")
+    talk.write.parquet(base + "/talk.parquet")
+    talk.write.parquet(base + "/folder/plain")
+    talk.createOrReplaceTempView("named_conversations")
+    paths = {
+        "csv": base + "/talk.csv", "jsonl": base + "/talk.jsonl", "parquet": base + "/talk.parquet",
+        "directory": base + "/folder/plain", "table": "named_conversations",
+    }
+    return union_splits(
+        {name: load_data(spark, path).select("conv_id", "turn", "role", "text") for name, path in paths.items()}
+    )
+
+
+def cache_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second call reads the copy that the first one made."""
+    cache = new_dir(spark, "cache")
+    for _ in range(2):
+        docs = load_data(spark, f"{sf_dir}/documents.parquet", cache_dir=cache)
+    return docs
+
+
+def metrics_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "metrics")
+    history = inputs.run_history(spark, sf_dir).select("run", "step", "metric", F.col("loss").alias("value"))
+    for parity in (0, 1):
+        append_metrics(history.where(F.col("step") % 2 == parity), path)
+    return spark.read.schema(history.schema).parquet(path).select("run", "step", "metric", "value")
+
+
+def metric_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only what is asked for is worked out; unknown names are ignored."""
+    return _rounded(ops.evaluate_generated_text(inputs.pairs(spark, sf_dir), metrics=["bleu", "other"]), "value")
+
+
+def pad_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The padding id of each document, and the end id where there is none."""
+    docs = table(spark, sf_dir, "documents")
+    pad = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 - 1)
+    return docs.select("doc_id", ops.pad_token(pad, F.lit(50_256).cast("bigint")).alias("pad_id"))
+
+
+def _batch_shape(batch: pd.DataFrame) -> pd.DataFrame:
+    sizes = batch["n_chars"]
+    return pd.DataFrame({"batch_id": batch["batch_id"].iloc[:1], "n_rows": len(batch), "longest": sizes.max()})
+
+
+def batch_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batched = ops.assign_batches(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 256)
+    return ops.map_batches(batched, _batch_shape, "batch_id bigint, n_rows bigint, longest bigint")
+
+
 def _queries() -> Iterator[tuple[str, Query]]:
     for q in (
         src_csv, src_jsonl, src_parquet, src_table, src_prompts, split_select, split_union, sink_results,
@@ -458,6 +551,8 @@ def _queries() -> Iterator[tuple[str, Query]]:
         request_defaults, response_struct, strip_prompt, expand_sequences, nucleus_filter, batch_predict,
         generate_texts, steps_every, best_step, early_stop, runs_compare, dataset_fingerprint, dataset_diff,
         monitor_windows, stream_windows, stream_requests,
+        encode_join, decode_join, batch_assign_text, load_dispatch, cache_copy, metrics_append, metric_choice,
+        pad_fallback, batch_map,
     ):
         yield q.__name__, q
     yield "params_long", params_long_query

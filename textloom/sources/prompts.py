@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from textloom.functions import strip_text
 
+_BLOCK = ["file", "block"]
+_BLOCK_LINES = 1 << 40
+
 
 def read_prompts(spark: SparkSession, path: str, dense: bool = False) -> DataFrame:
-    """Stripped non-blank lines with ``prompt_idx`` in file order.
+    """Stripped non-blank lines with ``prompt_idx`` in the order of files by name, and of lines in each.
 
-    Any line ending counts. The index grows with the order of lines but has gaps; ``dense=True`` numbers from 0, which
-    counts lines per file block first and then adds up the blocks.
+    Any line ending counts. The index has gaps between file blocks; ``dense=True`` numbers from 0, which counts the lines
+    per block first and then adds up the blocks.
     """
     lines = (
         spark.read.text(path)
@@ -24,16 +27,13 @@ def read_prompts(spark: SparkSession, path: str, dense: bool = False) -> DataFra
         )
         .where(F.length("prompt") > 0)
     )
-    if not dense:
-        return lines.select(F.col("line").alias("prompt_idx"), "prompt")
-    block = ["file", "block"]
-    counts = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("n"))
     # one row per file block, not per line
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy(*block).orderBy("line")
-    return (
-        lines.withColumn("nth", F.row_number().over(within))
-        .join(offsets, block)
-        .select((F.col("offset") + F.col("nth") - 1).cast("bigint").alias("prompt_idx"), "prompt")
-    )
+    blocks = lines.groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy(*_BLOCK)
+    if dense:
+        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        before = (F.row_number().over(order) - 1) * F.lit(_BLOCK_LINES)
+    nth = F.row_number().over(Window.partitionBy(*_BLOCK).orderBy("line"))
+    numbered = lines.withColumn("nth", nth).join(blocks.select(*_BLOCK, before.alias("before")), _BLOCK)
+    return numbered.select((F.col("before") + F.col("nth") - 1).cast("bigint").alias("prompt_idx"), "prompt")

@@ -31,20 +31,25 @@ def load_data(
     split: str | None = None,
     cache_dir: str | None = None,
     schema: T.StructType | str | None = None,
+    multi_line: bool = True,
+    label_splits: bool = False,
 ) -> DataFrame:
     """Read a table from a file, a directory or the catalog.
 
     The suffix decides (case-sensitive): ``.csv``, ``.json`` or ``.jsonl``, ``.parquet``; anything else is a directory
     or, failing that, a table or view name. ``split`` selects rows for every source but CSV; None means all rows. Pass
     ``schema`` for big CSV and JSON inputs: finding it costs one more pass. ``cache_dir`` keeps a Parquet copy that
-    later jobs read as long as the source files have not changed.
+    later jobs read as long as the source files have not changed. ``multi_line=False`` lets Spark cut big CSV files into
+    tasks, if no quoted cell holds a line break. ``label_splits`` adds the column ``split``, told by the names of the
+    files, to a directory of files without it.
     """
     if cache_dir is not None:
         from textloom.sources.sinks import cached_copy
 
-        return cached_copy(spark, data_path, cache_dir, lambda: load_data(spark, data_path, split, None, schema), split, schema)
+        build = lambda: load_data(spark, data_path, split, None, schema, multi_line, label_splits)
+        return cached_copy(spark, data_path, cache_dir, build, split, schema, multi_line, label_splits)
     if data_path.endswith(".csv"):
-        return read_csv(spark, data_path, schema=schema)
+        return read_csv(spark, data_path, schema=schema, multi_line=multi_line)
     if data_path.endswith(".jsonl"):
         df = _with_schema(spark, schema).json(data_path)
     elif data_path.endswith(".json"):
@@ -55,7 +60,7 @@ def load_data(
     elif "/" not in data_path and spark.catalog.tableExists(data_path):
         df = spark.table(data_path)
     else:
-        df = _read_directory(spark, data_path, schema, split)
+        df = _read_directory(spark, data_path, schema, split is not None or label_splits, multi_line)
     return df if split is None else select_split(df, split)
 
 
@@ -75,7 +80,7 @@ def select_split(df: DataFrame, split: str) -> DataFrame:
     raise ValueError(f"unknown split {split!r}: the table has no split column, so all of it is 'train'")
 
 
-def _read_directory(spark: SparkSession, path: str, schema, split: str | None) -> DataFrame:
+def _read_directory(spark: SparkSession, path: str, schema, labelled: bool, multi_line: bool) -> DataFrame:
     """Directory of files of one format, told by their suffixes (listing only, no content is read)."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     suffix = F.regexp_extract("path", r"\.(csv|jsonl|json|parquet)(?:\.[a-z0-9]+)?$", 1)
@@ -83,13 +88,13 @@ def _read_directory(spark: SparkSession, path: str, schema, split: str | None) -
     if len(found) != 1:
         raise ValueError(f"expected files of one format in {path}, found {found or 'none'}")
     if found[0] == "csv":
-        df = read_csv(spark, path, schema=schema)
+        df = read_csv(spark, path, schema=schema, multi_line=multi_line)
     elif found[0] == "parquet":
         df = _with_schema(spark, schema).parquet(path)
     else:
         # text written by Spark is one record per line whatever the suffix
         df = _with_schema(spark, schema).json(path)
-    if split is not None and "split" not in df.columns:
+    if labelled and "split" not in df.columns:
         return df.withColumn("split", _split_of_file(F.col("_metadata.file_name")))
     return df
 
@@ -139,9 +144,10 @@ def _find_types(raw: DataFrame, na_values: tuple[str, ...]) -> dict[str, T.DataT
     checks = []
     for i, c in enumerate(raw.columns):
         v = F.trim(_without_na(F.col(f"`{c}`"), na_values))
-        whole = v.rlike(_INTEGER) & v.try_cast("bigint").isNotNull()
         checks += [
-            F.bool_and(F.when(v.isNotNull(), whole)).alias(f"whole_{i}"),
+            F.bool_and(v.rlike(_INTEGER)).alias(f"whole_{i}"),
+            F.bool_and(F.when(v.isNotNull(), v.try_cast("bigint").isNotNull())).alias(f"fits_{i}"),
+            F.max(F.length(v)).alias(f"width_{i}"),
             F.bool_and(v.rlike(_DECIMAL)).alias(f"decimal_{i}"),
             F.bool_and(F.lower(v).isin("true", "false")).alias(f"boolean_{i}"),
         ]
@@ -150,8 +156,11 @@ def _find_types(raw: DataFrame, na_values: tuple[str, ...]) -> dict[str, T.DataT
     row = raw.agg(*checks).first()
     types: dict[str, T.DataType] = {}
     for i, c in enumerate(raw.columns):
-        if row[f"whole_{i}"]:
+        if row[f"whole_{i}"] and row[f"fits_{i}"]:
             types[c] = T.LongType()
+        elif row[f"whole_{i}"]:
+            # no digit may get lost: a wide decimal, and text beyond that
+            types[c] = T.DecimalType(38, 0) if row[f"width_{i}"] <= 38 else T.StringType()
         elif row[f"decimal_{i}"]:
             types[c] = T.DoubleType()
         elif row[f"boolean_{i}"]:
@@ -171,12 +180,3 @@ def union_splits(tables: Mapping[str, DataFrame]) -> DataFrame:
         raise ValueError("no tables given")
     return result
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small scan out to all cores.
-
-    A small file often is one row group, which one task reads; work on its texts then would run on one core. A scan
-    with at least a partition per core is left as it is, so nothing is shuffled where the data is big.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -61,12 +61,17 @@ def _source_version(spark: SparkSession, data_path: str) -> str:
 def cached_copy(
     spark: SparkSession, data_path: str, cache_dir: str, build: Callable[[], DataFrame], *settings: object
 ) -> DataFrame:
-    """Parquet copy of ``build()`` below ``cache_dir``, kept until the source files or the settings change."""
+    """Parquet copy of ``build()`` below ``cache_dir``, kept until the source files or the settings change.
+
+    A copy counts once the mark beside it is written, so what a killed job left behind is written anew.
+    """
     import hashlib
 
     key = hashlib.md5(repr((data_path, _source_version(spark, data_path), settings)).encode()).hexdigest()
-    path = f"{cache_dir.rstrip('/')}/{key}"
+    path, mark = f"{cache_dir.rstrip('/')}/{key}/data", f"{cache_dir.rstrip('/')}/{key}/complete"
     try:
-        return spark.read.parquet(path)
+        spark.read.parquet(mark)
     except AnalysisException:
-        return materialise(build(), path)
+        build().write.mode("overwrite").parquet(path)
+        spark.range(1).write.mode("overwrite").parquet(mark)
+    return spark.read.parquet(path)

@@ -1,5 +1,19 @@
 """Structured Streaming forms of serving and monitoring."""
 
-from textloom.streaming.serving import append_stream_metrics, stream_metrics, stream_responses, write_stream
+from textloom.streaming.serving import (
+    append_stream_metrics,
+    read_latest,
+    stream_metrics,
+    stream_responses,
+    write_latest,
+    write_stream,
+)
 
-__all__ = ["append_stream_metrics", "stream_metrics", "stream_responses", "write_stream"]
+__all__ = [
+    "append_stream_metrics",
+    "read_latest",
+    "stream_metrics",
+    "stream_responses",
+    "write_latest",
+    "write_stream",
+]
