@@ -27,7 +27,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of each word, worked out once per distinct word and forgotten when the table gets big."""
 
-    def __init__(self, normal: Callable[[bytes], bytes] = bytes, most: int = 1_000_000):
+    def __init__(self, normal: Callable[[bytes], bytes] = bytes, most: int = 200_000):
         super().__init__()
         self.normal, self.most = normal, most
 

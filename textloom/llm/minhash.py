@@ -149,10 +149,12 @@ def _with_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in frames:
-            packed = [shingle_set(t.as_py(), hashes).tobytes() for t in batch.column("text")]
-            digests = pa.array([xxhash.xxh3_128_digest(p) for p in packed], pa.binary())
-            columns = [batch.column("doc_id"), batch.column("digest"), digests, pa.array(packed, pa.large_binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "own", "shingles"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                packed = [shingle_set(t.as_py(), hashes).tobytes() for t in part.column("text")]
+                digests = pa.array([xxhash.xxh3_128_digest(p) for p in packed], pa.binary())
+                columns = [part.column("doc_id"), part.column("digest"), digests, pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "own", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
     # repeated rows go without another exchange, as the join has dealt the rows out by doc_id
