@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed sequences: five stages, each over all that the one before kept."""
+"""A corpus from raw documents to packed sequences: five stages, each over all that the one before kept.
+
+Null and empty texts pass the filters as their scores say, are never near-duplicates, and count no words in the mix; a
+source without words is not drawn from, so they leave with it there. Null sources are a source, null ids are kept, extra
+columns go, and no documents give no rows.
+"""
 
 from __future__ import annotations
 
@@ -29,7 +34,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Rows that share an id are one document and stay together; rows without an id stay.
+    """
     ship_package(spark)
     kept = minhash.near_duplicates(docs, threshold=80).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept["__kept"]), "left_semi").select(COLUMNS)

@@ -51,3 +51,21 @@ def test_stages_over_no_documents(spark, middle):
     docs = spark.read.parquet(f"{middle}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, middle).collect() == []
+
+
+def test_stages_over_odd_documents(spark, middle):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int"
+    plain = "thing of be the and one by when it is in to other words again here "
+    rows = [(i, plain + f"w{i} " * 9 + "end.", "en", None if i % 3 else "a", 5, "x", 1) for i in range(1, 30)]
+    rows += [(40, rows[0][1], "en", "a", 5, "x", 1)] * 2 + [(41, None, None, None, None, None, None), (42, "", "en", "b", 0, "x", 1)]
+    rows += [(None, rows[1][1], "en", "a", 5, "x", 1), (None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    single = corpus_pipeline.near_duplicate_stage(spark, docs, middle)
+    assert single.columns == corpus_pipeline.COLUMNS
+    ids = sorted(r.doc_id or -1 for r in single.collect())
+    assert ids == sorted([*range(1, 30), 41, 42, -1, -1])
+    for stage in (corpus_pipeline.toxicity_stage, corpus_pipeline.quality_stage, corpus_pipeline.mixing_stage):
+        out = stage(spark, docs, middle)
+        assert out.columns == corpus_pipeline.COLUMNS and out.count() <= 3 * len(rows)
+    packed = corpus_pipeline.packing_stage(spark, docs, middle).where("start = 0").count()
+    assert packed == len(rows)
