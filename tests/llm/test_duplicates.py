@@ -95,7 +95,7 @@ def test_minhash_of_long_and_repeated_rows(frame):
     assert minhash.near_duplicates(frame("doc_id long, text string", [])).collect() == []
 
 
-def test_rest_pairs_join_what_first_members_miss(frame, monkeypatch):
+def test_the_rest_joins_what_first_members_miss(frame, monkeypatch):
     """Chains inside one band key: the first member is like few of the others."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
     base = [f"w{i}" for i in range(300)]
@@ -104,6 +104,16 @@ def test_rest_pairs_join_what_first_members_miss(frame, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == _expected(rows, 85)
 
 
+def test_common_counts():
+    draw = random.Random(7)
+    sets = [np.unique(np.array([draw.randrange(60) for _ in range(draw.randrange(1, 50))], np.uint64)) for _ in range(12)]
+    one, other = np.arange(5), np.arange(3, 12)
+    expected = [[len(set(sets[i]) & set(sets[j])) for j in other] for i in one]
+    assert minhash.common_counts(sets, one, other, 7)[:, :].tolist() == [
+        [e if i != j else (sets[i][:, None] == sets[j]).sum() for e, j in zip(row, other)] for row, i in zip(expected, one)
+    ]
+
+
 def test_sketch_limits():
     hashes = minhash.WordHashes()
     base = [f"w{i}" for i in range(400)]

@@ -23,7 +23,7 @@ BAND_ROWS = 5
 SKETCH_WORDS = 8
 MISSED = 1e-4
 DEVIATIONS = 5.0
-BLOCK = 256
+BLOCK = 512
 ATTEMPTS = 2
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -233,8 +233,8 @@ def _delegate_pairs(members: DataFrame, components: DataFrame, attempt: int, thr
     return pairs.select(F.col("digest").alias("x"), F.col("delegate.digest").alias("y")).distinct()
 
 
-def _rest_pairs(members: DataFrame, components: DataFrame, threshold: int) -> DataFrame:
-    """All pairs that share a key but not yet a component, but for those with first members, which were tried.
+def _rest(members: DataFrame, components: DataFrame, threshold: int) -> DataFrame:
+    """Members, by task, that may be linked to others with which they share a key but not yet a component.
 
     A key's members outside its largest component are compared with each other and with that component's, cut into
     blocks of ``BLOCK``, so work grows with members times outsiders, and no task holds more than two blocks.
@@ -259,11 +259,16 @@ def _rest_pairs(members: DataFrame, components: DataFrame, threshold: int) -> Da
     dealt = rows.select(F.explode(tasks).alias("task"), "key", "component", "out", "block", *names)
     dealt = dealt.select("key", F.col("task.i").alias("i"), F.col("task.j").alias("j"), "component", "out", "block", *names)
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "out", "block", "digest")
-    return ordered.mapInArrow(_compare_groups(threshold), "x binary, y binary").distinct()
+    return ordered.mapInArrow(_with_candidates(threshold), _CANDIDATES)
 
 
-def _compare_groups(threshold: int):
+_CANDIDATES = "key long, i int, j int, digest binary, doc_id long, component long, side int"
+
+
+def _with_candidates(threshold: int):
+    """Of each task the rows that sizes and sketches leave a partner, on side 1, 2 or, within one block, 3."""
     limit = most_differing_bits(threshold)
+    names = [c.split()[0] for c in _CANDIDATES.split(", ")]
 
     def within(group: pa.Table) -> pa.Table:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
@@ -273,16 +278,16 @@ def _compare_groups(threshold: int):
         other = one if i == j else np.flatnonzero(out & (block == j)) if j >= 0 else np.flatnonzero(~out)
         sketch = np.stack([group.column(s).to_numpy() for s in _sketch()], axis=1).view(np.uint64)
         sizes, component = group.column("n_shingles").to_numpy(), group.column("component").to_numpy()
-        found = []
+        side = np.zeros(group.num_rows, np.int32)
         for row in one:
-            theirs = other[other > row] if i == j else other
-            bits = np.bitwise_count(sketch[theirs] ^ sketch[row]).sum(axis=1)
-            small, large = np.minimum(sizes[theirs], sizes[row]), np.maximum(sizes[theirs], sizes[row])
-            fits = (bits <= limit) & (component[theirs] != component[row]) & (100 * small >= threshold * large)
-            found.append(np.stack([np.full(fits.sum(), row), theirs[fits]]))
-        x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        digest = group.column("digest")
-        return pa.table({"x": digest.take(x), "y": digest.take(y)})
+            bits = np.bitwise_count(sketch[other] ^ sketch[row]).sum(axis=1)
+            small, large = np.minimum(sizes[other], sizes[row]), np.maximum(sizes[other], sizes[row])
+            fits = other[(bits <= limit) & (component[other] != component[row]) & (100 * small >= threshold * large)]
+            if len(fits):
+                side[row] |= 1
+                side[fits] |= 2
+        kept = np.flatnonzero(side)
+        return group.append_column("side", pa.array(side)).select(names).take(pa.array(kept))
 
     def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(frames, ["key", "i", "j"]):
@@ -291,6 +296,54 @@ def _compare_groups(threshold: int):
     return compare
 
 
+def common_counts(sets: list[np.ndarray], one: np.ndarray, other: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sets ``one`` with sets ``other``: products of their incidence matrices, in parts."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, place, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = uses > 1
+    number = np.cumsum(shared) - 1
+    owner, place = owner[shared[place]], number[place[shared[place]]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    total = np.zeros((len(one), len(other)), np.int64)
+    for start in range(0, int(shared.sum()), width):
+        begin, end = np.searchsorted(place, [start, start + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[begin:end], place[begin:end] - start] = 1
+        total += (has[one] @ has[other].T).astype(np.int64)
+    return total
+
+
+def _linked_in_tasks(candidates: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links ``(a, b)`` among the candidates of each task, confirmed on the full sets; a row per document, not per pair."""
+
+    def within(group: pa.Table) -> pa.Table:
+        side = group.column("side").to_numpy()
+        one, other = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+        full = [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("shingles")]
+        sizes = np.array([len(s) for s in full])
+        common = common_counts(full, one, other)
+        x, y = np.nonzero(100 * common >= threshold * (sizes[one][:, None] + sizes[other] - common))
+        x, y = one[x], other[y]
+        ids = group.column("doc_id").to_numpy()
+        joins, before = ids.copy(), None
+        while before is None or (joins != before).any():
+            before = joins.copy()
+            np.minimum.at(joins, x, before[y])
+            np.minimum.at(joins, y, joins[x])
+        rows = np.flatnonzero(joins != ids)
+        return pa.table({"a": ids[rows], "b": joins[rows]})
+
+    def confirm(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(frames, ["key", "i", "j"]):
+            yield from within(group).combine_chunks().to_batches()
+
+    rows = candidates.join(sets.select("digest", "shingles"), "digest")
+    dealt = rows.select("key", "i", "j", "doc_id", "side", "shingles")
+    ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
+    return ordered.mapInArrow(confirm, "a long, b long")
+
+
 def _as_links(components: DataFrame) -> DataFrame:
     return components.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
 
@@ -302,7 +355,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     reach. ``kept`` marks each group's smallest id. Equal sets are one class from the start; only class representatives
     are compared. Band keys propose pairs. Each member of a key is first tried against the key's first member, and what
     stays outside the key's largest component against ``ATTEMPTS`` delegates of that, so that a group of any size joins
-    up in linear work; all pairs that are not connected by then follow.
+    up in linear work. Pairs that are not connected by then follow in full, in blocks: a task returns what its members
+    are joined to, never a row per pair.
 
     Null, empty and blank texts have no shingles and link with nothing. Fewer words than five make one shingle. Rows
     with the same id are one document for grouping, and each comes back; rows without an id form no groups: their
@@ -324,7 +378,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     for attempt in range(ATTEMPTS):
         more = _confirmed(_delegate_pairs(members, joined, attempt, threshold), full, threshold)
         joined = connected_components(_as_links(joined).unionByName(more))
-    rest = _confirmed(_rest_pairs(members, joined, threshold), full, threshold)
+    candidates = stored(_rest(members, joined, threshold), "candidates")
+    rest = _linked_in_tasks(candidates, full, threshold)
     linked = connected_components(copies.unionByName(_as_links(joined)).unionByName(rest))
     own = signed.select("doc_id", "n_shingles").join(
         linked.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
