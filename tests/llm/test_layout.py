@@ -47,9 +47,32 @@ def _padding(by_sequence, window):
     return sum(0 if n & (n - 1) == 0 else window - n for n in lengths) / sum(lengths)
 
 
-@pytest.mark.parametrize("window, buffer", [(2048, packing.BUFFER), (256, 1000)])
-def test_packing_gives_every_id_once(frame, tokenizer, monkeypatch, window, buffer):
-    monkeypatch.setattr(packing.Stream.__init__, "__defaults__", (packing.WINDOW, buffer, None))
+@pytest.mark.parametrize("window, buffer", [(64, 300), (256, 1000), (64, 64)])
+def test_a_stream_is_cut_as_it_comes(window, buffer):
+    draw = random.Random(window + buffer)
+    ends = np.zeros(100, bool)
+    ends[:9] = True
+    docs = [np.array([draw.randrange(100) for _ in range(draw.choice([1, 3, 40, 700]))], np.uint32) for _ in range(120)]
+    stream, pieces = packing.Stream(0, window, buffer, ends), []
+    for key, ids in enumerate(docs):
+        for cut in stream.add(key, ids):
+            pieces += cut
+        assert stream.held <= buffer + 700
+    for cut in stream.close():
+        pieces += cut
+    for key, ids in enumerate(docs):
+        own = [p for p in pieces if p[0] == key]
+        assert b"".join(p[3] for p in own) == ids.astype("<u4").tobytes() and {p[4] for p in own} == {len(ids)}
+        assert [p[1] for p in own] == [0, *np.cumsum([p[2] for p in own])[:-1]]
+    lengths = defaultdict(int)
+    for _, _, length, _, _, sequence, offset in pieces:
+        assert offset == lengths[sequence]
+        lengths[sequence] += length
+    assert max(lengths.values()) <= window and sorted(lengths) == list(range(len(lengths)))
+
+
+@pytest.mark.parametrize("window", [2048, 256])
+def test_packing_gives_every_id_once(frame, tokenizer, window):
     draw = random.Random(3)
     texts = [" ".join(f"wo{draw.randrange(999)}" + "." * (draw.random() < 0.1) for _ in range(draw.randrange(1, 900))) for _ in range(150)]
     rows = list(enumerate([*texts, *ODD, None]))
