@@ -78,6 +78,19 @@ def test_keys(spark, url, keys):
     assert spark.createDataFrame([(url,)], "u string").select(urls.keys_of("u")).first()[0] == keys
 
 
+def test_deep_hosts_and_paths_are_judged(frame):
+    rows = [(1, "http://a.b.c.d.e.f.g/"), (2, "http://h.com/1/2/3/4"), (3, "http://h.com/1/2"), (4, "http://g"), (5, "//x")]
+    rows += [(6, "http://" + "s." * 30 + "f.g"), (7, "http://h.com/" + "1/2/3/" * 40), (8, None), (9, "http://")]
+    captures = frame("page_id long, url string, fetched timestamp_ntz", [(*r, datetime.datetime(2024, 1, 2)) for r in rows])
+    added = ["f.g", "g", "h.com/1/2/3", "h.com/1/2/3/4", "h.com/" + "1/2/3/" * 39 + "1/2/3"]
+    entries = frame("list string, entry string, since date, action string", [("l", e, DAY, "add") for e in added])
+    got = {r.page_id: r.matches for r in urls.judge(captures, entries).collect()}
+    assert got == {
+        1: ["l:f.g"], 2: ["l:h.com/1/2/3", "l:h.com/1/2/3/4"], 3: [], 4: ["l:g"], 5: [], 6: ["l:f.g"],
+        7: ["l:h.com/1/2/3", "l:" + added[4]], 8: [], 9: [],
+    }
+
+
 DAY = datetime.date(2024, 1, 1)
 
 

@@ -5,9 +5,12 @@ All of it is DataFrame operations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Limits of a short list of keys; judging has none.
 PARENTS = 4
 FOLDERS = 2
 
@@ -21,22 +24,27 @@ def host_of(url: str | Column) -> Column:
     return F.nullif(F.rtrim(F.lower(F.regexp_extract(url, _URL, 1)), F.lit(".")), F.lit(""))
 
 
-def keys_of(url: str | Column, parents: int = PARENTS, folders: int = FOLDERS) -> Column:
+def keys_of(url: str | Column, parents: int | None = PARENTS, folders: int | None = FOLDERS) -> Column:
     """What list entries may say of a URL: its host, the domains above it (``parents`` at most, two labels at least),
-    and the host with the first one to ``folders`` folders of its path."""
+    and the host with the first one to ``folders`` folders of its path; None sets no limit."""
     column = F.trim(F.col(url) if isinstance(url, str) else url)
     host = host_of(url)
     labels = F.split(host, r"\.")
-    above = [
-        F.when(F.size(labels) > i + 1, F.array_join(F.slice(labels, i + 1, F.greatest(F.size(labels), F.lit(1))), "."))
-        for i in range(1, parents + 1)
-    ]
     path = F.filter(F.split(F.regexp_extract(column, _URL, 2), "/"), lambda p: p != "")
-    below = [
-        F.when(F.size(path) >= i, F.concat(host, F.lit("/"), F.array_join(F.slice(path, 1, i), "/")))
-        for i in range(1, folders + 1)
-    ]
-    return F.array_distinct(F.array_compact(F.array(host, *above, *below)))
+    above = _up_to(
+        F.size(labels) - 2,
+        parents,
+        lambda i: F.array_join(F.slice(labels, i + 1, F.greatest(F.size(labels), F.lit(1))), "."),
+    )
+    below = _up_to(F.size(path), folders, lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(path, 1, i), "/")))
+    return F.array_distinct(F.array_compact(F.concat(F.array(host), above, below)))
+
+
+def _up_to(count: Column, most: int | None, text: Callable[[Column], Column]) -> Column:
+    """``text`` of 1 to ``count``, or to ``most`` if that is less; empty where the count is null or below 1."""
+    count = count if most is None else F.least(count, F.lit(most))
+    # a sequence would count down from 1 to 0
+    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), text)).otherwise(F.array().cast("array<string>"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -59,7 +67,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """``captures`` with ``matches``: the sorted ``list:entry`` texts that were valid at the fetch time, empty if none.
 
-    Captures that agree in URL and time are judged once. A capture's keys are joined with one row per entry that holds
+    An entry may be the host, any domain above it, or the host with any number of the path's first folders. Captures
+    that agree in URL and time are judged once. A capture's keys are joined with one row per entry that holds
     the entry's intervals in order; the last interval that begins by the fetch time decides, if it has not ended. The
     join is one row to one row however often a host occurs, and a host with very many captures is split by the skew
     join.
@@ -71,7 +80,7 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     history = intervals(entries).groupBy("entry", "list")
     history = history.agg(F.array_sort(F.collect_list(F.struct("valid_from", "valid_to"))).alias("__history"))
     asked = captures.select(F.col(url).alias("__url"), F.col(fetched).alias("__at")).where("__at IS NOT NULL").distinct()
-    keys = asked.select("__url", "__at", F.explode(keys_of("__url")).alias("entry"))
+    keys = asked.select("__url", "__at", F.explode(keys_of("__url", None, None)).alias("entry"))
     begun = F.filter("__history", lambda i: i["valid_from"] <= F.col("__at"))
     last = F.try_element_at(begun, F.lit(-1))
     valid = last.isNotNull() & F.coalesce(last["valid_to"] > F.col("__at"), F.lit(True))
