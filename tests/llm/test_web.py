@@ -121,3 +121,17 @@ def test_lists_as_of_the_fetch(frame):
     assert sorted(got) == expected
     assert urls.judge(captures.limit(0), table).collect() == []
     assert all(r.matches == [] for r in urls.judge(captures, table.limit(0)).collect())
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "string"])
+def test_entries_count_from_their_time_of_day(frame, kind):
+    at = lambda hour: datetime.datetime(2024, 1, 1, hour)
+    given = [("l", "x.com", at(9), "add"), ("l", "x.com", at(15), "remove"), ("l", "x.com", at(20), "remove"),
+             ("l", "x.com", at(20), "add")]
+    entries = frame(f"list string, entry string, since {kind}, action string", [
+        (*r[:2], str(r[2]) if kind == "string" else r[2], r[3]) for r in given
+    ])
+    fetched = "timestamp_ntz" if kind == "string" else kind
+    captures = frame(f"page_id long, url string, fetched {fetched}", [(h, "http://x.com/", at(h)) for h in range(24)])
+    listed = sorted(r.page_id for r in urls.judge(captures, entries).collect() if r.matches)
+    assert listed == [*range(9, 15), *range(20, 24)]

@@ -51,13 +51,14 @@ def intervals(entries: DataFrame) -> DataFrame:
     """``(list, entry, valid_from, valid_to)`` from dated rows ``(list, entry, since, action)``.
 
     An ``add`` opens an interval unless one is open, a ``remove`` closes it; ``valid_to`` is exclusive and null while
-    open. Entries are dated by day, and of several actions on a day the add counts, so an entry's history has a row per
-    day at most, however many rows speak of it. Rows with a null list, entry or date, or with another action, say
-    nothing.
+    open. ``since`` counts as it is, a date from its midnight and a timestamp from its time of day, and texts are read as
+    timestamps. Of several actions at one moment the add counts, so an entry's history has a row per moment at most,
+    however many rows speak of it. Rows with a null list, entry or date, or with another action, say nothing.
     """
     known = entries.where("list IS NOT NULL AND entry IS NOT NULL AND since IS NOT NULL AND action IN ('add', 'remove')")
-    days = known.select("list", "entry", F.col("since").cast("date").alias("since"), "action")
-    moments = days.groupBy("list", "entry", "since").agg(F.min("action").alias("action"))
+    dated = dict(entries.dtypes)["since"] in ("date", "timestamp", "timestamp_ntz")
+    since = F.col("since") if dated else F.col("since").cast("timestamp_ntz").alias("since")
+    moments = known.select("list", "entry", since, "action").groupBy("list", "entry", "since").agg(F.min("action").alias("action"))
     history = Window.partitionBy("list", "entry").orderBy("since")
     changes = moments.withColumn("__was", F.lag("action", 1, "remove").over(history)).where("action <> __was")
     ends = changes.withColumn("valid_to", F.lead("since").over(history))
