@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import mixing, packing, sharding
 
@@ -149,6 +150,17 @@ def test_shards_differ_by_one_and_match_the_mixture(frame, shards, n):
     assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in got}
 
 
+@pytest.mark.parametrize("total", [1, 39, 1_000_001, 2_000_001, 3_000_001, 20_000_001, 100_000_003, 10**12 + 7, 9 * 10**17 + 1])
+@pytest.mark.parametrize("shards", [40, 7])
+def test_shards_begin_at_whole_positions(frame, total, shards):
+    starts = [-(-s * total // shards) for s in range(shards + 1)]
+    near = sorted({p for b in starts for p in (b - 2, b - 1, b, b + 1) if 0 <= p < total})
+    shard_of, slot = sharding.place(F.col("p"), total, shards)
+    got = frame("p long", [(p,) for p in near]).select("p", shard_of.alias("shard"), slot.alias("slot")).collect()
+    expected = [(p, p * shards // total, p - starts[p * shards // total]) for p in near]
+    assert sorted(tuple(r) for r in got) == expected and min(r.slot for r in got) == 0
+
+
 def test_sharding_odd_rows(frame):
     schema = "doc_id long, source string, text string"
     rows = [(None, None, None)] * 30 + [(5, "a", "same")] * 40 + [(i, f"s{i}", "") for i in range(30)]

@@ -31,6 +31,16 @@ def _ranked(rows: DataFrame, group: list[str], chunk: Column, order: list, into:
     return ranked.withColumn(into, F.col("__before") + F.col("__nth") - 1).drop("__chunk", "__before", "__nth")
 
 
+def place(position: Column, total: int, shards: int) -> tuple[Column, Column]:
+    """Shard and slot of a position from 0 to ``total`` - 1, in whole numbers, as a rounded quotient may reach the next
+    shard."""
+    whole = lambda value: value.cast("decimal(20,0)")
+    number, of = F.lit(shards), F.lit(total)
+    shard_of = F.call_function("div", whole(position) * number, whole(of)).cast("int")
+    first = F.call_function("div", whole(shard_of) * of + (number - 1), whole(number))
+    return shard_of, (position - first).cast("long")
+
+
 def shard(docs: DataFrame, shards: int = 40, seed: int = 5) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (from 0 in each shard, without gaps).
 
@@ -59,8 +69,5 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 5) -> DataFrame:
     chunk = F.floor(F.col("__fraction") * chunks).cast("long")
     whole = placed.withColumn("__all", F.lit(0))
     positioned = _ranked(whole, ["__all"], chunk, ["__fraction", "__source", *order], "__position")
-    total = F.lit(max(1, count))
-    number = F.expr("CAST(__position AS DECIMAL(38,0))") * shards
-    shard_of = F.floor(number / total).cast("int")
-    first = F.ceil(shard_of.cast("decimal(20,0)") * total / F.lit(shards)).cast("long")
-    return positioned.select(*kept, shard_of.alias("shard"), (F.col("__position") - first).alias("slot"))
+    shard_of, slot = place(F.col("__position"), max(1, count), shards)
+    return positioned.select(*kept, shard_of.alias("shard"), slot.alias("slot"))
