@@ -7,6 +7,7 @@ columns go, and no documents give no rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +52,27 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences, whose ids follow the order in which the documents were written."""
     ship_package(spark)
-    return packing.pack(docs)
+    return packing.pack(in_written_order(docs))
+
+
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """``docs``, range-sorted into the order of the DataFrame that was written to the files they are read from.
+
+    A scan puts large files first and several into one partition. Spark's writers number a file by its task, and by its
+    place among the task's files; with the row's place in the file that is the order. A DataFrame that was not read from
+    files has its own order, and keeps it.
+    """
+    try:
+        rows = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return docs
+    number = lambda pattern: F.regexp_extract("__file", pattern, 1).try_cast("long")
+    order = [number(r"^part-(\d+)-"), number(r"[.-]c(\d+)\."), F.col("__file"), F.col("__row")]
+    rows = rows.select(*docs.columns, F.struct(*[o.alias(f"c{i}") for i, o in enumerate(order)]).alias("__order"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, "__order").sortWithinPartitions("__order").select(*docs.columns)
 
 
 STAGES = [

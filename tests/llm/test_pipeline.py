@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tests.oracle import connect, differences
-from textloom.llm import minhash, packing
+from textloom.llm import minhash, mixing, packing
 from textloom.llm.oracle import ORACLE
 from textloom.llm.queries import QUERIES
 
@@ -69,3 +69,18 @@ def test_stages_over_odd_documents(spark, middle):
         assert out.columns == corpus_pipeline.COLUMNS and out.count() <= 3 * len(rows)
     packed = corpus_pipeline.packing_stage(spark, docs, middle).where("start = 0").count()
     assert packed == len(rows)
+
+
+def test_sequences_follow_the_training_order(spark, middle, tmp_path):
+    # late sources have long texts, so the last files are the largest
+    rows = [(i, f"w{i} " * (600 if i % 3 == 2 else 20), "en", "abc"[i % 3], 5) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sized = docs.select(*corpus_pipeline.COLUMNS, mixing.word_count("text").alias("size"))
+    expected = [r.doc_id for r in mixing.in_training_order(mixing.curriculum(sized, "size")).select("doc_id").collect()]
+    corpus_pipeline.mixing_stage(spark, docs, middle).write.option("maxRecordsPerFile", 100).parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    assert len(mixed.inputFiles()) > 8 and [r.doc_id for r in mixed.select("doc_id").collect()] != expected
+    for order in (mixed, mixed.select(corpus_pipeline.COLUMNS)):
+        packed = corpus_pipeline.packing_stage(spark, order, middle).where("start = 0")
+        got = [r.doc_id for r in packed.orderBy("sequence_id", "offset").collect()]
+        assert got == expected
