@@ -188,3 +188,21 @@ def test_filters_are_those_beyond_the_threshold():
         beyond = np.flatnonzero(row >= code.threshold)
         assert set(beyond) <= set(found) and len(found) >= caps.LEAST_FILTERS
         assert row[found].min() > np.delete(row, found).max(initial=-9)
+
+
+@pytest.mark.parametrize("count", [10_256, 1_999_999, 2_000_001, 100_000_000])
+def test_pairs_at_the_threshold_share_filters_at_every_size(count):
+    random_ = np.random.default_rng(8)
+    one = caps.unit(random_.normal(size=(3000, 64)))
+    across = random_.normal(size=one.shape)
+    across -= (across * one).sum(axis=1, keepdims=True) * one
+    other = caps.THRESHOLD * one + np.sqrt(1 - caps.THRESHOLD**2) * caps.unit(across)
+    code = caps.Filters(64, count)
+    lists = zip(code.decode(one), code.decode(other))
+    assert sum(not set(a.tolist()) & set(b.tolist()) for a, b in lists) <= 1  # 0.3 expected at one in 10,000
+
+
+def test_filters_rise_with_the_table():
+    needed = [caps.caps_for(64, count)[1] for count in (10_000, 1_000_000, 1_999_999, 2_000_001, 100_000_000)]
+    assert needed == sorted(needed) and needed[3] - needed[2] <= 1
+    assert all(caps.chance_in_cap(d, *caps.caps_for(d, 10**8)[:1], caps.THRESHOLD) >= caps.LEAST_CHANCE for d in (2, 3, 8, 64))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +22,62 @@ from textloom.llm.components import connected_components
 THRESHOLD = 0.93
 FILTERS = 24
 LEAST_FILTERS = 12
+MISS = 1e-4
+DEPENDENCE = 3.0
+LEAST_CHANCE = 0.3
 OCCUPANCY = 256
 BLOCK = 512
 
 
-class Filters:
-    """A product code for one dimension, sized for ``count`` vectors."""
+def _angles(dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles, and the share of random directions within each angle of a given one."""
+    angles = np.linspace(0, math.pi, 20_001)
+    density = np.sin(angles) ** max(0, dimension - 2)
+    within = np.append(0, np.cumsum((density[1:] + density[:-1]) / 2))
+    return angles, within / within[-1]
+
+
+def cap_cut(dimension: int, share: float) -> float:
+    """The cosine that a ``share`` of random directions exceeds."""
+    angles, within = _angles(dimension)
+    return math.cos(np.interp(share, within, angles))
+
+
+def chance_in_cap(dimension: int, share: float, cosine: float) -> float:
+    """How likely a filter with a direction in its cap of a ``share`` of all has one at ``cosine`` to it as well."""
+    cut, cosine = cap_cut(dimension, share), min(cosine, 1 - 1e-9)
+    if dimension < 3:
+        return max(0.0, 1 - math.acos(cosine) / (2 * math.acos(cut))) if dimension == 2 else 1.0
+    to = np.arccos(cut) * (np.arange(1000) + 0.5) / 1000
+    weights = (np.sin(to) / math.sin(math.acos(cut))) ** (dimension - 2)
+    needed = (cut - cosine * np.cos(to)) / (math.sqrt(1 - cosine * cosine) * np.sin(to))
+    angles, within = _angles(dimension - 1)
+    return float(weights @ np.interp(np.arccos(np.clip(needed, -1, 1)), angles, within) / weights.sum())
+
 
-    def __init__(self, dimension: int, count: int, filters: float = FILTERS, seed: int = 1):
-        parts = min(dimension, 2 if count < 2_000_000 else 3)
-        wanted = max(64.0, count * filters / OCCUPANCY)
-        self.book = max(8, math.ceil(wanted ** (1 / parts)))
+def caps_for(dimension: int, count: int, cosine: float = THRESHOLD, miss: float = MISS) -> tuple[float, int]:
+    """Share of all directions in a cap, and the filters per vector with which a pair at ``cosine`` has none in common
+    once in 1 / ``miss``, among ``count`` vectors.
+
+    Caps get smaller as tables grow, and a pair's chance in each with them, so the number rises; where the chance falls
+    below ``LEAST_CHANCE``, caps get no smaller. ``DEPENDENCE`` allows for filters that share the entries of a book.
+    """
+    share = min(0.5, OCCUPANCY / max(1, count))
+    while (chance := chance_in_cap(dimension, share, cosine)) < LEAST_CHANCE and share < 0.5:
+        share = min(0.5, share * 1.25)
+    return share, math.ceil(DEPENDENCE * math.log(miss) / math.log1p(-min(chance, 1 - 1e-9)))
+
+
+class Filters:
+    """A product code for one dimension, sized for ``count`` vectors with pairs at a cosine of ``threshold``."""
+
+    def __init__(
+        self, dimension: int, count: int, filters: float = FILTERS, seed: int = 1, threshold: float = THRESHOLD
+    ):
+        parts = 1 if dimension < 8 else 2
+        share, needed = caps_for(dimension, count, threshold)
+        self.least, filters = max(LEAST_FILTERS, needed), max(filters, needed)
+        self.book = max(8, math.ceil(max(64.0, filters / share) ** (1 / parts)))
         random = np.random.default_rng([seed, dimension])
         self.rotation = np.linalg.qr(random.standard_normal((dimension, dimension)))[0]
         self.cuts = np.linspace(0, dimension, parts + 1).astype(int)
@@ -41,8 +85,8 @@ class Filters:
         for begin, end in zip(self.cuts, self.cuts[1:]):
             book = random.standard_normal((self.book, end - begin))
             self.books.append(book / np.sqrt((book * book).sum(axis=1, keepdims=True) * parts))
-        share = min(0.5, filters / self.book**parts)
-        self.threshold = NormalDist().inv_cdf(1 - share) / math.sqrt(dimension)
+        self.step = 0.1 / math.sqrt(dimension)
+        self.threshold = cap_cut(dimension, min(0.5, filters / self.book**parts))
 
     def decode(self, directions: np.ndarray) -> list[np.ndarray]:
         """Sorted filters of each direction: all beyond the threshold, which is lowered until there are a few."""
@@ -51,7 +95,7 @@ class Filters:
         return [self._list([s[i] for s in scores]) for i in range(len(directions))]
 
     def _list(self, scores: list[np.ndarray]) -> np.ndarray:
-        least = min(LEAST_FILTERS, self.book ** len(scores))
+        least = min(self.least, self.book ** len(scores))
         bound = self.threshold
         while True:
             best = [s.max() for s in scores]
@@ -66,7 +110,7 @@ class Filters:
                     break
             if len(numbers) >= least:
                 return np.sort(numbers)
-            bound -= max(0.05, abs(bound) * 0.1)
+            bound -= self.step
 
 
 def _prepared(embeddings: DataFrame, vectors: str) -> DataFrame:
@@ -93,7 +137,7 @@ def _prepared(embeddings: DataFrame, vectors: str) -> DataFrame:
     return rows.mapInArrow(prepare, f"vec_id long, label {kind}, digest binary, dimension int, vector binary")
 
 
-def _filtered(classes: DataFrame, dtype: str, count: int) -> DataFrame:
+def _filtered(classes: DataFrame, dtype: str, count: int, threshold: float) -> DataFrame:
     """One row per class and filter; ``filters`` are all of the class."""
 
     def decode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +146,7 @@ def _filtered(classes: DataFrame, dtype: str, count: int) -> DataFrame:
             lists: list[np.ndarray] = []
             for dimension, packed in zip(batch.column("dimension").to_pylist(), batch.column("vector")):
                 if dimension not in codes:
-                    codes[dimension] = Filters(dimension, count)
+                    codes[dimension] = Filters(dimension, count, threshold=threshold)
                 lists += codes[dimension].decode(unit(np.frombuffer(packed.as_buffer(), dtype)[None, :]))
             ends = np.cumsum([0, *map(len, lists)])
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
@@ -206,7 +250,7 @@ def near_duplicates(embeddings: DataFrame, vectors: str = "embedding", threshold
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")
     )
     classes = stored(classes, "classes")
-    filtered = stored(_filtered(classes, dtype, classes.count()), "filters")
+    filtered = stored(_filtered(classes, dtype, classes.count(), threshold), "filters")
     schema = "digest binary, rep long, joins long, links long"
     found = stored(_tasks(filtered).mapInArrow(_compare(dtype, threshold), schema), "found")
     linked = connected_components(found, "rep", "joins").withColumnRenamed("node", "rep")
