@@ -24,6 +24,20 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
+def word_chunks(frames: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
+    """Rows until they hold ``least`` words, with the words of their column ``text`` one after another, unchanged, and
+    the number of words up to the end of each row. A row's words stay together; a null text has none."""
+    for frame in frames:
+        texts = frame.column("text").cast(pa.binary())
+        first, words, ends = 0, [], []
+        for i, text in enumerate(texts):
+            words += (text.as_py() or b"").split()
+            ends.append(len(words))
+            if len(words) >= least or i + 1 == len(texts):
+                yield frame.slice(first, i + 1 - first), words, np.array(ends, np.int64)
+                first, words, ends = i + 1, [], []
+
+
 class WordHashes(dict):
     """64-bit hash of each word, worked out once per distinct word and forgotten when the table gets big."""
 

@@ -1,13 +1,17 @@
-"""The ten operators over whole tables, with the columns their contracts name."""
+"""The operators over whole tables, with the columns their contracts name."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import caps, curves, minhash, mixing, packing, quality, sharding, toxicity, urls, warc
+from textloom.llm import (
+    caps, curves, debruijn, minhash, mixing, packing, periodic, quality, sharding, toxicity, urls, warc, whitening,
+)
 from textloom.llm.common import held_out
 from textloom.session import ship_package
 
@@ -99,10 +103,46 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", taken, first)
 
 
+def looped(doc_id: object, n: int) -> np.ndarray | None:
+    """Word numbers of a tenth of the documents, by the hash of their ids, whose words from some place on repeat."""
+    if doc_id is None:
+        return None
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest:
+        return None
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    return np.concatenate([np.arange(start), start + np.arange(n - start) % period])
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), order=looped)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_caps, op2_quality, op3_warc, op4_packing, op5_sharding, op6_minhash, op7_curves, op8_url_lists, op9_toxicity,
-        op10_mixing,
+        op10_mixing, op11_periodic, op12_whitening, op13_debruijn,
     )
 }
