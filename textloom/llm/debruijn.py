@@ -107,16 +107,31 @@ def _stretches(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.select("doc", "version", "text").mapInArrow(cut, schema)
 
 
+def may_match(rows: DataFrame, keys: DataFrame, by: list[str], wanted: bool = True) -> DataFrame:
+    """Rows whose columns ``by`` may be among ``keys``, or with ``wanted`` false those that cannot be.
+
+    A bitmap of 2^26 hashes is sent to all tasks: 2^20 numbers at most, however many keys. The more keys, the more rows it
+    lets through for nothing, so it only saves shuffling.
+    """
+    slot = F.pmod(F.xxhash64(*by), F.lit(1 << 26))
+    word, bit = F.shiftright(slot, 6).alias("__word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(by)}), 64L) as int))")
+    bitmap = keys.select(word, bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = rows.select("*", word, bit.alias("__bit")).join(F.broadcast(bitmap), "__word", "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))
+    return marked.where(hit if wanted else ~hit).select(*rows.columns)
+
+
 def _shared(found: DataFrame) -> DataFrame:
     """Stretches whose anchor is in several documents, with those that follow and precede them in their document."""
-    each = found.select("doc", "version", F.posexplode(F.arrays_zip("start", "n", "anchor", "hash")).alias("place", "s"))
-    each = each.select("doc", "version", "place", "s.*")
+    each = found.select("doc", "version", F.explode(F.arrays_zip("start", "n", "anchor", "hash")).alias("s"))
+    each = each.select("doc", "version", "s.*")
     several = each.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
-    kept = each.join(several, "anchor").repartition("doc", "version").dropDuplicates(["doc", "version", "place"])
-    kept = kept.withColumn("name", F.struct("anchor", "hash")).drop("anchor", "hash")
-    of_doc = Window.partitionBy("doc", "version").orderBy("place")
-    near = lambda side, at: F.when(side("place").over(of_doc) == F.col("place") + at, side("name").over(of_doc))
-    return kept.select("*", near(F.lead, 1).alias("next"), near(F.lag, -1).alias("previous"))
+    kept = each.join(several, "anchor").repartition("doc", "version").dropDuplicates(["doc", "version", "start"])
+    of_doc = Window.partitionBy("doc", "version").orderBy("start")
+    follows = F.lead("start").over(of_doc) == F.col("start") + F.col("n")
+    preceded = F.lag("start").over(of_doc) + F.lag("n").over(of_doc) == F.col("start")
+    following = F.when(follows, F.lead("hash").over(of_doc)).alias("next")
+    return kept.select("*", following, F.when(preceded, F.lag("hash").over(of_doc)).alias("previous"))
 
 
 def _different(shared: DataFrame) -> DataFrame:
@@ -125,11 +140,12 @@ def _different(shared: DataFrame) -> DataFrame:
     The only successor of a stretch is one that follows each of its occurrences.
     """
     only = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1))), F.min(c)).alias(c)
-    each = shared.groupBy("name").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), only("next"), only("previous"))
-    return each.select("name", "first", (F.col("first") < F.col("last")).alias("repeated"), "next", "previous")
+    each = shared.groupBy("anchor", "hash")
+    each = each.agg(F.min("doc").alias("first"), F.max("doc").alias("last"), only("next"), only("previous"))
+    return each.select("anchor", "hash", "first", (F.col("first") < F.col("last")).alias("repeated"), "next", "previous")
 
 
-def _spots(shared: DataFrame, each: DataFrame, window: int) -> DataFrame:
+def _spots(shared: DataFrame, each: DataFrame) -> DataFrame:
     """``(doc, version, spots)``: what to read again in a document: paths as wholes, and windows one by one.
 
     A repeated stretch continues a path if its only predecessor has it as its only successor. This never makes a circle,
@@ -137,51 +153,65 @@ def _spots(shared: DataFrame, each: DataFrame, window: int) -> DataFrame:
     first document of each.
     """
     repeated = each.where("repeated")
-    links = repeated.select(F.col("name").alias("previous"), F.col("next").alias("name"))
-    inner = repeated.join(links, ["name", "previous"], "left_semi").select("name", F.lit(True).alias("inner"))
-    several = each.groupBy("name.anchor").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
-    open_ = each.join(several, F.col("name.anchor") == several["anchor"], "left_semi").select("name", F.lit(True).alias("open"))
-    facts = each.select("name", "first", "repeated").join(inner, "name", "left").join(open_, "name", "left")
-    facts = facts.where("repeated OR open")
-    placed = shared.select("doc", "version", "place", "start", "n", "name").join(facts, "name")
-    head = F.when(F.col("repeated") & F.col("inner").isNull(), 1).otherwise(0)
-    of_doc = Window.partitionBy("doc", "version").orderBy("place")
-    single = F.col("open").isNotNull() & (F.col("doc") == F.col("first"))
-    placed = placed.select("*", single.alias("single"), F.sum(head).over(of_doc).alias("path"))
-    spot = F.struct("start", "n", "single")
-    paths = placed.where("repeated").groupBy("doc", "version", "path")
-    paths = paths.agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n")).withColumn("single", F.lit(False))
-    singles = placed.where("single").select("doc", "version", "path", "start", "n", "single")
-    return paths.unionByName(singles).groupBy("doc", "version").agg(F.collect_list(spot).alias("spots"))
+    links = repeated.select(F.col("hash").alias("previous"), F.col("next").alias("hash")).where("hash IS NOT NULL")
+    inner = repeated.join(links.distinct(), ["hash", "previous"], "left_semi").select("anchor", "hash", F.lit(True).alias("inner"))
+    several = each.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("open")).where("open")
+    facts = each.select("anchor", "hash", "first", "repeated").join(several, "anchor", "left")
+    facts = facts.where("repeated OR open").join(inner, ["anchor", "hash"], "left")
+    placed = shared.select("doc", "version", "start", "n", "anchor", "hash").join(facts, ["anchor", "hash"])
+    placed = placed.select(
+        "doc",
+        "version",
+        "start",
+        "n",
+        "repeated",
+        (F.col("repeated") & F.col("inner").isNull()).cast("int").alias("head"),
+        (F.col("open").isNotNull() & (F.col("doc") == F.col("first"))).alias("single"),
+    ).where("repeated OR single")
+    of_doc = Window.partitionBy("doc", "version").orderBy("start")
+    placed = placed.withColumn("path", F.sum("head").over(of_doc))
+    paths = placed.groupBy("doc", "version", F.when(F.col("repeated"), F.col("path")).alias("path"))
+    spots = paths.agg(
+        F.min("start").alias("start"),
+        F.sum("n").cast("int").alias("n"),
+        F.collect_list(F.when(F.col("single"), F.struct("start", "n"))).alias("singles"),
+    )
+    path = F.when(F.col("path").isNotNull(), F.array(F.struct("start", "n"))).otherwise(F.array())
+    return spots.groupBy("doc", "version").agg(
+        F.flatten(F.collect_list(path)).alias("paths"), F.flatten(F.collect_list("singles")).alias("singles")
+    )
 
 
 def _digests(docs: DataFrame, spots: DataFrame, window: int) -> DataFrame:
-    """``(doc, version, digest, start, n)``: the digest of the words of each path and of each single window."""
+    """``(doc, version, found)``: digest, start and number of windows of each path and each single window."""
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, words, ends in word_chunks(frames):
             begins = (ends - np.diff(ends, prepend=0)).tolist()
-            out: list[tuple[int, bytes, int, int]] = []
-            for i, spots_ in enumerate(rows.column("spots").to_pylist()):
-                for spot in spots_:
-                    pieces = [(spot["start"], spot["n"])]
-                    if spot["single"]:
-                        pieces = [(spot["start"] + j, 1) for j in range(spot["n"])]
-                    for start, n in pieces:
-                        words_ = words[begins[i] + start : begins[i] + start + n + window - 1]
-                        out.append((i, blake2b(b" ".join(words_), digest_size=16).digest(), start, n))
-            row, digest, start, n = zip(*out) if out else ((), (), (), ())
-            keys = [rows.column(c).take(pa.array(row, pa.int64())) for c in ("doc", "version")]
-            columns = [*keys, pa.array(digest, pa.binary()), pa.array(start, pa.int32()), pa.array(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "digest", "start", "n"])
+            offsets, starts, counts, digests = [0], [], [], bytearray()
+            paths, singles = rows.column("paths").to_pylist(), rows.column("singles").to_pylist()
+            for begin, paths_, singles_ in zip(begins, paths, singles):
+                pieces = [(p["start"], p["n"]) for p in paths_]
+                pieces += [(s["start"] + j, 1) for s in singles_ for j in range(s["n"])]
+                for start, n in pieces:
+                    own = words[begin + start : begin + start + n + window - 1]
+                    digests += blake2b(b" ".join(own), digest_size=16).digest()
+                    starts.append(start)
+                    counts.append(n)
+                offsets.append(len(starts))
+            halves = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
+            columns = [halves[:, 0], halves[:, 1], np.array(starts, np.int32), np.array(counts, np.int32)]
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:2], *lists], ["doc", "version", "h", "l", "start", "n"])
 
     kind = docs.schema["doc"].dataType.simpleString()
-    joined = docs.join(spots, ["doc", "version"]).select("doc", "version", "text", "spots")
-    return joined.mapInArrow(read, f"doc {kind}, version long, digest binary, start int, n int")
+    joined = may_match(docs, spots, ["doc", "version"]).join(spots, ["doc", "version"])
+    lists = "h array<long>, l array<long>, start array<int>, n array<int>"
+    return joined.select("doc", "version", "text", "paths", "singles").mapInArrow(read, f"doc {kind}, version long, {lists}")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``(doc, version, start, n)``: n neighbouring windows from a word on, each of which a smaller ``doc`` holds as well.
+    """``(doc, version, spans)``: start and number of neighbouring windows, each of which a smaller ``doc`` holds as well.
 
     ``docs`` has ``doc``, ``version`` (a hash that tells rows with the same id apart) and ``text``.
     """
@@ -189,10 +219,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     found = stored(_stretches(known, window, anchor), "windows")
     shared = stored(_shared(found), "shared")
     each = stored(_different(shared), "stretches")
-    digests = stored(_digests(known, _spots(shared, each, window), window), "digests")
-    least = digests.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    lost = digests.join(least.select("digest", "least"), "digest").where("doc > least")
-    return lost.select("doc", "version", "start", "n")
+    digests = stored(_digests(known, stored(_spots(shared, each), "spots"), window), "digests")
+    digests = digests.select("doc", "version", F.explode(F.arrays_zip("h", "l", "start", "n")).alias("s")).select("doc", "version", "s.*")
+    least = digests.groupBy("h", "l").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    lost = digests.join(stored(least.select("h", "l", "least"), "repeats"), ["h", "l"]).where("doc > least")
+    return lost.groupBy("doc", "version").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -209,8 +240,10 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", window: int = WINDOW, anc
     if not 0 < anchor < window:
         raise ValueError("anchor must be shorter than window")
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64("text").alias("version"), "text")
-    spans = repeated_spans(rows, window, anchor).groupBy("doc", "version").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    joined = rows.join(spans, ["doc", "version"], "left").select("doc", "text", "spans")
+    spans = stored(repeated_spans(rows, window, anchor), "spans")
+    by = ["doc", "version"]
+    whole = may_match(rows, spans, by, wanted=False).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    joined = may_match(rows, spans, by).join(spans, by, "left").unionByName(whole).select("doc", "text", "spans")
 
     def keep(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words, ends in word_chunks(frames):
