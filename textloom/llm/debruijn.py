@@ -1,8 +1,8 @@
 """Repeated passages by a compacted graph of the windows of all documents.
 
 The words of a window are an edge of the de Bruijn graph: it leads from its first to its last words but one. Edges are
-never shuffled one by one. Neighbouring windows whose least-hashed short word run (the anchor) stands at the same place
-make up a stretch, whose borders follow from its words alone; equal windows have equal anchors, and repeated passages are
+never shuffled one by one. Neighbouring windows that have the same least-hashed short word run (the anchor) make up
+a stretch (periodic text is one, whatever its length), whose borders follow from its words alone; equal windows have equal anchors, and repeated passages are
 made of equal stretches but for their ends. So:
 
 * Anchors that occur in one document only end the matter for all their windows.
@@ -62,7 +62,7 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(hashes: np.ndarray, ends: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """``(row, start, windows, anchor hash, stretch hash)`` of the stretches of neighbouring windows with one anchor.
+    """``(row, start, windows, anchor hash, stretch hash)`` of the stretches of neighbouring windows of one anchor.
 
     ``hashes`` are the word hashes of documents that end at ``ends``. A stretch of r windows has r + window - 1 words.
     """
@@ -80,14 +80,15 @@ def stretches(hashes: np.ndarray, ends: np.ndarray, window: int, anchor: int) ->
     starts = np.arange(len(anchors))
     starts = starts[starts + window <= last[: len(anchors)]]
     new = np.ones(len(starts), bool)
-    new[1:] = (np.diff(anchors[starts]) != 0) | (np.diff(starts) != 1)
+    of_window = short[anchors]
+    new[1:] = (of_window[starts[1:]] != of_window[starts[:-1]]) | (np.diff(starts) != 1)
     first = np.flatnonzero(new)
     count = np.diff(first, append=len(starts))
     begin = starts[first]
     row = np.searchsorted(ends, begin, "right")
     whole = of_run(begin, begin + count + window - 1)
     begin_of_row = ends[row] - np.diff(ends, prepend=0)[row]
-    return row, begin - begin_of_row, count, short[anchors[begin]].view(np.int64), whole.view(np.int64)
+    return row, begin - begin_of_row, count, of_window[begin].view(np.int64), whole.view(np.int64)
 
 
 def _stretches(docs: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -126,6 +127,8 @@ def _shared(found: DataFrame) -> DataFrame:
     each = found.select("doc", "version", F.explode(F.arrays_zip("start", "n", "anchor", "hash")).alias("s"))
     each = each.select("doc", "version", "s.*")
     several = each.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
+    # joins with stored tables are those whose hot keys the skew join can split
+    several = stored(several, "anchors")
     kept = each.join(several, "anchor").repartition("doc", "version").dropDuplicates(["doc", "version", "start"])
     of_doc = Window.partitionBy("doc", "version").orderBy("start")
     follows = F.lead("start").over(of_doc) == F.col("start") + F.col("n")
@@ -157,7 +160,7 @@ def _spots(shared: DataFrame, each: DataFrame) -> DataFrame:
     inner = repeated.join(links.distinct(), ["hash", "previous"], "left_semi").select("anchor", "hash", F.lit(True).alias("inner"))
     several = each.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("open")).where("open")
     facts = each.select("anchor", "hash", "first", "repeated").join(several, "anchor", "left")
-    facts = facts.where("repeated OR open").join(inner, ["anchor", "hash"], "left")
+    facts = stored(facts.where("repeated OR open").join(inner, ["anchor", "hash"], "left"), "facts")
     placed = shared.select("doc", "version", "start", "n", "anchor", "hash").join(facts, ["anchor", "hash"])
     placed = placed.select(
         "doc",
