@@ -23,6 +23,7 @@ from textloom.operators.language_model import BigramModel, batch_losses, fit_big
 from textloom.operators.monitoring import sketched_window_metrics, window_metrics
 from textloom.operators.overlap import (
     align_pairs,
+    align_positions,
     bleu,
     bleu_counts,
     bootstrap_mean,
@@ -52,6 +53,7 @@ __all__ = [
     "BigramModel",
     "add_position",
     "align_pairs",
+    "align_positions",
     "assign_batches",
     "batch_losses",
     "best_step",

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import clipped_overlaps, hash_uniform, lcs_size, rouge_words, words
+from textloom.operators.ranking import add_position
+from textloom.sources.positions import add_file_position, same_columns
 
 BLEU_ORDER = 4
 # Hexadecimal digits of a bootstrap block's number: 4,096 blocks.
@@ -39,6 +41,34 @@ def align_pairs(references: DataFrame, predictions: DataFrame, key: str) -> Data
     return checked.join(references, key, "left").join(predictions, key, "left")
 
 
+def align_positions(
+    references: DataFrame,
+    predictions: DataFrame,
+    reference_order: Sequence[str] | None = None,
+    prediction_order: Sequence[str] | None = None,
+    into: str = "position",
+) -> DataFrame:
+    """Pair two tables without keys row by row, ``position`` counting from 0; unequal lengths fail with both counts.
+
+    A table's order is that of its files and of the rows in them, however they are cut into tasks, or the columns given,
+    which must tell rows apart. Each side is shuffled once, by position.
+    """
+    clash = same_columns(references, predictions) | ({into.lower()} & {c.lower() for c in references.columns + predictions.columns})
+    if clash:
+        raise ValueError(f"columns on both sides or named like the position: {sorted(clash)}")
+    left, n = _with_position(references, reference_order, into)
+    right, m = _with_position(predictions, prediction_order, into)
+    if n != m:
+        raise ValueError(f"{n} references and {m} predictions")
+    return left.join(right, into).select(into, *[F.col(f"`{c}`") for c in references.columns + predictions.columns])
+
+
+def _with_position(df: DataFrame, order: Sequence[str] | None, into: str) -> tuple[DataFrame, int]:
+    if order is None:
+        return add_file_position(df, into)
+    return add_position(df, list(order), into=into).withColumn(into, F.col(into) - 1), df.count()
+
+
 def bleu_counts(pairs: DataFrame, reference: str = "reference", prediction: str = "prediction") -> DataFrame:
     """Sums over all pairs: ``match_n``, ``total_n`` for n = 1 to 4, and both lengths."""
     tokens = pairs.select(

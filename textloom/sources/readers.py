@@ -33,23 +33,24 @@ def load_data(
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
     label_splits: bool = False,
+    parallel: bool = True,
 ) -> DataFrame:
     """Read a table from a file, a directory or the catalog.
 
     The suffix decides (case-sensitive): ``.csv``, ``.json`` or ``.jsonl``, ``.parquet``; anything else is a directory
     or, failing that, a table or view name. ``split`` selects rows for every source but CSV; None means all rows. Pass
     ``schema`` for big CSV and JSON inputs: finding it costs one more pass. ``cache_dir`` keeps a Parquet copy that
-    later jobs read as long as the source files have not changed. ``multi_line=False`` lets Spark cut big CSV files into
-    tasks, if no quoted cell holds a line break. ``label_splits`` adds the column ``split``, told by the names of the
+    later jobs read as long as the source files have not changed. Big CSV files are cut into tasks, as ``read_csv`` says
+    (``multi_line``, ``parallel``). ``label_splits`` adds the column ``split``, told by the names of the
     files, to a directory of files without it.
     """
     if cache_dir is not None:
         from textloom.sources.sinks import cached_copy
 
-        build = lambda: load_data(spark, data_path, split, None, schema, multi_line, label_splits)
+        build = lambda: load_data(spark, data_path, split, None, schema, multi_line, label_splits, parallel)
         return cached_copy(spark, data_path, cache_dir, build, split, schema, multi_line, label_splits)
     if data_path.endswith(".csv"):
-        return read_csv(spark, data_path, schema=schema, multi_line=multi_line)
+        return read_csv(spark, data_path, schema=schema, multi_line=multi_line, parallel=parallel)
     if data_path.endswith(".jsonl"):
         df = _with_schema(spark, schema).json(data_path)
     elif data_path.endswith(".json"):
@@ -60,7 +61,7 @@ def load_data(
     elif "/" not in data_path and spark.catalog.tableExists(data_path):
         df = spark.table(data_path)
     else:
-        df = _read_directory(spark, data_path, schema, split is not None or label_splits, multi_line)
+        df = _read_directory(spark, data_path, schema, split is not None or label_splits, multi_line, parallel)
     return df if split is None else select_split(df, split)
 
 
@@ -80,7 +81,7 @@ def select_split(df: DataFrame, split: str) -> DataFrame:
     raise ValueError(f"unknown split {split!r}: the table has no split column, so all of it is 'train'")
 
 
-def _read_directory(spark: SparkSession, path: str, schema, labelled: bool, multi_line: bool) -> DataFrame:
+def _read_directory(spark: SparkSession, path: str, schema, labelled: bool, multi_line: bool, parallel: bool) -> DataFrame:
     """Directory of files of one format, told by their suffixes (listing only, no content is read)."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     suffix = F.regexp_extract("path", r"\.(csv|jsonl|json|parquet)(?:\.[a-z0-9]+)?$", 1)
@@ -88,7 +89,8 @@ def _read_directory(spark: SparkSession, path: str, schema, labelled: bool, mult
     if len(found) != 1:
         raise ValueError(f"expected files of one format in {path}, found {found or 'none'}")
     if found[0] == "csv":
-        df = read_csv(spark, path, schema=schema, multi_line=multi_line)
+        # the names of the files, which tell the split, are there for Spark's own readers only
+        df = read_csv(spark, path, schema=schema, multi_line=multi_line, parallel=parallel and not labelled)
     elif found[0] == "parquet":
         df = _with_schema(spark, schema).parquet(path)
     else:
@@ -113,19 +115,30 @@ def read_csv(
     schema: T.StructType | str | None = None,
     na_values: tuple[str, ...] = NA_VALUES,
     multi_line: bool = True,
+    parallel: bool = True,
 ) -> DataFrame:
     """CSV with a header, doubled quotes, quoted line breaks and NA markers.
 
-    Without a schema, types are found after the NA markers are gone, in one aggregation over the file: whole numbers,
-    decimals, booleans, else text. ``multi_line=False`` lets Spark split big files, for data without quoted line breaks.
+    Without a schema, types are found after the NA markers are gone, in one aggregation over the records: whole numbers,
+    decimals, booleans, else text.
+
+    Quoted line breaks do not keep big files from being read by many tasks: the records are cut out of blocks and stored
+    once in the shared folder. This needs quotes that stand only around cells or doubled inside them, and fails where
+    others would join lines; ``parallel=False`` reads each file in one task, as Spark does with ``multiLine``.
+    ``multi_line=False`` is for data without quoted line breaks, which Spark cuts by itself.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    if multi_line and parallel:
+        from textloom.sources.borders import read_records
+
+        raw = read_records(spark, path)
+    else:
+        raw = (
+            spark.read.option("header", True)
+            .option("multiLine", multi_line)
+            .option("escape", '"')
+            .option("enforceSchema", False)
+            .csv(path)
+        )
     if schema is not None:
         fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
         types = {f.name: f.dataType for f in fields}
