@@ -65,7 +65,8 @@ def test_csv_can_be_cut_into_tasks(spark, tmp_path):
     try:
         split = load_data(spark, path, multi_line=False)
         assert split.rdd.getNumPartitions() > 1 and split.agg({"n": "sum"}).first()[0] == sum(range(20_000))
-        assert load_data(spark, path).rdd.getNumPartitions() == 1
+        assert load_data(spark, path, parallel=False).rdd.getNumPartitions() == 1
+        assert load_data(spark, path).rdd.getNumPartitions() > 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 

@@ -20,7 +20,13 @@ from textloom.operators.generation import (
     without_prompt,
 )
 from textloom.operators.language_model import BigramModel, batch_losses, fit_bigrams, perplexities, perplexity, score_texts
-from textloom.operators.monitoring import sketched_window_metrics, window_metrics
+from textloom.operators.monitoring import (
+    rank_error,
+    roll_up,
+    sketched_window_metrics,
+    window_metrics,
+    window_sketches,
+)
 from textloom.operators.overlap import (
     align_pairs,
     align_positions,
@@ -46,7 +52,14 @@ from textloom.operators.ranking import add_position
 from textloom.operators.runs import best_step, compare_runs, early_stop, every_nth_step
 from textloom.operators.skew import salted_left_join
 from textloom.operators.tokenisers import tokenise_with_file
-from textloom.operators.versions import diff_summary, fingerprint, version_diff
+from textloom.operators.versions import (
+    diff_summary,
+    differing_buckets,
+    fingerprint,
+    store_version,
+    stored_changes,
+    version_diff,
+)
 from textloom.operators.vocabulary import decode, encode, fit_vocabulary
 
 __all__ = [
@@ -71,6 +84,7 @@ __all__ = [
     "count_rows",
     "decode",
     "diff_summary",
+    "differing_buckets",
     "drop_empty",
     "early_stop",
     "encode",
@@ -94,6 +108,8 @@ __all__ = [
     "plan_steps",
     "predict",
     "prepare_text",
+    "rank_error",
+    "roll_up",
     "rouge",
     "rouge_scores",
     "row_report",
@@ -101,10 +117,13 @@ __all__ = [
     "score_texts",
     "seeded_order",
     "sketched_window_metrics",
+    "store_version",
+    "stored_changes",
     "to_response",
     "tokenise_with_file",
     "version_diff",
     "window_metrics",
+    "window_sketches",
     "with_defaults",
     "with_labels",
     "without_prompt",

@@ -44,26 +44,32 @@ def parse_requests(df: DataFrame, body: str, fields: str | None = None) -> DataF
     counts as left out. Whatever breaks this is named in ``request_error``, and all parameters are defaults then.
     ``fields`` reads other fields (DDL) instead of ``prompt``, without checks.
     """
-    parsed = df.withColumn("__v", F.try_parse_json(body))
-    of = lambda name, kind: F.try_variant_get("__v", f"$.{name}", kind)
-    shape = lambda name: F.schema_of_variant(of(name, "variant"))
-    given = lambda name: shape(name).isNotNull() & (shape(name) != "VOID")
-    problems = [F.when(~F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False)), "body is not a JSON object")]
+    # two passes over a body, however many fields it has: a strict one, for its form and the prompt, and one for the texts
+    # of the parameters, which are checked as numbers
+    parsed = df.withColumn("__v", F.try_parse_json(body)).withColumn("__p", F.try_variant_get("__v", "$.prompt", "variant"))
+    parsed = parsed.withColumn("__k", F.schema_of_variant("__p"))
+    parsed = parsed.withColumn("__t", F.from_json(body, ", ".join(f"{name} string" for name in DEFAULTS)))
+    opened = F.col("__v").isNotNull() & F.ltrim(body, F.lit(" \n\r\t")).startswith("{")
+    problems = [F.when(~F.coalesce(opened, F.lit(False)), "body is not a JSON object")]
     values = {}
     if fields is None:
-        values["prompt"] = F.when(shape("prompt") == "STRING", of("prompt", "string"))
-        problems.append(F.when(~given("prompt"), "prompt is missing").when(values["prompt"].isNull(), "prompt is not a text"))
+        values["prompt"] = F.when(F.col("__k") == "STRING", F.try_variant_get("__p", "$", "string"))
+        missing = F.col("__k").isNull() | (F.col("__k") == "VOID")
+        problems.append(F.when(missing, "prompt is missing").when(F.col("__k") != "STRING", "prompt is not a text"))
+    parsed = parsed.withColumns({f"__n_{n}": F.col(f"__t.{n}").try_cast("double") for n in DEFAULTS})
     for name, (kind, _) in DEFAULTS.items():
-        number = of(name, "string").try_cast("double")
-        plain = shape(name).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|STRING)") & number.isNotNull() & ~F.isnan(number)
+        number = F.col(f"__n_{name}")
+        plain = number.isNotNull() & ~F.isnan(number)
         if kind == "int":
             plain = plain & (number == F.floor(number)) & (F.abs(number) < 2**31)
         values[name] = F.when(plain, number.cast(kind))
         wanted = "a whole number" if kind == "int" else "a number"
-        problems.append(F.when(given(name) & values[name].isNull(), f"{name} is not {wanted}"))
+        given = F.col(f"__t.{name}").isNotNull()
+        problems.append(F.when(given & ~F.coalesce(plain, F.lit(False)), f"{name} is not {wanted}"))
     parsed = parsed.withColumn("request_error", F.coalesce(*problems))
     good = F.col("request_error").isNull()
     parsed = parsed.withColumns({name: F.when(good | F.lit(name == "prompt"), value) for name, value in values.items()})
+    parsed = parsed.drop("__p", "__k", "__t", *[f"__n_{name}" for name in DEFAULTS])
     if fields is not None:
         parsed = parsed.withColumn("__f", F.from_json(body, fields)).select("*", "__f.*").drop("__f")
     return with_defaults(parsed.drop("__v"))

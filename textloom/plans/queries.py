@@ -12,11 +12,28 @@ from pyspark.sql import types as T
 
 from textloom import operators as ops
 from textloom.functions import words
+from textloom.operators.monitoring import QUANTILES
 from textloom.plans import inputs
 from textloom.plans.inputs import table
 from textloom.session import new_dir
-from textloom.sources import append_metrics, load_data, materialise, params_long, read_prompts, union_splits, write_results
-from textloom.streaming import read_latest, stream_metrics, stream_responses, write_latest, write_stream
+from textloom.sources import (
+    append_metrics,
+    load_data,
+    materialise,
+    params_long,
+    read_metrics,
+    read_prompts,
+    union_splits,
+    write_results,
+)
+from textloom.streaming import (
+    read_latest,
+    stream_early_stop,
+    stream_metrics,
+    stream_responses,
+    write_latest,
+    write_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +60,22 @@ def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_data(spark, path).select("doc_id", "text", "lang", "source", "n_chars")
 
 
+def csv_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks, commas and quotes in a few big files, cut into blocks of 64 KB."""
+    path = new_dir(spark, "quoted") + ".csv"
+    docs = table(spark, sf_dir, "documents")
+    broken = F.concat(F.lit('say "'), F.regexp_replace("text", " the ", ',\n\n"'), F.lit('"\n'))
+    quoted = docs.select("doc_id", F.when(F.col("doc_id") % 3 > 0, broken).otherwise(F.col("text")).alias("text"), "lang")
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    quoted.coalesce(2).write.options(**plain).csv(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64 << 10)
+    try:
+        return load_data(spark, path, schema="doc_id bigint, text string, lang string")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def src_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "conversations") + ".jsonl"
     table(spark, sf_dir, "conversations").write.json(path)
@@ -251,6 +284,16 @@ def pair_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.aligned_pairs(spark, sf_dir)
 
 
+def align_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and their answers, written to files of different forms and numbers in the same order, paired again."""
+    path, pairs = new_dir(spark, "sides"), inputs.aligned_pairs(spark, sf_dir)
+    ordered = materialise(pairs.repartitionByRange(7, "key").sortWithinPartitions("key"), f"{path}/pairs")
+    in_order = ordered.repartitionByRange(3, "key").sortWithinPartitions("key")
+    in_order.select("reference").write.json(f"{path}/references")
+    references = spark.read.schema("reference string").json(f"{path}/references")
+    return ops.align_positions(references, ordered.select("prediction"))
+
+
 def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ops.bleu(inputs.pairs(spark, sf_dir)), "bleu")
 
@@ -408,6 +451,17 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.early_stop(events, "user_id", ["ts", "event_id"], "value").withColumnRenamed("user_id", "run")
 
 
+def early_stop_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same while evaluations come in, batch by batch and out of order."""
+    path = new_dir(spark, "evaluations")
+    history = inputs.run_history(spark, sf_dir).select("run", "step", "loss")
+    history.repartition(6, F.xxhash64("run", "step")).write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(history.schema).option("maxFilesPerTrigger", 3).parquet(f"{path}/in")
+    stopped = stream_early_stop(arriving)
+    write_latest(stopped, f"{path}/out", f"{path}/checkpoint", once=True, keyed_state=True).awaitTermination()
+    return read_latest(spark, f"{path}/out", stopped.schema, ["run"]).drop("held")
+
+
 def runs_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
     return ops.compare_runs(
@@ -425,9 +479,35 @@ def dataset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.version_diff(old, inputs.documents_v2(spark, sf_dir), "doc_id", ["a", "b", "text"])
 
 
+def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored versions, of which only the buckets that differ are read."""
+    path = new_dir(spark, "versions")
+    for name, docs in (("v1", inputs.documents_v1(spark, sf_dir)), ("v2", inputs.documents_v2(spark, sf_dir))):
+        ops.store_version(docs, "doc_id", ["a", "b", "text"], f"{path}/{name}", buckets=64)
+    return ops.stored_changes(spark, f"{path}/v1", f"{path}/v2")
+
+
 # --- monitoring and streams
 
 
+def monitor_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours merged from stored sketches of 15 seconds, and whether each quantile's rank is as near as is promised."""
+    log = inputs.request_log(table(spark, sf_dir, "events"))
+    sketches = materialise(ops.window_sketches(log), new_dir(spark, "sketches"))
+    hours = ops.roll_up(sketches, "1 hour")
+    at_most = [F.avg((F.col("latency") <= F.col(q)).cast("int")).alias(q) for q in QUANTILES]
+    below = [F.avg((F.col("latency") < F.col(q)).cast("int")).alias(f"below_{q}") for q in QUANTILES]
+    timed = log.withColumn("window_start", F.window("ts", "1 hour")["start"]).where("latency IS NOT NULL")
+    ranks = timed.join(hours.select("window_start", *QUANTILES), "window_start").groupBy("window_start").agg(*at_most, *below)
+    slack = 2 * ops.rank_error()
+    near = F.lit(True)
+    for name, q in QUANTILES.items():
+        near = near & (F.col(name) >= q - slack) & (F.col(f"below_{name}") <= q + slack)
+    checked = ranks.select("window_start", near.alias("near"))
+    hours = hours.select("window_start", "window_end", "requests", "errors", "error_rate").join(checked, "window_start", "left")
+    return _rounded(hours, "error_rate")
+
+
 def monitor_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = inputs.request_log(table(spark, sf_dir, "events"))
     return _rounded(ops.window_metrics(log, width="1 hour"), "error_rate")
@@ -513,9 +593,9 @@ def cache_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "metrics")
     history = inputs.run_history(spark, sf_dir).select("run", "step", "metric", F.col("loss").alias("value"))
-    for parity in (0, 1):
-        append_metrics(history.where(F.col("step") % 2 == parity), path)
-    return spark.read.schema(history.schema).parquet(path).select("run", "step", "metric", "value")
+    for batch in ("even", "odd", "odd"):  # a batch that is written again counts once
+        append_metrics(history.where(F.col("step") % 2 == int(batch == "odd")), path, batch)
+    return read_metrics(spark, path, history.schema)
 
 
 def metric_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -553,6 +633,7 @@ def _queries() -> Iterator[tuple[str, Query]]:
         monitor_windows, stream_windows, stream_requests,
         encode_join, decode_join, batch_assign_text, load_dispatch, cache_copy, metrics_append, metric_choice,
         pad_fallback, batch_map,
+        align_positions, csv_borders, early_stop_stream, stored_changes, monitor_rollup,
     ):
         yield q.__name__, q
     yield "params_long", params_long_query

@@ -2,7 +2,7 @@
 
 from textloom.sources.readers import load_data, read_csv, union_splits
 from textloom.sources.prompts import read_prompts
-from textloom.sources.sinks import append_metrics, materialise, params_long, write_results
+from textloom.sources.sinks import append_metrics, materialise, params_long, read_metrics, write_results
 
 __all__ = [
     "append_metrics",
@@ -10,6 +10,7 @@ __all__ = [
     "materialise",
     "params_long",
     "read_csv",
+    "read_metrics",
     "read_prompts",
     "union_splits",
     "write_results",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -19,9 +21,31 @@ def write_results(results: DataFrame, path: str, order_by: str | None = None, mo
     results.write.mode(mode).json(path)
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Append ``(run, step, metric, value)`` rows, one folder per run."""
-    metrics.select("run", "step", "metric", "value").write.mode("append").partitionBy("run").parquet(path)
+METRICS = "run string, step long, metric string, value double"
+
+
+def append_metrics(metrics: DataFrame, path: str, batch: str | None = None) -> str:
+    """Append ``(run, step, metric, value)`` rows as one batch, and return the batch's name.
+
+    A batch is a folder that Spark's writer commits as a whole: what a failed task or job wrote is never read, and a batch
+    that is written again under its name replaces itself, so it counts once. Files hold ranges of runs, sorted by run and
+    step, so a reader of one run skips most of them; there is no folder per run.
+    """
+    batch = batch or uuid.uuid4().hex
+    if not re.fullmatch(r"[\w-]+", batch):
+        raise ValueError(f"a batch is named by letters, digits, - and _: {batch!r}")
+    rows = metrics.select("run", "step", "metric", "value")
+    parts = int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, "run", "step").sortWithinPartitions("run", "step")
+    ranged.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+    return batch
+
+
+def read_metrics(spark: SparkSession, path: str, schema: T.StructType | str = METRICS) -> DataFrame:
+    """All rows that ``append_metrics`` and ``append_stream_metrics`` wrote, each batch once."""
+    own = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    with_batch = T.StructType([*own.fields, T.StructField("batch", T.StringType())])
+    return spark.read.schema(with_batch).parquet(path).select(own.fieldNames())
 
 
 def _leaves(schema: T.StructType, prefix: str = "") -> list[str]:

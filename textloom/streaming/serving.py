@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from textloom.operators.generation import Generator, generate, to_response
 from textloom.operators.monitoring import sketched_window_metrics
+from textloom.sources.sinks import append_metrics
 
 
 def stream_metrics(
@@ -44,11 +45,19 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, once: bool = False,
     return writer.start(path)
 
 
-def write_latest(df: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+# The setting that names the state store, and the store that keyed state with maps and timers needs.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def write_latest(
+    df: DataFrame, path: str, checkpoint: str, once: bool = False, keyed_state: bool = False
+) -> StreamingQuery:
     """Write every change of a grouped stream, each micro-batch to its own folder; ``read_latest`` gives the state.
 
     Groups are there from their first row on, and not only once the watermark has closed them. A batch that is run again
-    after a failure replaces its folder.
+    after a failure replaces its folder. ``keyed_state`` starts this query, and no other, with the state store that
+    ``stream_early_stop`` needs.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -57,7 +66,15 @@ def write_latest(df: DataFrame, path: str, checkpoint: str, once: bool = False)
     writer = df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    if not keyed_state:
+        return writer.start()
+    conf = df.sparkSession.conf
+    before = conf.get(STORE, None)
+    conf.set(STORE, ROCKSDB)
+    try:
+        return writer.start()  # a query keeps the settings it was started with
+    finally:
+        conf.set(STORE, before) if before else conf.unset(STORE)
 
 
 def read_latest(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
@@ -69,13 +86,13 @@ def read_latest(spark: SparkSession, path: str, schema: StructType, keys: list[s
 
 
 def append_stream_metrics(metrics: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Write each micro-batch of ``(run, step, metric, value)`` rows to its own folder below ``path``.
+    """Append each micro-batch of ``(run, step, metric, value)`` rows, to be read by ``read_metrics``.
 
-    A batch that is run again after a failure replaces its folder, so no metric is counted twice.
+    A batch that is run again after a failure replaces what it wrote, so no metric is counted twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("run").parquet(f"{path}/batch={batch_id}")
+        append_metrics(batch, path, f"stream-{batch_id}")
 
     writer = metrics.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if once:
