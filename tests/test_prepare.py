@@ -53,14 +53,15 @@ def test_pad_id_may_be_any(spark):
     assert [r.p for r in ids.select(ops.pad_token(F.col("pad"), F.col("eos")).alias("p")).collect()] == [0, 9]
 
 
-def test_lookup_by_join_is_the_same(spark, small):
+@pytest.mark.parametrize("lookup", ["map", "join"])
+def test_other_lookups_are_the_same(spark, small, lookup):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", words(F.col("text")).alias("w"))
     docs = docs.unionByName(spark.createDataFrame([(-1, [])], "doc_id bigint, w array<string>"))
     vocabulary = ops.fit_vocabulary(spark.read.parquet(f"{small}/documents.parquet"), size=3000)
     shipped = ops.encode(docs, vocabulary, "w")
     texts = ops.decode(shipped, vocabulary, "input_ids").select("doc_id", "input_ids", "decoded").collect()
-    joined = ops.encode(docs, vocabulary, "w", lookup="join")
-    joined_texts = ops.decode(joined, vocabulary, "input_ids", lookup="join").select("doc_id", "input_ids", "decoded")
+    joined = ops.encode(docs, vocabulary, "w", lookup=lookup)
+    joined_texts = ops.decode(joined, vocabulary, "input_ids", lookup=lookup).select("doc_id", "input_ids", "decoded")
     assert sorted(texts) == sorted(joined_texts.collect())
 
 
@@ -71,7 +72,7 @@ def test_full_vocabulary_round_trip(spark, small):
     assert decoded.where(F.col("decoded") != F.concat_ws(" ", "w")).count() == 0
 
 
-@pytest.mark.parametrize("lookup", ["ship", "join"])
+@pytest.mark.parametrize("lookup", ["ship", "map", "join"])
 def test_repeated_and_null_keys_keep_their_rows(spark, lookup):
     vocabulary = spark.createDataFrame([("a", 3, 2), ("b", 2, 3), ("c", 1, 4)], "token string, n bigint, id int")
     rows = [(1, ["a", "b"]), (1, ["c"]), (None, ["a", "a"]), (None, None), (2, ["x", None]), (2, []), (1, ["a", "b"])]

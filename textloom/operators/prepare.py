@@ -58,16 +58,17 @@ def prepare_text(
     text: str = "text",
     max_length: int = DEFAULT_LENGTH,
     pad_id: int = 0,
+    lookup: str = "ship",
 ) -> DataFrame:
     """Filter, split, look up, cut and pad: ``(key, text, input_ids, attention_mask, n_tokens)``, one row per text kept.
 
     The other columns are dropped; the key stays so that results can be joined back. Words after ``max_length`` are
-    never split off, let alone looked up.
+    never split off, let alone looked up. ``lookup`` is as in ``encode``.
     """
     from textloom.operators.vocabulary import encode
 
     kept = drop_empty(df.select(key, text), text).withColumn("__words", words(F.col(text).cast("string"), max_length))
-    encoded = encode(kept, vocabulary, "__words").drop("__words")
+    encoded = encode(kept, vocabulary, "__words", lookup=lookup).drop("__words")
     return pad_and_mask(encoded, "input_ids", max_length, pad_id).select(
         key, text, "input_ids", "attention_mask", "n_tokens"
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import words
+from textloom.operators.dictionary import ship_dictionary
 from textloom.session import new_dir
 from textloom.sources.sinks import materialise
 
@@ -19,6 +20,8 @@ PAD_ID = 0
 UNKNOWN_ID = 1
 FIRST_ID = 2
 DEFAULT_SIZE = 30_000
+# Words of a vocabulary that is sent to the workers' memory, at most.
+MOST_SHIPPED = 2_000_000
 
 # the latest lookup table of this worker, by name
 _index: dict[str, dict] = {}
@@ -56,9 +59,9 @@ def encode(
 ) -> DataFrame:
     """Replace words by their ids, 1 where the vocabulary does not know the word; a null array gives an empty one.
 
-    Every row comes back, whatever its key. ``lookup="ship"`` sends the vocabulary, which has to fit a worker's memory
-    and is bounded by the size it was fitted with, to the workers, and no row is shuffled; ``lookup="join"`` joins it,
-    for vocabularies beyond that.
+    Every row comes back, whatever its key. ``lookup="ship"`` sends a vocabulary of up to ``MOST_SHIPPED`` words to the
+    workers' memory. ``lookup="map"`` is for larger ones: workers map files of it, which take disk and no memory. No row
+    is shuffled either way. ``lookup="join"`` joins the vocabulary, for one that fits no machine's disk.
     """
     return _looked_up(df, vocabulary.select(F.col("token").alias("from"), F.col("id").alias("to")), tokens, into, lookup, UNKNOWN_ID)
 
@@ -74,13 +77,17 @@ def decode(df: DataFrame, vocabulary: DataFrame, ids: str, into: str = "decoded"
 def _looked_up(df: DataFrame, table: DataFrame, column: str, into: str, lookup: str, missing: object) -> DataFrame:
     if lookup == "ship":
         return _shipped(df, table, column, into, missing)
+    if lookup == "map":
+        return _mapped(df, table, column, into, missing)
     if lookup == "join":
         return _joined(df, table, column, into, missing)
-    raise ValueError(f"lookup is 'ship' or 'join', not {lookup!r}")
+    raise ValueError(f"lookup is 'ship', 'map' or 'join', not {lookup!r}")
 
 
 def _shipped(df: DataFrame, table: DataFrame, column: str, into: str, missing: object) -> DataFrame:
     """Look up the distinct items of each Arrow batch in an index that a worker builds once."""
+    if table.limit(MOST_SHIPPED + 1).count() > MOST_SHIPPED:
+        raise ValueError(f"more than {MOST_SHIPPED} words to ship: use lookup='map' or lookup='join'")
     shipped = df.sparkSession.sparkContext.broadcast(table.toArrow().combine_chunks())
     kind = table.schema["to"].dataType.simpleString()
     name = uuid.uuid4().hex
@@ -97,10 +104,46 @@ def _shipped(df: DataFrame, table: DataFrame, column: str, into: str, missing: o
         index, to = _index[name], shipped.value.schema.field("to").type
         for lists in batches:
             coded = pc.dictionary_encode(lists.flatten(), null_encoding="encode")
-            values = pa.array([index.get(item, missing) for item in coded.dictionary.to_pylist()], to)
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            yield pa.ListArray.from_arrays(offsets, values.take(coded.indices))
+            yield _as_lists(lists, pa.array([index.get(item, missing) for item in coded.dictionary.to_pylist()], to), coded)
+
+    return df.withColumn(into, look_up(F.col(column)))
+
+
+def _as_lists(lists: pa.Array, values: pa.Array, coded: pa.DictionaryArray) -> pa.Array:
+    """Lists of the values that the items of ``lists`` were found to have; a null list becomes an empty one."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, values.take(coded.indices))
+
+
+def _mapped(df: DataFrame, table: DataFrame, column: str, into: str, missing: object) -> DataFrame:
+    """Look up the distinct items of each Arrow batch in dictionary files that a worker maps into memory."""
+    to_ids = table.schema["to"].dataType.simpleString() != "string"
+    names = ("token", "id") if to_ids else ("id", "token")
+    name = ship_dictionary(table.toDF(*names))
+
+    @F.arrow_udf("array<int>" if to_ids else "array<string>")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # imported here, so that the open files are the worker's own and outlive the task
+        from textloom.operators.dictionary import opened
+
+        known = opened(name)
+        for lists in batches:
+            coded = pc.dictionary_encode(lists.flatten(), null_encoding="encode")
+            items = coded.dictionary
+            there = np.flatnonzero(items.is_valid().to_numpy(zero_copy_only=False))
+            asked = items.take(pa.array(there))
+            if to_ids:
+                found = np.full(len(items), missing, np.int32)
+                found[there] = known.ids_of(asked, missing)
+                values = pa.array(found)
+            else:
+                words = known.words_of(asked.to_numpy(zero_copy_only=False).astype(np.int64))
+                places = np.zeros(len(items), np.int64)
+                places[there] = np.arange(len(there))
+                values = words.take(pa.array(places, mask=~items.is_valid().to_numpy(zero_copy_only=False)))
+                values = values.cast(pa.string())
+            yield _as_lists(lists, values, coded)
 
     return df.withColumn(into, look_up(F.col(column)))
 

@@ -161,14 +161,15 @@ def _words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def encode_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For vocabularies beyond a worker's memory, which dictionary files meet and no join."""
     split, vocabulary = _words(spark, sf_dir)
-    return ops.encode(split, vocabulary, "words", lookup="join").select("doc_id", _flat("input_ids"))
+    return ops.encode(split, vocabulary, "words", lookup="map").select("doc_id", _flat("input_ids"))
 
 
 def decode_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     split, vocabulary = _words(spark, sf_dir)
-    encoded = ops.encode(split, vocabulary, "words", lookup="join").select("doc_id", "input_ids")
-    return ops.decode(encoded, vocabulary, "input_ids", lookup="join").select("doc_id", "decoded")
+    encoded = ops.encode(split, vocabulary, "words", lookup="map").select("doc_id", "input_ids")
+    return ops.decode(encoded, vocabulary, "input_ids", lookup="map").select("doc_id", "decoded")
 
 
 def encode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "n_steps long, stop_step long, best_step long, best_loss double, held long"
-_STATE = "n_steps long, gain long, best double, stop_step long, best_step long, best_loss double, deadline long"
+_STATE = "n_steps long, gain long, best double, stop_step long, best_step long, best_loss double, deadline long, held long"
 
 
 class _EarlyStop(StatefulProcessor):
     """What a run's evaluations so far come to, and those that came before their turn."""
 
-    def __init__(self, patience: int, hold_ms: int | None, schema: str):
-        self.patience, self.hold_ms, self.schema = patience, hold_ms, schema
+    def __init__(self, patience: int, hold_ms: int | None):
+        self.patience, self.hold_ms = patience, hold_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -27,7 +27,7 @@ class _EarlyStop(StatefulProcessor):
     def _load(self) -> dict:
         names = [part.split()[0] for part in _STATE.split(", ")]
         known = self.state.get()
-        return dict(zip(names, known if known is not None else (0, 0, None, None, None, None, None)))
+        return dict(zip(names, known if known is not None else (0, 0, None, None, None, None, None, 0)))
 
     def _count(self, s: dict, step: int, loss: float | None) -> None:
         """Take in the next evaluation; after the stop only their number goes on."""
@@ -41,22 +41,22 @@ class _EarlyStop(StatefulProcessor):
             s["stop_step"] = step
 
     def _release(self, s: dict) -> None:
-        while self.early.containsKey((s["n_steps"] + 1,)):
+        while s["held"] and self.early.containsKey((s["n_steps"] + 1,)):
             step = s["n_steps"] + 1
             (loss,) = self.early.getValue((step,))
             self.early.removeKey((step,))
+            s["held"] -= 1
             self._count(s, step, loss)
 
     def _finish(self, key: tuple, s: dict, now: int) -> Iterator[pd.DataFrame]:
-        held = sum(1 for _ in self.early.keys())
-        if s["deadline"] is not None and (not held or self.hold_ms is None):
+        if s["deadline"] is not None and not s["held"]:
             self.handle.deleteTimer(s["deadline"])
             s["deadline"] = None
-        if held and s["deadline"] is None and self.hold_ms is not None:
+        if s["held"] and s["deadline"] is None and self.hold_ms is not None:
             s["deadline"] = now + self.hold_ms
             self.handle.registerTimer(s["deadline"])
         self.state.update(tuple(s.values()))
-        found = {"run": key[0], **{n: s[n] for n in ("n_steps", "stop_step", "best_step", "best_loss")}, "held": held}
+        found = {"run": key[0], **{n: s[n] for n in ("n_steps", "stop_step", "best_step", "best_loss", "held")}}
         frame = pd.DataFrame([found])
         kinds = {"n_steps": "Int64", "stop_step": "Int64", "best_step": "Int64", "best_loss": "Float64", "held": "Int64"}
         yield frame.astype(kinds)
@@ -67,10 +67,12 @@ class _EarlyStop(StatefulProcessor):
             frame = frame[frame["step"].notna()].sort_values("step", kind="stable")
             for step, loss in zip(frame["step"].astype("int64").tolist(), frame["loss"].tolist()):
                 loss = None if pd.isna(loss) else float(loss)
-                if step == s["n_steps"] + 1 and not self.early.containsKey((step,)):
+                known = s["held"] and step > s["n_steps"] and self.early.containsKey((step,))
+                if step == s["n_steps"] + 1 and not known:
                     self._count(s, step, loss)
-                elif step > s["n_steps"] and not self.early.containsKey((step,)):
+                elif step > s["n_steps"] and not known:
                     self.early.updateValue((step,), (loss,))
+                    s["held"] += 1
                 self._release(s)
         yield from self._finish(key, s, timerValues.getCurrentProcessingTimeInMs())
 
@@ -114,7 +116,7 @@ def stream_early_stop(
     schema = f"run {kind}, {OUTPUT}"
     hold_ms = None if hold_seconds is None else int(hold_seconds * 1000)
     stopped = named.groupBy("run").transformWithStateInPandas(
-        statefulProcessor=_EarlyStop(patience, hold_ms, schema),
+        statefulProcessor=_EarlyStop(patience, hold_ms),
         outputStructType=schema,
         outputMode="Update",
         timeMode="None" if hold_ms is None else "ProcessingTime",
