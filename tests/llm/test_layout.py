@@ -259,3 +259,29 @@ def test_packing_query(spark, middle, tokenizer):
         for p in by_doc[r.doc_id]:
             assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
     assert _padding(by_sequence, 2048) < 0.01
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\r\n", " \u3000", "\x85"])
+def test_millions_of_blanks(blank):
+    import public_tokenizers
+    import tokenizers
+
+    own = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoding, _ = packing.load(None)
+    long = blank * (1_500_000 // len(blank))
+    short = blank * (packing.LONG // len(blank) + 1)
+    for text in (long + "x", f"a{short}b  c{short} 1{short}'s{short}", f"{short}<|endoftext|>{short}.<|endoftext|>", short, f"a {short}"):
+        expected = own.encode(text, add_special_tokens=False).ids
+        assert packing.token_ids(text, encoding).tolist() == [*expected, packing.END]
+
+
+def test_five_million_blanks_are_packed(frame):
+    got = packing.pack(frame("doc_id long, text string", [(1, " " * 5_000_000 + "x"), (2, "\n" * 5_000_000)])).collect()
+    assert {r.doc_id: r.doc_tokens for r in got}.keys() == {1, 2}
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+
+
+def test_every_end_of_a_document_is_a_cut_place():
+    ends = np.array([3, 5, 6, 20, 33])
+    places, penalties = packing.cut_places(np.zeros(33, bool), ends)
+    assert set(ends) <= set(places.tolist()) and all(p == 0 for e, p in zip(places.tolist(), penalties.tolist()) if e in ends)

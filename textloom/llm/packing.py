@@ -1,13 +1,14 @@
 """Packing documents into token windows by dynamic programming that keeps their order.
 
-The tokens of a partition's documents form one stream. Every 16 tokens there is a place where it may be cut: the end of
-a document, else of a sentence, else the last token. A path of cuts costs the padding of its windows plus a penalty per
+The tokens of a partition's documents form one stream. It may be cut at the end of each document, and at one place in
+every 16 tokens: the end of a sentence, else the last token. A path of cuts costs the padding of its windows plus a penalty per
 cut inside a document; the cheapest predecessor of a place comes from a monotone queue over the last window.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import deque
 from collections.abc import Iterator
 
@@ -25,6 +26,10 @@ SENTENCE_CUT, WORD_CUT, SHORT_SEQUENCE = 4, 24, 8
 # The pieces of a byte-level vocabulary, and the text of its only special token.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
+# White space as patterns have it. Runs of so many letters are cut out before the pattern sees them.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG = 10_000
+LONG_BLANKS = re.compile(f"[{WHITE}]{{{LONG},}}")
 
 _loaded: dict[str, tuple[tiktoken.Encoding, np.ndarray]] = {}
 
@@ -59,10 +64,28 @@ def load(path: str | None) -> tuple[tiktoken.Encoding, np.ndarray]:
     return _loaded[path]
 
 
+def _with_long_blanks(text: str, encoding: tiktoken.Encoding) -> list[int]:
+    """Ids of a text with long runs of white space, which the pattern would look through too deeply.
+
+    The pattern makes one piece of a run, without its last letter if something follows; so the text may be cut there.
+    """
+    ids, at = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def token_ids(text: str | None, encoding: tiktoken.Encoding) -> np.ndarray:
     """Ids of a whole text and then the end id; a null text has the end id only."""
     if not text:
         ids = []
+    elif len(text) >= LONG and LONG_BLANKS.search(text):
+        special = encoding.encode(SPECIAL, allowed_special={SPECIAL})
+        parts = [_with_long_blanks(part, encoding) for part in text.split(SPECIAL)]
+        ids = parts[0] + [i for part in parts[1:] for i in special + part]
     elif SPECIAL in text:
         ids = encoding.encode(text, allowed_special={SPECIAL}, disallowed_special=())
     else:
@@ -71,7 +94,8 @@ def token_ids(text: str | None, encoding: tiktoken.Encoding) -> np.ndarray:
 
 
 def cut_places(sentence_ends: np.ndarray, doc_ends: np.ndarray, cell: int = CELL) -> tuple[np.ndarray, np.ndarray]:
-    """Places where the stream may be cut, with their penalties: the cheapest and then last of each cell."""
+    """Places where the stream may be cut, with their penalties: all ends of documents, and the cheapest and then last
+    place of each cell."""
     n = len(sentence_ends)
     cost = np.full(n, WORD_CUT)
     cost[sentence_ends] = SENTENCE_CUT
@@ -80,7 +104,8 @@ def cut_places(sentence_ends: np.ndarray, doc_ends: np.ndarray, cell: int = CELL
         cost = np.concatenate([cost, np.full(cell - n % cell, WORD_CUT + 1)])
     cells = cost.reshape(-1, cell)
     best = cell - 1 - cells[:, ::-1].argmin(axis=1)
-    return np.arange(len(cells)) * cell + best + 1, cells[np.arange(len(cells)), best]
+    places = np.union1d(np.arange(len(cells)) * cell + best + 1, doc_ends)
+    return places, cost[places - 1]
 
 
 def tail_cost(length: int, window: int) -> int:
