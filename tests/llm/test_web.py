@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import random
+import time
 import gzip
 import hashlib
 from pathlib import Path
@@ -75,7 +77,40 @@ def test_no_pages(frame, tmp_path):
     ],
 )
 def test_keys(spark, url, keys):
-    assert spark.createDataFrame([(url,)], "u string").select(urls.keys_of("u")).first()[0] == keys
+    row = spark.createDataFrame([(url,)], "u string")
+    assert row.select(urls.keys_of("u")).first()[0] == keys
+    every = row.select(urls.keys_of("u", None, None)).first()[0]
+    assert set(every) >= set(keys)
+    at = row.select(urls.keys_at("u", list(range(1, 40)), list(range(1, 40)))).first()[0]
+    assert sorted(at or []) == sorted(every)
+
+
+@pytest.mark.parametrize("url", ["http://h.com/" + "ab/" * 350_000, "http://" + "a." * 500_000 + "com/x"])
+def test_a_long_url_takes_as_long_as_it_is(frame, url):
+    captures = frame("page_id long, url string, fetched timestamp_ntz", [(i, url, datetime.datetime(2024, 1, 2)) for i in range(3)])
+    listed = ["h.com/ab/ab", "h.com/" + "ab/" * 20_000 + "ab", "a.com", "a.a.a.com", "com", "x"]
+    entries = frame("list string, entry string, since date, action string", [("l", e, DAY, "add") for e in listed])
+    started = time.monotonic()
+    got = [r.matches for r in urls.judge(captures, entries).collect()]
+    assert time.monotonic() - started < 20
+    expected = ["l:" + e for e in (listed[:2] if "h.com" in url else listed[2:4])]
+    assert got == [sorted(expected)] * 3
+
+
+def test_long_histories(frame):
+    """Changes at random moments over years, against a search through all of them."""
+    draw = random.Random(3)
+    start = datetime.datetime(2019, 12, 30)
+    moment = lambda: start + datetime.timedelta(seconds=draw.randrange(3 * 365 * 86400))
+    entries = [(draw.choice("ab"), draw.choice(["x.com", "y.x.com", "y.x.com/p"]), moment(), draw.choice(["add", "remove"])) for _ in range(900)]
+    rows = [(i, "http://y.x.com/p/q", draw.choice([moment(), draw.choice(entries)[2]])) for i in range(200)]
+    got = urls.judge(frame("page_id long, url string, fetched timestamp_ntz", rows), frame("list string, entry string, since timestamp_ntz, action string", entries))
+    for r in got.collect():
+        latest = {}
+        for name, entry, since, action in sorted(entries, key=lambda e: (e[2], e[3] == "add")):
+            if since <= r.fetched:
+                latest[name, entry] = action
+        assert r.matches == sorted(f"{name}:{entry}" for (name, entry), action in latest.items() if action == "add")
 
 
 def test_deep_hosts_and_paths_are_judged(frame):

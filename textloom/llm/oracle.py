@@ -22,12 +22,9 @@ WITH parts AS (
     list_filter(string_split(regexp_extract(trim(url), '{_URL}', 2), '/'), lambda p: p <> '') AS path
   FROM pages
 ), keyed AS (
-  SELECT page_id, url, fetched, list_filter([
-      host,
-      CASE WHEN len(l) > 2 THEN array_to_string(l[2:], '.') END, CASE WHEN len(l) > 3 THEN array_to_string(l[3:], '.') END,
-      CASE WHEN len(l) > 4 THEN array_to_string(l[4:], '.') END, CASE WHEN len(l) > 5 THEN array_to_string(l[5:], '.') END,
-      CASE WHEN len(path) >= 1 THEN host || '/' || path[1] END,
-      CASE WHEN len(path) >= 2 THEN host || '/' || path[1] || '/' || path[2] END], lambda k: k IS NOT NULL) AS keys
+  SELECT page_id, url, fetched, CASE WHEN host IS NULL THEN []::VARCHAR[] ELSE
+      [host] || list_transform(range(2, len(l)), lambda i: array_to_string(l[i:], '.'))
+      || list_transform(range(1, len(path) + 1), lambda i: host || '/' || array_to_string(path[1:i], '/')) END AS keys
   FROM (SELECT *, string_split(host, '.') AS l FROM parts)
 ), entries AS (
   SELECT CASE WHEN page_id % 2 = 0 THEN 'ads' ELSE 'malware' END AS list, keys[page_id % 3 + 1] AS entry,
