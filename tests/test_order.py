@@ -1,4 +1,4 @@
-"""Positions, batches, seeded order, salting and quantiles, with and without skew."""
+"""Positions, batches, seeded order and quantiles, with and without skew."""
 
 from __future__ import annotations
 
@@ -156,22 +156,6 @@ def test_plan_steps_rounding(spark):
     assert plan == {"train": (3, 1, 2), "eval": (1, 1, 2)}
 
 
-def test_salted_join_equals_plain_join(spark):
-    rng = random.Random(4)
-    left_rows = [(i, "hot" if rng.random() < 0.4 else f"k{rng.randint(0, 60)}") for i in range(2000)]
-    left = spark.createDataFrame(left_rows, "i int, k string")
-    right = spark.createDataFrame([("hot", 1)] + [(f"k{j}", j) for j in range(40)], "k string, v int")
-    got = ops.salted_left_join(left, right, ["k"], hot_rows=100, salts=8)
-    assert sorted(got.collect()) == sorted(left.join(right, "k", "left").select(*got.columns).collect())
-    assert "__salt" in got._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_salt_needs_something_to_spread_by(spark):
-    keys = spark.createDataFrame([("a",)], "k string")
-    with pytest.raises(ValueError):
-        ops.salted_left_join(keys, keys, ["k"], salts=2)
-
-
 def test_exact_quantiles(spark):
     df, rows = skewed(spark)
     quantiles = {"a": 0.0001, "b": 0.5, "c": 0.95, "d": 1.0}

@@ -201,3 +201,16 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     df = spark.createDataFrame([("c", "t", 1.0)], "c string, t string, s double")
     plan = ops.nucleus_filter(df, "c", "t", "s")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("k, p", [(None, 0.9), (0, 1.0), (1500, 0.8), (1200, 1.0)])
+def test_nucleus_of_large_contexts(spark, k, p):
+    draw = random.Random(6)
+    scores = {"big": {f"t{i:05}": round(draw.gauss(0, 2), 1) for i in range(4000)}, "small": {"a": 1.0, "b": 1.0, "c": -3.0}}
+    rows = [(c, t, s) for c, d in scores.items() for t, s in d.items()]
+    df = spark.createDataFrame(rows, "c string, t string, s double").repartition(4)
+    got = {}
+    for r in ops.nucleus_filter(df, "c", "t", "s", 0.8, k, p).collect():
+        got.setdefault(r.c, {})[r.t] = r.probability
+    for c, d in scores.items():
+        assert got[c] == pytest.approx(nucleus(d, 0.8, k or len(d), p))

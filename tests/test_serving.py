@@ -268,3 +268,40 @@ def test_model_is_loaded_once_per_worker(spark, tmp_path):
     assert ops.generate(df, make).where("generated_texts[0] = 'done'").count() == 400
     loads = open(log).read().split()
     assert len(loads) == len(set(loads))
+
+
+def _make_lengths():
+    def lengths(prompts, settings):
+        if any("!" in p for p in prompts):
+            raise ValueError("no shouting")
+        return [[f"{p} got {len(p.split())}"] * s["num_return_sequences"] for p, s in zip(prompts, settings)]
+
+    return lengths
+
+
+def test_batches_by_length_equal_plain_ones(spark):
+    draw = random.Random(2)
+    prompts = [" ".join("w" for _ in range(draw.choice([1, 2, 3, 3, 3, 40, draw.randint(1, 60)]))) + f" {i}" for i in range(400)]
+    prompts[7], prompts[8], prompts[9] = None, "", "stop !"
+    df = spark.createDataFrame(list(enumerate(prompts)), "prompt_idx long, prompt string").repartition(5)
+    columns = ["prompt_idx", "prompt", "generated_texts", "status", "error"]
+    plain = ops.generate(df, _make_lengths).select(columns)
+    by_length = ops.generate(df, _make_lengths, token_budget=64)
+    rows = by_length.orderBy("prompt_idx").collect()
+    assert [tuple(r[c] for c in columns) for r in rows] == [tuple(r) for r in plain.orderBy("prompt_idx").collect()]
+    assert all(r.padded_to is None or r.prompt_tokens <= r.padded_to for r in rows)
+    report = ops.padding_report(by_length).first()
+    assert report.prompts == 399 and report.tokens == sum(len((p or "").split()) for p in prompts)
+    in_order = sum(8 * max(len((p or "").split()) for p in prompts[i : i + 8]) for i in range(0, 400, 8))
+    assert report.pad_share < 0.5 * (1 - report.tokens / in_order)
+    with pytest.raises(ValueError):
+        ops.generate(df, _make_lengths, token_budget=0)
+
+
+def test_length_batches():
+    from textloom.operators.generation import length_batches
+
+    assert length_batches([], 10) == []
+    assert length_batches([50], 10) == [1]
+    assert length_batches([1, 1, 2, 3, 3, 9, 30, 30], 9) == [4, 5, 6, 7, 8]
+    assert length_batches([0, 0, 0], 1) == [3]

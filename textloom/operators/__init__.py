@@ -13,6 +13,7 @@ from textloom.operators.generation import (
     collect_sequences,
     expand_sequences,
     generate,
+    padding_report,
     parse_requests,
     predict,
     to_response,
@@ -50,7 +51,6 @@ from textloom.operators.prepare import (
 from textloom.operators.quantiles import exact_quantiles
 from textloom.operators.ranking import add_position
 from textloom.operators.runs import best_step, compare_runs, early_stop, every_nth_step
-from textloom.operators.skew import salted_left_join
 from textloom.operators.tokenisers import tokenise_with_file
 from textloom.operators.versions import (
     diff_summary,
@@ -102,6 +102,7 @@ __all__ = [
     "nucleus_filter",
     "pad_and_mask",
     "pad_token",
+    "padding_report",
     "parse_requests",
     "perplexities",
     "perplexity",
@@ -113,7 +114,6 @@ __all__ = [
     "rouge",
     "rouge_scores",
     "row_report",
-    "salted_left_join",
     "score_texts",
     "seeded_order",
     "sketched_window_metrics",

@@ -103,8 +103,10 @@ def evaluate_classification(
     label: str = "label",
     prediction: str = "prediction",
     label_names: Sequence[str] | None = None,
+    strict: bool = True,
 ) -> DataFrame:
-    """Long table ``(scope, class, metric, value)``: overall values, and per class ones if names are given."""
+    """Long table ``(scope, class, metric, value)``: overall values, and per class ones if names are given, of which there
+    may be fewer than classes with ``strict=False``."""
     overall = classification_summary(df, label, prediction)
     metrics = ["accuracy", "precision", "recall", "f1"]
     long = overall.select(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("class"), *metrics).unpivot(
@@ -114,7 +116,7 @@ def evaluate_classification(
         return long
     columns = ["precision", "recall", "f1", "support"]
     per_class = (
-        class_report(df, label, prediction, label_names)
+        class_report(df, label, prediction, label_names, strict)
         .withColumn("support", F.col("support").cast("double"))
         .select(F.lit("per_class").alias("scope"), F.col("name").alias("class"), *columns)
         .unpivot(["scope", "class"], columns, "metric", "value")

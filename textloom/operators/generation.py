@@ -111,6 +111,27 @@ def predict(make_predict: Callable, return_type: DataType, *inputs: Column, batc
     return predict_batch_udf(make_predict, return_type=return_type, batch_size=batch_size)(*inputs)
 
 
+def length_batches(sizes: Sequence[int], budget: int) -> list[int]:
+    """Ends of batches of rows that come by rising size: each as many rows as fit ``budget`` when padded to its longest,
+    and one row at least."""
+    ends, start = [], 0
+    for i, size in enumerate(sizes):
+        if i > start and (i - start + 1) * size > budget:
+            ends.append(i)
+            start = i
+    return [*ends, len(sizes)] if len(sizes) else []
+
+
+def padding_report(generated: DataFrame) -> DataFrame:
+    """One row out of ``generate`` with a token budget: prompts, their tokens, tokens with padding, and padding's share."""
+    sums = generated.where(F.col("padded_to").isNotNull()).agg(
+        F.count(F.lit(1)).alias("prompts"),
+        F.sum("prompt_tokens").alias("tokens"),
+        F.sum(F.col("padded_to").cast("long")).alias("padded"),
+    )
+    return sums.withColumn("pad_share", 1 - F.col("tokens") / F.nullif("padded", F.lit(0)))
+
+
 def generate(
     df: DataFrame,
     make_generator: Callable[[], Generator],
@@ -118,6 +139,7 @@ def generate(
     batch_size: int = 8,
     max_length: int | None = None,
     settings: Sequence[str] = (),
+    token_budget: int | None = None,
 ) -> DataFrame:
     """Add ``generated_texts``, ``status`` and ``error`` by a user-supplied text model.
 
@@ -126,6 +148,12 @@ def generate(
     one by one, so that only the bad ones become errors. Rows stay where they are: no shuffle. ``settings`` names
     further columns that the model gets with the parameters.
 
+    With ``token_budget`` prompts of similar length share a batch: rows are shuffled once into ranges of their number of
+    words, prompts of one length being dealt out over several tasks if they are many, and a batch holds as many as the
+    budget allows when all are padded to the longest, instead of ``batch_size``. ``prompt_tokens`` and ``padded_to`` tell
+    what that took, see ``padding_report``; the order of the prompts is that of a key of theirs, by which
+    ``write_results`` sorts.
+
     A row with a null prompt, or with a ``request_error`` from ``parse_requests``, never reaches the model and has that
     error.
 
@@ -134,7 +162,7 @@ def generate(
     """
     name = uuid.uuid4().hex
 
-    @F.pandas_udf("struct<texts: array<string>, error: string>")
+    @F.pandas_udf("struct<texts: array<string>, error: string, padded_to: int>")
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # imported here, so that it is the worker's own and outlives the task
         from textloom.operators.generation import _loaded
@@ -164,14 +192,19 @@ def generate(
 
         for frame in frames:
             refused = frame["refused"].tolist()
-            out: list[tuple] = [(None, r) for r in refused]
+            out: list[tuple] = [(None, r, None) for r in refused]
             good = [i for i, r in enumerate(refused) if r is None]
-            prompts, rows = frame["prompt"].tolist(), frame.drop(columns=["prompt", "refused"]).to_dict("records")
-            for start in range(0, len(good), batch_size):
-                part = good[start : start + batch_size]
+            sizes = frame["size"].tolist()
+            prompts, rows = frame["prompt"].tolist(), frame.drop(columns=["prompt", "refused", "size"]).to_dict("records")
+            ends = list(range(batch_size, len(good) + batch_size, batch_size))
+            if token_budget is not None:
+                ends = length_batches([sizes[i] for i in good], token_budget)
+            for start, end in zip([0, *ends], ends):
+                part = good[start:end]
+                longest = max(sizes[i] for i in part) if token_budget is not None else None
                 for i, answer in zip(part, whole([prompts[i] for i in part], [rows[i] for i in part])):
-                    out[i] = answer
-            yield pd.DataFrame(out, columns=["texts", "error"])
+                    out[i] = (*answer, longest)
+            yield pd.DataFrame(out, columns=["texts", "error", "padded_to"]).astype({"padded_to": "Int32"})
 
     handed = F.col(prompt)
     if max_length is not None:
@@ -180,10 +213,23 @@ def generate(
     refused = F.when(F.col("__prompt").isNull(), F.lit("prompt is missing"))
     if "request_error" in df.columns:
         refused = F.coalesce("request_error", refused)
+    ready = with_defaults(df.withColumn("__prompt", handed))
+    size = F.lit(0)
+    if token_budget is not None:
+        if token_budget < 1:
+            raise ValueError("token_budget must be at least 1")
+        counted = F.when(F.col("__prompt").isNotNull(), F.size(words(F.col("__prompt")))).otherwise(F.lit(0))
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ready = ready.withColumn("prompt_tokens", counted)
+        ready = ready.repartitionByRange(parts, "prompt_tokens", F.xxhash64("__prompt")).sortWithinPartitions("prompt_tokens")
+        size = F.col("prompt_tokens")
     asked = F.struct(
-        F.col("__prompt").alias("prompt"), refused.alias("refused"), *[F.col(p) for p in (*DEFAULTS, *settings)]
-    )
-    answered = with_defaults(df.withColumn("__prompt", handed)).withColumn("__out", run(asked))
+        F.col("__prompt").alias("prompt"), refused.alias("refused"), size.alias("size"),
+        *[F.col(p) for p in (*DEFAULTS, *settings)],
+    )
+    answered = ready.withColumn("__out", run(asked))
+    if token_budget is not None:
+        answered = answered.withColumn("padded_to", F.col("__out.padded_to"))
     trimmed = F.transform("__out.texts", lambda full: without_prompt(full, F.col("__prompt")))
     return (
         answered.withColumn("generated_texts", trimmed)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import bigrams, words
 from textloom.operators.batching import DEFAULT_BATCH, assign_batches
+from textloom.session import new_dir
+from textloom.sources.sinks import materialise
 
 ADD_K = 0.1
 
@@ -66,18 +68,24 @@ def fit_bigrams(df: DataFrame, text: str = "text", k: float = ADD_K) -> BigramMo
 def score_texts(df: DataFrame, model: BigramModel, key: str, text: str = "text") -> DataFrame:
     """Mean negative log-likelihood per row as ``(key, n_tokens, loss)``; a text without words has a null loss.
 
-    Rows with one text share its score, so null and repeated keys come back like any others. Texts are split once; a
-    text's distinct pairs are counted before they meet the model, and adaptive execution splits frequent pairs.
+    Rows with one text share its score, so null and repeated keys come back like any others. Texts are split once and
+    never shuffled: their pairs are counted by the digest of the text. Only the pairs and contexts that the texts have
+    meet the model, by inner joins, of which the planner may send either side; those that it does not know are added
+    where the texts' own pairs are scored.
     """
     marked = df.select(key, F.col(text).alias("__text"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("__digest"))
-    texts = marked.groupBy("__digest").agg(F.first("__text").alias("__text"))
-    counted = _pairs_of(texts, "__text", "__digest").groupBy("__digest", "prev", "token").agg(F.count(F.lit(1)).alias("c"))
-    known = counted.join(model.pairs.select("prev", "token", "n"), ["prev", "token"], "left")
-    in_context = known.join(model.contexts(), "prev", "left")
+    counted = _pairs_of(marked, "__text", "__digest").groupBy("__digest", "prev", "token").agg(F.count(F.lit(1)).alias("c"))
+    counted = materialise(counted, new_dir(df.sparkSession, "pairs-to-score"))
+    seen = model.pairs.select("prev", "token", "n").join(counted.select("prev", "token").distinct(), ["prev", "token"])
+    contexts = model.contexts().join(counted.select("prev").distinct(), "prev")
+    in_context = counted.join(seen, ["prev", "token"], "left").join(contexts, "prev", "left")
     probability = (F.coalesce("n", F.lit(0)) + model.k) / (F.coalesce("followed", F.lit(0)) + model.k * model.size())
     scored = in_context.groupBy("__digest").agg(
-        F.sum("c").alias("n_tokens"), (-F.sum(F.col("c") * F.ln(probability)) / F.sum("c")).alias("loss")
+        F.sum("c").alias("__pairs"), (-F.sum(F.col("c") * F.ln(probability)) / F.sum("c")).alias("loss")
     )
+    # a text's pairs were counted once per row that has it, which the mean does not see
+    copies = marked.groupBy("__digest").agg(F.count(F.lit(1)).alias("__copies"))
+    scored = scored.join(copies, "__digest").select("__digest", F.expr("__pairs div __copies").alias("n_tokens"), "loss")
     found = marked.drop("__text").join(scored, "__digest", "left").drop("__digest")
     return found.withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("bigint")))
 

@@ -112,11 +112,9 @@ def as_group(df: DataFrame, group_by: list[str]) -> DataFrame:
     return df.withColumn(GROUP, F.struct(*group_by) if group_by else F.lit(0))
 
 
-def join_chunks(chunked: DataFrame, per_chunk: DataFrame, grouped: bool) -> DataFrame:
+def join_chunks(chunked: DataFrame, per_chunk: DataFrame) -> DataFrame:
     """Bring per-chunk values to the rows."""
-    if not grouped:
-        # with_chunks makes at most 3 chunks per cut, and given chunks are few by contract
-        per_chunk = F.broadcast(per_chunk)
+    # how many chunks there are, which may be a caller's, is the planner's to look at
     return chunked.join(per_chunk, [GROUP, CHUNK], "left")
 
 
@@ -144,7 +142,7 @@ def add_position(
     offsets = counts.select(GROUP, CHUNK, F.coalesce(F.sum("__n").over(earlier_chunks()), F.lit(0)).alias("__before"))
     nth = F.row_number().over(Window.partitionBy(GROUP, CHUNK).orderBy(*order_by))
     return (
-        join_chunks(chunked, offsets, bool(group_by))
+        join_chunks(chunked, offsets)
         .withColumn(into, (F.col("__before") + nth).cast("bigint"))
         .drop(GROUP, CHUNK, "__before")
     )

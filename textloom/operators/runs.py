@@ -55,7 +55,7 @@ def early_stop(
     improved = F.col(loss).isNotNull() & (best_so_far.isNull() | (F.col(loss) < best_so_far))
     step = (F.col("__rows_before") + F.row_number().over(along)).cast("bigint")
     marked = (
-        join_chunks(chunked, before, True)
+        join_chunks(chunked, before)
         .withColumns({"__step": step, "__improved": improved, "__best": F.least(best_so_far, F.col(loss))})
         .select(GROUP, CHUNK, "__step", "__best", F.when(F.col("__improved"), F.col("__step")).alias("__gain"))
     )
@@ -64,7 +64,7 @@ def early_stop(
     by_step = Window.partitionBy(GROUP, CHUNK).orderBy("__step").rowsBetween(Window.unboundedPreceding, 0)
     gain = F.coalesce(F.greatest(F.col("__gain_before"), F.max("__gain").over(by_step)), F.lit(0))
     of_run = F.col(GROUP)[run].alias(run)
-    state = join_chunks(marked, carried, True).select(of_run, "__step", "__best", gain.alias("__gain"))
+    state = join_chunks(marked, carried).select(of_run, "__step", "__best", gain.alias("__gain"))
     out = F.col("__step") - F.col("__gain") >= patience
     now = F.struct(F.col("__step").alias("step"), F.col("__gain").alias("gain"), F.col("__best").alias("best"))
     ends = state.groupBy(run).agg(

@@ -37,6 +37,7 @@ def tokenise_with_file(
                 tokeniser.no_truncation()
             else:
                 tokeniser.enable_truncation(max_length)
+            _loaded.clear()  # a reused worker keeps the latest one only
             _loaded[name] = tokeniser
         for batch in batches:
             encodings = _loaded[name].encode_batch_fast([t or "" for t in batch.to_pylist()])

@@ -445,6 +445,7 @@ ORACLE |= {
         SELECT row_number() OVER (ORDER BY key) - 1 AS position, reference, prediction FROM pairs""",
     "csv_borders": """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'say "' || replace(text, ' the ', ',' || chr(10) || chr(10) || '"')
           || '"' || chr(10) ELSE text END AS text, lang FROM documents""",
+    "generate_by_length": f"SELECT *, TRUE AS little_padding FROM ({ORACLE['generate_texts']})",
     "early_stop_stream": ORACLE["early_stop"],
     "stored_changes": f"SELECT * FROM ({ORACLE['dataset_diff']}) WHERE change <> 'same'",
     "monitor_rollup": f"""WITH {WINDOWS} SELECT window_start, window_end, requests, errors, error_rate, TRUE AS near

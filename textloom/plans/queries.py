@@ -436,6 +436,17 @@ def generate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "status", "error", F.concat_ws("|", "generated_texts").alias("generated_texts"))
 
 
+def generate_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with prompts of similar length in a batch, and whether that padded less than batches of eight in order."""
+    marked = F.when(F.col("conv_id") % 5 == 0, F.concat("prompt", F.lit("?"))).otherwise(F.col("prompt"))
+    turns = inputs.user_turns(spark, sf_dir).withColumn("prompt", marked)
+    asked = turns.withColumn("num_return_sequences", (F.col("turn") % 2 + 1).cast("int"))
+    out = materialise(ops.generate(asked, _make_echo, token_budget=512), new_dir(spark, "generated"))
+    share = ops.padding_report(out).select(F.col("pad_share") < 0.2).scalar()
+    texts = F.concat_ws("|", "generated_texts").alias("generated_texts")
+    return out.select("conv_id", "turn", "status", "error", texts, share.alias("little_padding"))
+
+
 # --- runs and versions
 
 
@@ -634,7 +645,7 @@ def _queries() -> Iterator[tuple[str, Query]]:
         monitor_windows, stream_windows, stream_requests,
         encode_join, decode_join, batch_assign_text, load_dispatch, cache_copy, metrics_append, metric_choice,
         pad_fallback, batch_map,
-        align_positions, csv_borders, early_stop_stream, stored_changes, monitor_rollup,
+        align_positions, csv_borders, early_stop_stream, stored_changes, monitor_rollup, generate_by_length,
     ):
         yield q.__name__, q
     yield "params_long", params_long_query
