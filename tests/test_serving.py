@@ -303,5 +303,5 @@ def test_length_batches():
 
     assert length_batches([], 10) == []
     assert length_batches([50], 10) == [1]
-    assert length_batches([1, 1, 2, 3, 3, 9, 30, 30], 9) == [4, 5, 6, 7, 8]
+    assert length_batches([1, 1, 2, 3, 3, 9, 30, 30], 9) == [3, 5, 6, 7, 8]
     assert length_batches([0, 0, 0], 1) == [3]
