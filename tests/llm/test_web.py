@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime
-import random
-import time
 import gzip
 import hashlib
+import random
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from textloom.llm import urls, warc
 
@@ -170,3 +172,31 @@ def test_entries_count_from_their_time_of_day(frame, kind):
     captures = frame(f"page_id long, url string, fetched {fetched}", [(h, "http://x.com/", at(h)) for h in range(24)])
     listed = sorted(r.page_id for r in urls.judge(captures, entries).collect() if r.matches)
     assert listed == [*range(9, 15), *range(20, 24)]
+
+
+@pytest.mark.parametrize(
+    "path, uri",
+    [
+        ("s3a://bucket/a b/c", "s3://bucket/a b/c"), ("s3n://bucket/x", "s3://bucket/x"), ("hdfs://nn:8020/x", "hdfs://nn:8020/x"),
+        ("file:/tmp/x", "file:///tmp/x"), ("file:///tmp/x", "file:///tmp/x"), ("dbfs:/a/b", "file:///dbfs/a/b"),
+        ("gs://bucket/x", "gs://bucket/x"), ("abfss://c@a.dfs.core.windows.net/x", "abfss://c@a.dfs.core.windows.net/x"),
+    ],
+)
+def test_file_systems(path, uri):
+    assert warc.arrow_uri(path) == uri
+
+
+def test_folders_are_resolved_as_spark_does(spark, tmp_path):
+    assert warc.resolved(spark, str(tmp_path)) == f"file:{tmp_path}"
+    with pytest.raises(ValueError, match="ftp"):
+        warc.arrow_uri("ftp://host/x")
+
+
+def test_a_failing_task_closes_its_file(frame, tmp_path, monkeypatch):
+    pages = [(i, f"http://h/{i}", "<p>" + "x" * 300 + str(i)) for i in range(20)]
+    broken = F.when(F.col("page_id") == 13, F.raise_error(F.lit("broken")).cast("string")).otherwise(F.col("html"))
+    df = frame("page_id long, url string, html string", pages)
+    with pytest.raises(PySparkException, match="broken"):
+        warc.archive(df.withColumn("html", broken), str(tmp_path / "w"))
+    index, folder = warc.archive(df, str(tmp_path / "again"))
+    assert warc.read_records(index, folder).count() == 20

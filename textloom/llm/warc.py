@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.session import new_dir
+from textloom.session import new_dir, shared_dir
 from textloom.sources import materialise
 
 LEAST_BYTES = 100
@@ -28,8 +28,39 @@ DATE = "2024-01-01T00:00:00Z"
 _INDEX = ("page_id", "url", "record_type", "refers_to", "digest", "file", "offset", "length")
 
 
+# Names that Spark has for file systems which Arrow calls otherwise, and those that Arrow opens.
+RENAMED = {"s3a": "s3", "s3n": "s3"}
+KNOWN = ("file", "s3", "gs", "gcs", "hdfs", "viewfs", "abfs", "abfss")
+
+
+def resolved(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as Spark's configuration has it, for all tasks alike.
+
+    A folder without one belongs to the default file system, as in Spark. On a cluster it must not be each machine's own
+    disk, unless it lies in the shared folder that the cluster names.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    local = spark.sparkContext.master.startswith("local") or not whole.startswith("file:")
+    if not local and not folder.startswith(("file:", shared_dir(spark) + "/")):
+        raise ValueError(f"{folder} is a folder of each machine's own: name its file system, or leave it to spark.checkpoint.dir")
+    arrow_uri(whole)
+    return whole
+
+
+def arrow_uri(path: str) -> str:
+    """How Arrow spells a location that Spark has qualified."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "dbfs":  # mounted on every machine
+        return "file:///dbfs/" + rest.lstrip("/")
+    scheme = RENAMED.get(scheme, scheme)
+    if scheme not in KNOWN:
+        raise ValueError(f"archives cannot be written to {scheme}: of {path}; use one of {', '.join(KNOWN)}")
+    return f"file:///{rest.lstrip('/')}" if scheme == "file" else f"{scheme}:{rest}"
+
+
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(arrow_uri(path))
 
 
 def decide(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -91,30 +122,33 @@ def write_archives(decided: DataFrame, folder: str) -> DataFrame:
     no index row names.
     """
     kind = decided.schema["page_id"].dataType.simpleString()
+    folder = resolved(decided.sparkSession, folder)
 
     def write(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = _opened(f"{folder}/archives")
         files.create_dir(top, recursive=True)
         sink, at, name = None, 0, ""
-        for batch in frames:
-            where = []
-            for row in batch.select(["page_id", "url", "payload", "digest", "record_type", "refers_to"]).to_pylist():
-                if sink is None or at >= FILE_BYTES:
-                    if sink is not None:
-                        sink.close()
-                    name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
-                    sink, at = files.open_output_stream(posixpath.join(top, name), compression=None), 0
-                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                packed = packer.compress(_record(*row.values())) + packer.flush()
-                sink.write(packed)
-                where.append((name, at, len(packed)))
-                at += len(packed)
-            columns = [batch.column(c) for c in _INDEX[:5]]
-            columns += [pa.array(c, t) for c, t in zip(zip(*where), (pa.string(), pa.int64(), pa.int64()))]
-            if where:
-                yield pa.RecordBatch.from_arrays(columns, list(_INDEX))
-        if sink is not None:
-            sink.close()
+        try:
+            for batch in frames:
+                where = []
+                for row in batch.select(["page_id", "url", "payload", "digest", "record_type", "refers_to"]).to_pylist():
+                    if sink is None or at >= FILE_BYTES:
+                        if sink is not None:
+                            sink.close()
+                        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz"
+                        sink, at = files.open_output_stream(posixpath.join(top, name), compression=None), 0
+                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    packed = packer.compress(_record(*row.values())) + packer.flush()
+                    sink.write(packed)
+                    where.append((name, at, len(packed)))
+                    at += len(packed)
+                columns = [batch.column(c) for c in _INDEX[:5]]
+                columns += [pa.array(c, t) for c, t in zip(zip(*where), (pa.string(), pa.int64(), pa.int64()))]
+                if where:
+                    yield pa.RecordBatch.from_arrays(columns, list(_INDEX))
+        finally:  # also where the task fails
+            if sink is not None:
+                sink.close()
 
     schema = f"page_id {kind}, url string, record_type string, refers_to {kind}, digest string, "
     schema += "file string, offset long, length long"
@@ -129,6 +163,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     bytes at a time.
     """
     kind = index.schema["page_id"].dataType.simpleString()
+    folder = resolved(index.sparkSession, folder)
 
     def read(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, top = _opened(f"{folder}/archives")
@@ -177,7 +212,8 @@ def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str
     """Write all pages; the index and the folder, by default a new one in the shared folder.
 
     ``pages`` has ``page_id``, ``url`` and ``html``, each of which may be null; other columns are ignored. Repeated rows
-    each get a record. A table without rows gives an empty index.
+    each get a record. A table without rows gives an empty index. The folder may be on any file system that Spark and
+    Arrow both know, by the name that Spark has for it (``s3a://``); one without a name is on Spark's default one.
     """
     spark: SparkSession = pages.sparkSession
     folder = folder or new_dir(spark, "warc")
