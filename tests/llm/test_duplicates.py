@@ -206,3 +206,10 @@ def test_filters_rise_with_the_table():
     needed = [caps.caps_for(64, count)[1] for count in (10_000, 1_000_000, 1_999_999, 2_000_001, 100_000_000)]
     assert needed == sorted(needed) and needed[3] - needed[2] <= 1
     assert all(caps.chance_in_cap(d, *caps.caps_for(d, 10**8)[:1], caps.THRESHOLD) >= caps.LEAST_CHANCE for d in (2, 3, 8, 64))
+
+
+def test_thresholds_that_the_samples_do_not_reach(frame):
+    assert minhash.bands_for(80) == 24 and minhash.bands_for(76) <= minhash.SAMPLES // minhash.BAND_ROWS
+    for threshold in (75, 50, 1, 0):
+        with pytest.raises(ValueError, match="76"):
+            minhash.near_duplicates(frame("doc_id long, text string", [(1, "a")]), threshold=threshold)

@@ -85,9 +85,15 @@ class MinHash:
 
 
 def bands_for(threshold: int) -> int:
-    """Bands of ``BAND_ROWS`` samples so that a pair at the threshold (in percent) is missed once in ``1 / MISSED``."""
-    alike = min(0.999, threshold / 100) ** BAND_ROWS
-    return min(SAMPLES // BAND_ROWS, math.ceil(math.log(MISSED) / math.log(1 - alike)))
+    """Bands of ``BAND_ROWS`` samples so that a pair at the threshold (in percent) is missed once in ``1 / MISSED``.
+
+    A threshold for which the samples do not make so many bands is refused.
+    """
+    alike = min(0.999, max(threshold, 1) / 100) ** BAND_ROWS
+    bands = math.ceil(math.log(MISSED) / math.log(1 - alike))
+    if bands > SAMPLES // BAND_ROWS:
+        raise ValueError(f"{SAMPLES} samples do not find pairs at {threshold}%: 76 or more")
+    return bands
 
 
 def most_differing_bits(threshold: int) -> int:
