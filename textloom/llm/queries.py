@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textloom.llm import (
     caps, curves, debruijn, minhash, mixing, packing, periodic, quality, sharding, toxicity, urls, warc, whitening,
 )
-from textloom.llm.common import held_out
+from textloom.llm.common import held_out, stored
 from textloom.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +48,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", sharding.row_size("text").alias("size"), crc)
-    return sharding.shard(rows).select(
+    # texts are read once, and what follows goes over these narrow rows
+    return sharding.shard(stored(rows, "sizes")).select(
         "doc_id",
         "size",
         "text_crc32",
