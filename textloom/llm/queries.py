@@ -97,11 +97,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", "source", mixing.word_count("text").alias("size"))
+    sized = stored(docs.select("doc_id", "source", mixing.word_count("text").alias("size")), "sizes")
     planned = mixing.curriculum(sized, "size")
     taken = (F.col("size") * F.col("repeats")).alias("taken")
     first = F.round(F.try_element_at("positions", F.lit(1)), 9).alias("first_position")
-    return planned.select("doc_id", "size", "source_size", "target", taken, first)
+    rows = planned.select("doc_id", "size", "source_size", "target", taken, first)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # documents that the mix leaves out come first, in order of their ids
+    order = [F.col("first_position").asc_nulls_first(), F.col("doc_id")]
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
 
 def looped(doc_id: object, n: int) -> np.ndarray | None:
