@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
@@ -141,3 +142,81 @@ def test_queries_return_every_document(spark, middle, name):
     known = both[~both.held_out]
     assert (known.predicted == known[label]).mean() > 0.95
     assert (both[both.held_out].predicted == both[both.held_out][label]).mean() > 0.85
+
+
+def _follow_the_leader(rows, dimensions, learner):
+    """FTRL-proximal one coordinate at a time, with dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= learner.l1:
+            return 0.0
+        return -(zi - math.copysign(learner.l1, zi)) / ((learner.beta + math.sqrt(n.get(i, 0.0))) / learner.alpha + learner.l2)
+
+    for _ in range(learner.epochs):
+        for places, label in rows:
+            own = [*places.tolist(), dimensions]
+            weights = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(weights.values()))) - label
+            for i in own:
+                before = n.get(i, 0.0)
+                rate = (math.sqrt(before + g * g) - math.sqrt(before)) / learner.alpha
+                z[i] = z.get(i, 0.0) + g - rate * weights[i]
+                n[i] = before + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+@pytest.mark.parametrize("options", [{}, {"l1": 0.5, "l2": 0.3, "alpha": 0.7, "epochs": 2}, {"l1": 0.0, "beta": 0.1}])
+def test_updates_equal_one_coordinate_at_a_time(options):
+    draw = np.random.default_rng(5)
+    truth = draw.normal(size=40) * (draw.random(40) < 0.3)
+    rows = []
+    for _ in range(300):
+        places = np.unique(draw.integers(0, 40, draw.integers(0, 12))).astype(np.int32)
+        rows.append((places, int(truth[places].sum() + draw.normal() * 0.3 > 0)))
+    learner = toxicity.Ftrl(**options)
+    places, values = learner.fit(rows, 40)
+    expected = _follow_the_leader(rows, 40, learner)
+    assert dict(zip(places.tolist(), values.tolist())) == pytest.approx(expected)
+    if learner.l1 > 1:
+        assert len(places) < 41  # the penalty leaves some weights at zero
+
+
+def _best_tree(x, gradient, hessian, cuts, learner, depth):
+    """Value per row of the tree that an exhaustive search over features and cuts grows."""
+    g, h = gradient.sum(), hessian.sum()
+    score = lambda a, b: a * a / (b + learner.l2)
+    best = (1e-6, None)
+    for f in range(x.shape[1] if depth else 0):
+        for cut in cuts[f]:
+            left = x[:, f] <= cut
+            gl, hl = gradient[left].sum(), hessian[left].sum()
+            if hl < learner.least or h - hl < learner.least:
+                continue
+            gain = score(gl, hl) + score(g - gl, h - hl) - score(g, h)
+            if gain > best[0] + 1e-9:
+                best = gain, left
+    if best[1] is None:
+        return np.full(len(x), -learner.rate * g / (h + learner.l2))
+    out = np.empty(len(x))
+    for side in (best[1], ~best[1]):
+        out[side] = _best_tree(x[side], gradient[side], hessian[side], cuts, learner, depth - 1)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_splits_equal_an_exhaustive_search(seed):
+    draw = np.random.default_rng(seed)
+    x = draw.normal(size=(250, 4))
+    x[:, 3] = np.round(x[:, 3])  # few values
+    y = (x[:, 0] * x[:, 1] + 0.5 * x[:, 3] + draw.normal(size=250) * 0.4 > 0).astype(float)
+    learner = quality.Boosting(trees=5, depth=3, bins=16)
+    model = learner.fit(x, y)
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1])) for f in range(4)]
+    raw = np.full(250, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(learner.trees):
+        p = 1 / (1 + np.exp(-raw))
+        raw = raw + _best_tree(x, p - y, p * (1 - p), cuts, learner, learner.depth)
+    assert np.allclose(model.raw(x), raw)
+    assert len(np.unique(model.feature)) > 1
