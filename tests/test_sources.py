@@ -168,10 +168,27 @@ def test_cache_survives_a_killed_job(spark, tmp_path):
     (copy,) = cache.iterdir()
     for part in (copy / "complete").iterdir():
         part.unlink()
-    (copy / "data" / "part-left-over.parquet").write_bytes(b"half a file")
+    (written,) = copy.glob("data-*")
+    (written / "part-left-over.parquet").write_bytes(b"half a file")
     assert [r.n for r in load_data(spark, source, cache_dir=str(cache)).collect()] == [1]
 
 
+def test_jobs_that_fill_the_cache_at_once(spark, tmp_path):
+    from textloom.sources import sinks
+
+    source, cache = write(tmp_path / "a.jsonl", '{"n": 1}\n{"n": 2}'), str(tmp_path / "cache")
+
+    def build():  # another job fills the cache while this one reads
+        if not any(tmp_path.glob("cache/*/data-*")):
+            sinks.cached_copy(spark, source, cache, lambda: spark.read.json(source))
+        return spark.read.json(source)
+
+    first = sinks.cached_copy(spark, source, cache, build)
+    assert len(list(tmp_path.glob("cache/*/data-*"))) == 2
+    again = sinks.cached_copy(spark, source, cache, lambda: spark.range(0))
+    assert sorted(r.n for r in first.collect()) == sorted(r.n for r in again.collect()) == [1, 2]
+
+
 @pytest.mark.parametrize("dense", [False, True])
 def test_prompts_like_line_by_line_reading(spark, tmp_path, dense):
     text = "first\r\nsecond\r  third\t\n\n \u3000\n\x1c\n \n  fourth and more  \nlast"

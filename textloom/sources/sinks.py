@@ -87,15 +87,21 @@ def cached_copy(
 ) -> DataFrame:
     """Parquet copy of ``build()`` below ``cache_dir``, kept until the source files or the settings change.
 
-    A copy counts once the mark beside it is written, so what a killed job left behind is written anew.
+    A copy counts once the mark beside it names its folder, so what a killed job left behind is written anew. Jobs that
+    find no mark at the same time write folders of their own, and the mark that is written last counts.
     """
     import hashlib
 
     key = hashlib.md5(repr((data_path, _source_version(spark, data_path), settings)).encode()).hexdigest()
-    path, mark = f"{cache_dir.rstrip('/')}/{key}/data", f"{cache_dir.rstrip('/')}/{key}/complete"
+    base = f"{cache_dir.rstrip('/')}/{key}"
+    mark = f"{base}/complete"
     try:
-        spark.read.parquet(mark)
+        marked = spark.read.schema("name string").parquet(mark).first()
     except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-        spark.range(1).write.mode("overwrite").parquet(mark)
-    return spark.read.parquet(path)
+        marked = None
+    if marked is None or marked.name is None:
+        folder = f"data-{uuid.uuid4().hex}"
+        build().write.mode("errorifexists").parquet(f"{base}/{folder}")
+        spark.range(1).select(F.lit(folder).alias("name")).coalesce(1).write.mode("overwrite").parquet(mark)
+        return spark.read.parquet(f"{base}/{folder}")
+    return spark.read.parquet(f"{base}/{marked.name}")
