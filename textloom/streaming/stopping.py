@@ -40,13 +40,23 @@ class _EarlyStop(StatefulProcessor):
         if step - s["gain"] >= self.patience:
             s["stop_step"] = step
 
-    def _release(self, s: dict) -> None:
-        while s["held"] and self.early.containsKey((s["n_steps"] + 1,)):
+    def _held(self, s: dict) -> dict[int, float | None]:
+        """What waits for its turn, read in one go; only runs with gaps have any."""
+        return {key[0]: value[0] for key, value in self.early.iterator()} if s["held"] else {}
+
+    def _release(self, s: dict, waiting: dict, before: set[int]) -> None:
+        """Count what has its turn, and write back what has come to wait or does so no more."""
+        while s["n_steps"] + 1 in waiting:
             step = s["n_steps"] + 1
-            (loss,) = self.early.getValue((step,))
-            self.early.removeKey((step,))
-            s["held"] -= 1
-            self._count(s, step, loss)
+            self._count(s, step, waiting.pop(step))
+        if before and before.isdisjoint(waiting):
+            self.early.clear()
+        else:
+            for step in before - set(waiting):
+                self.early.removeKey((step,))
+        for step in set(waiting) - before:
+            self.early.updateValue((step,), (waiting[step],))
+        s["held"] = len(waiting)
 
     def _finish(self, key: tuple, s: dict, now: int) -> Iterator[pd.DataFrame]:
         if s["deadline"] is not None and not s["held"]:
@@ -63,27 +73,24 @@ class _EarlyStop(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         s = self._load()
+        waiting = self._held(s)
+        before = set(waiting)
         for frame in rows:
-            frame = frame[frame["step"].notna()].sort_values("step", kind="stable")
+            frame = frame[frame["step"].notna()]
             for step, loss in zip(frame["step"].astype("int64").tolist(), frame["loss"].tolist()):
-                loss = None if pd.isna(loss) else float(loss)
-                known = s["held"] and step > s["n_steps"] and self.early.containsKey((step,))
-                if step == s["n_steps"] + 1 and not known:
-                    self._count(s, step, loss)
-                elif step > s["n_steps"] and not known:
-                    self.early.updateValue((step,), (loss,))
-                    s["held"] += 1
-                self._release(s)
+                if step > s["n_steps"] and step not in waiting:
+                    waiting[step] = None if pd.isna(loss) else float(loss)
+        self._release(s, waiting, before)
         yield from self._finish(key, s, timerValues.getCurrentProcessingTimeInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """The gap was held long enough: go on with the earliest evaluation behind it."""
         s = self._load()
         s["deadline"] = None
-        waiting = sorted(step for (step,) in self.early.keys())
+        waiting = self._held(s)
         if waiting:
-            s["n_steps"] = waiting[0] - 1
-            self._release(s)
+            s["n_steps"] = min(waiting) - 1
+            self._release(s, waiting, set(waiting))
         yield from self._finish(key, s, timerValues.getCurrentProcessingTimeInMs())
 
     def close(self) -> None:
