@@ -139,8 +139,20 @@ def _vectors_expected(rows, threshold=0.93):
     return links
 
 
+@pytest.mark.parametrize("dimension", [1, 2, 5, 64, 300])
+def test_codes_bound_cosines(dimension):
+    random_ = np.random.default_rng(dimension)
+    one = random_.normal(size=(200, dimension)) * 10.0 ** random_.integers(-3, 3, (200, dimension))
+    other = np.concatenate([one[:100] + random_.normal(size=(100, dimension)) * 0.1, -one[:50], one[:50]])
+    one, other = caps.unit(one), caps.unit(other)
+    room = caps.cosine_bounds(caps.codes_of(one), caps.codes_of(other)) - one @ other.T
+    assert room.min() >= 0 and room.max() < 0.1
+
+
 def test_caps_equal_brute_force(frame, monkeypatch):
     monkeypatch.setattr(caps, "BLOCK", 16)
+    monkeypatch.setattr(caps, "CODE_BLOCK", 24)
+    monkeypatch.setattr(caps, "STRIP", 7)
     random_ = np.random.default_rng(6)
     rows, n = [], 0
     for label in (0, 1):

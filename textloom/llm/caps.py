@@ -2,7 +2,8 @@
 
 Filters are random directions put together from parts: a vector is cut into parts, each part has its own code book, and
 a filter is one entry per book. The filters whose direction a vector exceeds a threshold for are found part by part,
-without going through all of them. Vectors that share a filter are compared.
+without going through all of them. Vectors that share a filter are compared: first by codes of a byte per component,
+which bound the cosine from above, and only vectors with a partner that may be near enough move whole.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ LEAST_FILTERS = 12
 MISS = 1e-4
 DEPENDENCE = 3.0
 LEAST_CHANCE = 0.3
-OCCUPANCY = 256
-BLOCK = 512
+OCCUPANCY = 1024
+CODE_BLOCK = 4096
+BLOCK = 1024
+STRIP = 1024
 
 
 def _angles(dimension: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,40 +140,98 @@ def _prepared(embeddings: DataFrame, vectors: str) -> DataFrame:
     return rows.mapInArrow(prepare, f"vec_id long, label {kind}, digest binary, dimension int, vector binary")
 
 
+def codes_of(directions: np.ndarray) -> list[bytes]:
+    """Each direction as a byte per component, after its scale and the length of what rounding left out."""
+    scale = (np.abs(directions).max(axis=1, keepdims=True) / 127).astype(np.float32)
+    whole = np.clip(np.rint(directions / scale), -127, 127).astype(np.int8)
+    lost = np.sqrt(((directions - whole * scale.astype(np.float64)) ** 2).sum(axis=1, keepdims=True))
+    heads = np.concatenate([scale, lost * 1.000001 + 1e-7], axis=1).astype(np.float32)
+    return [head.tobytes() + row.tobytes() for head, row in zip(heads, whole)]
+
+
+def cosine_bounds(one: list[bytes], other: list[bytes]) -> np.ndarray:
+    """No less than the cosines between directions, from their codes alone.
+
+    With u = a + e and v = b + f, u.v = a.b + e.v + a.f, which exceeds a.b by |e| + |f| + |e||f| at most.
+    """
+
+    def opened(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+        heads = np.ascontiguousarray(flat[:, :8]).view(np.float32)
+        return flat[:, 8:].view(np.int8) * heads[:, :1], heads[:, 1:]
+
+    (a, e), (b, f) = opened(one), opened(other)
+    return np.hstack([a, e, np.ones_like(e), e]) @ np.hstack([b, np.ones_like(f), f, f]).T + np.float32(1e-5)
+
+
 def _filtered(classes: DataFrame, dtype: str, count: int, threshold: float) -> DataFrame:
-    """One row per class and filter; ``filters`` are all of the class."""
+    """``(key, label, dimension, code, filters)`` per class; ``filters`` are all of the class."""
 
     def decode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, Filters] = {}
+        known: dict[int, Filters] = {}
         for batch in frames:
             lists: list[np.ndarray] = []
+            codes: list[bytes] = []
             for dimension, packed in zip(batch.column("dimension").to_pylist(), batch.column("vector")):
-                if dimension not in codes:
-                    codes[dimension] = Filters(dimension, count, threshold=threshold)
-                lists += codes[dimension].decode(unit(np.frombuffer(packed.as_buffer(), dtype)[None, :]))
+                if dimension not in known:
+                    known[dimension] = Filters(dimension, count, threshold=threshold)
+                direction = unit(np.frombuffer(packed.as_buffer(), dtype)[None, :])
+                lists += known[dimension].decode(direction)
+                codes += codes_of(direction)
             ends = np.cumsum([0, *map(len, lists)])
             flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
             arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, arrays], [*batch.schema.names, "filters"])
+            kept = [batch.column(c) for c in ("key", "label", "dimension")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(codes, pa.binary()), arrays], names)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", filters array<long>"
-    return classes.mapInArrow(decode, schema)
+    names = ["key", "label", "dimension", "code", "filters"]
+    kind = classes.schema["label"].dataType.simpleString()
+    schema = f"key long, label {kind}, dimension int, code binary, filters array<long>"
+    return classes.select("key", "label", "dimension", "vector").mapInArrow(decode, schema)
 
 
-def _tasks(filtered: DataFrame) -> DataFrame:
-    """Rows dealt to ``(label, dimension, filter, i, j)``: blocks i <= j of a filter's classes of one label."""
+def _tasks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows once per filter, dealt to ``(label, dimension, filter, i, j)``: blocks i <= j of about ``size`` of a filter's
+    classes of one label. Few filters need more than one block, so only those are looked up."""
     keys = ["label", "dimension", "filter"]
-    rows = filtered.withColumn("filter", F.explode("filters"))
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = counts.select(*keys, F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int").alias("k"))
-    rows = rows.join(counts, keys).withColumn("block", F.pmod(F.xxhash64("digest"), "k").cast("int"))
+    counts = rows.select("label", "dimension", F.explode("filters").alias("filter")).groupBy(*keys).count()
+    counts = counts.where(F.col("count") > size)
+    counts = stored(counts.select(*keys, F.ceil(F.col("count") / F.lit(float(size))).cast("int").alias("k")), "large")
+    each = rows.withColumn("filter", F.explode("filters")).join(counts, keys, "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    block = F.pmod(F.xxhash64("key", F.lit(2)), "k").cast("int")
     tasks = F.transform(
         F.sequence(F.lit(0), F.col("k") - 1),
         lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")),
     )
-    dealt = rows.withColumn("task", F.explode(tasks)).select("*", "task.i", "task.j").drop("task", "k")
+    dealt = each.withColumn("block", block).withColumn("task", F.explode(tasks)).select("*", "task.i", "task.j")
     order = [*keys, "i", "j"]
-    return dealt.repartition(*order).sortWithinPartitions(*order, "block", "digest")
+    return dealt.drop("task", "k").repartition(*order).sortWithinPartitions(*order, "block", "key")
+
+
+def _promising(threshold: float):
+    """``(key, filter)`` of the classes that have another one in the filter which may be within the threshold."""
+    size = STRIP
+
+    def sift(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(frames, ["label", "dimension", "filter", "i", "j"]):
+            n = group.num_rows
+            block, codes = group.column("block").to_numpy(), group.column("code").to_pylist()
+            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+            one, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            near = np.zeros(n, bool)
+            against = [codes[r] for r in other]
+            for begin in range(0, len(one) if len(other) else 0, size):
+                strip = one[begin : begin + size]
+                close = cosine_bounds([codes[r] for r in strip], against) >= threshold
+                if i == j:
+                    close[np.arange(len(strip)), np.arange(begin, begin + len(strip))] = False
+                near[strip] |= close.any(axis=1)
+                near[other] |= close.any(axis=0)
+            if near.any():
+                kept = group.select(["key", "filter"]).filter(pa.array(near))
+                yield from kept.combine_chunks().to_batches()
+
+    return sift
 
 
 def _first_common(filters: pa.ChunkedArray, below: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -235,7 +296,8 @@ def near_duplicates(embeddings: DataFrame, vectors: str = "embedding", threshold
 
     ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest id that links reach, and ``kept``
     marks it. Equal vectors of a label are one class, compared once and counted with all its rows. A pair is counted in
-    the first of the filters that both have, so tasks give back a row per vector, never a row per pair.
+    the first of the filters that both have, so tasks give back a row per vector, never a row per pair. Codes say which
+    vectors have a partner at all, and in which filters; whole vectors move to those alone.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and rows without label link with
     nothing; nor do rows without id, whose ``component_id`` is null and which are kept. Vectors of different dimensions
@@ -249,10 +311,14 @@ def near_duplicates(embeddings: DataFrame, vectors: str = "embedding", threshold
     classes = known.groupBy("digest", "label", "dimension", "vector").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")
     )
-    classes = stored(classes, "classes")
+    classes = stored(classes.withColumn("key", F.xxhash64("digest")), "classes")
     filtered = stored(_filtered(classes, dtype, classes.count(), threshold), "filters")
+    codes = _tasks(filtered, CODE_BLOCK).select("key", "label", "dimension", "filter", "i", "j", "block", "code")
+    promising = codes.mapInArrow(_promising(threshold), "key long, filter long")
+    promising = stored(promising.groupBy("key").agg(F.array_sort(F.collect_set("filter")).alias("filters")), "promising")
+    whole = stored(classes.join(promising, "key"), "whole")
     schema = "digest binary, rep long, joins long, links long"
-    found = stored(_tasks(filtered).mapInArrow(_compare(dtype, threshold), schema), "found")
+    found = stored(_tasks(whole, BLOCK).mapInArrow(_compare(dtype, threshold), schema), "found")
     linked = connected_components(found, "rep", "joins").withColumnRenamed("node", "rep")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     facts = classes.select("digest", "rep", "copies").join(links, "digest", "left").join(linked, "rep", "left")
