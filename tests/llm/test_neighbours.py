@@ -37,6 +37,8 @@ def _check(frame, rows, **options):
 def test_equals_brute_force(frame, monkeypatch):
     monkeypatch.setattr(curves, "BLOCK_BYTES", 1)
     monkeypatch.setattr(curves, "QUERY_ROWS", 3)
+    monkeypatch.setattr(curves, "CENTRES", 2)
+    monkeypatch.setattr(curves, "RECALL", 0.5)
     random_ = np.random.default_rng(1)
     rows = [(i, random_.normal(size=16).tolist()) for i in range(500)]
     rows += [(500 + i, (np.array(rows[0][1]) + random_.normal(size=16) * 0.01).tolist()) for i in range(150)]

@@ -1,13 +1,14 @@
 """Nearest neighbours by shifted space-filling curves, completed exactly.
 
-Several Hilbert curves, each over its own rotated and shifted projection, put the vectors into orders that Spark
-range-partitions. A query's neighbours in each order are ranked first, in work that is linear in the rows. What they
-leave open is settled by the blocks of the first curve: a block is gone through for a query unless its centre and
-radius prove that it holds nothing nearer than what was found.
+Several Hilbert curves, each over its own rotated and shifted projection, put the vectors into orders, which are cut
+into blocks of equal size. A query goes to the blocks around its own on each curve, as many as a sample of queries
+needs for the recall asked for. What that leaves open is settled by the blocks of the first curve: a query also goes to
+a block unless its centre and radius prove that it holds nothing nearer than what was found.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +18,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stored, vectors_of
+from textloom.llm.common import groups, stored, vectors_of
 
 CURVES = 4
 AXES = 8
 BITS = 7
 BLOCK_BYTES = 1 << 20
 QUERY_ROWS = 512
+CENTRES = 4096
 SAMPLE = 8192
+RECALL = 0.95
+ASKED = 128
+WIDTH = 2
 
 
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -60,12 +65,12 @@ class Curve:
         placed = sample @ self.axes if len(sample) else np.zeros((1, axes))
         self.mean, self.spread = placed.mean(axis=0), placed.std(axis=0)
         self.spread[self.spread == 0] = 1.0
-        self.shift = random.uniform(0, 1, axes)
+        self.shift = random.uniform(0, 1, axes)  # in widths of the data, which fill half of the grid
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         level = (vectors @ self.axes - self.mean) / self.spread
         share = 1 / (1 + np.exp(-1.7 * np.clip(level, -20, 20)))  # about the normal distribution function
-        cells = np.floor(share * ((1 << BITS) - 1) + self.shift).astype(np.int64)
+        cells = np.floor((share + self.shift) / 2 * (1 << BITS)).astype(np.int64)
         return hilbert_keys(np.clip(cells, 0, (1 << BITS) - 1))
 
 
@@ -124,33 +129,55 @@ def _keyed(rows: DataFrame, curves: dict[int, list[Curve]], numbers: range) -> D
     return rows.mapInArrow(place, schema)
 
 
-def _ordered(keyed: DataFrame) -> DataFrame:
-    """Range-partitioned along the curves; the digest tells equal keys apart, so they can be split as well."""
+def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """Stretches of rows that agree in ``names``, with their values."""
+    values = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names], axis=1)
+    starts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1 if len(values) else []
+    ends = [*starts, len(values)]
+    for begin, end in zip([0, *starts], ends):
+        if end > begin:
+            yield tuple(values[begin].tolist()), batch.slice(begin, end - begin)
+
+
+def _placed(classes: DataFrame, curves: dict[int, list[Curve]]) -> DataFrame:
+    """``(curve, dimension, digest, block, last)``: the block of each class along each curve, and the curve's last one.
+
+    Only keys are sorted: range-partitioned, numbered within their partition, and moved on by the rows before it. The
+    digest tells equal keys apart, so blocks are of one size and do not depend on the partitions.
+    """
     order = ["curve", "dimension", "key", "digest"]
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-
-
-def _blocks(frames: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.Table]:
-    """Runs of rows of one curve and dimension, of about ``BLOCK_BYTES`` or ``size`` rows each."""
-    held: pa.Table | None = None
-    for batch in frames:
-        rows = pa.Table.from_batches([batch])
-        held = rows if held is None else pa.concat_tables([held, rows])
-        while held.num_rows:
-            curve, dimension = held.column("curve"), held.column("dimension")
-            most = size or max(64, BLOCK_BYTES // (8 * dimension[0].as_py()))
-            head = held.slice(0, most)
-            same = (curve.slice(0, most).to_numpy() == curve[0].as_py()) & (
-                dimension.slice(0, most).to_numpy() == dimension[0].as_py()
-            )
-            n = len(same) if same.all() else int(same.argmin())
-            if n == held.num_rows and n < most:
-                break
-            yield head.slice(0, n)
-            held = held.slice(n)
-    if held is not None and held.num_rows:
-        yield held
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = _keyed(classes.select("digest", "vector", "dimension"), curves, range(CURVES)).select(*order)
+
+    def number(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), dict[tuple[int, ...], int]()
+        for batch in frames:
+            for place, rows in _runs(batch, ["curve", "dimension"]):
+                begin = before.get(place, 0)
+                before[place] = begin + rows.num_rows
+                at = [pa.array(np.full(rows.num_rows, part, np.int32)), pa.array(np.arange(begin, before[place]))]
+                kept = [rows.column(c) for c in ("curve", "dimension", "digest")]
+                yield pa.RecordBatch.from_arrays([*kept, *at], ["curve", "dimension", "digest", "part", "at"])
+
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    schema = "curve int, dimension int, digest binary, part int, at long"
+    numbered = stored(ordered.mapInArrow(number, schema), "numbered")
+    along = Window.partitionBy("curve", "dimension").orderBy("part")
+    counts = numbered.groupBy("curve", "dimension", "part").agg(F.count(F.lit(1)).alias("n"))
+    starts = stored(
+        counts.select(
+            "curve", "dimension", "part",
+            (F.sum("n").over(along) - F.col("n")).alias("before"),
+            F.sum("n").over(Window.partitionBy("curve", "dimension")).alias("total"),
+        ),
+        "starts",
+    )
+    size = F.greatest(F.lit(64), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dimension")))).cast("long")
+    return numbered.join(starts, ["curve", "dimension", "part"]).select(
+        "curve", "dimension", "digest",
+        F.floor((F.col("at") + F.col("before")) / size).cast("int").alias("block"),
+        F.floor((F.col("total") - 1) / size).cast("int").alias("last"),
+    )
 
 
 def _matrix(rows: pa.Table) -> np.ndarray:
@@ -175,7 +202,7 @@ def nearest(
         limit = np.inf if len(rough) <= k else np.partition(rough + room, k)[k]
         if bounds is not None:
             limit = min(limit, bounds[q] ** 2 * (1 + 1e-9))
-        near = np.flatnonzero(low <= limit)
+        near = np.flatnonzero(~(low > limit))
         exact = np.sqrt(np.cumsum((vectors[near] - query) ** 2, axis=1)[:, -1])
         rows = sorted((float(s), v) for s, i in zip(exact, near.tolist()) for v in ids[i] if v != own)
         found += [(own, v, s) for s, v in rows[:k]]
@@ -191,73 +218,36 @@ def _found(rows: list[tuple[int, int, float]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["query_id", "vec_id", "score"])
 
 
-def _in_windows(ordered: DataFrame, k: int) -> DataFrame:
-    """Nearest of each query among its own block and the two beside it, on each curve."""
-
-    def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(window: list[pa.Table], at: int) -> Iterator[pa.RecordBatch]:
-            middle = window[at]
-            asked = [(i, q) for i, own in enumerate(middle.column("queries").to_pylist()) for q in own]
-            if asked:
-                rows = pa.concat_tables([w for w in window if _place(w) == _place(middle)])
-                own = _matrix(middle)[[i for i, _ in asked]]
-                yield _found(nearest(own, [q for _, q in asked], _matrix(rows), rows.column("ids").to_pylist(), k))
-
-        before: list[pa.Table] = []
-        for block in _blocks(frames):
-            if before:
-                yield from settle([*before, block], len(before) - 1)
-            before = [*before[-1:], block]
-        if before:
-            yield from settle(before, len(before) - 1)
-
-    return ordered.mapInArrow(search, _FOUND)
-
-
-def _place(rows: pa.Table) -> tuple[int, int]:
-    return rows.column("curve")[0].as_py(), rows.column("dimension")[0].as_py()
-
-
-def _packed(ordered: DataFrame, size: int | None = None) -> DataFrame:
-    """One row per block: ``(dimension, part, block, centre, radius, payload)``, the payload an Arrow table of its rows."""
-
-    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in enumerate(_blocks(frames, size)):
-            matrix = _matrix(rows)
-            centre = matrix.mean(axis=0)
-            radius = float(np.sqrt(((matrix - centre) ** 2).sum(axis=1)).max())
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as writer:
-                writer.write_table(rows)
-            part = TaskContext.get().partitionId()
-            columns = [[matrix.shape[1]], [part], [number], [centre.tolist()], [radius], [sink.getvalue().to_pybytes()]]
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, ["dimension", "part", "block", "centre", "radius", "payload"])
-
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.binary()]
-    return ordered.mapInArrow(
-        pack, "dimension int, part int, block int, centre array<double>, radius double, payload binary"
-    )
-
-
-def _opened(payload: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(payload.as_buffer()).read_all()
-
+def _searched(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Nearest rows of each query in the block that it is sent to, none beyond its bound.
 
-def _in_open_blocks(pairs: DataFrame, k: int) -> DataFrame:
-    """Nearest of each query in a block, as far as they may be nearer than its bound."""
+    ``asked`` is ``(curve, dimension, block, query_id, vector, bound)``, ``rows`` ``(curve, dimension, block, vector,
+    ids)``. A task holds one block, and queries pass by it in batches.
+    """
 
     def search(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, opened = None, [], None
         for batch in frames:
-            for asked, block, centre, radius in zip(*(batch.column(c) for c in ("asked", "payload", "centre", "radius"))):
-                queries, rows = _opened(asked), _opened(block)
-                matrix, bounds = _matrix(queries), queries.column("bound").to_numpy()
-                away = np.sqrt(((matrix - centre.values.to_numpy()) ** 2).sum(axis=1)) - radius.as_py()
-                near = np.flatnonzero(away <= bounds * (1 + 1e-9) + 1e-9)
-                own = [queries.column("query_id")[i].as_py() for i in near.tolist()]
-                yield _found(nearest(matrix[near], own, _matrix(rows), rows.column("ids").to_pylist(), k, bounds[near]))
-
-    return pairs.mapInArrow(search, _FOUND)
+            for (*place, is_query), run in _runs(batch, ["curve", "dimension", "block", "is_query"]):
+                if place != at:
+                    at, held, opened = place, [], None
+                if not is_query:
+                    held.append(run)
+                    continue
+                if opened is None:
+                    block = pa.Table.from_batches(held)
+                    opened = _matrix(block), block.column("ids").to_pylist()
+                ids, bounds = run.column("query_id").to_pylist(), run.column("bound").to_numpy()
+                yield _found(nearest(_matrix(run), ids, *opened, k, bounds))
+
+    where = ["curve", "dimension", "block"]
+    none = F.lit(None)
+    queries = asked.select(*where, F.lit(True).alias("is_query"), "query_id", "bound", "vector", none.cast("array<long>").alias("ids"))
+    both = rows.select(
+        *where, F.lit(False).alias("is_query"), none.cast("long").alias("query_id"), none.cast("double").alias("bound"),
+        "vector", "ids",
+    ).unionByName(queries)
+    return both.repartition(*where).sortWithinPartitions(*where, "is_query").mapInArrow(search, _FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -267,17 +257,54 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _widths(classes: DataFrame, placed: DataFrame, queries: DataFrame, k: int) -> dict[int, int]:
+    """Blocks to either side per dimension within which, on one curve at least, ``RECALL`` of the true neighbours of
+    about ``ASKED`` queries lie. These few are compared with all rows; they fit nothing else."""
+    vectors = queries.select("digest", "vector", "dimension").distinct()
+    share, fine = min(1.0, ASKED / max(1, vectors.count())), 1 << 30
+    taken = vectors.where(F.pmod(F.xxhash64(F.lit(3), "digest"), F.lit(fine)) < int(share * fine)).toArrow()
+    asked: dict[int, list[tuple[bytes, np.ndarray]]] = {}
+    for row in taken.to_pylist():
+        asked.setdefault(row["dimension"], []).append((row["digest"], np.frombuffer(row["vector"])))
+
+    def compare(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            dimensions, digests = batch.column("dimension").to_numpy(), batch.column("digest")
+            for dimension, known in asked.items():
+                rows = np.flatnonzero(dimensions == dimension)
+                if not len(rows):
+                    continue
+                matrix = _matrix(batch.take(pa.array(rows)))
+                for own, vector in known:
+                    away = np.sqrt(((matrix - vector) ** 2).sum(axis=1))
+                    few = np.argpartition(away, k)[: k + 1] if len(away) > k + 1 else np.arange(len(away))
+                    found = [pa.array([own] * len(few), pa.binary()), digests.take(pa.array(rows[few])), pa.array(away[few])]
+                    yield pa.RecordBatch.from_arrays(found, ["own", "digest", "away"])
+
+    pairs = classes.select("digest", "vector", "dimension").mapInArrow(compare, "own binary, digest binary, away double")
+    order = Window.partitionBy("own").orderBy("away", "digest")
+    nearby = pairs.withColumn("nth", F.row_number().over(order)).where((F.col("nth") <= k + 1) & (F.col("own") != F.col("digest")))
+    nearby = stored(nearby.select("own", "digest"), "nearby")
+    there = nearby.join(placed, "digest")
+    here = placed.select(F.col("digest").alias("own"), "curve", F.col("block").alias("from"))
+    apart = there.join(here, ["own", "curve"]).groupBy("own", "digest", "dimension")
+    apart = apart.agg(F.min(F.abs(F.col("block") - F.col("from"))).alias("apart")).select("dimension", "apart").collect()
+    widths: dict[int, list[int]] = {}
+    for row in apart:
+        widths.setdefault(row.dimension, []).append(row.apart)
+    return {d: sorted(w)[math.ceil(RECALL * len(w)) - 1] for d, w in widths.items()}
+
+
 def nearest_neighbours(
     embeddings: DataFrame, vectors: str = "embedding", k: int = 10, every: int = 100, exact: bool = True
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows by Euclidean distance, ties to the smaller id.
 
     Queries are the rows whose id is divisible by ``every``; a query's own id is no candidate. Rows with equal vectors
-    are one class that keeps its ``k + 1`` smallest ids. Each curve's order is range-partitioned; a query is ranked
-    against its block of the order and the two beside it. With ``exact`` the k-th distance so found bounds the search of
-    the first curve's other blocks, which ends in the true neighbours; blocks of queries meet blocks of rows, and a
-    pair goes where centres and radii show that nothing nearer can be in it. Without it the result is what the curves
-    found, in time linear in the rows.
+    are one class that keeps its ``k + 1`` smallest ids. Each curve's order is cut into blocks, and a query goes to the
+    blocks around its own, as many as ``RECALL`` asks for. With ``exact`` the k-th distance so found bounds the search
+    of the first curve's other blocks, which ends in the true neighbours; a query goes to those only that centre and
+    radius do not rule out. Without it the result is what the curves found.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and rows without id take no part.
     Distances are between vectors of one dimension only. A query with fewer than ``k`` candidates gets all of them,
@@ -285,7 +312,6 @@ def nearest_neighbours(
     ignored.
     """
     classes = stored(_classes(_prepared(embeddings, vectors), k), "classes")
-    asked = F.filter("ids", lambda i: i % every == 0)
     # a class of copies may hold more queries than the ids it keeps
     queries = stored(
         _prepared(embeddings.where(F.col("vec_id") % every == 0), vectors)
@@ -294,50 +320,80 @@ def nearest_neighbours(
         .withColumn("dimension", (F.octet_length("vector") / 8).cast("int")),
         "queries",
     )
-    curves = _curves(classes)
-    everyone = classes.select("digest", "vector", "dimension", "ids", asked.alias("queries"))
-    rest = queries.join(
-        classes.select("digest", F.explode("ids").alias("query_id")), ["digest", "query_id"], "left_anti"
+    placed = stored(_placed(classes, _curves(classes)), "placed")
+    widths = [F.lit(n) for pair in _widths(classes, placed, queries, k).items() for n in pair]
+    width = F.coalesce(F.create_map(*widths)[F.col("dimension")], F.lit(WIDTH)) if widths else F.lit(WIDTH)
+    windows = queries.join(placed.drop("dimension"), "digest").select(
+        "query_id", "vector", "dimension", "curve",
+        F.greatest(F.lit(0), F.col("block") - width).alias("first"), F.least("last", F.col("block") + width).alias("until"),
     )
-    none = F.array().cast("array<bigint>")
-    extra = rest.select("digest", "vector", "dimension", none.alias("ids"), F.array("query_id").alias("queries"))
-    ordered = _ordered(_keyed(everyone.unionByName(extra), curves, range(CURVES)))
-    found = stored(_in_windows(ordered, k), "windows")
+    windows = stored(windows, "windows")
+    rows = placed.join(classes.select("digest", "vector", "ids"), "digest")
+    near = windows.withColumn("block", F.explode(F.sequence("first", "until"))).withColumn("bound", F.lit(float("inf")))
+    found = stored(_searched(near, rows, k), "found")
     if exact:
-        found = found.unionByName(_completed(everyone, queries, curves, found, k))
+        first = rows.where("curve = 0")
+        asked = _open(windows.where("curve = 0"), first, found, k).withColumn("curve", F.lit(0))
+        found = found.unionByName(_searched(asked, first, k))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _completed(everyone: DataFrame, queries: DataFrame, curves: dict, found: DataFrame, k: int) -> DataFrame:
-    """What the blocks hold that the windows have not settled."""
-    first = _ordered(_keyed(everyone, curves, range(1)))
-    blocks = stored(_packed(first), "blocks")
+def _centres(rows: DataFrame) -> DataFrame:
+    """``(dimension, block, centre, radius)`` of each block."""
+
+    def measure(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in groups(frames, ["dimension", "block"]):
+            matrix = _matrix(block)
+            centre = matrix.mean(axis=0)
+            radius = float(np.sqrt(((matrix - centre) ** 2).sum(axis=1)).max())
+            columns = [[block.column(c)[0].as_py()] for c in ("dimension", "block")] + [[centre.tobytes()], [radius]]
+            yield pa.RecordBatch.from_pydict(dict(zip(names, columns)), pa.schema(list(zip(names, kinds))))
+
+    names, kinds = ["dimension", "block", "centre", "radius"], [pa.int32(), pa.int32(), pa.binary(), pa.float64()]
+    dealt = rows.select("dimension", "block", "vector").repartition("dimension", "block")
+    schema = "dimension int, block int, centre binary, radius double"
+    return dealt.sortWithinPartitions("dimension", "block").mapInArrow(measure, schema)
+
+
+def _open(windows: DataFrame, rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``(dimension, block, query_id, vector, bound)``: blocks outside a query's window that may hold nearer rows.
+
+    The stated queries meet the centres of blocks, some hundreds of the ones and some thousands of the others at a time.
+    """
     bounds = _best(found, k).groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("score")).otherwise(float("inf")).alias("bound")
     )
-    bounded = queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    asked = _packed(_ordered(_keyed(bounded, curves, range(1))), QUERY_ROWS)
-    asked = stored(asked.withColumn("asked_id", F.struct("part", "block")), "asked")
-
-    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            most = [max(_opened(p).column("bound").to_pylist()) for p in batch.column("payload")]
-            kept = [batch.column(c) for c in ("dimension", "asked_id", "centre", "radius")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(most)], ["dimension", "asked_id", "to", "reach", "bound"])
-
-    schema = "dimension int, asked_id struct<part:int,block:int>, to array<double>, reach double, bound double"
-    of_queries = asked.mapInArrow(widest, schema)
-    parts = blocks.agg(F.max("part")).first()[0] or 0
-    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts))).alias("part")
-    between = F.sqrt(
-        F.aggregate(F.zip_with("to", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    )
-    near = between - F.col("reach") - F.col("radius") <= F.col("bound") * (1 + 1e-9) + 1e-9
-    # block numbers against block numbers: the stated queries against all rows, in blocks
-    pairs = of_queries.select("*", every_part).join(
-        blocks.select("dimension", "part", "block", "centre", "radius"), ["dimension", "part"]
+    bounded = windows.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    sets = max(1, math.ceil(windows.count() / QUERY_ROWS))
+    fields = ["query_id", "vector", "bound", "first", "until"]
+    asked = bounded.withColumn("set", F.pmod(F.xxhash64("query_id"), F.lit(sets))).groupBy("dimension", "set")
+    asked = asked.agg(F.collect_list(F.struct(*fields)).alias("asked"))
+    chunk = F.floor(F.col("block") / CENTRES).cast("int").alias("chunk")
+    chunks = stored(
+        _centres(rows).groupBy("dimension", chunk).agg(F.collect_list(F.struct("block", "centre", "radius")).alias("blocks")),
+        "centres",
     )
-    pairs = pairs.where(near).select("asked_id", "part", "block")
-    with_rows = pairs.join(blocks.select("part", "block", "centre", "radius", "payload"), ["part", "block"])
-    both = with_rows.join(asked.select("asked_id", F.col("payload").alias("asked")), "asked_id")
-    return _in_open_blocks(both.select("asked", "payload", "centre", "radius"), k)
+    last = chunks.agg(F.max("chunk")).first()[0] or 0
+
+    def sift(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            for dimension, some, blocks in zip(*(batch.column(c) for c in ("dimension", "asked", "blocks"))):
+                queries, centres = some.values.flatten(), blocks.values.flatten()
+                ids, packed, bound, first, until = queries
+                numbers, middles, radius = (c if n == 1 else c.to_numpy() for n, c in enumerate(centres))
+                x = np.frombuffer(b"".join(packed.to_pylist())).reshape(len(ids), -1)
+                y = np.frombuffer(b"".join(middles.to_pylist())).reshape(len(numbers), -1)
+                norms = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)
+                away = np.sqrt(np.maximum(norms * (1 - 1e-9) - 2 * x @ y.T, 0))
+                limit = bound.to_numpy()[:, None] * (1 + 1e-9) + radius * (1 + 1e-9) + 1e-9
+                new = (numbers < first.to_numpy()[:, None]) | (numbers > until.to_numpy()[:, None])
+                q, b = np.nonzero(new & ~(away > limit))
+                for begin in range(0, len(q), 8192):
+                    of, at = pa.array(q[begin : begin + 8192]), b[begin : begin + 8192]
+                    columns = [pa.array(np.full(len(at), dimension.as_py(), np.int32)), pa.array(numbers[at])]
+                    columns += [ids.take(of), packed.take(of), bound.take(of)]
+                    yield pa.RecordBatch.from_arrays(columns, ["dimension", "block", "query_id", "vector", "bound"])
+
+    every = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    pairs = every.join(chunks, ["dimension", "chunk"]).select("dimension", "asked", "blocks")
+    return pairs.mapInArrow(sift, "dimension int, block int, query_id long, vector binary, bound double")
