@@ -25,6 +25,7 @@ AXES = 8
 BITS = 7
 BLOCK_BYTES = 1 << 20
 QUERY_ROWS = 512
+STRIP = 128
 CENTRES = 4096
 SAMPLE = 8192
 RECALL = 0.95
@@ -195,8 +196,10 @@ def nearest(
     found = []
     norms = (vectors * vectors).sum(axis=1)
     for q, (query, own) in enumerate(zip(queries, query_ids)):
+        if q % STRIP == 0:
+            products = queries[q : q + STRIP] @ vectors.T
         square = query @ query
-        rough = norms - 2 * (vectors @ query) + square
+        rough = norms - 2 * products[q % STRIP] + square
         room = 1e-9 * (square + norms)
         low = rough - room
         limit = np.inf if len(rough) <= k else np.partition(rough + room, k)[k]
