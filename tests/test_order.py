@@ -88,6 +88,29 @@ def test_text_chunks_are_even(spark):
     assert max(r["count"] for r in chunked.groupBy(CHUNK).count().collect()) <= 2 * 5000 / 20
 
 
+def test_texts_that_begin_alike_are_cut(spark):
+    rows = [("x" * 300 + f"{i * 7919 % 5000:05d}" if i % 3 else "hot", i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "t string, i int").repartition(5)
+    chunked = with_chunks(df, ["t"], 20)
+    assert max(r["count"] for r in chunked.groupBy(CHUNK).count().collect()) <= 2 * 5000 / 20
+    got = {r.i: r.position for r in ops.add_position(df, ["t", "i"], chunks=20).collect()}
+    assert got == {r[1]: n for n, r in enumerate(sorted(rows), 1)}
+
+
+def test_position_in_groups_by_text(spark):
+    rows = [("hot" if i % 3 else f"g{i % 7}", f"{i * 7919 % 3000:05d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, t string").repartition(5)
+    got = {r.t: r.position for r in ops.add_position(df, ["t"], ["g"], chunks=20).collect()}
+    seen = {}
+    for g, t in sorted(rows, key=lambda r: r[1]):
+        seen[g] = seen.get(g, 0) + 1
+        assert got[t] == seen[g]
+
+
+def test_position_by_text_of_nothing(spark):
+    assert ops.add_position(spark.createDataFrame([], "t string"), ["t"]).count() == 0
+
+
 def test_ties_of_a_single_key_are_cut(spark):
     df = spark.createDataFrame([(7 if i % 4 else i, i) for i in range(20_000)], "k bigint, i bigint")
     chunked = with_chunks(df, ["k"], 20)

@@ -15,10 +15,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import new_dir
+from textloom.sources.sinks import materialise
+
 CHUNK = "__chunk"
 GROUP = "__group"
+PLACE = "__place"
+TIE = "__tie"
 _EXACT = float(1 << 53)
-SAMPLED = 64
 
 
 def default_chunks(df: DataFrame) -> int:
@@ -41,11 +45,11 @@ def with_chunks(df: DataFrame, order_by: list[str], chunks: int | None = None) -
     Keys are numbers, dates, timestamps, booleans or texts. The cuts are quantiles of the first key (one pass over that
     column; the driver gets the cuts only). A value so common that it fills m chunks gets a range of its own, and the
     second key cuts that range into m parts; with one key only, a hash of the row does, as the order of ties is free.
-    With texts among the first two keys the cuts come from a sorted sample instead.
+    With texts among the first two keys the rows are range-partitioned and stored instead.
     """
     n = chunks or default_chunks(df)
-    if any(dict(df.dtypes)[k] == "string" for k in order_by[:2]):
-        return _by_sample(df, order_by, n)
+    if _has_text(df, order_by):
+        return _by_range(df, order_by, n).drop(PLACE)
     names = ["__key0", "__key1"]
     numeric = df.withColumn(names[0], _as_number(df, order_by[0]))
     second_key = _as_number(df, order_by[1]) if len(order_by) > 1 else _row_hash(df)
@@ -64,6 +68,10 @@ def with_chunks(df: DataFrame, order_by: list[str], chunks: int | None = None) -
     return chunked.withColumn(CHUNK, chunk.cast("bigint")).drop(*names, "__major", "__minor")
 
 
+def _has_text(df: DataFrame, order_by: list[str]) -> bool:
+    return any(dict(df.dtypes)[k] == "string" for k in order_by[:2])
+
+
 def _as_number(df: DataFrame, key: str) -> Column:
     dtype = dict(df.dtypes)[key]
     column = F.col(key)
@@ -76,30 +84,17 @@ def _as_number(df: DataFrame, key: str) -> Column:
     return column.cast("double")
 
 
-def _by_sample(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
-    """Chunks by cuts out of a sorted sample of about ``SAMPLED`` rows per chunk, for keys of any type, texts included.
+def _by_range(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
+    """Rows in ``n`` ranges of the keys and then their hash, for keys of any type, texts included; stored once, each range
+    sorted, with its number and the row's place in it from 1.
 
-    A row is compared with the cuts on all keys and then its hash: first with every m-th cut, then with the m between.
+    Spark's range sort finds the borders, which are whole keys: texts that begin alike, or are alike, are cut as others.
+    A place that is stored stays, whatever is computed again after.
     """
-    keys = [F.col(k) for k in order_by] + [_row_hash(df).cast("bigint").alias("__tie")]
-    short = [F.substring(k, 1, 256).alias(k) if t == "string" else F.col(k) for k in order_by for t in [dict(df.dtypes)[k]]]
-    share = min(1.0, SAMPLED * n / max(1, df.count()))
-    fine = 1 << 30
-    drawn = df.where(F.pmod(F.xxhash64(F.lit(1), keys[-1]), F.lit(fine)) < int(share * fine)).select(*short, keys[-1])
-    rows = drawn.orderBy(*drawn.columns).collect()
-    cuts = list(dict.fromkeys(tuple(rows[i * len(rows) // n]) for i in range(1, n))) if rows else []
-    types = [f.dataType for f in drawn.schema]
-    literals = [F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(c, types))]) for c in cuts]
-    if not literals:
-        return df.withColumn(CHUNK, F.lit(0).cast("bigint"))
-    own = F.struct(*[k.cast(t).alias(f"k{i}") for i, (k, t) in enumerate(zip(keys, types))])
-    step = math.isqrt(len(literals)) + 1
-    parts = [literals[i : i + step] for i in range(0, len(literals), step)]
-    beyond = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("__own")))
-    marked = df.withColumn("__own", own).withColumn("__part", beyond(F.array(*[p[0] for p in parts])))
-    inside = beyond(F.element_at(F.array(*[F.array(*p) for p in parts]), F.greatest("__part", F.lit(1))))
-    chunk = F.when(F.col("__part") == 0, F.lit(0)).otherwise((F.col("__part") - 1) * step + inside)
-    return marked.withColumn(CHUNK, chunk.cast("bigint")).drop("__own", "__part")
+    ranged = df.withColumn(TIE, _row_hash(df).cast("bigint")).repartitionByRange(n, *order_by, TIE)
+    in_order = ranged.sortWithinPartitions(*order_by).drop(TIE)
+    chunk, place = F.spark_partition_id().cast("bigint"), F.expr("(monotonically_increasing_id() & 8589934591) + 1")
+    return materialise(in_order.withColumns({CHUNK: chunk, PLACE: place}), new_dir(df.sparkSession, "ranges"))
 
 
 def _row_hash(df: DataFrame) -> Column:
@@ -136,13 +131,19 @@ def add_position(
     ``chunk`` replaces the quantile cuts by a given number that must never fall along the order (the caller bounds how
     many there are). Rows that ``order_by`` does not tell apart are numbered in any order.
     """
-    chunked = df.withColumn(CHUNK, chunk) if chunk is not None else with_chunks(df, order_by, chunks)
+    stored = chunk is None and not group_by and _has_text(df, order_by)
+    if chunk is not None:
+        chunked = df.withColumn(CHUNK, chunk)
+    elif stored:
+        chunked = _by_range(df, order_by, chunks or default_chunks(df))
+    else:
+        chunked = with_chunks(df, order_by, chunks)
     chunked = as_group(chunked, group_by or [])
     counts = chunked.groupBy(GROUP, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(GROUP, CHUNK, F.coalesce(F.sum("__n").over(earlier_chunks()), F.lit(0)).alias("__before"))
-    nth = F.row_number().over(Window.partitionBy(GROUP, CHUNK).orderBy(*order_by))
+    nth = F.col(PLACE) if stored else F.row_number().over(Window.partitionBy(GROUP, CHUNK).orderBy(*order_by))
     return (
         join_chunks(chunked, offsets)
         .withColumn(into, (F.col("__before") + nth).cast("bigint"))
-        .drop(GROUP, CHUNK, "__before")
+        .drop(GROUP, CHUNK, PLACE, "__before")
     )

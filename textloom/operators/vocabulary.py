@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import words
 from textloom.operators.dictionary import ship_dictionary
+from textloom.operators.ranking import add_position
 from textloom.session import new_dir
 from textloom.sources.sinks import materialise
 
@@ -30,10 +31,9 @@ _index: dict[str, dict] = {}
 def fit_vocabulary(df: DataFrame, text: str = "text", size: int = DEFAULT_SIZE) -> DataFrame:
     """The ``size`` most frequent words, ``(token, n, id)``; ids from 2 by falling count, then by word.
 
-    Counts combine before the shuffle. How many words have each count tells where the limit falls: words with higher
-    counts are all in, so they are numbered within their count, after all with higher ones; rarer words are dropped
-    before anything is ranked; and only of the words that have just that count some are cut off. No task ranks more than
-    its range of the words that are in. ``materialise`` the result before encoding with it, which reads it twice.
+    Counts combine before the shuffle. How many words have each count tells where the limit falls, and rarer words are
+    dropped before anything is sorted; the rest is range-sorted, so no task has more than its range, however many words
+    have the lowest count. ``materialise`` the result before encoding with it, which reads it twice.
     """
     counts = df.select(F.explode(words(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     counts = materialise(counts, new_dir(df.sparkSession, "word-counts"))
@@ -44,14 +44,9 @@ def fit_vocabulary(df: DataFrame, text: str = "text", size: int = DEFAULT_SIZE)
     lowest = levels.where(F.col("before") < size).agg(F.min("n")).first()[0]
     if lowest is None:
         return counts.where(F.lit(False)).select("token", "n", F.lit(0).alias("id"))
-    above = counts.where(F.col("n") > lowest)
-    # at the lowest count only the first words are in: each task's own first ones go on
-    at_limit = counts.where(F.col("n") == lowest).orderBy("token").limit(size)
-    ranked = above.unionByName(at_limit)
-    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("n").orderBy("token")))
-    last = F.col("before") + F.col("nth")
-    numbered = ranked.join(levels, "n").where(last <= size)
-    return numbered.select("token", "n", (last + (FIRST_ID - 1)).cast("int").alias("id"))
+    falling = counts.where(F.col("n") >= lowest).withColumn("__falling", -F.col("n"))
+    ranked = add_position(falling, ["__falling", "token"]).where(F.col("position") <= size)
+    return ranked.select("token", "n", (F.col("position") + (FIRST_ID - 1)).cast("int").alias("id"))
 
 
 def encode(
