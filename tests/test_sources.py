@@ -189,6 +189,61 @@ def test_jobs_that_fill_the_cache_at_once(spark, tmp_path):
     assert sorted(r.n for r in first.collect()) == sorted(r.n for r in again.collect()) == [1, 2]
 
 
+def test_cache_reads_only_files_that_changed(spark, tmp_path):
+    source, cache = tmp_path / "in", tmp_path / "cache"
+    source.mkdir()
+    for i in range(10):
+        write(source / f"part {i}%20.jsonl", "\n".join(f'{{"n": {10 * i + j}}}' for j in range(3)))
+    load = lambda: sorted(r.n for r in load_data(spark, str(source), cache_dir=str(cache), schema="n int").collect())
+    assert load() == load() == [10 * i + j for i in range(10) for j in range(3)]
+    assert len(list(cache.glob("*/rows/*"))) == 1
+    write(source / "part 3%20.jsonl", '{"n": 5000}')
+    (source / "part 4%20.jsonl").unlink()
+    write(source / "empty.jsonl", "")
+    expected = [10 * i + j for i in range(10) if i not in (3, 4) for j in range(3)] + [5000]
+    assert load() == load() == expected
+    sizes = sorted(len(list(batch.glob("__source_file=*"))) for batch in cache.glob("*/rows/*"))
+    assert sizes == [1, 10]
+    write(source / "part 4%20.jsonl", '{"n": 6000}')
+    assert load() == [*expected, 6000]
+    assert len(list(cache.glob("*/rows/*"))) == 3 and len(list(cache.iterdir())) == 1
+
+
+def test_cached_files_that_are_left_out_are_not_scanned(spark, tmp_path):
+    from textloom.sources.sinks import _file_version, _file_versions
+
+    for i in range(5):
+        spark.range(10 * i, 10 * i + 10).coalesce(1).write.parquet(str(tmp_path / f"x{i}"))
+    source = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path))
+    versions = _file_versions(spark, str(tmp_path))
+    chosen = source.where(_file_version().isin(versions[:2]))
+    assert len(chosen.collect()) == 20 and len(versions) == 5
+    scan = chosen._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    assert scan.metrics().apply("numFiles").value() == 2
+
+
+def test_cache_by_file_survives_a_killed_job(spark, tmp_path):
+    source, cache = str(tmp_path / "a.parquet"), tmp_path / "cache"
+    spark.range(30).repartition(3).write.parquet(source)
+    load = lambda: sorted(r.id for r in load_data(spark, source, cache_dir=str(cache)).collect())
+    assert load() == list(range(30))
+    for mark in cache.glob("*/files/part-*"):
+        mark.unlink()
+    for part in cache.glob("*/rows/*/*/part-*"):
+        part.write_bytes(b"half a file")
+    assert load() == list(range(30))
+
+
+def test_cache_by_file_of_another_schema(spark, tmp_path):
+    source, cache = str(tmp_path / "a.parquet"), str(tmp_path / "cache")
+    spark.range(3).write.parquet(source)
+    assert load_data(spark, source, cache_dir=cache).columns == ["id"]
+    spark.range(3).selectExpr("id", "id AS more").write.mode("overwrite").parquet(source)
+    assert load_data(spark, source, cache_dir=cache).columns == ["id", "more"]
+    spark.range(0).selectExpr("id", "id AS more").write.mode("overwrite").parquet(source)
+    assert load_data(spark, source, cache_dir=cache).count() == 0
+
+
 @pytest.mark.parametrize("dense", [False, True])
 def test_prompts_like_line_by_line_reading(spark, tmp_path, dense):
     text = "first\r\nsecond\r  third\t\n\n \u3000\n\x1c\n \n  fourth and more  \nlast"

@@ -292,6 +292,7 @@ ORACLE: dict[str, str] = {
     "load_dispatch": """SELECT t.conv_id, t.turn, t.role, t.text, s.split FROM conversations t,
         (VALUES ('csv'), ('jsonl'), ('parquet'), ('directory'), ('table')) s(split)""",
     "cache_copy": "SELECT * FROM documents",
+    "cache_files": "SELECT * FROM documents",
     "metrics_append": f"WITH {HISTORY} SELECT run, step, metric, loss AS value FROM history",
     "metric_choice": f"WITH {_bleu()} SELECT 'bleu' AS metric, bleu AS value FROM bleu_score",
     "pad_fallback": """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 50256 ELSE doc_id % 3 - 1 END::BIGINT AS pad_id

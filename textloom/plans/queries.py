@@ -602,6 +602,19 @@ def cache_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+def cache_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in several files, copied, then some more files and one that is written anew: only those are read again."""
+    path, cache = new_dir(spark, "source"), new_dir(spark, "cache")
+    docs = table(spark, sf_dir, "documents")
+    part = F.pmod("doc_id", F.lit(8))
+    for n, rows in ((1, docs.where(part < 5)), (2, docs.where(part >= 4))):
+        rows.write.parquet(f"{path}/set={n}")
+    load_data(spark, path, cache_dir=cache)
+    docs.where(part == 5).write.mode("overwrite").parquet(f"{path}/set=2")
+    docs.where(part > 5).write.parquet(f"{path}/set=3")
+    return load_data(spark, path, cache_dir=cache).drop("set")
+
+
 def metrics_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "metrics")
     history = inputs.run_history(spark, sf_dir).select("run", "step", "metric", F.col("loss").alias("value"))
@@ -643,7 +656,7 @@ def _queries() -> Iterator[tuple[str, Query]]:
         request_defaults, response_struct, strip_prompt, expand_sequences, nucleus_filter, batch_predict,
         generate_texts, steps_every, best_step, early_stop, runs_compare, dataset_fingerprint, dataset_diff,
         monitor_windows, stream_windows, stream_requests,
-        encode_join, decode_join, batch_assign_text, load_dispatch, cache_copy, metrics_append, metric_choice,
+        encode_join, decode_join, batch_assign_text, load_dispatch, cache_copy, cache_files, metrics_append, metric_choice,
         pad_fallback, batch_map,
         align_positions, csv_borders, early_stop_stream, stored_changes, monitor_rollup, generate_by_length,
     ):

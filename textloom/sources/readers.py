@@ -40,14 +40,18 @@ def load_data(
     The suffix decides (case-sensitive): ``.csv``, ``.json`` or ``.jsonl``, ``.parquet``; anything else is a directory
     or, failing that, a table or view name. ``split`` selects rows for every source but CSV; None means all rows. Pass
     ``schema`` for big CSV and JSON inputs: finding it costs one more pass. ``cache_dir`` keeps a Parquet copy that
-    later jobs read as long as the source files have not changed. Big CSV files are cut into tasks, as ``read_csv`` says
+    later jobs read as long as the source files have not changed. Of Parquet files, and of JSON with a ``schema``, only
+    new and changed files are copied; others are copied whole, as one file may change the types of all. Big CSV files are cut into tasks, as ``read_csv`` says
     (``multi_line``, ``parallel``). ``label_splits`` adds the column ``split``, told by the names of the
     files, to a directory of files without it.
     """
     if cache_dir is not None:
-        from textloom.sources.sinks import cached_copy
+        from textloom.sources.sinks import cached_copy, cached_files
 
         build = lambda: load_data(spark, data_path, split, None, schema, multi_line, label_splits, parallel)
+        found = _format_of(spark, data_path)
+        if found == "parquet" or (found in ("json", "jsonl") and schema is not None):
+            return cached_files(spark, data_path, cache_dir, build, split, label_splits)
         return cached_copy(spark, data_path, cache_dir, build, split, schema, multi_line, label_splits)
     if data_path.endswith(".csv"):
         return read_csv(spark, data_path, schema=schema, multi_line=multi_line, parallel=parallel)
@@ -81,11 +85,27 @@ def select_split(df: DataFrame, split: str) -> DataFrame:
     raise ValueError(f"unknown split {split!r}: the table has no split column, so all of it is 'train'")
 
 
-def _read_directory(spark: SparkSession, path: str, schema, labelled: bool, multi_line: bool, parallel: bool) -> DataFrame:
-    """Directory of files of one format, told by their suffixes (listing only, no content is read)."""
+def _formats_in(spark: SparkSession, path: str) -> list[str]:
+    """Formats of the files below a path, told by their suffixes (listing only, no content is read)."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     suffix = F.regexp_extract("path", r"\.(csv|jsonl|json|parquet)(?:\.[a-z0-9]+)?$", 1)
-    found = sorted(r[0] for r in listing.select(suffix).distinct().collect() if r[0])
+    return sorted(r[0] for r in listing.select(suffix).distinct().collect() if r[0])
+
+
+def _format_of(spark: SparkSession, data_path: str) -> str | None:
+    """The format that ``load_data`` reads a path as; None for a table, or files of several formats or none."""
+    for suffix in ("csv", "jsonl", "json", "parquet"):
+        if data_path.endswith(f".{suffix}"):
+            return suffix
+    if "/" not in data_path and spark.catalog.tableExists(data_path):
+        return None
+    found = _formats_in(spark, data_path)
+    return found[0] if len(found) == 1 else None
+
+
+def _read_directory(spark: SparkSession, path: str, schema, labelled: bool, multi_line: bool, parallel: bool) -> DataFrame:
+    """Directory of files of one format."""
+    found = _formats_in(spark, path)
     if len(found) != 1:
         raise ValueError(f"expected files of one format in {path}, found {found or 'none'}")
     if found[0] == "csv":

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,3 +105,70 @@ def cached_copy(
         spark.range(1).select(F.lit(folder).alias("name")).coalesce(1).write.mode("overwrite").parquet(mark)
         return spark.read.parquet(f"{base}/{folder}")
     return spark.read.parquet(f"{base}/{marked.name}")
+
+
+SOURCE_FILE = "__source_file"
+
+
+def _file_version() -> Column:
+    return hash60(F.col("_metadata.file_path"), F.col("_metadata.file_size"), F.unix_micros("_metadata.file_modification_time"))
+
+
+def _file_versions(spark: SparkSession, path: str) -> list[int]:
+    """Fingerprints of the files below a path as they are now (listing only)."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return [r.file for r in listing.select(_file_version().alias("file")).collect()]
+
+
+def cached_files(
+    spark: SparkSession, data_path: str, cache_dir: str, build: Callable[[], DataFrame], *settings: object
+) -> DataFrame:
+    """Parquet copy of ``build()``, rows out of one of Spark's own file readers, kept file by file below ``cache_dir``.
+
+    A source file is known by its path, size and time. ``rows`` holds a folder of rows per file, ``files`` a table of the
+    files that some job has copied whole. Files that the table has are taken from there; only the others are read, and
+    join the table by one file of its own, the last thing that a job writes. So a killed job leaves nothing that counts,
+    and where two jobs copy the same file, one of the copies is used. Another schema or other settings are another copy.
+    A source that changes while it is copied is an error. The driver gets a number per file, as it does to plan a scan.
+    """
+    import hashlib
+
+    present = _file_versions(spark, data_path)
+    source = build()
+    key = hashlib.md5(repr((data_path, source.schema.json(), settings)).encode()).hexdigest()
+    base = f"{cache_dir.rstrip('/')}/{key}"
+
+    def known() -> dict[int, tuple[str, int]]:
+        copied = spark.read.schema("file bigint, batch string, n_rows bigint").parquet(f"{base}/files")
+        copied = copied.join(spark.createDataFrame([(f,) for f in present], "file bigint"), "file", "left_semi")
+        one = copied.groupBy("file").agg(F.min_by(F.struct("batch", "n_rows"), "batch").alias("copy"))
+        return {r.file: (r.copy.batch, r.copy.n_rows) for r in one.select("file", "copy").collect()}
+
+    if not present:
+        return source
+    try:
+        copies = known()
+    except AnalysisException:  # nothing has been copied yet
+        copies = {}
+    missing = [f for f in present if f not in copies]
+    if missing:
+        batch = uuid.uuid4().hex
+        folder = f"{base}/rows/{batch}"
+        # files are told by their metadata, so Spark leaves the others out of the scan
+        rows = source.withColumn(SOURCE_FILE, _file_version())
+        chosen = rows.where(_file_version().isin(missing)) if copies else rows
+        chosen.write.partitionBy(SOURCE_FILE).parquet(folder)
+        if not set(missing) <= set(_file_versions(spark, data_path)):
+            raise RuntimeError(f"files of {data_path} changed while they were copied: try again")
+        marked = spark.createDataFrame([(f,) for f in missing], "file bigint")
+        written = spark.read.schema(f"{SOURCE_FILE} bigint").parquet(folder)
+        sizes = written.groupBy(F.col(SOURCE_FILE).alias("file")).agg(F.count(F.lit(1)).alias("n"))
+        marked = marked.join(sizes, "file", "left").select(
+            "file", F.lit(batch).alias("batch"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows")
+        )
+        marked.coalesce(1).write.mode("append").parquet(f"{base}/files")
+        copies = known()
+    folders = sorted(f"{base}/rows/{batch}/{SOURCE_FILE}={file}" for file, (batch, n) in copies.items() if n)
+    if not folders:
+        return spark.createDataFrame([], source.schema)
+    return spark.read.schema(source.schema).parquet(*folders)
