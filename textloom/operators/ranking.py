@@ -109,7 +109,7 @@ def as_group(df: DataFrame, group_by: list[str]) -> DataFrame:
 
 def join_chunks(chunked: DataFrame, per_chunk: DataFrame) -> DataFrame:
     """Bring per-chunk values to the rows."""
-    # how many chunks there are, which may be a caller's, is the planner's to look at
+    # how many chunks there are, which may be a caller's, and groups is the planner's to look at
     return chunked.join(per_chunk, [GROUP, CHUNK], "left")
 
 
@@ -142,6 +142,8 @@ def add_position(
     counts = chunked.groupBy(GROUP, CHUNK).agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(GROUP, CHUNK, F.coalesce(F.sum("__n").over(earlier_chunks()), F.lit(0)).alias("__before"))
     nth = F.col(PLACE) if stored else F.row_number().over(Window.partitionBy(GROUP, CHUNK).orderBy(*order_by))
+    if stored:
+        offsets = F.broadcast(offsets)  # a row for each range, whose number is set above
     return (
         join_chunks(chunked, offsets)
         .withColumn(into, (F.col("__before") + nth).cast("bigint"))
