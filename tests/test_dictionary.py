@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import resource
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -83,3 +86,27 @@ def test_memory_of_a_worker(spark):
 
     rows = spark.range(0, 20_000, 1, 4).select(grown(F.col("id") * 49 + 2).alias("g")).distinct().collect()
     assert all(r.g[0] == 1 for r in rows) and max(r.g[1] for r in rows) < 120_000  # KB, pages of the files included
+
+
+CLUSTER = """
+from pyspark.sql import functions as F
+from textloom import operators as ops
+from textloom.session import local_session, ship_package
+
+spark = local_session(**{"spark.master": "local-cluster[2,1,1024]", "spark.driver.host": "127.0.0.1"})
+ship_package(spark)
+vocabulary = spark.createDataFrame([("a", 2), ("b", 3)], "token string, id int")
+docs = spark.range(0, 6, 1, 4).select("id", F.array(F.lit("b"), F.lit("?"), F.lit("a")).alias("w"))
+coded = ops.encode(docs, vocabulary, "w", lookup="map")
+got = ops.decode(coded, vocabulary, "input_ids", lookup="map").collect()
+print(sorted((r.id, r.input_ids, r.decoded) for r in got))
+spark.stop()
+"""
+
+
+def test_on_executors_of_their_own():
+    """Outside local mode Spark takes files and no folders."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(ops.__file__)))
+    found = {**os.environ, "PYTHONPATH": os.path.dirname(root)}
+    done = subprocess.run([sys.executable, "-c", CLUSTER], env=found, capture_output=True, text=True, timeout=300)
+    assert done.stdout.splitlines()[-1:] == [str([(i, [3, 1, 2], "b a") for i in range(6)])], done.stderr[-2000:]

@@ -43,9 +43,11 @@ class Dictionary:
     words: np.ndarray
 
     @classmethod
-    def open(cls, folder: str) -> Dictionary:
+    def open(cls, files: str) -> Dictionary:
+        """``files`` is what the paths of all its files begin with."""
+
         def mapped(name: str) -> np.ndarray:
-            path = f"{folder}/{name}"
+            path = f"{files}-{name}"
             return np.memmap(path, FILES[name], "r") if os.path.getsize(path) else np.zeros(0, FILES[name])
 
         return cls(**{name: mapped(name) for name in FILES})
@@ -135,13 +137,13 @@ def ship_dictionary(vocabulary: DataFrame) -> str:
     """Make dictionary files of a vocabulary ``(token, id)`` and give them to Spark to bring to all machines.
 
     Tokens and ids are unique. The driver writes the files part by part, some megabytes at a time; they take about 30
-    bytes a word on the disk of every machine, and workers hold no table in memory.
+    bytes a word on the disk of every machine, and workers hold no table in memory. They are added one by one, as Spark
+    takes whole folders in local mode only.
     """
     by_hash, by_id = _packed(vocabulary)
     name = f"dictionary-{uuid.uuid4().hex}"
-    folder = os.path.join(tempfile.mkdtemp(prefix="textloom-"), name)
-    os.mkdir(folder)
-    with open(f"{folder}/id", "wb") as ids, open(f"{folder}/end", "wb") as ends, open(f"{folder}/words", "wb") as words:
+    files = os.path.join(tempfile.mkdtemp(prefix="textloom-"), name)
+    with open(f"{files}-id", "wb") as ids, open(f"{files}-end", "wb") as ends, open(f"{files}-words", "wb") as words:
         at = 0
         for row in by_id.toLocalIterator():
             upto = np.cumsum(np.frombuffer(row["size"], "<u8")) + np.uint64(at)
@@ -149,12 +151,13 @@ def ship_dictionary(vocabulary: DataFrame) -> str:
             ids.write(row.id)
             ends.write(upto.astype("<u8").tobytes())
             words.write(row.words)
-    known = np.memmap(f"{folder}/id", "<i4", "r") if os.path.getsize(f"{folder}/id") else np.zeros(0, "<i4")
-    with open(f"{folder}/hash", "wb") as hashes, open(f"{folder}/place", "wb") as places:
+    known = np.memmap(f"{files}-id", "<i4", "r") if os.path.getsize(f"{files}-id") else np.zeros(0, "<i4")
+    with open(f"{files}-hash", "wb") as hashes, open(f"{files}-place", "wb") as places:
         for row in by_hash.toLocalIterator():
             hashes.write(row.hash)
             places.write(np.searchsorted(known, np.frombuffer(row.id, "<i4")).astype("<u4").tobytes())
-    vocabulary.sparkSession.sparkContext.addFile(folder, recursive=True)
+    for file in FILES:
+        vocabulary.sparkSession.sparkContext.addFile(f"{files}-{file}")
     return name
 
 
