@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +30,14 @@ def attention_mask(n_real: Column, length: Column | int) -> Column:
 
 def up_to_multiple(n: Column, multiple: int = 8) -> Column:
     return (F.ceil(n / F.lit(float(multiple))) * multiple).cast("bigint")
+
+
+def slices_of(batch: pa.Array, sizes: np.ndarray, at_most: int) -> Iterator[pa.Array]:
+    """Parts of an Arrow batch, of whole rows whose sizes come to ``at_most``; a bigger row is a part of its own."""
+    upto = np.cumsum(sizes)
+    first = 0
+    while first < len(batch):
+        before = upto[first - 1] if first else 0
+        end = max(int(np.searchsorted(upto, before + at_most, "right")), first + 1)
+        yield batch.slice(first, end - first)
+        first = end

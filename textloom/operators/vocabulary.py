@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import words
+from textloom.functions.arrays import slices_of
 from textloom.operators.dictionary import ship_dictionary
 from textloom.operators.ranking import add_position
 from textloom.session import new_dir
@@ -23,6 +24,8 @@ FIRST_ID = 2
 DEFAULT_SIZE = 30_000
 # Words of a vocabulary that is sent to the workers' memory, at most.
 MOST_SHIPPED = 2_000_000
+# Items that a worker looks up at once; of a batch with more, some rows are taken after another.
+ITEMS_AT_ONCE = 1 << 18
 
 # the latest lookup table of this worker, by name
 _index: dict[str, dict] = {}
@@ -80,7 +83,7 @@ def _looked_up(df: DataFrame, table: DataFrame, column: str, into: str, lookup:
 
 
 def _shipped(df: DataFrame, table: DataFrame, column: str, into: str, missing: object) -> DataFrame:
-    """Look up the distinct items of each Arrow batch in an index that a worker builds once."""
+    """Look up the distinct items of some rows at a time in an index that a worker builds once."""
     if table.limit(MOST_SHIPPED + 1).count() > MOST_SHIPPED:
         raise ValueError(f"more than {MOST_SHIPPED} words to ship: use lookup='map' or lookup='join'")
     shipped = df.sparkSession.sparkContext.broadcast(table.toArrow().combine_chunks())
@@ -97,22 +100,31 @@ def _shipped(df: DataFrame, table: DataFrame, column: str, into: str, missing: o
             _index.clear()
             _index[name] = dict(zip(known.column("from").to_pylist(), known.column("to").to_pylist()))
         index, to = _index[name], shipped.value.schema.field("to").type
-        for lists in batches:
+        for lists in _some_at_once(batches):
             coded = pc.dictionary_encode(lists.flatten(), null_encoding="encode")
             yield _as_lists(lists, pa.array([index.get(item, missing) for item in coded.dictionary.to_pylist()], to), coded)
 
     return df.withColumn(into, look_up(F.col(column)))
 
 
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def _some_at_once(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """A batch has a fixed number of rows, however long; its parts have a fixed number of items."""
+    for lists in batches:
+        yield from slices_of(lists, _sizes(lists), ITEMS_AT_ONCE)
+
+
 def _as_lists(lists: pa.Array, values: pa.Array, coded: pa.DictionaryArray) -> pa.Array:
     """Lists of the values that the items of ``lists`` were found to have; a null list becomes an empty one."""
-    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    offsets = pa.array(np.concatenate([[0], np.cumsum(_sizes(lists))]), pa.int32())
     return pa.ListArray.from_arrays(offsets, values.take(coded.indices))
 
 
 def _mapped(df: DataFrame, table: DataFrame, column: str, into: str, missing: object) -> DataFrame:
-    """Look up the distinct items of each Arrow batch in dictionary files that a worker maps into memory."""
+    """Look up the distinct items of some rows at a time in dictionary files that a worker maps into memory."""
     to_ids = table.schema["to"].dataType.simpleString() != "string"
     names = ("token", "id") if to_ids else ("id", "token")
     name = ship_dictionary(table.toDF(*names))
@@ -123,7 +135,7 @@ def _mapped(df: DataFrame, table: DataFrame, column: str, into: str, missing: ob
         from textloom.operators.dictionary import opened
 
         known = opened(name)
-        for lists in batches:
+        for lists in _some_at_once(batches):
             coded = pc.dictionary_encode(lists.flatten(), null_encoding="encode")
             items = coded.dictionary
             there = np.flatnonzero(items.is_valid().to_numpy(zero_copy_only=False))
