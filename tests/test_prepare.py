@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,38 @@ def test_filter_reaches_the_scan(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     plan = ops.drop_empty(docs).select("doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(text)" in plan and "n_chars" not in plan.split("ReadSchema")[1]
+
+
+def test_a_worker_tokenises_some_texts_at_a_time(monkeypatch):
+    from textloom.operators import tokenisers
+
+    class Tokeniser:
+        most = 0
+
+        def encode_batch_fast(self, texts):
+            self.most = max(self.most, sum(map(len, texts)))
+            return [SimpleNamespace(ids=[len(t)]) for t in texts]
+
+    monkeypatch.setattr(tokenisers, "BYTES_AT_ONCE", 100)
+    texts = [None, "x" * 30, "", "y" * 150, "z" * 99, None, "u", "v"] * 20
+    known = Tokeniser()
+    got = pa.concat_arrays(tokenisers._ids(known, iter([pa.array(texts), pa.array([], pa.string())]))).to_pylist()
+    assert got == [[len(t or "")] for t in texts] and known.most == 150
+
+
+def test_a_worker_looks_up_some_rows_at_a_time(spark, monkeypatch):
+    from textloom.operators import vocabulary
+
+    monkeypatch.setattr(vocabulary, "ITEMS_AT_ONCE", 10)
+    lists = [["a"] * 4, None, [], ["b", "?", None] * 7, ["c"] * 10, ["a", "b"]] * 5
+    parts = list(vocabulary._some_at_once(iter([pa.array(lists)])))
+    assert [row for part in parts for row in part.to_pylist()] == lists
+    assert all(len(p.flatten()) <= 10 or sum(n is not None and len(n) > 0 for n in p.to_pylist()) == 1 for p in parts)
+    words = spark.createDataFrame([("a", 2), ("b", 3), ("c", 4)], "token string, id int")
+    df = spark.createDataFrame(list(enumerate(lists)), "k long, w array<string>").coalesce(1)
+    ids = {"a": 2, "b": 3, "c": 4}
+    for lookup in ("ship", "map"):
+        coded = ops.encode(df, words, "w", lookup=lookup)
+        got = {r.k: (r.input_ids, r.decoded) for r in ops.decode(coded, words, "input_ids", lookup=lookup).collect()}
+        for k, items in enumerate(lists):
+            assert got[k] == ([ids.get(i, 1) for i in items or []], " ".join(i for i in items or [] if i in ids))

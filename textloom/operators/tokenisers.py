@@ -6,16 +6,31 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.arrays import slices_of
+
+# Bytes of text that a worker tokenises at once: the tokeniser keeps some hundred bytes of notes per token.
+BYTES_AT_ONCE = 1 << 20
+
 _loaded: dict[str, object] = {}
 
 
+def _ids(tokeniser, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Ids of the texts; a batch has a fixed number of rows, however long, so some of them are taken after another."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)
+        for texts in slices_of(batch, sizes, BYTES_AT_ONCE):
+            encodings = tokeniser.encode_batch_fast([t or "" for t in texts.to_pylist()])
+            yield pa.array([e.ids for e in encodings], pa.list_(pa.int32()))
+
+
 def tokenise_with_file(
     df: DataFrame, tokeniser_file: str, text: str = "text", max_length: int | None = None
 ) -> DataFrame:
-    """Add ``input_ids`` by a tokeniser definition (JSON of the ``tokenizers`` package), whole batches at a time.
+    """Add ``input_ids`` by a tokeniser definition (JSON of the ``tokenizers`` package), some texts at a time.
 
     The definition is read once and shipped to the workers, each of which builds the tokeniser once.
     """
@@ -27,8 +42,8 @@ def tokenise_with_file(
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
 
-        # imported here, so that it is the worker's own and outlives the task
-        from textloom.operators.tokenisers import _loaded
+        # imported here, so that what is loaded is the worker's own and outlives the task
+        from textloom.operators.tokenisers import _ids, _loaded
 
         if name not in _loaded:
             tokeniser = Tokenizer.from_str(shipped.value)
@@ -39,8 +54,6 @@ def tokenise_with_file(
                 tokeniser.enable_truncation(max_length)
             _loaded.clear()  # a reused worker keeps the latest one only
             _loaded[name] = tokeniser
-        for batch in batches:
-            encodings = _loaded[name].encode_batch_fast([t or "" for t in batch.to_pylist()])
-            yield pa.array([e.ids for e in encodings], pa.list_(pa.int32()))
+        yield from _ids(_loaded[name], batches)
 
     return df.withColumn("input_ids", run(F.col(text).cast("string")))
