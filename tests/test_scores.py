@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textloom import operators as ops
+from textloom.functions.overlap import batch_overlaps
 
 PAIRS = "key int, reference string, prediction string"
 
@@ -214,3 +219,17 @@ def test_nucleus_of_large_contexts(spark, k, p):
         got.setdefault(r.c, {})[r.t] = r.probability
     for c, d in scores.items():
         assert got[c] == pytest.approx(nucleus(d, 0.8, k or len(d), p))
+
+
+def test_memory_of_overlaps():
+    """A batch of a million and a half tokens takes no more than a part of it does."""
+    rng = np.random.default_rng(1)
+    lists = pa.array([[f"w{i}" for i in row] for row in rng.integers(0, 500, (5_000, 150)).tolist()])
+    few = [lists.slice(0, 3), lists.slice(3, 3)]
+    tracemalloc.start()
+    got = batch_overlaps(lists, lists, [1, 2, 4])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [set(n.tolist()) for n in got] == [{150}, {149}, {147}] and peak < 40e6
+    both = batch_overlaps(*few, [1])[0].tolist()
+    assert both == [sum((Counter(a) & Counter(b)).values()) for a, b in zip(*[f.to_pylist() for f in few])]

@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tokens worked on at once; more are handled in parts of whole rows.
-TOKENS_AT_ONCE = 2_000_000
+# Tokens worked on at once, at some hundred bytes each; more are handled in parts of whole rows.
+TOKENS_AT_ONCE = 200_000
 
 
 def batch_overlaps(left: pa.ListArray, right: pa.ListArray, orders: Sequence[int]) -> list[np.ndarray]:
