@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from textloom.operators import align_positions
-from textloom.sources import load_data, read_csv
+from textloom.sources import borders, load_data, read_csv
 from textloom.sources.borders import csv_records, read_records
 from textloom.sources.positions import add_file_position
 
@@ -147,3 +147,23 @@ def test_load_data_types_and_missing_values(spark, tmp_path, small_blocks):
     assert dict(typed.dtypes) == {"id": "int", "x": "double", "note": "string"} and typed.count() == 3
     (tmp_path / "empty.csv").write_text("id,x,note\n")
     assert load_data(spark, f"{tmp_path}/empty.csv").collect() == []
+
+
+def test_many_blocks_to_a_task(spark, tmp_path, monkeypatch):
+    """The query's blocks of 64 KB do not come with a task each, and settings are as before."""
+    from textloom.plans import queries
+
+    docs = spark.range(2_000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("all the words "), "id"), 600).alias("text"), F.lit("en").alias("lang")
+    )
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tasks = []
+    count = borders._count_quotes
+    monkeypatch.setattr(borders, "_count_quotes", lambda lines: tasks.append(lines.rdd.getNumPartitions()) or count(lines))
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.maxPartitionNum"]
+    before = [spark.conf.get(k, None) for k in keys]
+    read = queries.csv_borders(spark, str(tmp_path))
+    assert read.count() == 2_000 and read.where("doc_id % 3 = 0").exceptAll(docs).count() == 0
+    # some 20 MB of text
+    assert tasks[0] <= 4 * spark.sparkContext.defaultParallelism + 1 < 20e6 / (64 << 10)
+    assert [spark.conf.get(k, None) for k in keys] == before

@@ -67,13 +67,17 @@ def csv_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.concat(F.lit('say "'), F.regexp_replace("text", " the ", ',\n\n"'), F.lit('"\n'))
     quoted = docs.select("doc_id", F.when(F.col("doc_id") % 3 > 0, broken).otherwise(F.col("text")).alias("text"), "lang")
     plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    quoted.coalesce(2).write.options(**plain).csv(path)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", 64 << 10)
+    # more input is more files, and a task reads many blocks where there are more of them than a few per core
+    quoted.coalesce(max(2, quoted.rdd.getNumPartitions() // 2)).write.options(**plain).csv(path)
+    cut = {"spark.sql.files.maxPartitionBytes": 64 << 10, "spark.sql.files.maxPartitionNum": 4 * spark.sparkContext.defaultParallelism}
+    before = {key: spark.conf.get(key, None) for key in cut}
     try:
+        for key, value in cut.items():
+            spark.conf.set(key, value)
         return load_data(spark, path, schema="doc_id bigint, text string, lang string")
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def src_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
