@@ -14,7 +14,7 @@ from textloom.operators import early_stop, version_diff
 from textloom.operators.monitoring import rank_error, roll_up, window_metrics, window_sketches
 from textloom.operators.versions import differing_buckets, store_version, stored_changes
 from textloom.sources import append_metrics, read_metrics
-from textloom.streaming import append_stream_metrics, read_latest, stream_early_stop, write_latest
+from textloom.streaming import append_stream_metrics, read_latest, stopping, stream_early_stop, write_latest
 
 
 # --- versions
@@ -226,3 +226,40 @@ def test_a_gap_is_given_up(spark, tmp_path):
     finally:
         query.stop()
     assert (r.n_steps, r.stop_step, r.best_step, r.best_loss, r.held) == (6, 6, 3, 1.0, 0)
+
+
+def test_what_waits_is_kept_in_blocks():
+    """A run of many evaluations that wait writes and reads a block at a time."""
+    calls = []
+
+    class Kept(dict):
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def updateValue(self, key, value):  # noqa: N802
+            calls.append(key)
+            self[key] = value
+
+        def removeKey(self, key):  # noqa: N802
+            calls.append(key)
+            del self[key]
+
+    processor = stopping._EarlyStop(3, None)
+    processor.early = Kept()
+    late = {step: None if step % 5 == 0 else 1.0 / step for step in range(2, 10_001)}
+    s = {"n_steps": 0, "gain": 0, "best": None, "stop_step": None, "best_step": None, "best_loss": None, "held": 0}
+    processor._release(s, dict(late), set())
+    assert s["held"] == 9_999 and len(calls) == 10_000 // stopping.HELD_BLOCK + 1
+    assert processor._held(s) == late
+    waiting = {step: loss for step, loss in late.items() if step > 1_000}
+    calls.clear()
+    processor._release(s, dict(waiting), set(late))
+    assert calls == [(0,)] and processor._held(s) == waiting
+    processor._release(s, {1: 2.0, **{step: None for step in range(2, 1_001)}, **waiting}, set(waiting))
+    assert (s["n_steps"], s["held"], s["stop_step"], len(processor.early)) == (10_000, 0, 4, 0)
+
+
+def test_evaluations_without_a_loss_or_a_number(spark, tmp_path):
+    none = float("nan")
+    got = _streamed(spark, tmp_path, [[("a", 2, none), ("a", 1, 3.0), ("a", 3, None)], [("a", 5, 9.0), ("a", 4, none)]])
+    assert (got["a"].n_steps, got["a"].stop_step, got["a"].best_step, got["a"].best_loss) == (5, 4, 1, 3.0)

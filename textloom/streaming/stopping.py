@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "n_steps long, stop_step long, best_step long, best_loss double, held long"
+# Steps that wait are kept by the block of so many steps that they are in: a block is read and written in one go.
+HELD_BLOCK = 4096
 _STATE = "n_steps long, gain long, best double, stop_step long, best_step long, best_loss double, deadline long, held long"
 
 
@@ -22,7 +25,8 @@ class _EarlyStop(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", _STATE)
-        self.early = handle.getMapState("early", "step long", "loss double")
+        # steps and losses of a block, packed, and which of the losses are null
+        self.early = handle.getMapState("early", "block long", "steps binary, losses binary, none binary")
 
     def _load(self) -> dict:
         names = [part.split()[0] for part in _STATE.split(", ")]
@@ -41,49 +45,61 @@ class _EarlyStop(StatefulProcessor):
             s["stop_step"] = step
 
     def _held(self, s: dict) -> dict[int, float | None]:
-        """What waits for its turn, read in one go; only runs with gaps have any."""
-        return {key[0]: value[0] for key, value in self.early.iterator()} if s["held"] else {}
+        """What waits for its turn; only runs with gaps have any."""
+        waiting: dict[int, float | None] = {}
+        if s["held"]:
+            for _, (steps, losses, none) in self.early.iterator():
+                found = np.frombuffer(losses, "<f8").astype(object)
+                found[np.frombuffer(none, "?")] = None
+                waiting.update(zip(np.frombuffer(steps, "<i8").tolist(), found.tolist()))
+        return waiting
 
     def _release(self, s: dict, waiting: dict, before: set[int]) -> None:
-        """Count what has its turn, and write back what has come to wait or does so no more."""
+        """Count what has its turn, and write back the blocks in which some have come to wait or do so no more."""
         while s["n_steps"] + 1 in waiting:
             step = s["n_steps"] + 1
             self._count(s, step, waiting.pop(step))
-        if before and before.isdisjoint(waiting):
-            self.early.clear()
-        else:
-            for step in before - set(waiting):
-                self.early.removeKey((step,))
-        for step in set(waiting) - before:
-            self.early.updateValue((step,), (waiting[step],))
         s["held"] = len(waiting)
-
-    def _finish(self, key: tuple, s: dict, now: int) -> Iterator[pd.DataFrame]:
+        changed = {step // HELD_BLOCK for step in before ^ waiting.keys()}
+        if not waiting:
+            if before:
+                self.early.clear()
+            return
+        blocks: dict[int, list[int]] = {block: [] for block in changed}
+        for step in waiting:
+            if step // HELD_BLOCK in changed:
+                blocks[step // HELD_BLOCK].append(step)
+        for block, steps in blocks.items():
+            if steps:
+                losses = [waiting[step] for step in steps]
+                none = np.array([loss is None for loss in losses])
+                packed = (np.array(steps, "<i8"), np.array([0.0 if loss is None else loss for loss in losses], "<f8"), none)
+                self.early.updateValue((block,), tuple(part.tobytes() for part in packed))
+            elif any(step // HELD_BLOCK == block for step in before):
+                self.early.removeKey((block,))
+
+    def _finish(self, key: tuple, s: dict, timerValues) -> Iterator[Row]:  # noqa: N803
         if s["deadline"] is not None and not s["held"]:
             self.handle.deleteTimer(s["deadline"])
             s["deadline"] = None
         if s["held"] and s["deadline"] is None and self.hold_ms is not None:
-            s["deadline"] = now + self.hold_ms
+            s["deadline"] = timerValues.getCurrentProcessingTimeInMs() + self.hold_ms
             self.handle.registerTimer(s["deadline"])
         self.state.update(tuple(s.values()))
-        found = {"run": key[0], **{n: s[n] for n in ("n_steps", "stop_step", "best_step", "best_loss", "held")}}
-        frame = pd.DataFrame([found])
-        kinds = {"n_steps": "Int64", "stop_step": "Int64", "best_step": "Int64", "best_loss": "Float64", "held": "Int64"}
-        yield frame.astype(kinds)
+        yield Row(run=key[0], **{n: s[n] for n in ("n_steps", "stop_step", "best_step", "best_loss", "held")})
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         s = self._load()
         waiting = self._held(s)
         before = set(waiting)
-        for frame in rows:
-            frame = frame[frame["step"].notna()]
-            for step, loss in zip(frame["step"].astype("int64").tolist(), frame["loss"].tolist()):
-                if step > s["n_steps"] and step not in waiting:
-                    waiting[step] = None if pd.isna(loss) else float(loss)
+        for row in rows:
+            step, loss = row.step, row.loss
+            if step is not None and step > s["n_steps"] and step not in waiting:
+                waiting[step] = None if loss is None or math.isnan(loss) else loss
         self._release(s, waiting, before)
-        yield from self._finish(key, s, timerValues.getCurrentProcessingTimeInMs())
+        yield from self._finish(key, s, timerValues)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         """The gap was held long enough: go on with the earliest evaluation behind it."""
         s = self._load()
         s["deadline"] = None
@@ -91,7 +107,7 @@ class _EarlyStop(StatefulProcessor):
         if waiting:
             s["n_steps"] = min(waiting) - 1
             self._release(s, waiting, set(waiting))
-        yield from self._finish(key, s, timerValues.getCurrentProcessingTimeInMs())
+        yield from self._finish(key, s, timerValues)
 
     def close(self) -> None:
         pass
@@ -114,7 +130,7 @@ def stream_early_stop(
     gives the same rows. Rows without a step are left out; without a run they are a run of their own. A null loss is an
     evaluation that improves nothing.
 
-    State per run is a few numbers and the held evaluations.
+    State per run is a few numbers and the held evaluations, packed by blocks of steps.
     """
     named = evaluations.select(
         F.col(run).alias("run"), F.col(step).cast("long").alias("step"), F.col(loss).cast("double").alias("loss")
@@ -122,7 +138,7 @@ def stream_early_stop(
     kind = named.schema["run"].dataType.simpleString()
     schema = f"run {kind}, {OUTPUT}"
     hold_ms = None if hold_seconds is None else int(hold_seconds * 1000)
-    stopped = named.groupBy("run").transformWithStateInPandas(
+    stopped = named.groupBy("run").transformWithState(
         statefulProcessor=_EarlyStop(patience, hold_ms),
         outputStructType=schema,
         outputMode="Update",
