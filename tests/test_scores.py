@@ -233,3 +233,18 @@ def test_memory_of_overlaps():
     assert [set(n.tolist()) for n in got] == [{150}, {149}, {147}] and peak < 40e6
     both = batch_overlaps(*few, [1])[0].tolist()
     assert both == [sum((Counter(a) & Counter(b)).values()) for a, b in zip(*[f.to_pylist() for f in few])]
+
+
+def test_the_texts_pairs_are_sent_to_the_model(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "b a"), (3, None)], "k int, text string")
+    model = ops.fit_bigrams(docs).save(str(tmp_path))
+    expected = sorted(ops.score_texts(docs, model, "k").collect())
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        scored = ops.score_texts(docs, model, "k")
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and sorted(scored.collect()) == expected
+    finally:
+        spark.conf.set(key, before)

@@ -13,6 +13,8 @@ from textloom.session import new_dir
 from textloom.sources.sinks import materialise
 
 ADD_K = 0.1
+# Pairs to be scored that are sent to the model's tasks, at most; with more, the planner decides.
+MOST_SENT = 200_000
 
 
 @dataclass(frozen=True)
@@ -70,14 +72,16 @@ def score_texts(df: DataFrame, model: BigramModel, key: str, text: str = "text")
 
     Rows with one text share its score, so null and repeated keys come back like any others. Texts are split once and
     never shuffled: their pairs are counted by the digest of the text. Only the pairs and contexts that the texts have
-    meet the model, by inner joins, of which the planner may send either side; those that it does not know are added
-    where the texts' own pairs are scored.
+    meet the model, by inner joins, to which they are sent if there are up to ``MOST_SENT``, so that the model is not
+    shuffled; else the planner may send either side. Those that it does not know are added where the texts' own pairs are
+    scored.
     """
     marked = df.select(key, F.col(text).alias("__text"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("__digest"))
     counted = _pairs_of(marked, "__text", "__digest").groupBy("__digest", "prev", "token").agg(F.count(F.lit(1)).alias("c"))
     counted = materialise(counted, new_dir(df.sparkSession, "pairs-to-score"))
-    seen = model.pairs.select("prev", "token", "n").join(counted.select("prev", "token").distinct(), ["prev", "token"])
-    contexts = model.contexts().join(counted.select("prev").distinct(), "prev")
+    sent = F.broadcast if counted.count() <= MOST_SENT else (lambda table: table)
+    seen = model.pairs.select("prev", "token", "n").join(sent(counted.select("prev", "token").distinct()), ["prev", "token"])
+    contexts = model.contexts().join(sent(counted.select("prev").distinct()), "prev")
     in_context = counted.join(seen, ["prev", "token"], "left").join(contexts, "prev", "left")
     probability = (F.coalesce("n", F.lit(0)) + model.k) / (F.coalesce("followed", F.lit(0)) + model.k * model.size())
     scored = in_context.groupBy("__digest").agg(
